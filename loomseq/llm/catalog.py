@@ -6,19 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomseq.llm import decontamination, mixing, secrets, simhash, topk, url_filter
+import corpus_pipeline
+from loomseq.llm import decontamination, language, lm, mixing, pii, secrets, simhash, topk, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
+        toxicity.op1_toxicity,
         secrets.op2_secret_scan,
         mixing.op3_mixing,
+        language.op4_language_id,
         topk.op5_exact_top_k,
         url_filter.op6_url_filter,
         decontamination.op7_decontamination,
         simhash.op8_simhash_dedup,
+        pii.op9_pii,
+        lm.op10_lm_score,
     )
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -184,6 +184,15 @@ def fingerprints(docs: DataFrame, keep: list[str], text: str = "text") -> DataFr
     return map_text(docs, text, keep, [T.StructField("fp", T.LongType())], begin)
 
 
+def classes(rows: DataFrame) -> DataFrame:
+    """From rows (id, fp): for each distinct fp its class root, the smallest id of its rows (low) and of its class (component_id)."""
+    prints = rows.groupBy("fp").agg(F.min("id").alias("low"))
+    comp = components(near_links(prints.select("fp")), "a", "b")
+    named = prints.join(comp, prints.fp == comp.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    low = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    return named.join(low, "root")
+
+
 def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Each row's `id`, its fingerprint (fp long) and component_id: the smallest id reachable over links of at most DISTANCE bits.
 
@@ -192,12 +201,17 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text")
     names it (a component of null ids alone has a null component_id).
     """
     rows = cut(fingerprints(docs, [id], text).select(F.col(id).alias("id"), "fp"), "prints")
-    prints = rows.groupBy("fp").agg(F.min("id").alias("low"))
-    comp = components(near_links(prints.select("fp")), "a", "b")
-    named = prints.join(comp, prints.fp == comp.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    low = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_print = named.join(low, "root").select("fp", "component_id")
-    return rows.join(by_print, "fp").select(F.col("id").alias(id), "fp", "component_id")
+    return rows.join(classes(rows).select("fp", "component_id"), "fp").select(F.col("id").alias(id), "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, one of each near-duplicate class: that of the smallest id (null ids last; equal ids: the smaller fingerprint, then any row)."""
+    names = {c: f"c_{i}" for i, c in enumerate(docs.columns)}  # so that a column called fp cannot clash
+    rows = cut(fingerprints(docs.withColumnsRenamed(names), list(names.values()), names[text]), "prints")
+    found = classes(rows.select(F.col(names[id]).alias("id"), "fp"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "fp")).alias("r")).select(F.col("r.low").alias("low"), F.col("r.fp").alias("print"))
+    kept = rows.join(first, (F.col("fp") == F.col("print")) & F.col(names[id]).eqNullSafe(F.col("low")))
+    return kept.dropDuplicates([names[id], "fp"]).select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
