@@ -134,7 +134,7 @@ ORACLES: dict[str, str] = {
         h AS (SELECT sum(1.0::DOUBLE / i) AS h, count(*) AS m FROM (SELECT unnest(generate_series(1, (SELECT count(*) FROM p))) AS i)), r AS (SELECT p, row_number() OVER (ORDER BY p) AS k FROM p)
         SELECT o_orderkey, coalesce(p <= (SELECT max(r.p) FROM r, h WHERE r.p <= k * 0.5::DOUBLE / (m * h)), false) AS selected FROM p""",
     "w5_bayes_prefix": """WITH r AS (SELECT l_orderkey, l_linenumber, l_suppkey, row_number() OVER w AS rank, avg(l_discount * 2) OVER (w ROWS UNBOUNDED PRECEDING) AS m FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_discount * 2, l_orderkey * 10 + l_linenumber))
-        SELECT l_orderkey, l_linenumber, rank::INTEGER AS rank, coalesce(rank <= max(CASE WHEN m <= 0.05 THEN rank END) OVER (PARTITION BY l_suppkey), false) AS selected FROM r""",
+        SELECT l_orderkey, l_linenumber, rank::INTEGER AS rank, coalesce(rank <= max(CASE WHEN m <= 0.05 + 1e-9 THEN rank END) OVER (PARTITION BY l_suppkey), false) AS selected FROM r""",
     "f1_cigar": """WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey AS pos, CAST(floor(l_quantity) AS BIGINT) AS q FROM lineitem)
         SELECT l_orderkey, l_linenumber, q > 0 AND q % 5 > 0 AS valid, pos + q + CASE WHEN q % 2 = 0 THEN 0 ELSE l_linenumber END AS ref_end, CASE WHEN q % 2 = 0 THEN l_linenumber ELSE 0 END::BIGINT AS inserted FROM c""",
     "f_sequence_metrics": f"""WITH s AS (SELECT p_partkey, translate(lower(p_name), '{_BASES[0]}', '{_BASES[1]}') AS s FROM part),

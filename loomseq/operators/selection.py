@@ -34,10 +34,10 @@ def step_up(df: DataFrame, p: str, q: float) -> DataFrame:
 
 
 def bayes_prefix(df: DataFrame, group: str, lfdr: str, order: str, q: float) -> DataFrame:
-    """df with running_mean of the local fdr in ascending order within a group, and selected: up to the largest rank whose mean is at most q."""
+    """df with running_mean of the local fdr in ascending order within a group, and selected: up to the largest rank whose mean is at most q (within 1e-9, as running sums of doubles depend on how they are added)."""
     w = Window.partitionBy(group).orderBy(lfdr, order)
     rows = df.withColumns({"rank": F.row_number().over(w), "running_mean": F.avg(lfdr).over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    last = F.max(F.when(F.col("running_mean") <= q, F.col("rank"))).over(Window.partitionBy(group))
+    last = F.max(F.when(F.col("running_mean") <= q + 1e-9, F.col("rank"))).over(Window.partitionBy(group))
     return rows.withColumn("selected", F.coalesce(F.col("rank") <= last, F.lit(False)))
 
 
