@@ -7,9 +7,11 @@ no removal of repeated pairs is needed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomseq.operators.running import running_extreme
+
 
 def _buckets(start: Column, end: Column, width: int) -> Column:
     return F.sequence(F.floor(start / width), F.floor((F.greatest(end, start + 1) - 1) / width))
@@ -29,39 +31,43 @@ def overlap_join(left: DataFrame, right: DataFrame, width: int = 64) -> DataFram
     return both.where((F.col("l_end") > F.col("r_start")) & (F.col("l_start") < F.col("r_end")) & (F.col("bucket") == first)).drop("bucket")
 
 
-def merge_intervals(df: DataFrame, contig: str, start: str, end: str, gap: int) -> DataFrame:
-    """contig, start, end, n: intervals of a contig joined while a start is at most the running end plus gap."""
-    w = Window.partitionBy(contig).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    run = df.withColumn("__new", F.coalesce((F.col(start) > reach + gap).cast("int"), F.lit(0))).withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return run.groupBy(contig, "__run").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("n")).drop("__run")
+def _runs(df: DataFrame, key: str, start: str, end: str, gap: int, block: int) -> DataFrame:
+    """Distinct intervals of a key, how often each occurs (n), and the start of the run that it belongs to (head)."""
+    rows = df.where(F.col(key).isNotNull() & F.col(start).isNotNull() & F.col(end).isNotNull()).groupBy(key, start, end).agg(F.count("*").alias("n"))
+    rows = rows.withColumn("__block", F.floor(F.col(start) / block))
+    order = [F.col(start), F.col(end)]
+    rows = running_extreme(rows, key, "__block", order, F.col(end), "__reach", last=-1)
+    first = F.when(F.col("__reach").isNull() | (F.col(start) > F.col("__reach") + gap), F.col(start))
+    return running_extreme(rows, key, "__block", order, first, "head").drop("__reach", "__block")
+
+
+def merge_intervals(df: DataFrame, contig: str, start: str, end: str, gap: int, block: int = 1 << 16) -> DataFrame:
+    """contig, start, end, n: intervals of a contig joined while a start is at most the running end plus gap. Rows with a null in these columns are left out."""
+    runs = _runs(df.select(contig, start, end), contig, start, end, gap, block)
+    return runs.groupBy(contig, "head").agg(F.max(end).alias("__end"), F.sum("n").alias("__n")).select(contig, F.col("head").alias("start"), F.col("__end").alias("end"), F.col("__n").alias("n"))
 
 
-def gap_clusters(df: DataFrame, key: str, position: str, gap: int) -> DataFrame:
-    """key, start, end, support, centre: positions of a key split where two neighbours are more than gap apart; centre is the median, the mean of the middle two truncated."""
-    w = Window.partitionBy(key).orderBy(position)
-    new = (F.col(position) - F.lag(position).over(w) > gap).cast("int")
-    run = df.select(key, position).withColumn("__run", F.sum(F.coalesce(new, F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    s = F.array_sort(F.collect_list(position))
-    out = run.groupBy(key, "__run").agg(F.min(position).alias("start"), F.max(position).alias("end"), F.count("*").alias("support"), s.alias("s"))
-    mid = (F.element_at("s", F.expr("(size(s) + 1) div 2").cast("int")) + F.element_at("s", F.expr("size(s) div 2 + 1").cast("int")))
-    return out.withColumn("centre", F.floor(mid / 2).cast("long")).drop("s", "__run")
+def gap_clusters(df: DataFrame, key: str, position: str, gap: int, block: int = 1 << 22) -> DataFrame:
+    """key, start, end, support, centre: positions of a key split where two neighbours are more than gap apart; centre is the median, the mean of the middle two truncated. The median of a cluster is taken over its distinct positions and their counts."""
+    runs = _runs(df.select(key, F.col(position).alias("__p"), F.col(position).alias("__e")), key, "__p", "__e", gap, block)
+    return runs.groupBy(key, "head").agg(
+        F.max("__p").alias("end"), F.sum("n").alias("support"), F.floor(F.percentile("__p", F.lit(0.5), F.col("n"))).cast("long").alias("centre")
+    ).select(key, F.col("head").alias("start"), "end", "support", "centre")
 
 
-def nearest(calls: DataFrame, truth: DataFrame, key: str, position: str, radius: int) -> DataFrame:
-    """calls, with truth_position and distance of the nearest truth of the same key within radius (else null); truth may serve many calls, and the one before wins a tie.
+def nearest(calls: DataFrame, truth: DataFrame, key: str, position: str, radius: int, block: int = 1 << 22) -> DataFrame:
+    """calls, with truth_position and distance of the nearest truth of the same key within radius (else null); truth may serve many calls, and the one before wins a tie. A call with a null key or position matches none.
 
-    Both sides are laid into one order for each key; the neighbours come from a
-    running last and next value, so no pair is ever built.
+    Both sides are laid into one order for each key; the neighbours are the
+    running largest and the next smallest truth, so no pair is ever built.
     """
-    marked = calls.withColumn("__truth", F.lit(None).cast("long")).unionByName(truth.select(key, position).distinct().withColumn("__truth", F.col(position).cast("long")), allowMissingColumns=True)
-    rows = marked.withColumn("__call", F.col("__truth").isNull())
-    w = Window.partitionBy(key).orderBy(position, "__call")
-    before = F.last("__truth", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("__truth", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    rows = rows.withColumns({"__b": before, "__a": after}).where("__call")
+    points = calls.select(key, position).distinct().withColumn("__t", F.lit(None).cast("long"))
+    marks = truth.where(F.col(position).isNotNull()).select(key, position).distinct().withColumn("__t", F.col(position).cast("long"))
+    rows = points.unionByName(marks).where(F.col(key).isNotNull() & F.col(position).isNotNull()).groupBy(key, position).agg(F.max("__t").alias("__t"))
+    rows = rows.withColumn("__block", F.floor(F.col(position) / block))
+    rows = running_extreme(rows, key, "__block", [F.col(position)], F.col("__t"), "__b")
+    rows = running_extreme(rows, key, "__block", [F.col(position)], F.col("__t"), "__a", down=True)
     db, da = F.col(position) - F.col("__b"), F.col("__a") - F.col(position)
-    pick = F.when(da.isNull() | (db <= da), F.col("__b")).otherwise(F.col("__a"))
-    rows = rows.withColumn("truth_position", pick).withColumn("distance", F.abs(F.col(position) - F.col("truth_position")))
-    far = F.col("distance") > radius
-    return rows.withColumns({"truth_position": F.when(~far, F.col("truth_position")), "distance": F.when(~far, F.col("distance"))}).select(*calls.columns, "truth_position", "distance")
+    rows = rows.withColumn("truth_position", F.when(da.isNull() | (db <= da), F.col("__b")).otherwise(F.col("__a")))
+    rows = rows.withColumn("distance", F.abs(F.col(position) - F.col("truth_position"))).where(F.col("distance") <= radius)
+    return calls.join(rows.select(key, position, "truth_position", "distance"), [key, position], "left").select(*calls.columns, "truth_position", "distance")

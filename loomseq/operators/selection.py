@@ -5,26 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomseq.operators.running import running_total
+
 
 def empirical_tail(df: DataFrame, nulls: DataFrame, value: str) -> DataFrame:
     """df with tail = (1 + number of nulls >= value) / (2 + number of nulls). Both sides are counted by distinct value first."""
-    n = nulls.select(F.col(value).alias("__x")).groupBy("__x").count()
-    each = n.unionByName(df.select(F.col(value).alias("__x")).distinct().withColumn("count", F.lit(0).cast("long"))).groupBy("__x").agg(F.sum("count").alias("c"))
-    down = Window.orderBy(F.desc("__x")).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.orderBy(F.desc("__x")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    tail = each.select("__x", ((F.sum("c").over(down) + 1) / (F.sum("c").over(every) + 2)).alias("tail"))
+    n = nulls.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("__x")).agg(F.count("*").alias("c"))
+    here = df.where(F.col(value).isNotNull()).select(F.col(value).alias("__x")).distinct().withColumn("c", F.lit(0).cast("long"))
+    each = n.unionByName(here).groupBy("__x").agg(F.sum("c").alias("c"))
+    tail = running_total(each, "__x", "c", "k", descending=True).select("__x", ((F.col("k") + 1) / (F.col("k_all") + 2)).alias("tail"))
     return df.join(tail, F.col(value) == F.col("__x"), "left").drop("__x")
 
 
+def e_values(df: DataFrame, e: str, q: float) -> DataFrame:
+    """df with selected: e-values, largest first, up to the largest rank with e * q * rank >= the number of e-values. Equal e stand or fall together; a null e is not selected and not counted."""
+    each = df.where(F.col(e).isNotNull()).groupBy(F.col(e).alias("__e")).agg(F.count("*").alias("n"))
+    ranked = running_total(each, "__e", "n", "rank", descending=True)
+    cut = ranked.where(F.col("__e") * q * F.col("rank") >= F.col("rank_all")).agg(F.min("__e").alias("__cut"))
+    return df.join(F.broadcast(cut)).withColumn("selected", F.coalesce(F.col(e) >= F.col("__cut"), F.lit(False))).drop("__cut")  # one row
+
+
 def step_up(df: DataFrame, p: str, q: float) -> DataFrame:
     """df with selected: the Benjamini-Yekutieli step-up rule at level q.
 
     Rows with equal p stand or fall together, so the rule is applied to the
-    counts of distinct p; only these pass through the one ordered window.
+    counts of distinct p.
     """
     each = df.where(F.col(p).isNotNull()).groupBy(p).count()
-    up = Window.orderBy(p).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = each.withColumn("rank", F.sum("count").over(up)).withColumn("m", F.sum("count").over(Window.orderBy(p).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    ranked = running_total(each, p, "count", "rank").withColumnRenamed("rank_all", "m")
     m = F.col("m")
     harmonic = F.aggregate(F.sequence(F.lit(1), F.lit(1000)), F.lit(0.0), lambda a, k: a + F.when(k <= m, 1 / k).otherwise(0.0))
     # Beyond 1,000 terms the sum follows its expansion, to 1e-13.
