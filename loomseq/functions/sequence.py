@@ -58,3 +58,16 @@ def cigar_length(c: Column, ops: str) -> Column:
 
 def reference_end(pos: Column, c: Column) -> Column:
     return pos + cigar_length(c, "MDN=X")
+
+
+def terminal_run(s: Column) -> Column:
+    """Length of the run of A or of T that ends the sequence."""
+    return F.length(F.regexp_extract(s, "(A+|T+)$", 1))
+
+
+def edit_identity(a: Column, b: Column, least: float) -> Column:
+    """1 - edits / longer length, where the edits allow at least `least`; else null. Two empty sequences have none."""
+    longer = F.greatest(F.length(a), F.length(b))
+    d = F.levenshtein(a, b)
+    most = F.floor((1 - least) * longer + 1e-9)
+    return F.when((longer > 0) & (d <= most), 1 - d / longer)

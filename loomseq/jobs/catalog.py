@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomseq.functions import sequence as S
+from loomseq.jobs import evidence
 from loomseq.operators import intervals as I
 from loomseq.operators import selection as L
 
@@ -145,3 +146,6 @@ ORACLES: dict[str, str] = {
             list_max([length(x) for x in regexp_extract_all(s, '(A+|C+|G+|T+|N+|.)')])::BIGINT AS run, coalesce(round(d / k, 9), 0) AS uniqueness
         FROM b LEFT JOIN k USING (p_partkey)""",
 }
+
+QUERIES |= evidence.QUERIES
+ORACLES |= evidence.ORACLES

@@ -18,7 +18,7 @@ def spark():
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in "orders lineitem events part documents".split():
+    for t in "orders lineitem events part documents benchmark".split():
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return c
 
