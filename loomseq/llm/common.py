@@ -7,9 +7,6 @@ names, and returns the columns it names, so that further columns of the input
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -26,26 +23,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset (tests), a new local folder."""
-    try:
-        where = spark.conf.get("spark.checkpoint.dir")
-    except Exception:  # the key is unknown to this session
-        where = None
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="loomseq-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def cut(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: its lineage ends there, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

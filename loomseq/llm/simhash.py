@@ -25,8 +25,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomseq.llm.common import cut, map_text, table
-from loomseq.llm.components import components
+from loomseq.llm.common import map_text, table
+from loomseq.operators.components import components
+from loomseq.sources.shared import cut
 
 SEED, SHINGLE, DISTANCE, HOT, FAN = 42, 3, 2, 4096, 8
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)  # bits of a byte, lowest first

@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomseq.llm.common import cut, fold, map_text, slices, table
+from loomseq.llm.common import fold, map_text, slices, table
+from loomseq.sources.shared import cut
 
 #: Bounds, all parameters of learn(): labelled rows fitted, the longest text among them (bytes), lexicon units tried and taken, and the least number of labelled documents that hold a unit.
 LABELLED, LONGEST, TRIED, UNITS, SUPPORT = 20_000, 1 << 16, 50_000, 512, 4
