@@ -34,10 +34,8 @@ def longest_run(s: Column) -> Column:
 
 
 def kmers(s: Column, k: int) -> Column:
-    """All k-mers of A, C, G and T, in order."""
-    n = F.length(s) - k + 1
-    every = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(s, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-    return F.filter(every, lambda x: F.rlike(x, F.lit("^[ACGT]+$")))
+    """All k-mers of A, C, G and T, in order; none for a null. A look-ahead takes one step a letter, so the time is linear in the text."""
+    return F.coalesce(F.regexp_extract_all(s, F.lit(f"(?=([ACGT]{{{k}}}))"), 1), F.array().cast("array<string>"))
 
 
 def kmer_uniqueness(s: Column, k: int) -> Column:
