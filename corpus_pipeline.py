@@ -14,8 +14,8 @@ from loomseq.llm.common import table
 from loomseq.llm.decontamination import decontaminate
 from loomseq.llm.language import identify
 from loomseq.llm.mixing import mix
+from loomseq.llm.resemblance import keep_one
 from loomseq.llm.secrets import redact_secrets
-from loomseq.llm.simhash import keep_one
 from loomseq.sources.shared import cut
 
 #: Share of a text's letters that its language must hold.
@@ -31,7 +31,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays, that of the smallest doc_id."""
+    """One document of each class stays, that of the smallest doc_id. Texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked."""
     return keep_one(docs.select(*COLUMNS))
 
 

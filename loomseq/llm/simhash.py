@@ -205,16 +205,6 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text")
     return rows.join(classes(rows).select("fp", "component_id"), "fp").select(F.col("id").alias(id), "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, one of each near-duplicate class: that of the smallest id (null ids last; equal ids: the smaller fingerprint, then any row)."""
-    names = {c: f"c_{i}" for i, c in enumerate(docs.columns)}  # so that a column called fp cannot clash
-    rows = cut(fingerprints(docs.withColumnsRenamed(names), list(names.values()), names[text]), "prints")
-    found = classes(rows.select(F.col(names[id]).alias("id"), "fp"))
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "fp")).alias("r")).select(F.col("r.low").alias("low"), F.col("r.fp").alias("print"))
-    kept = rows.join(first, (F.col("fp") == F.col("print")) & F.col(names[id]).eqNullSafe(F.col("low")))
-    return kept.dropDuplicates([names[id], "fp"]).select(*(F.col(n).alias(c) for c, n in names.items()))
-
-
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
