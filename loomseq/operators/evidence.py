@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomseq.functions.sequence import kmers
+from loomseq.functions.sequence import kmers, reverse_complement
 from loomseq.operators.components import components
 from loomseq.sources.shared import cut
 
@@ -67,8 +67,9 @@ def kmer_document_frequency(df: DataFrame, group: str, sequence: str, k: int) ->
 
 
 def kmer_votes(queries: DataFrame, query: str, sequence: str, library: DataFrame, entry: str, entry_sequence: str, k: int) -> DataFrame:
-    """query, entry, hits: distinct k-mers of a query that one library entry alone holds. k-mers of two or more entries are ambiguous and left out."""
-    lib = library.select(F.col(entry).alias("__e"), F.explode(F.array_distinct(kmers(F.col(entry_sequence), k))).alias("kmer")).groupBy("kmer").agg(F.count_distinct("__e").alias("n"), F.min("__e").alias("__e")).where("n = 1")
+    """query, entry, hits: distinct k-mers of a query that one library entry alone holds, on either strand. k-mers of two or more entries are ambiguous and left out."""
+    forward = F.array_distinct(kmers(F.col(entry_sequence), k))
+    lib = library.select(F.col(entry).alias("__e"), F.explode(F.array_union(forward, F.transform(forward, reverse_complement))).alias("kmer")).groupBy("kmer").agg(F.count_distinct("__e").alias("n"), F.min("__e").alias("__e")).where("n = 1")
     q = queries.select(query, F.explode(F.array_distinct(kmers(F.col(sequence), k))).alias("kmer")).distinct()
     return q.join(lib, "kmer").groupBy(query, F.col("__e").alias(entry)).agg(F.count("*").alias("hits"))
 
