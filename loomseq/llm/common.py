@@ -102,6 +102,7 @@ def viterbi(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.ndar
         b = cand.argmax(1)
         back[at] = b
         last[:k] = np.take_along_axis(cand, b[:, None, :], 1)[:, 0] + emit[at]
+        last[:k] -= last[:k].max(1, keepdims=True)  # the path is the same, and single precision lasts for any length
     state = last.argmax(1)
     rows = np.arange(len(long))
     for t in range(top - 1, -1, -1):
