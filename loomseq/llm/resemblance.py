@@ -4,8 +4,8 @@ Texts with equal sets are one from the start. Other candidates agree in one of
 BANDS keys of ROWS minima each (a pair at similarity 0.8 shares no key with
 probability (1 - 0.8^3)^20 = 6e-7), and each is compared by its exact sets
 before it counts as a link. Within a group of one key all are compared with its
-head first; what that leaves apart is compared across, so large groups of like
-texts give stars and not pairs, and no link of a group is lost.
+head first; what that leaves apart is compared across, so no link of
+a group is lost. In large groups of near copies these candidates are many (README).
 """
 
 from __future__ import annotations
