@@ -5,7 +5,8 @@ must hold. Its index token is the one that the fewest URLs hold, counted over
 the whole table. A URL's own tokens then fetch the rules of those tokens, and
 only these expressions are run. All of it is one projection with built-in
 functions: no shuffle beyond the token counts, whose number is bounded by the
-rule list.
+rule list. A list of more than LITERAL rules is a table of its own instead:
+tokens meet its index tokens in a join, and each URL's best fit is joined back.
 """
 
 from __future__ import annotations
@@ -17,6 +18,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomseq.llm.common import table
+from loomseq.sources.shared import cut
+
+#: Rules up to this number are constants of the plan; beyond it they are a table.
+LITERAL = 200
 
 
 @dataclass(frozen=True)
@@ -31,10 +36,14 @@ class HostRule:
     def name(self) -> str:
         return self.host + self.path
 
+    @property
+    def host_pattern(self) -> str:
+        return rf"(?s)\A(.*\.)?{re.escape(self.host)}\z"
+
     @property
     def pattern(self) -> str:
-        """Of host, a space and path."""
-        return rf"^(.*\.)?{re.escape(self.host)} {re.escape(self.path)}"
+        """Of the path."""
+        return rf"\A{re.escape(self.path)}"
 
     @property
     def tokens(self) -> list[str]:
@@ -44,11 +53,16 @@ class HostRule:
 
 @dataclass(frozen=True)
 class PatternRule:
-    """A blocking expression over the lower-cased URL, with literal words that every match holds whole (between non-alphanumerics)."""
+    """A blocking expression over the lower-cased URL, with literal words that every match holds whole (between non-alphanumerics).
+
+    A rule of alternatives without a common word is several entries of one name.
+    """
 
     name: str
     pattern: str
     words: tuple[str, ...]
+    host_pattern = ""  # any host
+    action = "block"
 
     @property
     def tokens(self) -> list[str]:
@@ -68,8 +82,11 @@ PATTERN_RULES = (
     PatternRule("spam-host", r"://([^/?#]*[.-])?spam([.-][^/?#]*)?([/?#]|$)", ("spam",)),
     PatternRule("pills", r"[^a-z0-9]cheap[^a-z0-9]+pills([^a-z0-9]|$)", ("cheap", "pills")),
     PatternRule("casino", r"[^a-z0-9](online|free|best)[^a-z0-9]+casino([^a-z0-9]|$)", ("casino",)),
-    PatternRule("adult", r"[^a-z0-9](xxx|porn)([^a-z0-9]|$)", ()),
-    PatternRule("login", r"/(login|signin|logout)([/?#.]|$)", ()),
+    PatternRule("adult", r"[^a-z0-9]xxx([^a-z0-9]|$)", ("xxx",)),
+    PatternRule("adult", r"[^a-z0-9]porn([^a-z0-9]|$)", ("porn",)),
+    PatternRule("login", r"/login([/?#.]|$)", ("login",)),
+    PatternRule("login", r"/signin([/?#.]|$)", ("signin",)),
+    PatternRule("login", r"/logout([/?#.]|$)", ("logout",)),
 )
 
 
@@ -91,31 +108,58 @@ def _tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(labels, segments, words))
 
 
-def _index(rules: list, held: DataFrame) -> dict[str, list]:
-    """token: its rules. A rule without literals is under the empty token and meets every URL. held: a column `tokens` for each URL."""
+def _rarest(rule, count: dict[str, int]) -> str:
+    """The rule's index token: the one that the fewest URLs hold; empty for a rule without literals, which meets every URL."""
+    return min(rule.tokens, key=lambda t: (count.get(t, 0), t)) if rule.tokens else ""
+
+
+def _counts(rules: list, held: DataFrame) -> dict[str, int]:
+    """How many URLs hold each token of the rules: as many rows as the rules have tokens, at most. held: a column `tokens` for each URL."""
     wanted = sorted({t for r in rules for t in r.tokens})
-    count = {}
-    if wanted:
-        few = F.array_intersect("tokens", F.array(*map(F.lit, wanted)))
-        count = {r[0]: r[1] for r in held.select(F.explode(few).alias("t")).groupBy("t").count().collect()}  # as many rows as the rules have tokens, at most
-    out: dict[str, list] = {}
-    for r in rules:
-        out.setdefault(min(r.tokens, key=lambda t: (count.get(t, 0), t)) if r.tokens else "", []).append(r)
-    return out
-
-
-def _fetch(tokens: Column, index: dict[str, list], shape) -> Column:
-    """The candidate rules of a URL, as an array of shape(rule)."""
-    keyed = {t: rs for t, rs in index.items() if t}
-    always = [shape(r) for r in index.get("", [])]
-    parts = []
-    if keyed:
-        rules = F.create_map(*[x for t, rs in keyed.items() for x in (F.lit(t), F.array(*map(shape, rs)))])
-        mine = F.array_intersect(tokens, F.array(*map(F.lit, keyed)))
-        parts.append(F.flatten(F.transform(mine, lambda t: rules[t])))
-    if always:
-        parts.append(F.array(*always))
-    return F.concat(*parts)
+    if not wanted:
+        return {}
+    if len(rules) <= LITERAL:
+        each = held.select(F.explode(F.array_intersect("tokens", F.array(*map(F.lit, wanted)))).alias("t"))
+    else:
+        each = held.select(F.explode("tokens").alias("t")).join(held.sparkSession.createDataFrame([(t,) for t in wanted], "t string"), "t")
+    return {r[0]: r[1] for r in each.groupBy("t").count().collect()}
+
+
+def _entry(rule, rank: int) -> tuple:
+    return (rank, rule.name, rule.action, rule.host_pattern, rule.pattern)
+
+
+_ENTRY = ("rank", "name", "action", "host_pattern", "pattern")
+
+
+def _fits(r, host: Column, text: Column) -> Column:
+    return F.rlike(host, r["host_pattern"]) & F.rlike(text, r["pattern"])
+
+
+def _best(rows: DataFrame, out: str, rules: list[tuple[str, tuple]], text: Column) -> DataFrame:
+    """rows with `out`, the smallest entry that fits host and text among those whose index token the row holds. rules: (index token, entry)."""
+    keyed: dict[str, list[tuple]] = {}
+    for token, entry in rules:
+        keyed.setdefault(token, []).append(entry)
+    shape = lambda e: F.struct(*(F.lit(x).alias(n) for n, x in zip(_ENTRY, e, strict=True)))
+    always = F.array(*map(shape, keyed.pop("", []))) if "" in keyed else None
+    if len(rules) <= LITERAL:
+        parts = [] if always is None else [always]
+        if keyed:
+            of = F.create_map(*[x for t, es in keyed.items() for x in (F.lit(t), F.array(*map(shape, es)))])
+            mine = F.array_intersect("tokens", F.array(*map(F.lit, keyed)))
+            parts.append(F.flatten(F.transform(mine, lambda t: of[t])))
+        if not parts:
+            return rows.withColumn(out, F.lit(None).cast("struct<name:string,action:string>"))
+        return rows.withColumn(out, F.array_min(F.filter(F.concat(*parts), lambda r: _fits(r, F.col("host"), text))))
+    listed = rows.sparkSession.createDataFrame([(t, *e) for t, es in keyed.items() for e in es], "t string, rank int, name string, action string, host_pattern string, pattern string")
+    cand = rows.select("__row", "host", text.alias("__text"), F.explode("tokens").alias("t")).join(listed, "t")
+    entry = F.struct(*_ENTRY)
+    found = cand.where(F.rlike("host", F.col("host_pattern")) & F.rlike("__text", F.col("pattern"))).groupBy("__row").agg(F.min(entry).alias(out))
+    got = rows.join(found, "__row", "left")
+    if always is not None:
+        got = got.withColumn(out, F.array_min(F.concat(F.filter(always, lambda r: _fits(r, F.col("host"), text)), F.filter(F.array(out), lambda r: r.isNotNull()))))
+    return got
 
 
 def filter_urls(pages: DataFrame, *, keep: list[str], url: str = "url", host_rules: tuple[HostRule, ...] = HOST_RULES, pattern_rules: tuple[PatternRule, ...] = PATTERN_RULES) -> DataFrame:
@@ -124,20 +168,22 @@ def filter_urls(pages: DataFrame, *, keep: list[str], url: str = "url", host_rul
     A null or malformed URL (no ://) has an empty host and path, fits no host
     rule, and is allowed unless a pattern fits. Host rules decide before
     patterns. Equal lengths: the smaller name wins. Repeated rows are judged
-    each. At least one host rule and one pattern rule are expected.
+    each. White space and line ends are characters like any other. Without
+    rules every URL is allowed.
     """
     u = F.col(url).cast("string")
     rows = pages.select(*keep, u.alias("__url")).withColumns({"host": host_of(F.col("__url")), "path": path_of(F.col("__url"))})
     rows = rows.withColumn("tokens", _tokens(F.col("__url"), F.col("host"), F.col("path")))
-    index = _index([*host_rules, *pattern_rules], rows.select("tokens"))
-    hosts = {t: x for t, rs in index.items() if (x := [r for r in rs if isinstance(r, HostRule)])}
-    patterns = {t: x for t, rs in index.items() if (x := [r for r in rs if isinstance(r, PatternRule)])}
-    place = {r.name: i for i, r in enumerate(pattern_rules)}
-    host_shape = lambda r: F.struct(F.lit(-len(r.name)).alias("rank"), F.lit(r.name).alias("name"), F.lit(r.action).alias("action"), F.lit(r.pattern).alias("pattern"))
-    pattern_shape = lambda r: F.struct(F.lit(place[r.name]).alias("rank"), F.lit(r.name).alias("name"), F.lit("block").alias("action"), F.lit(r.pattern).alias("pattern"))
-    place_text, low = F.concat_ws(" ", "host", "path"), F.lower(F.coalesce("__url", F.lit("")))
-    best = lambda cand, text: F.array_min(F.filter(cand, lambda r: F.rlike(text, r["pattern"])))
-    rows = rows.withColumns({"__h": best(_fetch(F.col("tokens"), hosts, host_shape), place_text), "__p": best(_fetch(F.col("tokens"), patterns, pattern_shape), low)})
+    every = [*host_rules, *pattern_rules]
+    if max(len(host_rules), len(pattern_rules)) > LITERAL:
+        rows = cut(rows.withColumn("__row", F.monotonically_increasing_id()), "urls")  # the number of a row is fixed once written
+    count = _counts(every, rows.select("tokens"))
+    place: dict[str, int] = {}
+    for r in pattern_rules:
+        place.setdefault(r.name, len(place))
+    low = F.lower(F.coalesce("__url", F.lit("")))
+    rows = _best(rows, "__h", [(_rarest(r, count), _entry(r, -len(r.name))) for r in host_rules], F.col("path"))
+    rows = _best(rows, "__p", [(_rarest(r, count), _entry(r, place[r.name])) for r in pattern_rules], low)
     return rows.select(*keep, "host", "path", F.col("__h.name").alias("rule"), F.col("__p.name").alias("pattern"), F.coalesce("__h.action", "__p.action", F.lit("allow")).alias("verdict"))
 
 
