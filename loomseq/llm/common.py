@@ -48,12 +48,17 @@ def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.Record
         at, done = to, int(size[to - 1])
 
 
-def map_text(df: DataFrame, text: str, keep: list[str], fields: list[T.StructField], begin: Callable, *, raw: bool = True) -> DataFrame:
+def decoded(text: bytes | None) -> str | None:
+    """A byte that is not UTF-8 becomes U+FFFD."""
+    return None if text is None else text.decode("utf-8", "replace")
+
+
+def map_text(df: DataFrame, text: str, keep: list[str], fields: list[T.StructField], begin: Callable, *, most: int = SLICE_BYTES) -> DataFrame:
     """Columns `keep` of df and the new `fields`, one output row for each input row, without a shuffle.
 
     begin() runs once in each task and returns fn(texts), which gives one list
-    (or array) for each field. texts are bytes (raw) or str; a null text is None.
-    Batches are cut to SLICE_BYTES, so memory is bounded by the longest text.
+    (or array) for each field. texts are bytes; a null text is None. Batches are
+    cut to `most` bytes, so memory is bounded by the longest text.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -63,9 +68,8 @@ def map_text(df: DataFrame, text: str, keep: list[str], fields: list[T.StructFie
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = begin()
         for batch in batches:
-            for part in slices(batch):
-                col = part.column(part.num_columns - 1)
-                new = fn((col.cast(pa.binary()) if raw else col).to_pylist())
+            for part in slices(batch, most):
+                new = fn(part.column(part.num_columns - 1).cast(pa.binary()).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(i).cast(kinds[i]) for i in range(len(keep))] + [pa.array(x, type=t) for x, t in zip(new, kinds[len(keep):], strict=True)],
                     names=schema.names,
@@ -74,16 +78,18 @@ def map_text(df: DataFrame, text: str, keep: list[str], fields: list[T.StructFie
     return df.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
-def viterbi(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Best state of every position of many sequences at once.
+def viterbi(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray | float) -> np.ndarray:
+    """Best state of every position of many sequences at once (int32).
 
     emit: (N, S) scores of all sequences, one after another; lengths: how long
-    each is; trans: (S, S) score of going from a state to another. The loop is
-    over positions; all sequences that are long enough move together. Ties go
-    to the smaller state.
+    each is; trans: (S, S) score of going from a state to another, or one
+    penalty that every change of state costs: then a state comes from itself or
+    from the best one, S steps instead of S x S. The loop is over positions; all
+    sequences that are long enough move together. Ties go to the smaller state,
+    and with a penalty to staying.
     """
     n, s = emit.shape
-    path = np.zeros(n, np.uint8)
+    path = np.zeros(n, np.int32)
     if not n:
         return path
     order = np.argsort(-lengths, kind="stable")
@@ -91,26 +97,35 @@ def viterbi(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.ndar
     start = (np.cumsum(lengths) - lengths)[order]
     top = int(long[0])
     active = np.searchsorted(-long, -np.arange(top), side="left")  # sequences longer than t
-    back = np.zeros((n, s), np.uint8)
+    alike = np.isscalar(trans)
+    back = np.zeros((n, s), bool if alike else np.uint8 if s <= 256 else np.int32)  # with a penalty: whether the state was changed to
+    source = np.zeros(n, np.int32)  # and the state that all changes at a position come from
     best = emit[start[: active[0]]].astype(np.float32)
     last = np.zeros((len(long), s), np.float32)
     last[: active[0]] = best
     for t in range(1, top):
         k = active[t]
         at = start[:k] + t
-        cand = last[:k, :, None] + trans[None]
-        b = cand.argmax(1)
-        back[at] = b
-        last[:k] = np.take_along_axis(cand, b[:, None, :], 1)[:, 0] + emit[at]
+        if alike:
+            b = last[:k].argmax(1)
+            most = np.take_along_axis(last[:k], b[:, None], 1) - np.float32(trans)
+            back[at] = most > last[:k]
+            source[at] = b
+            last[:k] = np.maximum(last[:k], most) + emit[at]
+        else:
+            cand = last[:k, :, None] + trans[None]
+            b = cand.argmax(1)
+            back[at] = b
+            last[:k] = np.take_along_axis(cand, b[:, None, :], 1)[:, 0] + emit[at]
         last[:k] -= last[:k].max(1, keepdims=True)  # the path is the same, and single precision lasts for any length
     state = last.argmax(1)
-    rows = np.arange(len(long))
     for t in range(top - 1, -1, -1):
         k = active[t]
         at = start[:k] + t
         path[at] = state[:k]
         if t:
-            state[:k] = back[at, state[:k]]
+            came = back[at, state[:k]]
+            state[:k] = np.where(came, source[at], state[:k]) if alike else came
     return path
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomseq.llm.common import map_text, sha_of, table
+from loomseq.llm.common import decoded, map_text, sha_of, table
 
 BASE = ("assign", "access", "hex")
 _62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -44,6 +44,41 @@ def _jwt(m: re.Match) -> bool:
     return isinstance(head, dict) and "alg" in head
 
 
+class Token:
+    """match() of (eyJ[A-Za-z0-9_-]{8,})\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}, in time linear in a text however often it begins anew.
+
+    All beginnings within one run of its characters go on alike after the run,
+    so what follows a run is looked at once.
+    """
+
+    run = re.compile(r"[A-Za-z0-9_-]+")
+    rest = re.compile(r"\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}")
+
+    class Found:
+        def __init__(self, text: str, at: int, first: int, end: int):
+            self.text, self.at, self.first, self.last = text, at, first, end
+
+        def start(self) -> int:
+            return self.at
+
+        def end(self) -> int:
+            return self.last
+
+        def __getitem__(self, n: int) -> str:
+            return self.text[self.at : self.first if n else self.last]
+
+    def begin(self) -> None:
+        self.upto, self.after = -1, None
+
+    def match(self, text: str, at: int) -> Token.Found | None:
+        if not text.startswith("eyJ", at):
+            return None
+        if at >= self.upto:
+            self.upto = self.run.match(text, at).end()
+            self.after = self.rest.match(text, self.upto)
+        return self.Found(text, at, self.upto, self.after.end()) if self.after and self.upto - at >= 11 else None
+
+
 #: kind: keywords in lower case, expression anchored at a keyword's start, validation. Fixed formats; the first two are the contract's.
 KINDS = {
     "assign": (("password", "passwd", "secret", "token", "apikey", "api_key"), re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 6),
@@ -51,7 +86,7 @@ KINDS = {
     "hex": ((), re.compile(r"[0-9a-f]{24,}"), None),
     "github": (("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), re.compile(r"gh[pousr]_([A-Za-z0-9]{36})(?![A-Za-z0-9])"), _crc_62),
     "npm": (("npm_",), re.compile(r"npm_([A-Za-z0-9]{36})(?![A-Za-z0-9])"), _crc_62),
-    "jwt": (("eyj",), re.compile(r"(eyJ[A-Za-z0-9_-]{8,})\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), _jwt),
+    "jwt": (("eyj",), Token(), _jwt),
     "slack": (("xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-"), re.compile(r"xox[bpars]-[0-9]{8,}-[A-Za-z0-9-]{16,}"), None),
     "stripe": (("sk_live_", "rk_live_"), re.compile(r"[sr]k_live_[A-Za-z0-9]{24,}"), None),
     "google": (("aiza",), re.compile(r"AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])"), None),
@@ -78,6 +113,7 @@ class Scanner:
         low = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # A-Z only, so places stay
         hits = sorted((end + 1 - n, kind) for end, (kind, n) in self.keywords.iter(low))
         done: dict[str, int] = {}
+        KINDS["jwt"][1].begin()
         for at, kind in hits:
             if at < done.get(kind, 0):  # inside the kind's match before
                 continue
@@ -105,25 +141,25 @@ _SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 def find_secrets(docs: DataFrame, *, keep: list[str], text: str = "text") -> DataFrame:
     """Columns `keep` and secrets array<struct<kind,start,end>> (code points, end exclusive; by start, then kind as in KINDS).
 
-    Null and empty texts have none. One output row for each row; `keep` must
-    not name secrets.
+    Null and empty texts have none. A byte that is not UTF-8 counts as one code
+    point, U+FFFD. One output row for each row; `keep` must not name secrets.
     """
 
     def begin():
         scan = Scanner().spans
-        return lambda texts: [[[(k, a, b) for a, b, k in scan(t)] for t in texts]]
+        return lambda texts: [[[(k, a, b) for a, b, k in scan(decoded(t))] for t in texts]]
 
-    return map_text(docs, text, keep, [T.StructField("secrets", _SPAN)], begin, raw=False)
+    return map_text(docs, text, keep, [T.StructField("secrets", _SPAN)], begin)
 
 
 def redact_secrets(docs: DataFrame, *, keep: list[str], text: str = "text", out: str = "redacted") -> DataFrame:
-    """Columns `keep` and `out`: the text with every secret replaced by its kind in brackets. Null stays null."""
+    """Columns `keep` and `out`: the text with every secret replaced by its kind in brackets. Null stays null; a byte that is not UTF-8 becomes U+FFFD."""
 
     def begin():
         redact = Scanner().redact
-        return lambda texts: [[redact(t) for t in texts]]
+        return lambda texts: [[redact(decoded(t)) for t in texts]]
 
-    return map_text(docs, text, keep, [T.StructField(out, T.StringType())], begin, raw=False)
+    return map_text(docs, text, keep, [T.StructField(out, T.StringType())], begin)
 
 
 def span_text(spans: Column) -> Column:

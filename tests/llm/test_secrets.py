@@ -2,7 +2,7 @@ import hashlib
 import re
 
 from conftest import SF
-from loomseq.llm.secrets import _62, Scanner, find_secrets, op2_secret_scan, redact_secrets
+from loomseq.llm.secrets import _62, KINDS, Scanner, find_secrets, op2_secret_scan, redact_secrets
 import zlib
 
 PLAIN = {
@@ -55,3 +55,25 @@ def test_shapes_nulls_and_clashing_columns(spark):
     out = redact_secrets(df, keep=["doc_id"]).collect()
     assert out[0].redacted is None and out[-1].redacted == "[assign]"
     assert find_secrets(df.limit(0), keep=["doc_id"]).count() == 0
+
+
+def test_header_runs_take_linear_time_and_equal_the_expression():
+    import random
+    import time
+
+    plain_jwt = re.compile(r"(eyJ[A-Za-z0-9_-]{8,})\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+    at = time.time()
+    assert Scanner().spans("eyJ" * 350_000) == [] and Scanner().redact("eyJ" * 350_000) == "eyJ" * 350_000
+    assert time.time() - at < 10
+    rng, token = random.Random(2), KINDS["jwt"][1]
+    for _ in range(3000):
+        text = "".join(rng.choice(["eyJ", "abcdefgh", "a", ".", ".", " "]) for _ in range(30))
+        token.begin()
+        for i in range(len(text)):
+            want, got = plain_jwt.match(text, i), token.match(text, i)
+            assert (want and (want.start(), want.end(), want[1])) == (got and (got.start(), got.end(), got[1]))
+
+
+def test_bytes_that_are_not_utf8(spark):
+    df = spark.sql("SELECT 1 AS doc_id, cast(unhex('FF20746F6B656E3D61626364656667') AS string) AS text")
+    assert [(s.kind, s.start, s.end) for s in find_secrets(df, keep=["doc_id"]).first().secrets] == [("assign", 2, 15)]
