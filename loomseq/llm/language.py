@@ -5,9 +5,12 @@ for each language over all training rows. A word's script (ranges of code
 points) narrows the candidates to languages that use it; each candidate scores
 the word by its trigrams' log probabilities. Viterbi with a penalty for
 switching then labels every word, so a passage in another language becomes a
-span of its own. The document's language is the one that holds most letters.
+span of its own. The document's language is the one that holds most letters,
+and its score is their share of all letters; words in a script that no learned
+language uses count for no language.
 
-The model is at most SLOTS + scripts numbers for each language.
+The model is at most SLOTS + scripts numbers for each language, of LANGUAGES
+languages at most.
 """
 
 from __future__ import annotations
@@ -21,8 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomseq.llm.common import fold, map_text, slices, table, viterbi
+from loomseq.sources.shared import cut
 
 SLOTS, SWITCH, ALPHA, SHARE = 1 << 16, 12.0, 0.05, 0.01
+#: Languages that a model may have; more are refused. Word scores (words x languages) that a task holds at once, beyond a single text.
+LANGUAGES, SCORES = 1024, 1 << 24
 #: Letters of a script: first code point of each range, in order; a range ends where the next begins.
 SCRIPTS = (
     (0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"), (0x0900, "Devanagari"), (0x0980, "Indic"),
@@ -56,6 +62,7 @@ class Words:
 
     def __init__(self, words: list[bytes]):
         self.size = np.fromiter(map(len, words), np.int64, len(words))
+        self.letters = np.fromiter((len(w) if w.isascii() else len(w.decode("utf-8", "replace")) for w in words), np.int64, len(words))
         flat = np.frombuffer(b" " + b" ".join(words) + b"  ", np.uint8).astype(np.int64)
         self.start = np.cumsum(self.size + 1) - self.size - 1
         gram = flat[:-2] << 16 | flat[1:-1] << 8 | flat[2:]
@@ -124,8 +131,10 @@ def counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
 class Model:
     def __init__(self, learned: DataFrame):
         """learned: lang, slot, n; at most SLOTS + scripts rows for each language."""
+        self.langs = sorted(r[0] for r in learned.select("lang").distinct().limit(LANGUAGES + 1).collect())
+        if len(self.langs) > LANGUAGES:
+            raise ValueError(f"more than {LANGUAGES} languages to learn")
         t = learned.toPandas()
-        self.langs = sorted(t.lang.unique())
         c = np.zeros((SLOTS + len(_NAMES), max(1, len(self.langs))))
         for i, name in enumerate(self.langs):
             of = t[t.lang == name]
@@ -133,33 +142,42 @@ class Model:
         grams, scripts = c[:SLOTS] + ALPHA, c[SLOTS:]
         self.log_p = np.log(grams / grams.sum(0)).astype(np.float32)
         uses = scripts / np.maximum(scripts.sum(0), 1) >= SHARE
-        self.shut_out = np.where(uses | ~uses.any(1, keepdims=True), 0, -60).astype(np.float32)  # of a script that no language uses, all stay
-        s = len(self.langs)
-        self.trans = (np.eye(s, dtype=np.float32) - 1) * SWITCH if s else np.zeros((0, 0), np.float32)
+        self.used = uses.any(1)
+        self.shut_out = np.where(uses | ~self.used[:, None], 0, -60).astype(np.float32)  # of a script that no language uses, all stay
 
     def label(self, texts: list[bytes | None]) -> tuple[list[str], list[float], list[list[tuple[int, int, str]]]]:
         """Of each text: language or und, the share of its letters in it, and its spans (first word, end, language)."""
-        langs, scores, spans = [], [], []
         if not self.langs:
             return ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
+        out: tuple[list, list, list] = ([], [], [])
+        group, room = [], SCORES // len(self.langs)
+        for t in texts:
+            if group and sum(map(len, group)) + len(t or b"") > 4 * room:  # a word has its letters and a space; most have more than three
+                self._label(group, out)
+                group = []
+            group.append(t or b"")
+        self._label(group, out)
+        return out
+
+    def _label(self, texts: list[bytes], out: tuple[list, list, list]) -> None:
+        langs, scores, spans = out
         ids, lengths, vocab = numbered(texts)
         w = Words(vocab)
         per_word = w.sums(self.log_p) + self.shut_out[w.script]
-        path = viterbi(per_word[ids], lengths, self.trans)
-        size, at = w.size[ids], 0
+        path = viterbi(per_word[ids], lengths, SWITCH)
+        size, fits, at = w.letters[ids], self.used[w.script][ids], 0
         for n in lengths.tolist():
             p = path[at : at + n]
             if not n:
                 langs.append("und"), scores.append(0.0), spans.append([])
                 continue
-            held = np.bincount(p, weights=size[at : at + n], minlength=len(self.langs))
-            best = int(held.argmax())
+            held = np.bincount(p, weights=size[at : at + n] * fits[at : at + n], minlength=len(self.langs))
+            best = int(held.argmax() if held.any() else np.bincount(p).argmax())
             langs.append(self.langs[best])
-            scores.append(float(held[best] / held.sum()))
-            cut = np.r_[np.flatnonzero(np.r_[True, p[1:] != p[:-1]]), n].tolist()
-            spans.append([(a, b, self.langs[p[a]]) for a, b in zip(cut, cut[1:])])
+            scores.append(float(held[best] / size[at : at + n].sum()))
+            ends = np.r_[np.flatnonzero(np.r_[True, p[1:] != p[:-1]]), n].tolist()
+            spans.append([(a, b, self.langs[p[a]]) for a, b in zip(ends, ends[1:])])
             at += n
-        return langs, scores, spans
 
 
 _FIELDS = [
@@ -170,14 +188,16 @@ _FIELDS = [
 
 
 def identify(docs: DataFrame, training: DataFrame, *, keep: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
-    """Columns `keep`, then lang_pred, lang_score (0 to 1) and lang_spans (word numbers, end exclusive).
+    """Columns `keep`, then lang_pred, lang_score (share of the letters, 0 to 1) and lang_spans (word numbers, end exclusive).
 
     Learns from all rows of `training` with a text and a language. A text that is
     null or has no letter is und, score 0, no spans; so is every text if nothing
-    was learned. Equal languages: the first by name. One output row for each row;
-    `keep` must not name the new columns.
+    was learned. A text wholly in scripts that no learned language uses still gets
+    a language, with score 0. Equal languages: the first by name. More than
+    LANGUAGES languages are refused. One output row for each row; `keep` must not
+    name the new columns.
     """
-    model = docs.sparkSession.sparkContext.broadcast(Model(counts(training, text, lang)))
+    model = docs.sparkSession.sparkContext.broadcast(Model(cut(counts(training, text, lang), "grams")))
     return map_text(docs, text, keep, _FIELDS, lambda: model.value.label)
 
 
