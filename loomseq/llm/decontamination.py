@@ -3,10 +3,12 @@
 Both sides keep the smallest k-gram hash of each run of w = window - k + 1
 consecutive k-grams. Two texts that share `window` words share that choice, so
 joining the chosen fingerprints misses no shared span of `window` words. Each
-fingerprint hit is then extended to both sides, word by word, to the whole
-shared span; spans shorter than `window` are dropped, so the result is exact.
-An item shorter than the window has no full run: its one window, the whole
-item, is found by the hash of as many words.
+fingerprint hit is then extended to both sides: every window that holds it is
+looked up among the items' distinct windows and compared word by word, and
+windows that follow each other are one span, so the result is exact. A text
+that repeats itself costs what any text of its length does, as equal windows
+of the items are one. An item shorter than the window has no full run: its one
+window, the whole item, is found by the hash of as many words.
 
 The documents' side is a map without a shuffle. The benchmark goes to the
 tasks in blocks whose size is checked (BLOCK_BYTES); each further block is one
@@ -62,6 +64,48 @@ def _chosen(g: np.ndarray, w: int) -> np.ndarray:
     return np.flatnonzero(keep)
 
 
+class Windows:
+    """The distinct windows of `size` words in the items, and which items hold each."""
+
+    def __init__(self, ids: np.ndarray, h: np.ndarray, at: np.ndarray, owner: np.ndarray, size: int):
+        """at: where windows begin in ids."""
+        g = _grams(h, size)[at]
+        self.size, self.ids = size, ids
+        words = ids[at[:, None] + np.arange(size)] if len(at) else np.zeros((0, size), np.int64)
+        o = np.lexsort((*words.T[::-1], g))
+        g, at, words = g[o], at[o], words[o]
+        new = np.ones(len(g), bool)
+        new[1:] = (g[1:] != g[:-1]) | (words[1:] != words[:-1]).any(1)
+        self.hash, self.at = g[new], at[new]
+        group = np.cumsum(new) - 1
+        pairs = np.unique(np.stack([group, owner[at]]), axis=1) if len(at) else np.zeros((2, 0), np.int64)
+        # Windows of the same items share a set of them.
+        cuts = np.flatnonzero(np.r_[True, pairs[0, 1:] != pairs[0, :-1]]) if len(at) else np.zeros(0, np.int64)
+        seen: dict[bytes, int] = {}
+        self.sets: list[np.ndarray] = []
+        self.set_of = np.zeros(len(self.at), np.int64)
+        for n, held in enumerate(np.split(pairs[1], cuts[1:]) if len(at) else []):
+            key = held.tobytes()
+            if key not in seen:
+                seen[key] = len(self.sets)
+                self.sets.append(held)
+            self.set_of[n] = seen[key]
+
+    def find(self, ids: np.ndarray, g: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the windows that begin at `at` (g: their hashes): where one of the items begins, and the set of its items."""
+        lo, hi = np.searchsorted(self.hash, g, "left"), np.searchsorted(self.hash, g, "right")
+        out, live, n = [], np.flatnonzero(hi > lo), lo
+        while len(live):  # more than one round only for windows whose 64-bit hashes collide
+            where = self.at[n[live]]
+            same = np.ones(len(live), bool)
+            for j in range(self.size):
+                same &= ids[at[live] + j] == self.ids[where + j]
+            out.append((at[live[same]], self.set_of[n[live[same]]]))
+            n = n + 1
+            live = live[~same & (n[live] < hi[live])]
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2  # type: ignore[return-value]
+
+
 class Index:
     """Fingerprints of one block of benchmark items: (item id, text as bytes)."""
 
@@ -82,73 +126,39 @@ class Index:
             ids.append(-1)  # ends an item; equals no word of a document
             owner.append(-1)
             self.names.append(name)
-        self.ids, self.owner = np.array(ids, np.int64), np.array(owner, np.int64)
+        self.ids, owner = np.array(ids, np.int64), np.array(owner, np.int64)
         self.hash = mix64(np.arange(len(self.vocab) + 1, dtype=np.uint64) + np.uint64(0x5851F42D4C957F2D))
         h = self.hash[self.ids]  # -1 takes the last word's hash; those grams go out below
-        at = self._whole(_chosen(_grams(h, k), self.w), k)
-        self.tables = {k: self._sorted(_grams(h, k), at)}
-        self.short = {m: self._sorted(_grams(h, m), np.array(v)) for m, v in short.items()}
+        g = _grams(h, k)
+        self.prints = np.unique(g[self._whole(_chosen(g, self.w), k)])
+        self.long = Windows(self.ids, h, self._whole(np.arange(max(0, len(h) - window + 1)), window), owner, window)
+        self.short = [Windows(self.ids, h, np.array(v), owner, m) for m, v in short.items()]
 
     def _whole(self, at: np.ndarray, k: int) -> np.ndarray:
         end = np.r_[0, np.cumsum(self.ids == -1)]
         return at[end[at + k] == end[at]] if len(at) else at
 
-    @staticmethod
-    def _sorted(g: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        o = np.argsort(g[at], kind="stable")
-        return g[at][o], at[o]
-
-    @staticmethod
-    def _join(g: np.ndarray, at: np.ndarray, tab: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(position in documents, position in items) for each pair of equal hashes."""
-        keys, pos = tab
-        lo, hi = np.searchsorted(keys, g, "left"), np.searchsorted(keys, g, "right")
-        n = hi - lo
-        at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
-        skip = np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(at, n), pos[np.repeat(lo, n) + np.arange(int(n.sum())) - skip]
-
-    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Maximal shared spans: first word (of the concatenated documents), length, item index. ids: 0 is a word of no item or an end."""
-        known = ids > 0
-        seen = np.r_[0, np.cumsum(known)]
+    def hits(self, ids: np.ndarray) -> list[tuple[Windows, np.ndarray, np.ndarray]]:
+        """Windows hit, by length: their first words (in the concatenated documents) and the sets of items that hold them. ids: 0 is a word of no item or an end."""
+        seen = np.r_[0, np.cumsum(ids > 0)]
         h = self.hash[ids]
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        out = []
         g = _grams(h, self.k)
-        if len(g) and len(self.tables[self.k][0]):
+        whole = np.flatnonzero(seen[self.window :] - seen[: -self.window] == self.window) if len(ids) >= self.window else np.zeros(0, np.int64)
+        if len(whole) and len(self.prints):
             at = _chosen(g, self.w)
             at = at[seen[at + self.k] - seen[at] == self.k]
-            p, q = self._join(g[at], at, self.tables[self.k])
-            p, q, n = self._extend(ids, p, q)
-            long = n >= self.window
-            p, q, n = p[long], q[long], n[long]
-            if len(p):
-                first = np.unique(np.stack([p, q, n]), axis=1)
-                out.append((first[0], first[2], self.owner[first[1]]))
-        for m, tab in self.short.items():
-            g = _grams(h, m)
-            at = np.flatnonzero(seen[m:] - seen[: len(g)] == m) if len(g) else np.zeros(0, np.int64)
-            p, q = self._join(g[at], at, tab)
-            same = np.ones(len(p), bool)
-            for j in range(m):
-                same &= ids[p + j] == self.ids[q + j]
-            out.append((p[same], np.full(int(same.sum()), m), self.owner[q[same]]))
-        if not out:
-            return (np.zeros(0, np.int64),) * 3
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))  # type: ignore[return-value]
-
-    def _extend(self, ids: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        left, right = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
-        for step, count in ((-1, left), (1, right)):
-            live, r = np.arange(len(p)), 0 if step > 0 else 1
-            while len(live):
-                a, b = p[live] + step * r, q[live] + step * r
-                ok = (a >= 0) & (b >= 0) & (a < len(ids)) & (b < len(self.ids))
-                live, a, b = live[ok], a[ok], b[ok]
-                live = live[ids[a] == self.ids[b]]
-                count[live] += 1
-                r += 1
-        return p - left, q - left, left + right
+            at = at[self.prints[np.minimum(np.searchsorted(self.prints, g[at]), len(self.prints) - 1)] == g[at]]
+            near = np.zeros(len(ids) + self.w, bool)  # windows that hold a fingerprint of the items
+            for j in range(self.w):
+                near[at + self.w - 1 - j] = True
+            at = whole[near[whole + self.w - 1]]
+            out.append((self.long, *self.long.find(ids, _grams(h, self.window)[at], at)))
+        for short in self.short:
+            m = short.size
+            at = np.flatnonzero(seen[m:] - seen[:-m] == m) if len(ids) >= m else np.zeros(0, np.int64)
+            out.append((short, *short.find(ids, _grams(h, m)[at], at)))
+        return out
 
     def scan(self, texts: list[bytes | None]) -> tuple[list[int], list[list[tuple[int, int]]], list[list[str]]]:
         """Of each text: its number of words, the spans hit (first word, end), the names of the items that hit."""
@@ -162,15 +172,23 @@ class Index:
         names: list[list[str]] = [[] for _ in texts]
         if parts:
             start = np.cumsum(np.array(n_words) + 1) - np.array(n_words) - 1
-            p, n, item = self.hits(np.concatenate(parts))
-            doc = np.searchsorted(start, p, "right") - 1
-            for d, i in np.unique(np.stack([doc, item]), axis=1).T.tolist() if len(p) else []:
-                names[d].append(self.names[i])
-            for d, a, b in sorted(zip(doc.tolist(), (p - start[doc]).tolist(), (p - start[doc] + n).tolist(), strict=True)):
-                if spans[d] and a <= spans[d][-1][1]:
-                    spans[d][-1] = (spans[d][-1][0], max(b, spans[d][-1][1]))
-                else:
-                    spans[d].append((a, b))
+            found: list[set[int]] = [set() for _ in texts]
+            covered: list[tuple[np.ndarray, int]] = []
+            for windows, first, which in self.hits(np.concatenate(parts)):
+                covered.append((first, windows.size))
+                doc = np.searchsorted(start, first, "right") - 1
+                for d, s in np.unique(np.stack([doc, which]), axis=1).T.tolist() if len(first) else []:
+                    found[d].update(windows.sets[s].tolist())
+            names = [sorted({self.names[i] for i in x}) for x in found]
+            step = np.zeros(sum(n_words) + len(texts) + 1, np.int64)
+            for first, size in covered:
+                np.add.at(step, first, 1)
+                np.add.at(step, first + size, -1)
+            inside = np.cumsum(step) > 0
+            edge = np.flatnonzero(np.diff(np.r_[False, inside].astype(np.int8)))
+            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                d = int(np.searchsorted(start, a, "right") - 1)
+                spans[d].append((a - int(start[d]), b - int(start[d])))
         return n_words, spans, names
 
 

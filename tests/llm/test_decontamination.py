@@ -57,3 +57,29 @@ def test_empty_tables(spark):
     assert [(x.n_words, x.hit_spans, x.hit_items) for x in r] == [(2, [], [])]
     assert decontaminate(d.limit(0), d.withColumnRenamed("doc_id", "item_id"), keep=["doc_id"]).count() == 0
     assert op7_decontamination(spark, SF).where("contaminated").count() > 0
+
+
+def test_long_repeated_texts_take_their_length():
+    import time
+
+    from loomseq.llm.decontamination import Index
+
+    at = time.time()
+    index = Index([("a", b"la " * 400), ("b", b"la lu " * 300), ("c", b"la"), ("d", b"x y z")] + [(f"e{i}", b"la " * 50) for i in range(300)])
+    n, spans, names = index.scan([b"la " * 100_000, b"lu " + b"la lu " * 50_000, b"x y z " * 100_000, b"q " * 10])
+    assert time.time() - at < 20
+    assert n == [100_000, 100_001, 300_000, 10]
+    assert spans == [[(0, 100_000)], [(0, 100_001)], [(0, 300_000)], []]
+    assert names[0] == sorted(["a", "c", *(f"e{i}" for i in range(300))]) and names[1] == ["b", "c"] and names[2] == ["d"] and names[3] == []
+
+
+def test_repeats_equal_brute_force(spark):
+    rng = random.Random(6)
+    text = lambda n: " ".join(rng.choice(["la", "la", "lu", "x"]) for _ in range(n))
+    docs = [(i, text(rng.choice([3, 12, 60, 200]))) for i in range(60)]
+    items = [(i, text(rng.choice([1, 2, 9, 10, 11, 40]))) for i in range(40)]
+    got = decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), keep=["doc_id"]).collect()
+    want = plain(docs, items)
+    for r in got:
+        n, hit, names = want[r.doc_id][0], want[r.doc_id][1], want[r.doc_id][2]
+        assert (r.n_words, sum(s.end - s.first for s in r.hit_spans), set(r.hit_items)) == (n, hit if isinstance(hit, int) else len(hit), set(names))
