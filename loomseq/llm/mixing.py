@@ -10,7 +10,8 @@ The running sum is a rank times a constant, and the rank is found in two steps,
 so that no task sorts a whole source: documents are dealt to cells (source,
 power of two of the size, one of CELLS hash buckets); a small table of cell
 counts gives each cell its start, and a window within the cell the rest.
-Everything is integer arithmetic up to one product, so reruns agree.
+Everything is integer arithmetic up to one product, so reruns agree. Texts are
+read twice: for the cell counts (a small table, written once), and for the ranks.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomseq.llm.common import WORD, table
+from loomseq.sources.shared import cut
 
-CELLS, CAP, SEED = 128, 3, 7
+CELLS, CAP, SEED = 512, 3, 7
 WEIGHTS = (1, 2, 3)
 
 
@@ -63,18 +65,19 @@ def mix(docs: DataFrame, *, keep: list[str], id: str = "doc_id", text: str = "te
 
     Every row is returned once, copies 0 included; explode by copies for the mix
     itself. Null and empty texts have size 0 and are never taken. A null source
-    is a source of its own. Repeated rows are separate documents. `keep` must
-    not name the new columns.
+    is a source of its own. Repeated rows are separate documents: rows of equal
+    size and id stand by the hash of their text, and null ids are dealt by it.
+    `keep` must not name the new columns.
     """
     key = ["__source", "__class", "__cell"]
     size = n_words(F.col(text))
-    rows = docs.select(*keep, F.col(source).cast("string").alias("__source"), F.col(id).cast("string").alias("__id"), size.alias("size"))
-    rows = rows.withColumns({"__class": F.when(F.col("size") > 0, F.length(F.bin("size"))).otherwise(0), "__cell": (F.conv(F.substring(F.md5(F.coalesce("__id", F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long") % cells).cast("int")})
-    cell = rows.groupBy(*key).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
+    rows = docs.select(*keep, F.col(source).cast("string").alias("__source"), F.col(id).cast("string").alias("__id"), F.xxhash64(F.col(text).cast("string")).alias("__hash"), size.alias("size"))
+    rows = rows.withColumns({"__class": F.when(F.col("size") > 0, F.length(F.bin("size"))).otherwise(0), "__cell": (F.conv(F.substring(F.md5(F.coalesce(F.col("__id"), F.col("__hash").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % cells).cast("int")})
+    cell = cut(rows.groupBy(*key).agg(F.sum("size").alias("words"), F.count("*").alias("n")), "cells")
     start = cell.withColumn("start", F.coalesce(F.sum("n").over(Window.partitionBy("__source").orderBy("__class", "__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     plan = targets(cell.groupBy("__source").agg(F.sum("words").alias("source_size")).withColumnRenamed("__source", "source"), weights, cap).withColumnRenamed("source", "__s")
     start = start.join(plan, F.col("__source").eqNullSafe(F.col("__s"))).select(*(F.col(k).alias(f"_{k}") for k in key), "start", "source_size", "target")
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy("size", "__id")) - 1
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("size", "__id", "__hash")) - 1
     rows = rows.withColumn("__rank", rank)
     same = F.col("__source").eqNullSafe(F.col("___source")) & (F.col("__class") == F.col("___class")) & (F.col("__cell") == F.col("___cell"))
     rows = rows.join(start, same)

@@ -2,6 +2,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 from conftest import DOCS, SF
 from loomseq.llm.mixing import mix, op3_mixing
 
@@ -58,3 +59,11 @@ def test_empty_repeats_and_clashing_columns(spark):
     assert len(rows) == 5 and all(r["size"] == 2 for r in rows)
     assert mix(df.limit(0), keep=["doc_id"]).count() == 0
     assert len(mix(df.limit(1).withColumn("text", df.text.substr(9, 1)), keep=["doc_id"]).collect()) == 1
+
+
+def test_null_ids_and_equal_ids_do_not_depend_on_the_order_of_rows(spark):
+    rows = [(None if i % 2 else 7, "w " * (i % 5 + 1) + f"t{i}", "en", "a" if i % 3 else "b", 0) for i in range(600)] + [(1, "long " * 300_000, "en", "c", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = sorted((r.text, r.copies) for r in mix(df, keep=["text", "source"]).collect())
+    assert got == sorted((r.text, r.copies) for r in mix(df.orderBy(F.desc("text")).repartition(3), keep=["text", "source"]).collect())
+    assert max(r["size"] for r in mix(df, keep=[]).collect()) == 300_000
