@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomseq.llm.common import WORD, map_text, sha_of, table, viterbi
+from loomseq.llm.common import WORD, decoded, map_text, sha_of, table, viterbi
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "ssn", "iban")
@@ -72,7 +72,7 @@ EPOCHS, RATE, DECAY = 400, 0.5, 1e-3
 
 def _features(shape: bytes) -> list[str]:
     """Of a token's shape (letters and digits folded): the parts the field sees, with run lengths up to 4."""
-    s = shape[:64].decode("latin-1")
+    s = shape.decode("latin-1")
     s = re.sub(r"x+", "x", re.sub(r"X+", lambda m: "X" if len(m[0]) < 3 else "W", s))
     core = s.strip(".,;:!?*#%&$|\"'")
     digits = s.count("d")
@@ -179,7 +179,7 @@ class Field:
             lengths.append(len(shapes))
         all_ids, n = np.concatenate(ids) if ids else np.zeros(0, np.int64), np.array(lengths, np.int64)
         if not len(all_ids):
-            return np.zeros(0, np.uint8), n
+            return np.zeros(0, np.int32), n
         table_ = np.stack(self.scores)
         emit = table_[all_ids, 0]
         end = np.cumsum(n)
@@ -263,7 +263,7 @@ def spans(field: Field, texts: list[bytes | None]) -> list[list[tuple[str, int,
     tags, lengths = field.decode(texts)
     out, at = [], 0
     for t, n in zip(texts, lengths.tolist(), strict=True):
-        text = t.decode() if t else None
+        text = decoded(t)
         base = base_spans(text)
         found = [(k, a, b, True) for a, b, k in base]
         mine, at = tags[at : at + n], at + n
@@ -290,8 +290,8 @@ _SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 def find_pii(docs: DataFrame, *, keep: list[str], text: str = "text", labelled: tuple[str, ...] = LABELLED) -> DataFrame:
     """Columns `keep` and pii array<struct<kind,start,end,base>> (code points, end exclusive; by kind as in KINDS, then start).
 
-    Null and empty texts have none. One output row for each row; `keep` must
-    not name pii.
+    Null and empty texts have none. A byte that is not UTF-8 counts as one code
+    point, U+FFFD. One output row for each row; `keep` must not name pii.
     """
     field = docs.sparkSession.sparkContext.broadcast(Field(labelled))
 
