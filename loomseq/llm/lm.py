@@ -1,20 +1,27 @@
 """Operator 10, language-model scores by logistic context mixing.
 
-A text is coded bit by bit: the bytes of each word, a space after it, and a
-line feed at the end. ORDERS predictors each hash their last 1 to 5 bytes (from
-the word's start) with the bits of the byte so far into a table of SLOTS bit
-counts. Their predictions meet in the logistic domain, weighted by a set of
-weights that a gate chooses (how many orders have seen their context, how often
-the longest has, and the bit's place); an adaptive map, indexed by the last byte and the mixed
-prediction, refines the result. Weights and map learn online.
+A text is coded bit by bit in order: the bytes of its words, a space after each
+word, and a line feed at the end. Five predictors hash contexts with the bits of
+the byte so far into a table of bit counts: the last 1 to 4 bytes, across words,
+and the last 5 bytes of the word. Their predictions meet in the logistic domain,
+weighted by a set of weights that a gate chooses (how many contexts have been
+seen, how often the longest has, and the bit's place); an adaptive map, indexed
+by the last byte and the mixed prediction, refines the result. Weights and map
+learn online.
+
+A byte's cost depends on its gram alone: the bytes before it that a context
+reads, and the byte. From a word's fourth byte on, these lie within the word, so
+such costs are a property of the word; the first three bytes of each word, and
+the end, are coded from the text's own sequence.
 
 Learning is two steps, both over all training rows:
- 1. One pass over the texts counts words and (5 bytes before, byte) grams; Spark
-    adds them up. What is gathered grows with the corpus; the bit table made from
-    it has SLOTS entries at any size.
- 2. Each partition of the gram table streams its grams through the mixer, the
-    occurrence itself left out of what predicts it; weights are averaged.
-Scoring is one pass: each distinct word of a batch is coded once.
+ 1. One pass over the texts counts words and grams, and Spark adds them up. The
+    bit table made of them has a slot or more for each distinct gram, so it
+    grows with what the corpus holds (up to MOST_BITS, a parameter).
+ 2. The gram table streams through the mixer in SHARDS fixed parts, each in a
+    fixed order, the occurrence itself left out of what predicts it; the parts'
+    weights are averaged. Neither depends on how rows are partitioned.
+Scoring is one pass: each distinct word and gram that a task meets is coded once.
 """
 
 from __future__ import annotations
@@ -31,49 +38,80 @@ from pyspark.sql import types as T
 from loomseq.llm.common import fold, map_text, mix64, slices, table
 from loomseq.sources.shared import cut
 
-BITS, ORDERS, LONG = 22, 5, 64
-SLOTS = 1 << BITS
+ORDERS, LONG = 5, 64
+#: Slots of the bit table for each distinct gram, and its least and largest size as powers of two.
+SPACE, LEAST_BITS, MOST_BITS = 4, 18, 28
 #: Words that make up at least 1 / HEAVY of all tokens number at most HEAVY; those of up to LONG bytes go to the tasks with their counts.
 HEAVY = 500_000
+SHARDS, CACHE, TEXTS = 64, 2_000_000, 4 << 20
 LEVELS = np.array([2, 4, 16, 128], np.float32)  # how often the longest context was seen
 GATES, MAPS, STEPS = (ORDERS + 1) * (len(LEVELS) + 1) * 8, 256, 33
 RATE, PRIOR = 0.05, 200.0  # step of the weights; occurrences that a cell's first value counts for
 END = b"\n"
+#: Counts are held as bytes: exact up to 15, beyond in steps of 8 %.
+COUNT = np.array([*range(16), *(16 * 2 ** ((q - 16) / 9) for q in range(16, 256))], np.float32)
+OWN = 3  # a word's bytes before this one are coded from the sequence
 
 
 # ---------------------------------------------------------------- grams
 
 
-def grams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All grams of the words, one after another (48 bits: five bytes before, then the byte), and each word's first gram.
-
-    A word is coded with a space after it; END, a line feed alone. The bytes
-    before a word's start count as spaces.
-    """
-    flat = b" ".join([b"    "] + [w if w == END else w + b" " for w in words])
-    size = np.fromiter((len(w) + (w != END) for w in words), np.int64, len(words))
-    x = np.frombuffer(flat + b" ", np.uint8).astype(np.int64)
-    first = np.cumsum(size + 1) - size - 1 + 5
-    place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+def word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Grams of the words' bytes from place OWN on, a space after each word included (48 bits: five bytes before, of the word only, then the byte), and where each word's begin. END has none."""
+    words = [b"" if w == END else w for w in words]
+    size = np.fromiter((max(0, len(w) + 1 - OWN) for w in words), np.int64, len(words))
+    start = np.cumsum(size) - size
+    flat = b"     " + b" ".join(words) + b" "
+    x = np.frombuffer(flat, np.uint8).astype(np.int64)
+    length = np.fromiter(map(len, words), np.int64, len(words))
+    first = np.cumsum(length + 1) - length - 1 + 5
+    place = np.arange(int(size.sum())) - np.repeat(start, size) + OWN
     at = np.repeat(first, size) + place
     g = x[at]
     for k in range(1, 6):
         g = g | np.where(place >= k, x[np.maximum(at - k, 0)], 32) << (8 * k)
-    return g, np.cumsum(size) - size
+    return g, start
+
+
+def edge_grams(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Grams of the first OWN bytes of each word (with the space after it) and of the ends, in order (40 bits: four bytes before, then the byte), and how many each text has. texts: words, END last. Spaces stand before a text."""
+    flat = b"".join(b"    " + b" ".join(words) for words in texts)
+    x = np.frombuffer(flat, np.uint8).astype(np.int64)
+    n = np.fromiter(map(len, texts), np.int64, len(texts))
+    length = np.fromiter((len(w) for words in texts for w in words), np.int64, int(n.sum()))
+    last = np.cumsum(n) - 1
+    step = length + 1
+    step[last] += 3  # END has no space after it; four spaces begin the next text
+    first = np.cumsum(step) - step + 4
+    size = np.minimum(length + 1, OWN)
+    size[last] = 1
+    at = np.repeat(first, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    g = x[at]
+    for k in range(1, 5):
+        g |= x[at - k] << (8 * k)
+    return g, np.add.reduceat(size, np.cumsum(n) - n) if len(n) else n
 
 
-def slots_of(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(orders, 8, n) table slots and (8, n) bits of each gram's byte, most significant first."""
-    byte = (gram & 255).astype(np.int64)
+def contexts_of(gram: np.ndarray) -> list[np.ndarray]:
+    """The contexts of each gram: the last 1 to 4 bytes, and the five within the word (bytes up to a space count as spaces)."""
     before = gram >> 8
-    bits = (byte >> np.arange(7, -1, -1)[:, None]) & 1
+    out = [before & ((1 << (8 * k)) - 1) for k in range(1, 5)]
+    inner, live = np.zeros_like(before), np.ones(len(before), bool)
+    for k in range(5):
+        b = (before >> (8 * k)) & 255
+        live = live & (b != 32) & (b != 0)
+        inner |= np.where(live, b, 32) << (8 * k)
+    return [*out, inner]
+
+
+def slots_of(order: np.ndarray | int, context: np.ndarray, byte: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(8, n) table slots and (8, n) bits of each byte in its context, most significant first."""
+    bit = (byte >> np.arange(7, -1, -1)[:, None]) & 1
     node = (1 << np.arange(8)[:, None]) | (byte >> (8 - np.arange(8))[:, None])  # the byte's bits so far under a leading 1
-    out = np.empty((ORDERS, 8, len(gram)), np.int32)
-    for k in range(1, ORDERS + 1):
-        h = mix64((before & ((1 << (8 * k)) - 1)).astype(np.uint64) + np.uint64(k << 48))
-        with np.errstate(over="ignore"):
-            out[k - 1] = ((h ^ (node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - BITS)).astype(np.int32)
-    return out, bits.astype(np.int8)
+    h = mix64(context.astype(np.uint64) + (np.asarray(order).astype(np.uint64) << np.uint64(48)))
+    with np.errstate(over="ignore"):
+        at = (h ^ (node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - bits)
+    return at.astype(np.int32), bit.astype(np.int8)
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
@@ -87,8 +125,8 @@ class Mixer:
     """Bit counts, gated weights and the refining map."""
 
     def __init__(self, counts: np.ndarray):
-        """counts: (2, SLOTS) float32."""
-        self.counts = counts
+        """counts: (2, slots) bytes, places in COUNT."""
+        self.counts, self.bits = counts, int(counts.shape[1]).bit_length() - 1
         # At first the longest context seen decides, the more the oftener it was seen; the one below has the rest.
         self.weights = np.zeros((ORDERS + 1, len(LEVELS) + 1, 8, ORDERS), np.float32)
         for s in range(1, ORDERS + 1):
@@ -101,8 +139,14 @@ class Mixer:
         self._speed = np.full((GATES, ORDERS), 1e-6)  # squared steps so far: often-used weights settle
         self._mass, self._ones = np.full(MAPS * STEPS, PRIOR), PRIOR * self.map.ravel().astype(np.float64)
 
-    def _bit(self, slots: np.ndarray, last: np.ndarray, j: int, own: bool, bit: np.ndarray):
-        n0, n1 = self.counts[0, slots], self.counts[1, slots]
+    def slots(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(orders, 8, n) slots and (8, n) bits."""
+        found = [slots_of(k, c, gram & 255, self.bits) for k, c in enumerate(contexts_of(gram))]
+        return np.stack([s for s, _ in found]), found[0][1]
+
+    def predict(self, slots: np.ndarray, last: np.ndarray, j: int, own: bool, bit: np.ndarray):
+        """Of bit j: inputs, gate, mixed logit, the map's cell and place in it, and the probability of a one."""
+        n0, n1 = COUNT[self.counts[0, slots]], COUNT[self.counts[1, slots]]
         if own:  # the occurrence itself
             n1 = np.maximum(n1 - bit, 0)
             n0 = np.maximum(n0 - (1 - bit), 0)
@@ -119,15 +163,15 @@ class Mixer:
         p = np.clip((_squash(mixed) + 3 * refined) / 4, 1e-5, 1 - 1e-5)
         return x, gate, mixed, lo, part, p
 
-    def costs(self, gram: np.ndarray, block: int = 1 << 15) -> np.ndarray:
+    def costs(self, gram: np.ndarray, block: int = 1 << 14) -> np.ndarray:
         """Bits that each gram's byte costs."""
         out = np.zeros(len(gram))
         for at in range(0, len(gram), block):
             g = gram[at : at + block]
-            slots, bits = slots_of(g)
+            slots, bits = self.slots(g)
             last = (g >> 8) & 255
             for j in range(8):
-                p = self._bit(slots[:, j], last, j, False, bits[j])[-1]
+                p = self.predict(slots[:, j], last, j, False, bits[j])[-1]
                 out[at : at + block] -= np.log2(np.where(bits[j] == 1, p, 1 - p))
         return out
 
@@ -135,10 +179,10 @@ class Mixer:
         """Stream the grams (n of each) through the mixer, a block at a time, updating weights and map after each bit."""
         for at in range(0, len(gram), block):
             g, heavy = gram[at : at + block], n[at : at + block].astype(np.float32)
-            slots, bits = slots_of(g)
+            slots, bits = self.slots(g)
             last = (g >> 8) & 255
             for j in range(8):
-                x, gate, mixed, lo, part, _ = self._bit(slots[:, j], last, j, True, bits[j])
+                x, gate, mixed, lo, part, _ = self.predict(slots[:, j], last, j, True, bits[j])
                 miss = (bits[j] - _squash(mixed)) * heavy
                 step = np.stack([np.bincount(gate, weights=miss * x[k], minlength=GATES) for k in range(ORDERS)], 1)
                 self._speed += step * step
@@ -150,36 +194,64 @@ class Mixer:
                 self.map = (self._ones / self._mass).astype(np.float32).reshape(MAPS, STEPS)
 
 
+class Costs:
+    """Costs of grams, each computed once while it is among the last CACHE or so that a task has met."""
+
+    def __init__(self, mixer: Mixer):
+        self.mixer = mixer
+        self.gram, self.cost = np.zeros(0, np.int64), np.zeros(0)
+
+    def of(self, gram: np.ndarray) -> np.ndarray:
+        g, inverse = np.unique(gram, return_inverse=True)
+        at = np.searchsorted(self.gram, g)
+        known = self.gram[np.minimum(at, len(self.gram) - 1)] == g if len(self.gram) else np.zeros(len(g), bool)
+        cost = np.zeros(len(g))
+        cost[known] = self.cost[at[known]]
+        fresh = ~known
+        cost[fresh] = self.mixer.costs(g[fresh])
+        if len(self.gram) + int(fresh.sum()) > CACHE:
+            self.gram, self.cost = g, cost
+        else:
+            self.gram, self.cost = np.insert(self.gram, at[fresh], g[fresh]), np.insert(self.cost, at[fresh], cost[fresh])
+        return cost[inverse]
+
+
 # ---------------------------------------------------------------- learning
 
 
-def tally(training: DataFrame, text: str, most: int = 400_000) -> DataFrame:
-    """kind ('w' words, 'g' grams), key, n: partial counts of all tokens (END included) and all grams."""
+def _tokens(text: bytes | None) -> list[bytes]:
+    words = (text or b"").lower().split()
+    words.append(END)
+    return words
+
+
+def tally(training: DataFrame, text: str, most: int = 200_000) -> DataFrame:
+    """word, gram, n: partial counts of all tokens (END included; gram is null) and of all grams (word is null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
+        edge = (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
         def rows():
-            if not words:
-                return
             names, n = list(words), np.fromiter(words.values(), np.int64, len(words))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.nulls(len(names), pa.int64()), pa.array(n)], names=["word", "gram", "n"])
-            total: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            for at in range(0, len(names), 100_000):
-                g, first = grams_of(names[at : at + 100_000])
-                each = np.repeat(n[at : at + 100_000], np.diff(np.r_[first, len(g)]))
-                total = _add(np.r_[total[0], g], np.r_[total[1], each])
+            g, first = word_grams(names)
+            total = _add(np.r_[edge[0], g], np.r_[edge[1], np.repeat(n, np.diff(np.r_[first, len(g)]))])
             yield pa.RecordBatch.from_arrays([pa.nulls(len(total[0]), pa.binary()), pa.array(total[0]), pa.array(total[1])], names=["word", "gram", "n"])
-            words.clear()
 
         for batch in batches:
-            for part in slices(batch):
-                for t in part.column(0).cast(pa.binary()).to_pylist():
-                    words.update((t or b"").lower().split())
-                    words[END] += 1
-                if len(words) > most:
+            for part in slices(batch, TEXTS):
+                texts = [_tokens(t) for t in part.column(0).cast(pa.binary()).to_pylist()]
+                for t in texts:
+                    words.update(t)
+                g = np.sort(edge_grams(texts)[0])
+                edge = _add(np.r_[edge[0], g], np.r_[edge[1], np.ones(len(g), np.int64)])
+                if len(words) > most or len(edge[0]) > 5 * most:
                     yield from rows()
-        yield from rows()
+                    words.clear()
+                    edge = (edge[0][:0], edge[1][:0])
+        if words:
+            yield from rows()
 
     return training.select(F.col(text).cast("string").alias("t")).mapInArrow(run, "word binary, gram long, n long")
 
@@ -191,54 +263,83 @@ def _add(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def bit_counts(grams: DataFrame) -> np.ndarray:
-    """(2, SLOTS) counts of zeros and ones in every slot, over all grams.
+def bit_counts(grams: DataFrame, bits: int) -> np.ndarray:
+    """(2, slots) counts of zeros and ones, as places in COUNT, over all grams.
 
-    Tasks send what they have of each of the 1,024 parts of the table, Spark adds
-    the slots up; the driver takes the whole, SLOTS x 2 numbers at any input size.
+    Spark adds up each context's bytes, then each slot's bits. The driver takes
+    one byte for each of the slots x 2 numbers.
     """
-    part = SLOTS >> 10
+    width = int(grams.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(2 * SLOTS, np.int64)
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1 << 16):
+                g, n = (b.column(i).slice(at, 1 << 16).to_numpy() for i in range(2))
+                for k, c in enumerate(contexts_of(g)):
+                    key = (np.int64(k) << np.int64(48)) | c
+                    both, m = _add(key << 8 | (g & 255), n) if k < 2 else (None, n)  # the shortest contexts meet again and again
+                    key, byte = (both >> 8, both & 255) if both is not None else (key, g & 255)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(byte.astype(np.int32)), pa.array(m)], names=["context", "byte", "n"])
+
+    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            g, n = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for at in range(0, len(g), 1 << 16):
-                slots, bits = slots_of(g[at : at + (1 << 16)])
-                for k in range(ORDERS):
-                    np.add.at(held, slots[k].astype(np.int64) + SLOTS * bits.astype(np.int64), np.broadcast_to(n[at : at + (1 << 16)], bits.shape))
-        at = np.flatnonzero(held)
-        for lo in range(0, len(at), 1 << 17):
-            x = at[lo : lo + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)), pa.array(held[x])], names=["slot", "n"])
-
-    summed = grams.select("gram", "n").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").cast("float").alias("n"))
-    packed = summed.groupBy(F.expr(f"slot div {part}").alias("p")).agg(F.sort_array(F.collect_list(F.struct("slot", "n"))).alias("s")).select(F.col("s.slot").alias("slot"), F.col("s.n").alias("n"))
-    counts = np.zeros(2 * SLOTS, np.float32)
+            for lo in range(0, b.num_rows, 1 << 16):
+                key, byte, n = (b.column(i).slice(lo, 1 << 16).to_numpy() for i in range(3))
+                at, bit = slots_of(key >> 48, key & ((1 << 48) - 1), byte.astype(np.int64), bits)
+                slot, m = _add((at.astype(np.int64) * 2 + bit).ravel(), np.broadcast_to(n, bit.shape).ravel())
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(m)], names=["slot", "n"])
+
+    each = grams.select("gram", "n").mapInArrow(contexts, "context long, byte int, n long")
+    each = each.groupBy("context", "byte").agg(F.sum("n").alias("n")).repartition(width, "context").sortWithinPartitions("context", "byte")
+    summed = each.mapInArrow(nodes, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    code = F.when(F.col("n") < 16, F.col("n")).otherwise(F.least(F.lit(255), F.round(16 + 9 * F.log2(F.col("n") / 16)))).cast("int")
+    packed = summed.groupBy(F.shiftright("slot", bits - 9).alias("p")).agg(F.collect_list(F.struct(F.col("slot"), code.alias("c"))).alias("s")).select(F.col("s.slot").alias("slot"), F.col("s.c").alias("c"))
+    counts = np.zeros(2 << bits, np.uint8)
     for r in packed.toLocalIterator():
-        counts[np.array(r.slot)] = r.n
-    return counts.reshape(2, SLOTS)
+        counts[np.array(r.slot)] = r.c
+    return np.ascontiguousarray(counts.reshape(-1, 2).T)
 
 
 def train(grams: DataFrame, counts: np.ndarray) -> Mixer:
-    """Weights and map: learned online by each partition of the gram table, then averaged by what each has seen."""
-    sent = grams.sparkSession.sparkContext.broadcast(counts)
+    """Weights and map: learned online by each of SHARDS parts of the gram table, then averaged by what each has seen."""
+    spark = grams.sparkSession
+    sent = spark.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, seen = Mixer(sent.value), 0
+        mixer, seen, shard = None, 0, -1
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # less than a block is left over: blocks do not depend on batches
+
+        def learn(last: bool) -> None:
+            g, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            to = len(g) if last else len(g) // 1024 * 1024
+            mixer.learn(g[:to], n[:to])
+            held[:] = [(g[to:], n[to:])]
+
+        def rows():
+            if mixer is not None:
+                learn(True)
+                held.clear()
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([seen], pa.int64()), pa.array([np.r_[mixer.weights.ravel(), mixer.map.ravel()].astype(np.float64)], pa.list_(pa.float64()))], names=["shard", "n", "x"])
+
         for b in batches:
-            g, n = b.column(0).to_numpy(), b.column(1).to_numpy()
-            mixer.learn(g, n)
-            seen += int(n.sum())
-        if seen:
-            x = np.r_[mixer.weights.ravel(), mixer.map.ravel()].astype(np.float64) * seen
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x), dtype=np.int32)), pa.array(x), pa.array(np.full(len(x), seen, np.int64))], names=["i", "x", "n"])
-
-    rows = grams.select("gram", "n").mapInArrow(run, "i int, x double, n long").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()
+            of, g, n = (b.column(i).to_numpy() for i in range(3))
+            for part in np.split(np.arange(len(of)), np.flatnonzero(of[1:] != of[:-1]) + 1) if len(of) else []:
+                if of[part[0]] != shard:
+                    yield from rows()
+                    mixer, seen, shard = Mixer(sent.value), 0, int(of[part[0]])
+                held.append((g[part], n[part]))
+                learn(False)
+                seen += int(n[part].sum())
+        yield from rows()
+
+    h = F.xxhash64("gram")
+    dealt = grams.select(F.pmod(h, F.lit(SHARDS)).cast("int").alias("shard"), "gram", "n", h.alias("h"))
+    width = min(SHARDS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = dealt.repartition(width, "shard").sortWithinPartitions("shard", "h").select("shard", "gram", "n").mapInArrow(run, "shard int, n long, x array<double>").collect()  # SHARDS rows
     mixer = Mixer(counts)
-    if len(rows):
-        x = np.zeros(len(rows))
-        x[rows.i.to_numpy()] = rows.x.to_numpy()
+    if rows:
+        rows.sort(key=lambda r: r.shard)
+        x = sum(np.array(r.x) * r.n for r in rows) / sum(r.n for r in rows)
         mixer.weights = x[: GATES * ORDERS].reshape(GATES, ORDERS).astype(np.float32)
         mixer.map = np.clip(x[GATES * ORDERS :], 1e-4, 1 - 1e-4).reshape(MAPS, STEPS).astype(np.float32)
     return mixer
@@ -247,13 +348,15 @@ def train(grams: DataFrame, counts: np.ndarray) -> Mixer:
 # ---------------------------------------------------------------- scoring
 
 
-def score(docs: DataFrame, training: DataFrame, *, keep: list[str], text: str = "text", heavy: int = HEAVY) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame, *, keep: list[str], text: str = "text", heavy: int = HEAVY, most_bits: int = MOST_BITS) -> DataFrame:
     """Columns `keep`, then n_tokens, n_known, train_tokens, base_score, score (log10) and bits_per_byte.
 
     Texts are A-Z lower-cased; tokens are words and one end. Null counts as empty
     (its one token is the end). base_score is the add-one unigram sum of log10;
     score is the mixing model's log10 probability of the words and the end, and
     bits_per_byte its bits by the bytes coded (words, a byte after each, the end).
+    The bit table has SPACE slots or more for each distinct gram, 2^most_bits at
+    most; contexts share slots without check bits.
     Without training rows every bit costs what an empty table predicts. One
     output row for each row, repeated rows too; `keep` must not name the new
     columns.
@@ -263,45 +366,44 @@ def score(docs: DataFrame, training: DataFrame, *, keep: list[str], text: str =
     grams = cut(parts.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
     words = cut(parts.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c")), "words")
     seen, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    mixer = train(grams, bit_counts(grams))
+    bits = min(most_bits, max(LEAST_BITS, (SPACE * grams.count() - 1).bit_length()))
+    mixer = train(grams, bit_counts(grams, bits))
     often = F.octet_length("word") <= LONG
     often = often & (F.col("c") * heavy >= seen)
     head = words.where(often).toPandas()  # at most `heavy` words of at most LONG bytes
-    sent = spark.sparkContext.broadcast((mixer, {bytes(w): float(c) for w, c in zip(head.word, head.c, strict=True)}))
+    sent = spark.sparkContext.broadcast((mixer, [(bytes(w), int(c)) for w, c in zip(head.word, head.c, strict=True)]))
     rest_type = T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("k", T.LongType())]))
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("__known", T.LongType()), T.StructField("__sum", T.DoubleType()), T.StructField("__bits", T.DoubleType()), T.StructField("__bytes", T.LongType()), T.StructField("__rest", rest_type)]
 
     def begin():
         mixer, head = sent.value
-        logs = {w: float(np.log10(c + 1)) for w, c in head.items()}
+        logs = {w: float(np.log10(c + 1)) for w, c in head}
+        costs = Costs(mixer)
 
         def fn(texts):
-            docs_, vocab = [], set()
-            for t in texts:
-                words_ = (t or b"").lower().split()
-                words_.append(END)
-                docs_.append(words_)
-                vocab.update(words_)
-            names = list(vocab)
-            g, first = grams_of(names)
-            u, inv = np.unique(g, return_inverse=True)
-            bits = dict(zip(names, np.add.reduceat(mixer.costs(u)[inv], first).tolist(), strict=True))
+            docs_ = [_tokens(t) for t in texts]
+            edges, many = edge_grams(docs_)
+            edge_bits = np.add.reduceat(costs.of(edges), np.cumsum(many) - many)
+            names = list(set().union(*docs_))
+            g, first = word_grams(names)
+            sums = np.r_[0.0, np.cumsum(costs.of(g))] if len(g) else np.zeros(1)
+            bits = dict(zip(names, (sums[np.r_[first[1:], len(g)]] - sums[first]).tolist(), strict=True))
             out = [[], [], [], [], [], []]
-            for words_ in docs_:
+            for words_, at_edges in zip(docs_, edge_bits.tolist(), strict=True):
                 count = Counter(words_)
                 rest = [(w, k) for w, k in count.items() if w not in logs]
                 known = len(words_) - sum(k for _, k in rest)
                 out[0].append(len(words_))
                 out[1].append(known)
                 out[2].append(sum(k * logs[w] for w, k in count.items() if w in logs))
-                out[3].append(sum(k * bits[w] for w, k in count.items()))
+                out[3].append(at_edges + sum(k * bits[w] for w, k in count.items()))
                 out[4].append(sum(map(len, words_)) + len(words_) - 1)
                 out[5].append(rest)
             return out
 
         return fn
 
-    scored = map_text(docs, text, keep, fields, begin)
+    scored = map_text(docs, text, keep, fields, begin, most=TEXTS)
     row = "__row"
     scored = cut(scored.withColumns({row: F.monotonically_increasing_id()}), "scored")  # the number of a row is fixed once written
     rest = scored.select(row, F.explode("__rest").alias("r")).select(row, "r.word", "r.k")

@@ -6,7 +6,8 @@ from collections import Counter
 import numpy as np
 import pytest
 from conftest import SF
-from loomseq.llm.lm import END, SLOTS, Mixer, grams_of, op10_lm_score, score
+from loomseq.llm import lm
+from loomseq.llm.lm import END, LEVELS, STEPS, Mixer, edge_grams, op10_lm_score, score, word_grams
 
 
 def tokens(t):
@@ -38,7 +39,7 @@ def test_query_base_and_held_out_score(spark, docs):
 def test_predictions_are_probabilities():
     """The costs of all bytes after any context are those of a distribution, whatever was learned."""
     rng = np.random.default_rng(0)
-    mixer = Mixer(rng.integers(0, 50, (2, SLOTS)).astype(np.float32))
+    mixer = Mixer(rng.integers(0, 50, (2, 1 << 18)).astype(np.uint8))
     mixer.weights = rng.normal(size=mixer.weights.shape).astype(np.float32)
     for before in (0x2020202020, 0x2074686520, int.from_bytes("äöé"[:2].encode() + b"x", "big")):
         cost = mixer.costs((before << 8) | np.arange(256))
@@ -46,11 +47,69 @@ def test_predictions_are_probabilities():
 
 
 def test_grams():
-    g, first = grams_of([b"ab", END, "é".encode() * 4])
-    assert first.tolist() == [0, 3, 4] and len(g) == 4 + 9
-    text = lambda x: int(x).to_bytes(6, "big")
-    assert [text(x) for x in g[:4]] == [b"     a", b"    ab", b"   ab ", b"     \n"]
-    assert text(g[-1])[-1:] == b" " and text(g[-2]) == "é".encode() * 3
+    g, first = word_grams([b"ab", b"abc", END, "é".encode() * 4])
+    assert first.tolist() == [0, 0, 1, 1] and len(g) == 1 + 6
+    text = lambda x, n=6: int(x).to_bytes(n, "big")
+    assert text(g[0]) == b"  abc " and text(g[1]) == b"  " + "é".encode() * 2 and text(g[-1]) == "é".encode()[1:] + "é".encode() * 2 + b" "
+    g, many = edge_grams([[b"a", b"bcd", END], [END], [b"xy", END]])
+    assert [text(x, 5) for x in g] == [b"    a", b"   a ", b"  a b", b" a bc", b"a bcd", b"bcd \n", b"    \n", b"    x", b"   xy", b"  xy ", b" xy \n"]
+    assert many.tolist() == [6, 1, 4]
+
+
+def plain_bits(mixer, text):
+    """A text's bits, one bit after the other in order, with a context read from the bytes coded so far."""
+    words = (text or "").encode().lower().split()
+    stream = b"     " + b"".join(w + b" " for w in words) + b"\n"
+    total = 0.0
+    for i in range(5, len(stream)):
+        word = b""
+        for c in reversed(stream[:i]):
+            if c == 32 or len(word) == 5:
+                break
+            word = bytes([c]) + word
+        ctx = [int.from_bytes(stream[i - k : i], "big") for k in range(1, 5)] + [int.from_bytes(word.rjust(5), "big")]
+        node = 1
+        for j in range(8):
+            bit = (stream[i] >> (7 - j)) & 1
+            n, x = [], []
+            for k, c in enumerate(ctx):
+                h = lm.mix64(np.array([c + (k << 48)], np.uint64))[0]
+                at = ((int(h) ^ (node * 0x9E3779B97F4A7C15 % 2**64)) * 0xD6E8FEB86659FD93 % 2**64) >> (64 - mixer.bits)
+                zero, one = (float(lm.COUNT[mixer.counts[b, at]]) for b in (0, 1))
+                n.append(zero + one)
+                x.append(math.log(one + 0.4) - math.log(zero + 0.4))
+            seen = sum(v > 0 for v in n)
+            level = sum(v <= n[max(seen - 1, 0)] for v in LEVELS)
+            w = mixer.weights[(seen * (len(LEVELS) + 1) + level) * 8 + j]
+            mixed = min(15, max(-15, sum(float(a) * b for a, b in zip(w, x, strict=True))))
+            place = min(STEPS - 1.001, max(0, mixed * 2 + STEPS // 2))
+            row, lo = mixer.map[stream[i - 1]], int(place)
+            refined = row[lo] * (1 - (place - lo)) + row[lo + 1] * (place - lo)
+            p = min(1 - 1e-5, max(1e-5, (1 / (1 + math.exp(-mixed)) + 3 * refined) / 4))
+            total -= math.log2(p if bit else 1 - p)
+            node = node * 2 | bit
+    return total
+
+
+def test_scores_equal_a_plain_coder_and_do_not_depend_on_partitions(spark, docs, monkeypatch):
+    kept = {}
+    train = lm.train
+    monkeypatch.setattr(lm, "train", lambda *a: kept.setdefault("mixer", train(*a)))
+    some = docs.where("doc_id < 60")
+    train_rows = docs.where("doc_id % 7 <> 0")
+    rows = {r.doc_id: r for r in score(some, train_rows, keep=["doc_id", "text"]).collect()}
+    for r in sorted(rows.values(), key=lambda r: len(r.text or ""))[:25]:
+        want = plain_bits(kept["mixer"], r.text)
+        assert -r.score / math.log10(2) == pytest.approx(want, rel=1e-4)
+    kept.clear()
+    again = {r.doc_id: r.score for r in score(some.repartition(5), train_rows.repartition(9, "source"), keep=["doc_id"]).collect()}
+    assert again == pytest.approx({i: r.score for i, r in rows.items()}, rel=1e-12)
+
+
+def test_order_of_words_counts(spark):
+    train = spark.createDataFrame([("new york city hall",), ("new york",)] * 50, "text string")
+    a, b = (r.score for r in sorted(score(spark.createDataFrame([(0, "new york city"), (1, "york new city")], "doc_id long, text string"), train, keep=["doc_id"]).collect()))
+    assert a > b + 0.5
 
 
 @pytest.mark.parametrize("heavy", [1, 500_000])
