@@ -1,11 +1,18 @@
 """Near-duplicates by resemblance: texts whose sets of word shingles have a Jaccard similarity of at least a bound.
 
-Texts with equal sets are one from the start. Other candidates agree in one of
-BANDS keys of ROWS minima each (a pair at similarity 0.8 shares no key with
-probability (1 - 0.8^3)^20 = 6e-7), and each is compared by its exact sets
-before it counts as a link. Within a group of one key all are compared with its
-head first; what that leaves apart is compared across, so no link of
-a group is lost. In large groups of near copies these candidates are many (README).
+This is the near-duplicate operator's form for whole classes of copies. Texts
+with equal sets are one from the start. Candidates come from its SimHash index
+(fingerprints of the same shingles within its distance), and, as pairs at a
+similarity of 0.8 lie five to ten bits and more apart, beyond what that index
+can hold, also from BANDS keys of ROWS minima each (a pair at 0.8 shares no key
+with probability (1 - 0.8^5)^30 = 7e-6). Every candidate is compared by its
+exact sets before it counts as a link.
+
+Within a group of one key all are compared with its head first, and parts that
+are linked by then are one. In what is still apart, small groups compare pairs;
+larger ones go to tasks in cells of two blocks each, so that a set travels once
+for each block and not once for each pair, and a cell returns stars, not pairs.
+No link of a group is lost.
 """
 
 from __future__ import annotations
@@ -18,11 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomseq.llm import simhash
 from loomseq.llm.common import map_text, mix64, slices
 from loomseq.operators.components import components
 from loomseq.sources.shared import cut
 
-SEED, WORDS, SIMILARITY, BANDS, ROWS = 42, 5, 0.8, 20, 3
+SEED, WORDS, SIMILARITY, BANDS, ROWS = simhash.SEED, 5, 0.8, 30, 5
+#: Pairs up to which a group that is still apart is compared pair by pair; rows and hashes of a block of a larger one.
+FEW, BLOCK_ROWS, BLOCK_HASHES = 64, 256, 1 << 17
 #: Bits of the filter that keeps texts without a candidate out of the comparison; a wrong bit costs a row, never a link.
 FILTER_BITS = 25
 _ODD = mix64(np.arange(1, BANDS * ROWS + 1)) | np.uint64(1)
@@ -31,15 +41,7 @@ _ADD = mix64(np.arange(1001, BANDS * ROWS + 1001))
 
 def shingles(text: bytes | None, words: int, xxh) -> np.ndarray:
     """Distinct hashes of the text's shingles, ascending (uint64). A text of fewer words is one shingle; no words: none."""
-    w = text.lower().split() if text else []  # bytes: A-Z only
-    if not w:
-        return np.zeros(0, np.uint64)
-    line = b" ".join(w)
-    n = len(w) - words + 1
-    if n <= 1:
-        return np.array([xxh(line, SEED)], np.uint64)
-    end = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
-    return np.unique(np.array([xxh(line[a:b], SEED) for a, b in zip([0, *end[: n - 1].tolist()], (end[words - 1 :] - 1).tolist(), strict=True)], np.uint64))
+    return np.unique(np.array(simhash.shingle_hashes(text, words, xxh), np.uint64))
 
 
 def band_keys(h: np.ndarray) -> np.ndarray:
@@ -62,18 +64,18 @@ def _signed(h: np.ndarray, xxh) -> int:
 
 
 def sketches(docs: DataFrame, keep: list[str], text: str, words: int) -> DataFrame:
-    """Columns `keep`, fp (hash of the text's set; 0 of an empty one), size (of the set) and keys."""
+    """Columns `keep`, fp (hash of the text's set; 0 of an empty one), sim (SimHash of the set), size (of the set) and keys."""
 
     def begin():
         import xxhash
 
         def fn(texts):
             sets = [shingles(t, words, xxhash.xxh64_intdigest) for t in texts]
-            return [[_signed(h, xxhash.xxh64_intdigest) for h in sets], [len(h) for h in sets], [band_keys(h) for h in sets]]
+            return [[_signed(h, xxhash.xxh64_intdigest) for h in sets], [simhash.majority(h) for h in sets], [len(h) for h in sets], [band_keys(h) for h in sets]]
 
         return fn
 
-    return map_text(docs, text, keep, [T.StructField("fp", T.LongType()), T.StructField("size", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))], begin)
+    return map_text(docs, text, keep, [T.StructField("fp", T.LongType()), T.StructField("sim", T.LongType()), T.StructField("size", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))], begin)
 
 
 def _sets_of(rows: DataFrame, text: str, wanted: DataFrame, words: int) -> DataFrame:
@@ -111,36 +113,97 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return joined.where(both >= similarity * (F.size("sa") + F.size("sb") - both) - 1e-9).select("a", "b")
 
 
+def _simhash_stars(sets: DataFrame) -> DataFrame:
+    """Candidates a, b from the SimHash index: all sets of one fingerprint meet the first of them, and the first ones of two linked fingerprints meet."""
+    first = cut(sets.groupBy("sim").agg(F.min("fp").alias("f")), "prints")
+    same = sets.join(first, "sim").select(F.col("fp").alias("a"), F.col("f").alias("b"))
+    links = simhash.near_links(first.select(F.col("sim").alias("fp")))
+    firsts = lambda c: first.select(F.col("sim").alias(c), F.col("f").alias(f"f_{c}"))
+    near = links.join(firsts("a"), "a").join(firsts("b"), "b").select(F.col("f_a").alias("a"), F.col("f_b").alias("b"))
+    return same.unionByName(near).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+
+def _compared(cells: DataFrame, similarity: float) -> DataFrame:
+    """Links a, b from rows (key, i, j, side, fp, root, set): in each cell, sets of side 0 against sets of side 1."""
+
+    def compare(rows):
+        import pandas as pd
+
+        x, y = rows[rows.side == 0], rows[rows.side == 1]
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        sx, sy = x.set.map(len).to_numpy(), y.set.map(len).to_numpy()
+        fx, fy = np.concatenate(x.set.to_list()), np.concatenate(y.set.to_list())
+        shared = np.intersect1d(fx, fy)
+        both = np.zeros((len(x), len(y)), np.float32)
+        px, py = np.searchsorted(shared, fx), np.searchsorted(shared, fy)
+        rx, ry = np.repeat(np.arange(len(x)), sx), np.repeat(np.arange(len(y)), sy)
+        okx = (px < len(shared)) & (shared[np.minimum(px, len(shared) - 1)] == fx) if len(shared) else np.zeros(len(fx), bool)
+        oky = (py < len(shared)) & (shared[np.minimum(py, len(shared) - 1)] == fy) if len(shared) else np.zeros(len(fy), bool)
+        px, rx, py, ry = px[okx], rx[okx], py[oky], ry[oky]
+        for at in range(0, len(shared), 4096):
+            mx, my = np.zeros((len(x), 4096), np.float32), np.zeros((len(y), 4096), np.float32)
+            inx, iny = (px >= at) & (px < at + 4096), (py >= at) & (py < at + 4096)
+            mx[rx[inx], px[inx] - at] = 1
+            my[ry[iny], py[iny] - at] = 1
+            both += mx @ my.T
+        alike = both >= similarity * (sx[:, None] + sy[None] - both) - 1e-9
+        alike &= x.root.to_numpy()[:, None] != y.root.to_numpy()[None]
+        i, j = np.nonzero(alike)
+        names = np.concatenate([x.fp.to_numpy(), y.fp.to_numpy()])
+        order, place = np.unique(names, return_inverse=True)
+        root = simhash.local_roots(len(order), iter([(place[i], place[len(x) + j])]))
+        moved = np.flatnonzero(root != np.arange(len(order)))
+        return pd.DataFrame({"a": order[moved], "b": order[root[moved]]})
+
+    return cells.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
+
+
 def near_links(rows: DataFrame, sets: DataFrame, text: str, words: int, similarity: float) -> DataFrame:
-    """Links a, b that join all distinct sets (fp) of candidates with at least the similarity. rows: fp and text; sets: fp, size, keys of each fp once."""
-    bands = sets.select("fp", "size", F.explode("keys").alias("key"))
-    heads = bands.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("fp", "size")).alias("head")).where("n > 1").select("key", "head")
-    group = cut(bands.join(heads, "key").select("key", "fp", "size", F.col("head.fp").alias("h"), F.col("head.size").alias("hs")), "group")
-    fit = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
-    stars = cut(group.where((F.col("fp") != F.col("h")) & fit("size", "hs")).select(F.col("fp").alias("a"), F.col("h").alias("b")).distinct(), "stars")
-    found = cut(_sets_of(rows, text, group.select("fp"), words), "sets")
+    """Links a, b that join all distinct sets (fp) of candidates with at least the similarity. rows: fp and text; sets: fp, sim, size, keys of each fp once."""
+    bands = sets.select("fp", F.explode("keys").alias("key"))
+    heads = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("h")).where("n > 1").select("key", "h")
+    group = cut(bands.join(heads, "key").join(sets.select("fp", "size"), "fp").select("key", "fp", "size", "h"), "group")
+    stars = group.where(F.col("fp") != F.col("h")).select(F.col("fp").alias("a"), F.col("h").alias("b"))
+    stars = cut(stars.unionByName(_simhash_stars(sets)).distinct(), "stars")
+    wanted = group.select("fp").unionByName(stars.select(F.explode(F.array("a", "b")).alias("fp")))
+    found = cut(_sets_of(rows, text, wanted, words), "sets")
     first = cut(_alike(stars, found, similarity), "first")
     # What a group's head does not join may still be close to another of the group: those outside its largest part meet all of other parts.
     root = components(first, "a", "b")
     parts = group.join(root, F.col("fp") == F.col("node"), "left").select("key", "fp", "size", F.coalesce("root", "fp").alias("root"))
-    most = parts.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1").select("key", "main")
-    parts = cut(parts.join(most, "key"), "parts")
-    x = parts.where("root <> main").select("key", F.col("fp").alias("x"), F.col("size").alias("xs"), F.col("root").alias("xr"))
-    y = parts.select(F.col("key").alias("yk"), F.col("fp").alias("y"), F.col("size").alias("ys"), F.col("root").alias("yr"))
-    across = x.join(y, (F.col("key") == F.col("yk")) & (F.col("xr") != F.col("yr")) & fit("xs", "ys")).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    return first.unionByName(_alike(across.join(stars, ["a", "b"], "left_anti"), found, similarity))
+    part = parts.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    most = part.groupBy("key").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.max("n").alias("top")).where("roots > 1")
+    main = part.join(most.select("key", "top"), "key").where("n = top").groupBy("key").agg(F.min("root").alias("main"), F.min("n").alias("mn"), F.min("s").alias("ms"))
+    most = most.join(main, "key").withColumns({"xn": F.col("n") - F.col("mn"), "xs": F.col("s") - F.col("ms")})
+    parts = cut(parts.join(most.select("key", "main", "n", "s", "xn", "xs"), "key"), "parts")
+    few = F.col("xn") * F.col("n") <= FEW
+    x = parts.where(few & (F.col("root") != F.col("main"))).select("key", F.col("fp").alias("x"), F.col("size").alias("xsize"), F.col("root").alias("xr"))
+    y = parts.where(few).select("key", F.col("fp").alias("y"), F.col("size").alias("ysize"), F.col("root").alias("yr"))
+    fit = F.least("xsize", "ysize") >= similarity * F.greatest("xsize", "ysize") - 1e-9
+    across = x.join(y, "key").where((F.col("xr") != F.col("yr")) & fit).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    links = first.unionByName(_alike(across.join(stars, ["a", "b"], "left_anti"), found, similarity))
+    blocks = lambda n, s: F.greatest(F.ceil(F.col(n) / BLOCK_ROWS), F.ceil(F.col(s) / BLOCK_HASHES), F.lit(1)).cast("int")
+    large = parts.where(~few).withColumns({"bx": blocks("xn", "xs"), "by": blocks("n", "s")})
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    place = lambda n: F.pmod(F.xxhash64("fp", "key"), F.col(n)).cast("int")
+    xs = large.where("root <> main").withColumn("j", every("by")).select("key", place("bx").alias("i"), "j", F.lit(0).alias("side"), "fp", "root")
+    ys = large.withColumn("i", every("bx")).select("key", "i", place("by").alias("j"), F.lit(1).alias("side"), "fp", "root")
+    return links.unionByName(_compared(xs.unionByName(ys).join(found, "fp"), similarity))
 
 
 def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs, one of each class of texts linked by the similarity: that of the smallest id (null ids last; equal ids: the smaller fp, then any row).
+    """The rows of docs, one of each class of texts linked by the similarity: that of the smallest id (null ids last; of equal ids, the smallest hash of the row; of equal rows, any).
 
     Null, empty and blank texts have the empty set and are one class.
     """
     names = {c: f"c_{i}" for i, c in enumerate(docs.columns)}  # so that a column called fp cannot clash
-    rows = cut(sketches(docs.withColumnsRenamed(names), list(names.values()), names[text], words), "sketches")
-    sets = cut(rows.groupBy("fp").agg(F.min(names[id]).alias("low"), F.first("size").alias("size"), F.first("keys").alias("keys")), "distinct")
+    rows = sketches(docs.withColumnsRenamed(names), list(names.values()), names[text], words)
+    rows = rows.withColumns({"rid": F.monotonically_increasing_id(), "hash": F.xxhash64(*(F.col(n) for n in names.values()))})
+    rows = cut(rows, "sketches")  # the number of a row is fixed once written
+    best = F.min(F.struct(F.col(names[id]).isNull().alias("none"), F.col(names[id]).alias("low"), "hash", "rid")).alias("r")
+    sets = cut(rows.groupBy("fp").agg(best, F.first("sim").alias("sim"), F.first("size").alias("size"), F.first("keys").alias("keys")), "distinct")
     comp = components(near_links(rows, sets, names[text], words, similarity), "a", "b")
-    named = sets.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    first = named.groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "fp")).alias("r")).select(F.col("r.low").alias("low"), F.col("r.fp").alias("print"))
-    kept = rows.join(first, (F.col("fp") == F.col("print")) & F.col(names[id]).eqNullSafe(F.col("low")))
-    return kept.dropDuplicates([names[id], "fp"]).select(*(F.col(n).alias(c) for c, n in names.items()))
+    named = sets.join(comp, F.col("fp") == F.col("node"), "left").select("r", F.coalesce("root", "fp").alias("root"))
+    first = named.groupBy("root").agg(F.min("r").alias("r")).select("r.rid")
+    return rows.join(first, "rid", "left_semi").select(*(F.col(n).alias(c) for c, n in names.items()))

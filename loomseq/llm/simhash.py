@@ -34,23 +34,33 @@ _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)  # bits
 _BYTE = (np.arange(8) * 256).astype(np.int64)
 
 
-def fingerprint(text: bytes | None, xxh) -> int:
-    """SimHash as a signed 64-bit integer; no words: 0."""
+def shingle_hashes(text: bytes | None, size: int, xxh) -> list[int]:
+    """XXH64 of each shingle of `size` words, repeats included; of fewer words, of the whole sequence; none without a word."""
     words = text.lower().split() if text else []  # bytes: A-Z only, and white space as the contract has it
     if not words:
-        return 0
+        return []
     line = b" ".join(words)
-    n = len(words) - SHINGLE + 1
+    n = len(words) - size + 1
     if n <= 1:
-        h = [xxh(line, SEED)]
-    else:
-        end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        h = [xxh(line[a:b], SEED) for a, b in zip([0, *end[: n - 1].tolist()], (end[SHINGLE - 1 :] - 1).tolist(), strict=True)]
-    octets = np.array(h, np.uint64).view(np.uint8).reshape(-1, 8)
+        return [xxh(line, SEED)]
+    end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    return [xxh(line[a:b], SEED) for a, b in zip([0, *end[: n - 1].tolist()], (end[size - 1 :] - 1).tolist(), strict=True)]
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that more than half of the hashes (uint64) have, as a signed integer; of none: 0."""
+    if not len(h):
+        return 0
+    octets = h.view(np.uint8).reshape(-1, 8)
     counts = np.bincount((octets + _BYTE).ravel(), minlength=2048).reshape(8, 256) @ _BITS
     return int(np.packbits(counts.ravel() * 2 > len(h), bitorder="little").view(np.int64)[0])
 
 
+def fingerprint(text: bytes | None, xxh, size: int = SHINGLE) -> int:
+    """SimHash as a signed 64-bit integer; no words: 0."""
+    return majority(np.array(shingle_hashes(text, size, xxh), np.uint64))
+
+
 def gray_rank(f: np.ndarray) -> np.ndarray:
     """Place of each fingerprint in the reflected Gray code's order."""
     f = f.astype(np.uint64, copy=True)

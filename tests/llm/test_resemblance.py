@@ -47,3 +47,26 @@ def test_changed_words_chains_and_copies(spark):
     want = plain_kept([r[:2] for r in rows])
     assert len(want) == 24
     assert {r.doc_id for r in keep_one(spark.createDataFrame(rows, DOCS)).collect()} == want
+
+
+def test_a_large_group_whose_members_are_half_alike(spark, monkeypatch):
+    """Most pairs share a key and few are links, so that cells of blocks decide."""
+    import loomseq.llm.resemblance as R
+
+    monkeypatch.setattr(R, "BLOCK_ROWS", 16)
+    rng = random.Random(8)
+    base, rows = [f"b{k}" for k in range(150)], []
+    for n in range(150):
+        text = list(base)
+        for at in rng.sample(range(150), rng.choice([1, 2, 2, 3, 3, 4])):
+            text[at] = f"x{rng.randrange(10**6)}"
+        rows.append((n, " ".join(text), "en", "a", 0))
+    want = plain_kept([r[:2] for r in rows])
+    assert 1 < len(want) < 150
+    assert {r.doc_id for r in keep_one(spark.createDataFrame(rows, DOCS)).collect()} == want
+
+
+def test_equal_ids_and_rows(spark):
+    rows = [(1, "a b c d e f", "en", "z", 1), (1, "a b c d e f", "en", "y", 1), (1, "a b c d e f", "en", "z", 1), (None, "a b c d e f", "en", "a", 1), (None, None, None, None, None), (2, "", None, None, None)]
+    got = [{tuple(r) for r in keep_one(spark.createDataFrame(x, DOCS)).collect()} for x in (rows, rows[::-1])]
+    assert got[0] == got[1] and {r[0] for r in got[0]} == {1, 2} and len(got[0]) == 2
