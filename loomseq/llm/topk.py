@@ -2,17 +2,19 @@
 
 A cover tree is built over a bounded sample (SAMPLE vectors; its nets halve
 their radius from level to level). Every data row goes to its nearest leaf, so
-the index holds all rows; each task has a range of leaves, with the covering
-radius of what it really holds. Queries sit in the same tree. A task descends
-pairs (query node, data node) from the best bound on and prunes a pair when
+the index holds all rows, in chunks of CHUNK along the order of the leaves. A
+query goes to the chunks of those leaves that may hold one of its k best: with
+the leaf's covering radius r, <q, c> + |q| r is the most that a row of leaf c
+can score, and the worst k-th score so far starts from the sample, which is part
+of the data. A task has one chunk and at most QUERIES queries, hangs both into
+the tree, and descends pairs (query node, data node) from the best bound on; it
+prunes a pair when
     <a, b> + |a| rb + |b| ra + ra rb
 (centres a and b, covering radii ra and rb) is below the worst k-th score that
-the node's queries have so far. That worst score starts from the sample, which
-is part of the data, so pruning is in force from the first pair on. Tasks send
-what may still be in a query's top k, and a last ranking takes the best.
+the node's queries have so far. Tasks send what may still be in a query's top k,
+and a last ranking takes the best.
 
-Queries go to the tasks in blocks of QUERY_BLOCK rows, one pass over the index
-for each block, so neither side is ever held whole.
+The driver holds the sample, its tree, and one row for each leaf.
 """
 
 from __future__ import annotations
@@ -25,9 +27,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomseq.llm.common import table
+from loomseq.operators.running import running_sums
 from loomseq.sources.shared import cut
 
-SAMPLE, LEAVES, QUERY_BLOCK, CHUNK = 2048, 256, 16_384, 4096
+SAMPLE, LEAVES, QUERIES, CHUNK = 2048, 256, 2048, 4096
 
 
 class CoverTree:
@@ -165,21 +168,20 @@ def _matrix(col: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 20, id: str = "vec_id", vector: str = "embedding", query_block: int = QUERY_BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 20, id: str = "vec_id", vector: str = "embedding", most: int = QUERIES, chunk: int = CHUNK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k highest inner products with rows of another id, ties to the smaller id.
 
     Both tables hold an integer id and a vector of integers (array<bigint>); rows
     with a null id or vector take no part; a shorter vector counts as padded
     with zeros. Repeated data rows are candidates each; repeated query ids with
-    equal vectors count once. Empty tables give an empty result.
+    equal vectors count once, with different vectors each has its own ranking.
+    Empty tables give an empty result.
     """
     spark = vectors.sparkSession
-    out_type = "query_id long, vec_id long, score long"
     data = vectors.select(F.col(id).cast("long").alias("vec_id"), F.col(vector).alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
     asked = queries.select(F.col(id).cast("long").alias("vec_id"), F.col(vector).alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL").dropDuplicates()
-    dim = (data.union(asked).agg(F.max(F.size("v"))).first()[0] or 0)
+    dim = data.union(asked).agg(F.max(F.size("v"))).first()[0] or 0
     sample = data.orderBy(F.xxhash64("vec_id", "v")).limit(SAMPLE).collect()
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     if not dim or not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     pad = np.zeros((len(sample), dim), np.int64)
@@ -189,58 +191,64 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 20, id: str = "vec
     sent = spark.sparkContext.broadcast((tree, pad, np.array([r.vec_id for r in sample])))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = sent.value[0]
         for b in batches:
-            leaf = sent.value[0].assign(_matrix(b.column(1), dim).astype(np.float64))
-            yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int32)), *b.columns], names=["leaf", "vec_id", "v"])
-
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    index = cut(data.mapInArrow(place, "leaf int, vec_id long, v array<long>").repartitionByRange(n, "leaf", F.xxhash64("vec_id", "v")).sortWithinPartitions("leaf"), "vectors")
-    asked = cut(asked, "queries")
-    blocks = max(1, -(-asked.count() // query_block))
-    found = None
-    for block in range(blocks):
-        some = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block)
-        part = _search(spark, index, some, sent, dim, k, out_type)
-        found = part if found is None else found.union(part)
+            x = _matrix(b.column(1), dim).astype(np.float64)
+            leaf = tree.assign(x)
+            far = np.sqrt(((x - tree.leaf_centres[leaf]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int32)), pa.array(far), *b.columns], names=["leaf", "far", "vec_id", "v"])
+
+    placed = data.mapInArrow(place, "leaf int, far double, vec_id long, v array<long>")
+    index = running_sums(placed, [], [F.asc("leaf"), F.xxhash64("vec_id", "v").asc()], {"n": F.lit(1).cast("long")})
+    index = cut(index.withColumn("chunk", F.expr(f"(n - 1) div {chunk}")).select("chunk", "leaf", "far", "vec_id", "v"), "vectors")
+    leaves = index.groupBy("leaf").agg(F.max("far").alias("r"), F.min("chunk").alias("first"), F.max("chunk").alias("last")).orderBy("leaf").collect()  # LEAVES rows at most
+    held = spark.sparkContext.broadcast((np.array([r.leaf for r in leaves]), np.array([r.r for r in leaves]), np.array([r["first"] for r in leaves]), np.array([r["last"] for r in leaves])))
+    blocks = max(1, -(-asked.count() // most))
+
+    def aim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, sample, sample_ids = sent.value
+        leaf, radius, first, last = held.value
+        centres = tree.leaf_centres[leaf]
+        for b in batches:
+            for at in range(0, b.num_rows, most):
+                part = b.slice(at, most)
+                ids, q = part.column(0).to_numpy(), _matrix(part.column(1), dim)
+                score = np.where(ids[:, None] == sample_ids[None], np.iinfo(np.int64).min, _products(q, sample))
+                floor = np.sort(score, 1)[:, -k].copy() if len(sample) >= k else np.full(len(ids), np.iinfo(np.int64).min)
+                x = q.astype(np.float64)
+                bound = x @ centres.T + np.sqrt((x * x).sum(1))[:, None] * radius
+                near = bound + 1e-6 * np.abs(bound) + 1e-3 >= floor[:, None]
+                for c in range(int(first.min()), int(last.max()) + 1):  # leaves follow each other in the chunks
+                    some = np.flatnonzero(near[:, (first <= c) & (last >= c)].any(1))
+                    if len(some):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), c)), part.column(0).take(pa.array(some)), part.column(1).take(pa.array(some)), pa.array(floor[some])], names=["chunk", "query_id", "q", "floor"])
+
+    aimed = asked.mapInArrow(aim, "chunk long, query_id long, q array<long>, floor long").withColumns({"h": F.xxhash64("q"), "block": F.pmod(F.xxhash64("query_id", "q"), F.lit(blocks)).cast("int")})
+    rows = index.drop("far").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) if blocks > 1 else index.drop("far").withColumn("block", F.lit(0))
+
+    def search(left, right):
+        import pandas as pd
+
+        if not len(left) or not len(right):
+            return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query_id", "h", "vec_id", "score")})
+        q, x = _rows(right.q, dim), _rows(left.v, dim)
+        run = Search(sent.value[0], right.query_id.to_numpy(), q, k, right.floor.to_numpy().copy())
+        row, vec, score = run.run(left.leaf.to_numpy(), left.vec_id.to_numpy(), x)
+        keep = score >= run.floor[row]
+        row, vec, score = row[keep], vec[keep], score[keep]
+        return pd.DataFrame({"query_id": run.ids[row], "h": right.h.to_numpy()[row], "vec_id": vec, "score": score})
+
+    cells = rows.groupBy("chunk", "block").cogroup(aimed.groupBy("chunk", "block"))
+    found = cells.applyInPandas(search, "query_id long, h long, vec_id long, score long")
+    ranked = Window.partitionBy("query_id", "h").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _search(spark, index, some, sent, dim, k, out_type) -> DataFrame:
-    rows = some.orderBy("vec_id", "v").collect()  # one block of queries
-    q = np.zeros((len(rows), dim), np.int64)
-    for i, r in enumerate(rows):
-        q[i, : len(r.v)] = r.v
-    block = spark.sparkContext.broadcast((np.array([r.vec_id for r in rows], np.int64), q))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, sample, sample_ids = sent.value
-        ids, q = block.value
-        if not len(ids):
-            return
-        score = np.where(ids[:, None] == sample_ids[None], np.iinfo(np.int64).min, _products(q, sample))
-        floor = np.sort(score, 1)[:, -k].copy() if len(sample) >= k else np.full(len(ids), np.iinfo(np.int64).min)
-        run = Search(tree, ids, q, k, floor)
-        held, size = [], 0
-        best = (np.zeros(0, np.int64),) * 3
-
-        def solve(best):
-            t = pa.Table.from_batches(held).combine_chunks()
-            new = run.run(t.column(0).to_numpy(), t.column(1).to_numpy(), _matrix(t.column(2).chunk(0), dim))
-            return run._best(*(np.concatenate(x) for x in zip(best, new, strict=True)))
-
-        for b in batches:
-            for at in range(0, b.num_rows, CHUNK):
-                held.append(b.slice(at, CHUNK))
-                size += held[-1].num_rows
-                if size >= CHUNK:
-                    best, held[:], size = solve(best), [], 0
-        if size:
-            best = solve(best)
-        keep = best[2] >= run.floor[best[0]]
-        row, vec, score = (x[keep] for x in best)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(vec), pa.array(score)], names=["query_id", "vec_id", "score"])
-
-    return index.mapInArrow(search, out_type)
+def _rows(col, dim: int) -> np.ndarray:
+    out = np.zeros((len(col), dim), np.int64)
+    for i, v in enumerate(col):
+        out[i, : len(v)] = v
+    return out
 
 
 def quantized(embeddings: DataFrame, id: str = "vec_id", vector: str = "embedding") -> DataFrame:

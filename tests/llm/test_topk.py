@@ -21,8 +21,8 @@ def test_query_equals_brute_force(spark):
     assert got == plain(ids, vecs, [ids[i] for i in own], [vecs[i] for i in own], 20)
 
 
-@pytest.mark.parametrize("block", [7, 10_000])
-def test_clusters_ties_short_and_odd_vectors(spark, block):
+@pytest.mark.parametrize("block, chunk", [(7, 50), (10_000, 4096)])
+def test_clusters_ties_short_and_odd_vectors(spark, block, chunk):
     rng = np.random.default_rng(1)
     centre = rng.normal(0, 3, (5, 6))
     vecs = [(centre[rng.integers(5)] + rng.normal(0, 0.05, 6)).tolist() for _ in range(400)]
@@ -33,7 +33,7 @@ def test_clusters_ties_short_and_odd_vectors(spark, block):
     assert v.count() == len(vecs)
     whole = [[int(np.floor(64 * c)) for c in x] for x in vecs]
     q = list(range(0, len(vecs), 20)) + [401]
-    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(v, v.where(v.vec_id.isin(q)), k=9, query_block=block).collect()}
+    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(v, v.where(v.vec_id.isin(q)), k=9, most=block, chunk=chunk).collect()}
     assert got == plain(range(len(vecs)), whole, q, [whole[i] for i in q], 9)
 
 
@@ -51,3 +51,10 @@ def test_pruning_skips_far_nodes():
     run = Search(tree, np.array([-1]), x[-1:], 3, np.array([np.sort(x[::7] @ x[-1])[-3]]))
     row, vec, score = run.run(tree.assign(x.astype(float)), np.arange(len(x)), x)
     assert sorted(score.tolist()) == sorted((x @ x[-1]).tolist())[-3:]
+
+
+def test_a_query_id_with_two_vectors_has_two_rankings(spark):
+    data = spark.createDataFrame([(i, [i, 1]) for i in range(10)], "vec_id long, embedding array<long>")
+    asked = spark.createDataFrame([(0, [1, 0]), (0, [-1, 0]), (0, [1, 0])], "vec_id long, embedding array<long>")
+    got = sorted((r["rank"], r.vec_id, r.score) for r in top_k(data, asked, k=2).collect())
+    assert got == [(1, 1, -1), (1, 9, 9), (2, 2, -2), (2, 8, 8)]
