@@ -1,15 +1,18 @@
 """Operator 1, toxicity by weak supervision.
 
 Voters: lexicon units (whole words and word beginnings that the labelled rows
-set apart) and a few patterns. A generative label model estimates each voter's
-accuracy (how often it fires on either class) by expectation-maximization, and
-the correlation of voters within a class; a voter that fires together with
-others counts for less. Its posteriors are the labels of a linear classifier
-over the voters' counts, which scores every document.
-
-Only the labelled sample (LABELLED rows at most, the first by a hash of the
-id, of texts up to LONGEST bytes) is fitted on the driver; the scoring is one
-map over all documents and whole texts.
+set apart), a few patterns, and the label itself. A generative label model
+estimates by expectation-maximization, for either class, how often each voter
+fires and how voters depend on each other: within a class, a voter's chance
+depends on whether the voter fires that it is most correlated with (a tree over
+all voters, of the largest mutual information given the class). A voter that
+only repeats another therefore adds nothing. The model's posteriors are the
+labels of a linear classifier over the voters' counts, which scores every
+document.
+
+Only the labelled sample (LABELLED rows at most, the first by a hash of the id
+among texts up to LONGEST bytes: 320 MB at most) is fitted on the driver; the
+scoring is one map over all documents and whole texts.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from loomseq.llm.common import fold, map_text, slices, table
 from loomseq.sources.shared import cut
 
 #: Bounds, all parameters of learn(): labelled rows fitted, the longest text among them (bytes), lexicon units tried and taken, and the least number of labelled documents that hold a unit.
-LABELLED, LONGEST, TRIED, UNITS, SUPPORT = 20_000, 1 << 16, 50_000, 512, 4
+LABELLED, LONGEST, TRIED, UNITS, SUPPORT = 20_000, 1 << 14, 50_000, 512, 4
 STEMS = (4, 5, 6)
 #: Patterns that vote beside the lexicon: address in the second person, shouting, masked words.
 PATTERNS = (
@@ -133,38 +136,73 @@ class Votes:
 
 
 class LabelModel:
-    """Generative model of binary votes given the class, with a discount for voters that fire together."""
+    """Generative model of binary votes given the class: a tree of voters, each depending on its parent and the class.
+
+    hit and false: how often a voter fires in the toxic and the other class;
+    parent: the voter it depends on (-1 at the root); given[c, a, i]: how often
+    voter i fires in class c when its parent does (a = 1) or does not. trust: how
+    often the label agrees with the class, estimated too.
+    """
 
     def __init__(self, votes: np.ndarray, labels: np.ndarray, steps: int = 10, trust: float = 0.95):
-        given = np.where(labels == 1, trust, 1 - trust)  # a label is one more vote, of this accuracy
-        post = given.copy()
+        self.trust = trust
+        post = np.where(labels == 1, trust, 1 - trust)
         for _ in range(steps):
             on, off = post.sum(), (1 - post).sum()
-            self.hit = (post @ votes + 0.1) / (on + 1)
-            self.false = ((1 - post) @ votes + 0.1) / (off + 1)
             self.prior = float(np.clip(on / max(1.0, on + off), 1e-3, 1 - 1e-3))
-            self.weight = 1 / (1 + self._together(votes, post))
-            post = self._posterior(votes, np.log(given / (1 - given)))
+            agree = post[labels == 1].sum() + (1 - post)[labels != 1].sum()
+            self.trust = float(np.clip((agree + 9.5) / (len(votes) + 10), 0.6, 0.99))
+            self._fit(votes, post)
+            post = self._posterior(votes, labels)
         self.posterior = post
 
+    def _fit(self, votes: np.ndarray, post: np.ndarray) -> None:
+        n = votes.shape[1]
+        rate, given, gain = [], [], np.zeros((n, n))
+        for p in (1 - post, post):
+            mass = p.sum() + 1
+            one = p @ votes + 0.1
+            both = votes.T @ (votes * p[:, None]) + 0.02
+            np.fill_diagonal(both, one)
+            rate.append(one / mass)
+            # Mutual information of each pair within the class, over the four outcomes.
+            cells = (both, one[:, None] - both, one[None] - both, mass - one[:, None] - one[None] + both)
+            edge = (one / mass, 1 - one / mass)
+            for k, c in enumerate(cells):
+                q = np.maximum(c, 1e-9) / mass
+                gain += mass * q * np.log(q / np.maximum(edge[k >> 1][:, None] * edge[k & 1][None], 1e-12))
+            # given[a][i, j]: how often i fires when j does not (a = 0) or does.
+            given.append(((one[:, None] - both) / np.maximum(mass - one[None], 1e-9), both / one[None]))
+        self.false, self.hit = rate
+        np.fill_diagonal(gain, -np.inf)
+        self.parent = self._tree(gain)
+        at, up = np.arange(n), np.maximum(self.parent, 0)
+        self.given = np.stack([np.stack([np.where(self.parent < 0, rate[c], given[c][a][at, up]) for a in (0, 1)]) for c in (0, 1)]).clip(1e-4, 1 - 1e-4)
+
     @staticmethod
-    def _together(votes: np.ndarray, post: np.ndarray) -> np.ndarray:
-        """Of each voter, the sum of its positive correlations with others, within the classes."""
-        total = np.zeros(votes.shape[1])
-        for p in (post, 1 - post):
-            mean = p @ votes / max(p.sum(), 1e-9)
-            d = (votes - mean) * np.sqrt(p)[:, None]
-            cov = d.T @ d
-            std = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            r = np.clip(cov / std[:, None] / std[None], 0, 1)
-            np.fill_diagonal(r, 0)
-            total = np.maximum(total, np.where(r > 0.2, r, 0).sum(1))
-        return total
-
-    def _posterior(self, votes: np.ndarray, extra: np.ndarray) -> np.ndarray:
-        fire = np.log(self.hit / self.false)
-        quiet = np.log((1 - self.hit) / (1 - self.false))
-        s = np.log(self.prior / (1 - self.prior)) + extra + (votes @ ((fire - quiet) * self.weight) + (quiet * self.weight).sum())
+    def _tree(gain: np.ndarray) -> np.ndarray:
+        """Parents in the spanning tree of the largest total gain."""
+        n = len(gain)
+        parent, best, near = np.full(n, -1), np.full(n, -np.inf), np.full(n, -1)
+        left, at = np.ones(n, bool), 0
+        for _ in range(n):
+            left[at] = False
+            parent[at] = near[at]
+            closer = left & (gain[at] > best)
+            best[closer], near[closer] = gain[at][closer], at
+            if not left.any():
+                break
+            at = int(np.where(left, best, -np.inf).argmax())
+        return parent
+
+    def _posterior(self, votes: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        s = np.log(self.prior / (1 - self.prior)) + np.where(labels == 1, 1, -1) * np.log(self.trust / (1 - self.trust))
+        up = np.where(self.parent < 0, 0, votes[:, np.maximum(self.parent, 0)])
+        for a in (0, 1):
+            p0, p1 = self.given[0, a], self.given[1, a]
+            fire, quiet = np.log(p1 / p0), np.log((1 - p1) / (1 - p0))
+            mine = up if a else 1 - up
+            s = s + (mine * votes) @ fire + (mine * (1 - votes)) @ quiet
         return 1 / (1 + np.exp(-np.clip(s, -30, 30)))
 
 
@@ -203,16 +241,17 @@ class Scorer:
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = LABELLED, longest: int = LONGEST, tried: int = TRIED, units: int = UNITS, support: int = SUPPORT) -> Scorer:
-    """Fit on at most `most` labelled rows (lowest hash of the id first).
+    """Fit on at most `most` labelled rows of texts up to `longest` bytes (lowest hash of the id first).
 
     Labels other than 0 and 1 and null ids are passed over; an id labelled more
-    than once counts as toxic if any label says so. Without labelled rows, the
+    than once counts as toxic if any label says so, a document more than once by its
+    smallest text. Without labelled rows, the
     scorer gives 0.5 to all.
     """
     marked = labels.where(F.col(label).isin(0, 1) & F.col(id).isNotNull()).groupBy(F.col(id).alias("__id")).agg(F.max(label).cast("int").alias("toxic"))
-    few = marked.orderBy(F.xxhash64("__id"), "__id").limit(most)  # bounded by `most`: small enough to send to every task
     fitted = docs.select(F.col(id).alias("__id"), F.col(text).cast("string").alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest)
-    sample = cut(fitted.join(F.broadcast(few), "__id").dropDuplicates(["__id"]).select("__id", "toxic", "text"), "labelled")
+    few = fitted.select("__id").join(marked, "__id").distinct().orderBy(F.xxhash64("__id"), "__id").limit(most)  # bounded by `most`: small enough to send to every task
+    sample = cut(fitted.join(F.broadcast(few), "__id").groupBy("__id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")), "labelled")
     n = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     if not n:
         return Scorer([], [], np.zeros(0))

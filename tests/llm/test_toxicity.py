@@ -21,7 +21,9 @@ def test_label_model_recovers_accuracies_and_discounts_copies():
     noisy = np.where(rng.random(4000) < 0.9, y, ~y).astype(int)
     m = LabelModel(votes, noisy)
     assert abs(m.hit[0] - 0.8) < 0.1 and abs(m.false[0] - 0.1) < 0.06
-    assert m.weight[1] < 0.5 < m.weight[0]
+    assert sorted(m.parent[[1, 3, 4]].tolist())[1:] != [-1, -1] and sum(p in (1, 3, 4) for p in m.parent[[1, 3, 4]]) == 2  # copies hang on each other
+    once = LabelModel(votes[:, :3], noisy)
+    assert np.abs(m.posterior - once.posterior).mean() < 0.02 and 0.85 < m.trust < 0.97
     assert ((m.posterior > 0.5) == y).mean() > 0.92
 
 
@@ -35,3 +37,35 @@ def test_shapes_nulls_and_clashing_columns(spark):
     assert by_id[0] == 1 and by_id[3] == 0 and by_id[None] == 1 and by_id[92] == 1 and by_id[90] == 0 and by_id[91] == 0
     assert {r.score for r in score_toxicity(df, learn(df, labels.limit(0)), keep=["doc_id"]).collect()} == {0.5}
     assert score_toxicity(df.limit(0), learn(df.limit(0), labels), keep=["doc_id"]).count() == 0
+
+
+def test_query_equals_plain_scores(spark):
+    """The query's scores from the fitted units and weights, each text by itself in plain Python."""
+    import math
+    import re
+
+    from loomseq.llm.common import fold
+    from loomseq.llm.toxicity import PATTERNS
+    from pyspark.sql import functions as F
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    s = learn(docs, labels.where(fold(F.col("doc_id"), 5) != 0))
+    got = {r.doc_id: r for r in op1_toxicity(spark, SF).collect()}
+    assert len(got) == docs.count() and s.voters.units
+    for r in docs.collect():
+        text = (r.text or "").encode()
+        words = re.findall(rb"[a-z\x80-\xff]+", text.lower())
+        counts = [sum(w.startswith(u[:-1]) if u.endswith(b"*") else w == u for w in words) for u in s.voters.units]
+        hits, total = sum(c > 0 for c in counts), sum(counts)
+        counts += [len(list(re.finditer(p, text))) for p in PATTERNS]
+        x = [math.log1p(c) for c in counts] + [float(hits > 0), math.log1p(total), math.log1p(1000 * total / max(1, len(words)))]
+        want = 1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(x, s.w.tolist(), strict=True)) + float(s.b)))))
+        g = got[r.doc_id]
+        assert abs(g.score - want) < 1e-4 and g.predicted == int(g.score >= 0.5)
+
+
+def test_texts_too_long_for_the_fit_do_not_shrink_the_sample(spark):
+    docs = spark.createDataFrame([(i, ("zork " if i % 2 else "tea ") + "x " * (3000 if i < 40 else 3)) for i in range(80)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    s = learn(docs, labels, most=40, longest=1000)
+    assert len(s.voters.units) and {r.predicted for r in score_toxicity(docs.where("doc_id % 2 = 1"), s, keep=[]).collect()} == {1}
