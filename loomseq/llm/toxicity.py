@@ -144,40 +144,44 @@ class LabelModel:
     often the label agrees with the class, estimated too.
     """
 
-    def __init__(self, votes: np.ndarray, labels: np.ndarray, steps: int = 10, trust: float = 0.95):
-        self.trust = trust
+    def __init__(self, votes: np.ndarray, labels: np.ndarray, steps: int = 40, trust: float = 0.95):
+        self.trust, self.parent = trust, np.full(votes.shape[1], -1)
         post = np.where(labels == 1, trust, 1 - trust)
-        for _ in range(steps):
+        for step in range(steps):
             on, off = post.sum(), (1 - post).sum()
             self.prior = float(np.clip(on / max(1.0, on + off), 1e-3, 1 - 1e-3))
             agree = post[labels == 1].sum() + (1 - post)[labels != 1].sum()
             self.trust = float(np.clip((agree + 9.5) / (len(votes) + 10), 0.6, 0.99))
+            if step in (0, 3):  # the tree follows the first posteriors, then its numbers go on alone
+                self.parent = self._tree(self._gain(votes, post))
             self._fit(votes, post)
             post = self._posterior(votes, labels)
         self.posterior = post
 
-    def _fit(self, votes: np.ndarray, post: np.ndarray) -> None:
-        n = votes.shape[1]
-        rate, given, gain = [], [], np.zeros((n, n))
+    def _gain(self, votes: np.ndarray, post: np.ndarray) -> np.ndarray:
+        """Mutual information of each pair of voters given the class, over the four outcomes."""
+        gain = np.zeros((votes.shape[1],) * 2)
         for p in (1 - post, post):
-            mass = p.sum() + 1
-            one = p @ votes + 0.1
+            mass, one = p.sum() + 1, p @ votes + 0.1
             both = votes.T @ (votes * p[:, None]) + 0.02
             np.fill_diagonal(both, one)
-            rate.append(one / mass)
-            # Mutual information of each pair within the class, over the four outcomes.
-            cells = (both, one[:, None] - both, one[None] - both, mass - one[:, None] - one[None] + both)
             edge = (one / mass, 1 - one / mass)
-            for k, c in enumerate(cells):
+            for k, c in enumerate((both, one[:, None] - both, one[None] - both, mass - one[:, None] - one[None] + both)):
                 q = np.maximum(c, 1e-9) / mass
                 gain += mass * q * np.log(q / np.maximum(edge[k >> 1][:, None] * edge[k & 1][None], 1e-12))
-            # given[a][i, j]: how often i fires when j does not (a = 0) or does.
-            given.append(((one[:, None] - both) / np.maximum(mass - one[None], 1e-9), both / one[None]))
-        self.false, self.hit = rate
         np.fill_diagonal(gain, -np.inf)
-        self.parent = self._tree(gain)
-        at, up = np.arange(n), np.maximum(self.parent, 0)
-        self.given = np.stack([np.stack([np.where(self.parent < 0, rate[c], given[c][a][at, up]) for a in (0, 1)]) for c in (0, 1)]).clip(1e-4, 1 - 1e-4)
+        return gain
+
+    def _fit(self, votes: np.ndarray, post: np.ndarray) -> None:
+        up = np.where(self.parent < 0, 0, votes[:, np.maximum(self.parent, 0)])
+        rate, given = [], []
+        for p in (1 - post, post):
+            mass, one, parents, both = p.sum() + 1, p @ votes + 0.1, p @ up + 0.1, p @ (votes * up) + 0.02
+            rate.append(one / mass)
+            quiet = np.where(self.parent < 0, one / mass, (one - both) / np.maximum(mass - parents, 1e-9))
+            given.append(np.stack([quiet, np.where(self.parent < 0, one / mass, both / parents)]))
+        self.false, self.hit = rate
+        self.given = np.stack(given).clip(1e-4, 1 - 1e-4)
 
     @staticmethod
     def _tree(gain: np.ndarray) -> np.ndarray:
