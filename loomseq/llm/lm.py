@@ -30,6 +30,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ ORDERS, LONG = 5, 64
 SPACE, LEAST_BITS, MOST_BITS = 4, 18, 28
 #: Words that make up at least 1 / HEAVY of all tokens number at most HEAVY; those of up to LONG bytes go to the tasks with their counts.
 HEAVY = 500_000
-SHARDS, CACHE, TEXTS = 64, 2_000_000, 4 << 20
+SHARDS, CACHE, TEXTS = 64, 2_000_000, 2 << 20
 LEVELS = np.array([2, 4, 16, 128], np.float32)  # how often the longest context was seen
 GATES, MAPS, STEPS = (ORDERS + 1) * (len(LEVELS) + 1) * 8, 256, 33
 RATE, PRIOR = 0.05, 200.0  # step of the weights; occurrences that a cell's first value counts for
@@ -202,7 +203,9 @@ class Costs:
         self.gram, self.cost = np.zeros(0, np.int64), np.zeros(0)
 
     def of(self, gram: np.ndarray) -> np.ndarray:
-        g, inverse = np.unique(gram, return_inverse=True)
+        codes, g = pd.factorize(gram)
+        order = np.argsort(g)
+        g, inverse = g[order], np.argsort(order)[codes]
         at = np.searchsorted(self.gram, g)
         known = self.gram[np.minimum(at, len(self.gram) - 1)] == g if len(self.gram) else np.zeros(len(g), bool)
         cost = np.zeros(len(g))
@@ -230,26 +233,32 @@ def tally(training: DataFrame, text: str, most: int = 200_000) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
-        edge = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        edges: list[tuple[np.ndarray, np.ndarray]] = []  # grams and their counts
+
+        def merged() -> None:
+            edges[:] = [_add(*(np.concatenate(x) for x in zip(*edges, strict=True)))]
 
         def rows():
             names, n = list(words), np.fromiter(words.values(), np.int64, len(words))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.nulls(len(names), pa.int64()), pa.array(n)], names=["word", "gram", "n"])
             g, first = word_grams(names)
-            total = _add(np.r_[edge[0], g], np.r_[edge[1], np.repeat(n, np.diff(np.r_[first, len(g)]))])
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(total[0]), pa.binary()), pa.array(total[0]), pa.array(total[1])], names=["word", "gram", "n"])
+            edges.append((g, np.repeat(n, np.diff(np.r_[first, len(g)]))))
+            merged()
+            g, n = edges.pop()
+            words.clear()
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(g), pa.binary()), pa.array(g), pa.array(n)], names=["word", "gram", "n"])
 
         for batch in batches:
             for part in slices(batch, TEXTS):
                 texts = [_tokens(t) for t in part.column(0).cast(pa.binary()).to_pylist()]
                 for t in texts:
                     words.update(t)
-                g = np.sort(edge_grams(texts)[0])
-                edge = _add(np.r_[edge[0], g], np.r_[edge[1], np.ones(len(g), np.int64)])
-                if len(words) > most or len(edge[0]) > 5 * most:
+                codes, g = pd.factorize(edge_grams(texts)[0])
+                edges.append((g, np.bincount(codes, minlength=len(g))))
+                if sum(len(g) for g, _ in edges) > 5 * most:
+                    merged()
+                if len(words) > most or len(edges[0][0]) > 4 * most:
                     yield from rows()
-                    words.clear()
-                    edge = (edge[0][:0], edge[1][:0])
         if words:
             yield from rows()
 
