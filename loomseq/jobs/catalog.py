@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomseq.functions import sequence as S
-from loomseq.jobs import evidence
+from loomseq.jobs import calls, evidence, places
 from loomseq.operators import intervals as I
 from loomseq.operators import selection as L
 
@@ -64,7 +64,7 @@ def a16_empirical_tail(spark: SparkSession, sf: str) -> DataFrame:
 
 def w1_step_up(spark: SparkSession, sf: str) -> DataFrame:
     p = _read(spark, sf, "orders").select("o_orderkey", (F.pmod(F.col("o_orderkey") * 7919, F.lit(10007)) / 10007.0).alias("u")).select("o_orderkey", (F.col("u") * F.col("u") * F.col("u")).alias("p"))
-    return L.step_up(p, "p", 0.5).select("o_orderkey", "selected")
+    return L.step_up(p, "p", 0.5).select("o_orderkey", "selected", F.round("threshold", 12).alias("threshold"))
 
 
 def w5_bayes_prefix(spark: SparkSession, sf: str) -> DataFrame:
@@ -132,8 +132,9 @@ ORACLES: dict[str, str] = {
         SELECT s.source, bin, count(n_chars) AS n, coalesce(sum(n_chars), 0)::BIGINT AS total FROM s CROSS JOIN b LEFT JOIN documents d ON d.source = s.source AND n_chars BETWEEN lo AND hi GROUP BY ALL""",
     "a20_quantiles": "SELECT l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice, 0.5), 6) AS median, round(quantile_cont(l_extendedprice, 0.9), 6) AS p90, round(quantile_cont(l_extendedprice, 0.99), 6) AS p99 FROM lineitem GROUP BY ALL",
     "w1_step_up": """WITH u AS (SELECT o_orderkey, ((o_orderkey * 7919) % 10007) / 10007.0::DOUBLE AS u FROM orders), p AS (SELECT o_orderkey, u * u * u AS p FROM u),
-        h AS (SELECT sum(1.0::DOUBLE / i) AS h, count(*) AS m FROM (SELECT unnest(generate_series(1, (SELECT count(*) FROM p))) AS i)), r AS (SELECT p, row_number() OVER (ORDER BY p) AS k FROM p)
-        SELECT o_orderkey, coalesce(p <= (SELECT max(r.p) FROM r, h WHERE r.p <= k * 0.5::DOUBLE / (m * h)), false) AS selected FROM p""",
+        h AS (SELECT sum(1.0::DOUBLE / i) AS h, count(*) AS m FROM (SELECT unnest(generate_series(1, (SELECT count(*) FROM p))) AS i)), r AS (SELECT p, row_number() OVER (ORDER BY p) AS k FROM p),
+        t AS (SELECT p, max(k) * 0.5::DOUBLE / (any_value(m) * any_value(h)) AS t FROM r, h GROUP BY p), c AS (SELECT max(p) AS p, arg_max(t, p) AS t FROM t WHERE p <= t)
+        SELECT o_orderkey, coalesce(p.p <= c.p, false) AS selected, round(CASE WHEN p.p <= c.p THEN c.t ELSE t.t END, 12) AS threshold FROM p JOIN t ON p.p = t.p, c""",
     "w5_bayes_prefix": """WITH r AS (SELECT l_orderkey, l_linenumber, l_suppkey, row_number() OVER w AS rank, avg(l_discount * 2) OVER (w ROWS UNBOUNDED PRECEDING) AS m FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_discount * 2, l_orderkey * 10 + l_linenumber))
         SELECT l_orderkey, l_linenumber, rank::INTEGER AS rank, coalesce(rank <= max(CASE WHEN m <= 0.05 + 1e-9 THEN rank END) OVER (PARTITION BY l_suppkey), false) AS selected FROM r""",
     "f1_cigar": """WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey AS pos, CAST(floor(l_quantity) AS BIGINT) AS q FROM lineitem)
@@ -147,5 +148,5 @@ ORACLES: dict[str, str] = {
         FROM b LEFT JOIN k USING (p_partkey)""",
 }
 
-QUERIES |= evidence.QUERIES
-ORACLES |= evidence.ORACLES
+QUERIES |= evidence.QUERIES | calls.QUERIES | places.QUERIES
+ORACLES |= evidence.ORACLES | calls.ORACLES | places.ORACLES

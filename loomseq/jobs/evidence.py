@@ -157,8 +157,9 @@ ORACLES: dict[str, str] = {
         r AS (SELECT o, o AS low FROM z UNION SELECT e.b, r.low FROM r JOIN e ON e.a = r.o WHERE r.low < e.b)
         SELECT o AS l_orderkey, min(low) AS community FROM r GROUP BY o""",
     "a25_kmer_frequency": f"WITH k AS ({_KMERS.format(key='item_id', k=9, table='benchmark')}) SELECT kmer, count(DISTINCT item_id) AS n_groups, round(1 / count(DISTINCT item_id), 9) AS weight FROM k WHERE regexp_full_match(kmer, '[ACGT]+') GROUP BY kmer",
-    "j9_kmer_votes": f"""WITH q AS (SELECT DISTINCT doc_id, kmer FROM ({_KMERS.format(key='doc_id', k=8, table='documents')}) WHERE regexp_full_match(kmer, '[ACGT]+')), t AS ({_KMERS.format(key='item_id', k=8, table='benchmark')}),
-        l AS (SELECT kmer, min(item_id) AS item_id FROM t WHERE regexp_full_match(kmer, '[ACGT]+') GROUP BY kmer HAVING count(DISTINCT item_id) = 1) SELECT doc_id, item_id, count(*) AS hits FROM q JOIN l USING (kmer) GROUP BY ALL""",
+    "j9_kmer_votes": f"""WITH q AS (SELECT DISTINCT doc_id, kmer FROM ({_KMERS.format(key='doc_id', k=8, table='documents')}) WHERE regexp_full_match(kmer, '[ACGT]+')), f AS (SELECT * FROM ({_KMERS.format(key='item_id', k=8, table='benchmark')}) WHERE regexp_full_match(kmer, '[ACGT]+')),
+        t AS (SELECT * FROM f UNION ALL SELECT item_id, reverse(translate(kmer, 'ACGT', 'TGCA')) FROM f),
+        l AS (SELECT kmer, min(item_id) AS item_id FROM t GROUP BY kmer HAVING count(DISTINCT item_id) = 1) SELECT doc_id, item_id, count(*) AS hits FROM q JOIN l USING (kmer) GROUP BY ALL""",
     "a17_letter_runs": f"""WITH s AS (SELECT doc_id, translate(lower(text), '{BASES[0]}', '{BASES[1]}') AS s FROM documents), p AS (SELECT doc_id, unnest(regexp_extract_all(s, '([Nn]+|[^Nn]+)')) AS p, generate_subscripts(regexp_extract_all(s, '([Nn]+|[^Nn]+)'), 1) AS i FROM s),
         e AS (SELECT *, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS e FROM p) SELECT doc_id, e - length(p) AS start, e AS "end", length(p)::BIGINT AS length FROM e WHERE p LIKE 'N%' OR p LIKE 'n%'""",
     "a19_match_scores": """WITH e AS (SELECT event_id, event_type AS t, CAST(floor(epoch(ts)) AS BIGINT) AS pos FROM events), h AS (SELECT DISTINCT t, pos AS tp FROM e WHERE event_id % 2 <> 0),

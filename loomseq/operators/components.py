@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomseq.sources.shared import cut
+from loomseq.sources.shared import cut, new_path
 
 
 def components(links: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
@@ -21,9 +21,10 @@ def components(links: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
     input gives an empty result.
     """
     e = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    e = cut(e, "links")
+    paths = [new_path(links.sparkSession, "links") for _ in range(2)]  # rounds write them in turn
+    e = cut(e, path=paths[0])
     mark = _mark(e)
-    for _ in range(rounds):
+    for i in range(1, rounds + 1):
         if not mark[0]:
             break
         # Larger neighbours of each node move to its smallest neighbour.
@@ -33,7 +34,7 @@ def components(links: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
         # Smaller neighbours of each node, and itself, move to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(moved.union(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        e = cut(moved.union(low.select("u", F.col("m").alias("v"))).distinct(), path=paths[i % 2])
         now = _mark(e)
         if now == mark:
             break

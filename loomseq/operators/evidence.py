@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomseq.functions.sequence import kmers, reverse_complement
@@ -70,8 +74,8 @@ def kmer_votes(queries: DataFrame, query: str, sequence: str, library: DataFrame
     """query, entry, hits: distinct k-mers of a query that one library entry alone holds, on either strand. k-mers of two or more entries are ambiguous and left out."""
     forward = F.array_distinct(kmers(F.col(entry_sequence), k))
     lib = library.select(F.col(entry).alias("__e"), F.explode(F.array_union(forward, F.transform(forward, reverse_complement))).alias("kmer")).groupBy("kmer").agg(F.count_distinct("__e").alias("n"), F.min("__e").alias("__e")).where("n = 1")
-    q = queries.select(query, F.explode(F.array_distinct(kmers(F.col(sequence), k))).alias("kmer")).distinct()
-    return q.join(lib, "kmer").groupBy(query, F.col("__e").alias(entry)).agg(F.count("*").alias("hits"))
+    q = queries.select(query, F.explode(F.array_distinct(kmers(F.col(sequence), k))).alias("kmer"))
+    return q.join(lib, "kmer").groupBy(query, F.col("__e").alias(entry)).agg(F.count_distinct("kmer").alias("hits"))
 
 
 def match_scores(matched: DataFrame, truth_count: DataFrame, group: str) -> DataFrame:
@@ -87,9 +91,18 @@ def match_scores(matched: DataFrame, truth_count: DataFrame, group: str) -> Data
 
 
 def letter_runs(df: DataFrame, key: str, sequence: str, letter: str = "N") -> DataFrame:
-    """key, start, end, length: maximal runs of a letter, either case, half-open from 0."""
-    both = f"[{letter.upper()}{letter.lower()}]"
-    pieces = F.regexp_extract_all(sequence, F.lit(f"({both}+|[^{both[1:]}+)"), 1)
-    each = df.select(key, F.posexplode(pieces).alias("i", "p")).withColumn("length", F.length("p"))
-    w = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    return each.withColumn("end", F.sum("length").over(w)).where(F.rlike("p", F.lit(f"^{both}"))).select(key, (F.col("end") - F.col("length")).alias("start"), "end", F.col("length").cast("long").alias("length"))
+    """key, start, end, length: maximal runs of a letter, either case, half-open from 0. One pass over each sequence, without a shuffle; a null or empty one has none."""
+    find = re.compile(f"[{re.escape(letter.upper())}{re.escape(letter.lower())}]+").finditer
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, spans = [], []
+            for i, text in enumerate(b.column(1).to_pylist()):
+                found = [m.span() for m in find(text or "")]
+                at += [i] * len(found)
+                spans += found
+            start, end = (pa.array([s[j] for s in spans], pa.int64()) for j in (0, 1))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), start, end], names=[key, "start", "end"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, sequence).mapInArrow(run, f"`{key}` {kind}, start long, end long").withColumn("length", F.col("end") - F.col("start"))

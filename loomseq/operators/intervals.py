@@ -1,7 +1,7 @@
 """Interval joins, merges and nearest matches over any columns.
 
-Intervals are half-open. A join of intervals is an equi-join on (contig, bucket)
-and a test; each pair is kept in the one bucket where the later start lies, so
+Intervals are half-open. A join of intervals is an equi-join on (contig, size
+classes, bucket) and a test; each pair is kept in the one bucket where the later start lies, so
 no removal of repeated pairs is needed.
 """
 
@@ -13,25 +13,45 @@ from pyspark.sql import functions as F
 from loomseq.operators.running import running_extreme
 
 
-def _buckets(start: Column, end: Column, width: int) -> Column:
-    return F.sequence(F.floor(start / width), F.floor((F.greatest(end, start + 1) - 1) / width))
+#: Width of the buckets of the smallest size class; each further class is STEP times as wide.
+WIDTH, STEP, CLASSES = 64, 16, 12
 
 
-def overlap_join(left: DataFrame, right: DataFrame, width: int = 64) -> DataFrame:
+def _class(start: Column, end: Column) -> Column:
+    """Size class of an interval: the first whose buckets are at least as wide, so that it touches two of them at most."""
+    size = F.greatest(end - start, F.lit(1))
+    return F.aggregate(F.array(*(F.lit(WIDTH * STEP**i).cast("long") for i in range(CLASSES - 1))), F.lit(0), lambda n, w: n + (size > w).cast("int"))
+
+
+def _placed(df: DataFrame, start: str, end: str, own: str, other: str, others: list[int]) -> DataFrame:
+    """df with its size class (own), a class of the other side (other) and each bucket that it touches at the wider of the two."""
+    rows = df.withColumn(own, _class(F.col(start), F.col(end))).withColumn(other, F.explode(F.array(*map(F.lit, others))))
+    width = F.lit(WIDTH).cast("long") * F.pow(F.lit(STEP), F.greatest(own, other)).cast("long")
+    last = F.greatest(F.col(end), F.col(start) + 1) - 1
+    return rows.withColumn("width", width).withColumn("bucket", F.explode(F.sequence(F.floor(F.col(start) / F.col("width")), F.floor(last / F.col("width")))))
+
+
+def overlap_join(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of rows whose intervals overlap (l.end > r.start and l.start < r.end) on the same contig.
 
     left: contig, l_start, l_end and more; right: contig, r_start, r_end and
     more. Rows with a null contig or end point match nothing. Empty intervals
-    match what strictly holds them.
+    match what strictly holds them. An interval stands in two buckets at most
+    for each size class that the other side has, however long it is.
     """
-    a = left.withColumn("bucket", F.explode(_buckets(F.col("l_start"), F.col("l_end"), width)))
-    b = right.withColumn("bucket", F.explode(_buckets(F.col("r_start"), F.col("r_end"), width)))
-    both = a.join(b, ["contig", "bucket"])
-    first = F.floor(F.greatest("l_start", "r_start") / width)
-    return both.where((F.col("l_end") > F.col("r_start")) & (F.col("l_start") < F.col("r_end")) & (F.col("bucket") == first)).drop("bucket")
-
-
-def _runs(df: DataFrame, key: str, start: str, end: str, gap: int, block: int) -> DataFrame:
+    fit = lambda d, s, e: d.where(F.col("contig").isNotNull() & F.col(s).isNotNull() & F.col(e).isNotNull())
+    left, right = fit(left, "l_start", "l_end"), fit(right, "r_start", "r_end")
+    # At most CLASSES numbers a side.
+    lefts = [r[0] for r in left.select(_class(F.col("l_start"), F.col("l_end")).alias("c")).distinct().collect()]
+    rights = [r[0] for r in right.select(_class(F.col("r_start"), F.col("r_end")).alias("c")).distinct().collect()]
+    a = _placed(left, "l_start", "l_end", "__l", "__r", rights or [0])
+    b = _placed(right, "r_start", "r_end", "__r", "__l", lefts or [0]).drop("width")
+    both = a.join(b, ["contig", "__l", "__r", "bucket"])
+    first = F.floor(F.greatest("l_start", "r_start") / F.col("width"))
+    return both.where((F.col("l_end") > F.col("r_start")) & (F.col("l_start") < F.col("r_end")) & (F.col("bucket") == first)).drop("bucket", "width", "__l", "__r")
+
+
+def runs(df: DataFrame, key: str, start: str, end: str, gap: int, block: int) -> DataFrame:
     """Distinct intervals of a key, how often each occurs (n), and the start of the run that it belongs to (head)."""
     rows = df.where(F.col(key).isNotNull() & F.col(start).isNotNull() & F.col(end).isNotNull()).groupBy(key, start, end).agg(F.count("*").alias("n"))
     rows = rows.withColumn("__block", F.floor(F.col(start) / block))
@@ -43,14 +63,14 @@ def _runs(df: DataFrame, key: str, start: str, end: str, gap: int, block: int) -
 
 def merge_intervals(df: DataFrame, contig: str, start: str, end: str, gap: int, block: int = 1 << 16) -> DataFrame:
     """contig, start, end, n: intervals of a contig joined while a start is at most the running end plus gap. Rows with a null in these columns are left out."""
-    runs = _runs(df.select(contig, start, end), contig, start, end, gap, block)
-    return runs.groupBy(contig, "head").agg(F.max(end).alias("__end"), F.sum("n").alias("__n")).select(contig, F.col("head").alias("start"), F.col("__end").alias("end"), F.col("__n").alias("n"))
+    found = runs(df.select(contig, start, end), contig, start, end, gap, block)
+    return found.groupBy(contig, "head").agg(F.max(end).alias("__end"), F.sum("n").alias("__n")).select(contig, F.col("head").alias("start"), F.col("__end").alias("end"), F.col("__n").alias("n"))
 
 
 def gap_clusters(df: DataFrame, key: str, position: str, gap: int, block: int = 1 << 22) -> DataFrame:
     """key, start, end, support, centre: positions of a key split where two neighbours are more than gap apart; centre is the median, the mean of the middle two truncated. The median of a cluster is taken over its distinct positions and their counts."""
-    runs = _runs(df.select(key, F.col(position).alias("__p"), F.col(position).alias("__e")), key, "__p", "__e", gap, block)
-    return runs.groupBy(key, "head").agg(
+    found = runs(df.select(key, F.col(position).alias("__p"), F.col(position).alias("__e")), key, "__p", "__e", gap, block)
+    return found.groupBy(key, "head").agg(
         F.max("__p").alias("end"), F.sum("n").alias("support"), F.floor(F.percentile("__p", F.lit(0.5), F.col("n"))).cast("long").alias("centre")
     ).select(key, F.col("head").alias("start"), "end", "support", "centre")
 

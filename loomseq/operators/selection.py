@@ -2,51 +2,75 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomseq.operators.running import running_total
+from loomseq.operators.running import running_sums, running_total
+from loomseq.sources.shared import cut
 
 
 def empirical_tail(df: DataFrame, nulls: DataFrame, value: str) -> DataFrame:
     """df with tail = (1 + number of nulls >= value) / (2 + number of nulls). Both sides are counted by distinct value first."""
     n = nulls.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("__x")).agg(F.count("*").alias("c"))
     here = df.where(F.col(value).isNotNull()).select(F.col(value).alias("__x")).distinct().withColumn("c", F.lit(0).cast("long"))
-    each = n.unionByName(here).groupBy("__x").agg(F.sum("c").alias("c"))
-    tail = running_total(each, "__x", "c", "k", descending=True).select("__x", ((F.col("k") + 1) / (F.col("k_all") + 2)).alias("tail"))
+    each = cut(n.unionByName(here).groupBy("__x").agg(F.sum("c").alias("c")), "values")
+    total = each.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    tail = running_total(each, "__x", "c", "k", descending=True).select("__x", ((F.col("k") + 1) / (F.lit(total) + 2)).alias("tail"))
     return df.join(tail, F.col(value) == F.col("__x"), "left").drop("__x")
 
 
-def e_values(df: DataFrame, e: str, q: float) -> DataFrame:
-    """df with selected: e-values, largest first, up to the largest rank with e * q * rank >= the number of e-values. Equal e stand or fall together; a null e is not selected and not counted."""
-    each = df.where(F.col(e).isNotNull()).groupBy(F.col(e).alias("__e")).agg(F.count("*").alias("n"))
-    ranked = running_total(each, "__e", "n", "rank", descending=True)
-    cut = ranked.where(F.col("__e") * q * F.col("rank") >= F.col("rank_all")).agg(F.min("__e").alias("__cut"))
-    return df.join(F.broadcast(cut)).withColumn("selected", F.coalesce(F.col(e) >= F.col("__cut"), F.lit(False))).drop("__cut")  # one row
+def harmonic(m: int) -> float:
+    """1 + 1/2 + ... + 1/m; beyond 1,000 terms by its expansion, to 1e-13."""
+    if m <= 1000:
+        return math.fsum(1 / i for i in range(1, m + 1))
+    return harmonic(1000) + math.log(m / 1000.0) + (1 / (2 * m) - 1 / 2000.0) - (1 / (12 * m * m) - 1 / 12_000_000.0)
+
+
+def _ranked(df: DataFrame, value: str, descending: bool = False) -> tuple[DataFrame, int]:
+    """Distinct values that are no null, how many rows have each up to it (rank), and how many rows there are."""
+    each = cut(df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("__x")).agg(F.count("*").alias("n")), "values")
+    total = each.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return running_total(each, "__x", "n", "rank", descending=descending), total
+
+
+def e_values(df: DataFrame, e: str, q: float, cap: float = math.exp(40)) -> DataFrame:
+    """df with selected: e-values (at most `cap` each), largest first, up to the largest rank with e * q * rank >= the number of e-values. Equal e stand or fall together; a null e is not selected and not counted."""
+    capped = df.withColumn("__e", F.least(F.col(e).cast("double"), F.lit(cap)))
+    ranked, m = _ranked(capped, "__e", descending=True)
+    least = ranked.where(F.col("__x") * q * F.col("rank") >= m).agg(F.min("__x")).first()[0]
+    return capped.withColumn("selected", F.coalesce(F.col("__e") >= F.lit(least), F.lit(False))).drop("__e")
 
 
 def step_up(df: DataFrame, p: str, q: float) -> DataFrame:
-    """df with selected: the Benjamini-Yekutieli step-up rule at level q.
+    """df with selected and threshold: the Benjamini-Yekutieli step-up rule at level q.
 
-    Rows with equal p stand or fall together, so the rule is applied to the
-    counts of distinct p.
+    Rows with equal p stand or fall together. threshold is, for selected rows,
+    that of the largest selected rank, for others rank * q / (m * H(m)) of the
+    largest rank with their p. A null p is not counted, not selected and has no
+    threshold.
     """
-    each = df.where(F.col(p).isNotNull()).groupBy(p).count()
-    ranked = running_total(each, p, "count", "rank").withColumnRenamed("rank_all", "m")
-    m = F.col("m")
-    harmonic = F.aggregate(F.sequence(F.lit(1), F.lit(1000)), F.lit(0.0), lambda a, k: a + F.when(k <= m, 1 / k).otherwise(0.0))
-    # Beyond 1,000 terms the sum follows its expansion, to 1e-13.
-    tail = F.when(m > 1000, F.log(m / 1000.0) + (1 / (2 * m) - 1 / 2000.0) - (1 / (12 * m * m) - 1 / 12_000_000.0)).otherwise(0.0)
-    cut = ranked.where(F.col(p) <= F.col("rank") * q / (m * (harmonic + tail))).agg(F.max(p).alias("__cut"))
-    return df.join(F.broadcast(cut)).withColumn("selected", F.coalesce(F.col(p) <= F.col("__cut"), F.lit(False))).drop("__cut")  # one row
-
-
-def bayes_prefix(df: DataFrame, group: str, lfdr: str, order: str, q: float) -> DataFrame:
-    """df with running_mean of the local fdr in ascending order within a group, and selected: up to the largest rank whose mean is at most q (within 1e-9, as running sums of doubles depend on how they are added)."""
-    w = Window.partitionBy(group).orderBy(lfdr, order)
-    rows = df.withColumns({"rank": F.row_number().over(w), "running_mean": F.avg(lfdr).over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    last = F.max(F.when(F.col("running_mean") <= q + 1e-9, F.col("rank"))).over(Window.partitionBy(group))
-    return rows.withColumn("selected", F.coalesce(F.col("rank") <= last, F.lit(False)))
+    ranked, m = _ranked(df, p)
+    step = q / (m * harmonic(m)) if m else 0.0
+    ranked = cut(ranked.select("__x", (F.col("rank") * F.lit(step)).alias("threshold")), "ranks")
+    last = ranked.where(F.col("__x") <= F.col("threshold")).agg(F.max(F.struct("__x", "threshold"))).first()[0]
+    chosen = F.coalesce(F.col(p) <= F.lit(last["__x"]), F.lit(False)) if last else F.lit(False)
+    out = df.join(ranked, F.col(p) == F.col("__x"), "left").withColumn("selected", chosen)
+    return out.withColumn("threshold", F.when(F.col("selected"), F.lit(last["threshold"] if last else None)).otherwise(F.col("threshold"))).drop("__x")
+
+
+def bayes_prefix(df: DataFrame, group: str | None, lfdr: str, order: str, q: float) -> DataFrame:
+    """df with rank and running_mean of the local fdr in ascending order (lfdr, then order) within a group (None: the whole table), and selected: up to the largest rank whose mean is at most q (within 1e-9, as running sums of doubles depend on how they are added). A null lfdr counts in no mean and sorts first."""
+    keys = [] if group is None else [group]
+    by = [F.col(lfdr).asc(), F.col(order).asc()]
+    rows = running_sums(df, keys, by, {"rank": F.lit(1), "__n": F.when(F.col(lfdr).isNotNull(), 1).otherwise(0), "__sum": F.coalesce(F.col(lfdr), F.lit(0.0))})
+    rows = cut(rows.withColumns({"rank": F.col("rank").cast("int"), "running_mean": F.col("__sum") / F.nullif("__n", F.lit(0))}).drop("__n", "__sum"), "means")
+    fine = rows.where(F.col("running_mean") <= q + 1e-9)
+    if group is None:
+        return rows.withColumn("selected", F.coalesce(F.col("rank") <= F.lit(fine.agg(F.max("rank")).first()[0]), F.lit(False)))
+    last = fine.groupBy(F.col(group).alias("__g")).agg(F.max("rank").alias("__last"))
+    return rows.join(last, F.col(group).eqNullSafe(F.col("__g")), "left").withColumn("selected", F.coalesce(F.col("rank") <= F.col("__last"), F.lit(False))).drop("__g", "__last")
 
 
 def support_edges(df: DataFrame, owner: str, name: str, shared: int = 2, jaccard: float = 0.5) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset (tests), a new local folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset and all run in one process (tests), a new local folder; on a cluster that is an error, as each machine would write to its own disk."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="loomseq-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -21,8 +24,8 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: its lineage ends there, and a lost executor loses nothing."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+def cut(df: DataFrame, name: str = "table", path: str | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: its lineage ends there, and a lost executor loses nothing. A `path` given is overwritten; df must not read it."""
+    path = path or new_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,8 +7,9 @@ from loomseq.functions import reads as R
 from loomseq.operators import evidence as E
 from loomseq.operators import intervals as I
 from loomseq.operators import selection as L
-from loomseq.operators.running import running_total
+from loomseq.operators.running import running_sums, running_total
 from loomseq.sources import text as X
+from loomseq.sources.shared import shared_dir
 
 
 def lines(spark, *rows):
@@ -16,13 +17,13 @@ def lines(spark, *rows):
 
 
 def test_sam(spark):
-    got = X.parse_sam(lines(spark, "@HD\tVN:1.6", "r1\t0\tchr1\t1001\t60\t70M90I70M\t*\t0\t0\t" + "A" * 230 + "\t*\tNM:i:3\tSA:Z:chr1,1081,+,140S60M,60,1;", "r2\t4\t*\t0\t0\t*\t*\t0\t0\t*\t*", "", None)).collect()
-    assert [tuple(r) for r in got] == [("r1", 0, "chr1", 1000, 60, "70M90I70M", "A" * 230, 3, "chr1,1081,+,140S60M,60,1;"), ("r2", 4, None, -1, 0, None, None, None, None)]
+    got = X.parse_sam(lines(spark, "@HD\tVN:1.6", "r1\t16\tchr4\t501\t33\t40M55I45M\t*\t0\t0\t" + "C" * 140 + "\t*\tNM:i:7\tSA:Z:chr4,640,-,90S50M,33,2;", "r2\t4\t*\t0\t0\t*\t*\t0\t0\t*\t*", "", None)).collect()
+    assert [tuple(r) for r in got] == [("r1", 16, "chr4", 500, 33, "40M55I45M", "C" * 140, 7, "chr4,640,-,90S50M,33,2;"), ("r2", 4, None, -1, 0, None, None, None, None)]
 
 
 def test_vcf(spark):
-    got = X.parse_vcf_insertions(lines(spark, "##fileformat=VCFv4.2", "chr1\t101\tcaller.INS.1\tN\tACGTACGT\t60\tPASS\tSVTYPE=INS;SVLEN=8;END=101;SUPPORT=5", "chr1\t200\t.\tN\t<INS>\t.\t.\tPRECISE;SVTYPE=INS", "chr1\t9\tx\tN\t<DEL>\t60\tPASS\tSVTYPE=DEL", "short"))
-    assert [tuple(r) for r in got.collect()] == [("caller.INS.1", "chr1", 101, 101, 8, 5, "PASS", 60.0, "ACGTACGT"), ("chr1:200:INS", "chr1", 200, 200, None, None, "PASS", None, None)]
+    got = X.parse_vcf_insertions(lines(spark, "##fileformat=VCFv4.2", "chr7\t345\tv.9\tN\tGATTACA\t41\tPASS\tSVTYPE=INS;SVLEN=7;END=346;SUPPORT=3", "chr1\t200\t.\tN\t<INS>\t.\t.\tPRECISE;SVTYPE=INS", "chr1\t9\tx\tN\t<DEL>\t60\tPASS\tSVTYPE=DEL", "short"))
+    assert [tuple(r) for r in got.collect()] == [("v.9", "chr7", 345, 346, 7, 3, "PASS", 41.0, "GATTACA"), ("chr1:200:INS", "chr1", 200, 200, None, None, "PASS", None, None)]
 
 
 def test_fasta(spark, tmp_path):
@@ -57,7 +58,7 @@ def test_gate(spark, flag, mapq, n, cigar, nm, sa, kept):
     assert d.select(R.informative(*map(F.col, d.columns))).first()[0] is kept
 
 
-def test_running_total_is_exact_in_either_direction(spark):
+def test_running_sums_are_exact_in_either_direction(spark):
     d = spark.range(0, 5000, numPartitions=7).select((F.col("id") * 37 % 5003).cast("double").alias("x"), (F.col("id") % 11).alias("c"))
     want = sorted((r.x, r.c) for r in d.collect())
     for down in (False, True):
@@ -65,8 +66,49 @@ def test_running_total_is_exact_in_either_direction(spark):
         for x, c in reversed(want) if down else want:
             s += c
             expect[x] = s
-        got = running_total(d, "x", "c", "k", descending=down, blocks=16).collect()
-        assert {r.x: r.k for r in got} == expect and {r.k_all for r in got} == {s}
+        assert {r.x: r.k for r in running_total(d, "x", "c", "k", descending=down).collect()} == expect
+    keyed = running_sums(d.withColumn("g", F.when(F.col("c") > 2, F.col("c") % 2)), ["g"], [F.asc("x")], {"n": F.lit(1), "s": F.col("c")})
+    seen = {}
+    for r in sorted(keyed.collect(), key=lambda r: r.x):
+        n, s = seen.get(r.g, (0, 0))
+        seen[r.g] = (n + 1, s + r.c)
+        assert (r.n, r.s) == seen[r.g]
+
+
+def test_step_up_thresholds_ties_and_nulls(spark):
+    d = spark.createDataFrame([(p,) for p in (0.001, 0.01, 0.01, 0.9, None)], "p double")
+    got = sorted(((r.p or 0, r.selected, r.threshold) for r in L.step_up(d, "p", 0.1).collect()))
+    h = 1 + 1 / 2 + 1 / 3 + 1 / 4
+    assert [(p, s) for p, s, _ in got] == [(0, False), (0.001, True), (0.01, True), (0.01, True), (0.9, False)]
+    assert got[0][2] is None and all(abs(t - 0.3 / (4 * h)) < 1e-12 for _, s, t in got if s) and abs(got[-1][2] - 0.1 / h) < 1e-12
+
+
+def test_overlap_of_very_long_and_empty_intervals(spark):
+    a = spark.createDataFrame([("c", 0, 250_000_000, 1), ("c", 100, 100, 2), ("c", 90, 130, 3), (None, 0, 9, 4), ("d", 5, 6, 5)], "contig string, l_start long, l_end long, a int")
+    b = spark.createDataFrame([("c", 99, 101, 1), ("c", 249_999_999, 250_000_001, 2), ("c", 128, 70_000, 3), ("c", None, 9, 4), ("d", 6, 7, 5)], "contig string, r_start long, r_end long, b int")
+    got = {(r.a, r.b) for r in I.overlap_join(a, b).collect()}
+    want = {(x.a, y.b) for x in a.collect() for y in b.collect() if x.contig and x.contig == y.contig and y.r_start is not None and x.l_end > y.r_start and x.l_start < y.r_end}
+    assert got == want and I.overlap_join(a, b).count() == len(want) and I.overlap_join(a.limit(0), b).count() == 0
+
+
+def test_checkpoint_folder_is_needed_on_a_cluster():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Cluster:
+        conf = Conf()
+
+        class sparkContext:
+            master = "spark://x:7077"
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Cluster())
+
+
+def test_letter_runs_of_special_letters(spark):
+    d = spark.createDataFrame([(1, "^^a^"), (2, None), (3, "")], "k long, s string")
+    assert [tuple(r) for r in E.letter_runs(d, "k", "s", "^").collect()] == [(1, 0, 2, 2), (1, 3, 4, 1)]
 
 
 def test_empty_tables(spark):
