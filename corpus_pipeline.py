@@ -31,7 +31,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays, that of the smallest doc_id. Texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked."""
+    """One document of each class stays, that of the smallest doc_id. Texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked; candidates come from the SimHash index and from minima, and are compared exactly."""
     return keep_one(docs.select(*COLUMNS))
 
 
@@ -60,7 +60,7 @@ STAGES = [
     ("secret_scan", secrets),
     ("source_mix", source_mix),
 ]
-#: Fingerprints and language scores are beyond SQL; tests/llm/test_pipeline.py checks each stage against brute force.
+#: Shingle sets and language scores are beyond SQL; tests/llm/test_pipeline.py compares the rows of each stage with brute force.
 ORACLE_SQL = None
 
 
