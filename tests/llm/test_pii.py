@@ -49,3 +49,63 @@ def test_shapes_nulls_and_clashing_columns(spark):
     rows = find_pii(df, keep=["doc_id", "spans"]).collect()
     assert len(rows) == df.count() and rows[0].pii == [] and [s.kind for s in rows[-2].pii] == ["email"]
     assert find_pii(df.limit(0), keep=["doc_id"]).count() == 0
+
+
+def test_added_spans_precision_and_recall():
+    """Planted spans of the added kinds and forms in sentences that the labelled table does not have."""
+    rng = random.Random(9)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def iban():
+        body = "DE00" + digits(18)
+        check = 98 - int("".join(str(int(c, 36)) for c in body[4:] + body[:4])) % 97
+        return f"DE{check:02}" + body[4:]
+
+    kinds = {
+        "ssn": lambda: f"{rng.randrange(100, 600)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}",
+        "iban": iban,
+        "phone": lambda: rng.choice(["({}) {}-{}", "{}-{}-{}"]).format(rng.randrange(200, 999), rng.randrange(200, 999), digits(4)),
+        "email": lambda: f"user{digits(2)}(at)mail{digits(1)}.org",
+    }
+    carriers = ["please note {} for later", "he gave {} to the clerk", "we found {} in the file, then left", "{} was on the form", "ask about {}."]
+    clean = ["The 12 ships of 1843 carried 2,400 tons, see 3-4.", "Chapter 7, verse 21; page 118-120", "a price of 19.99 for 3 items (set 40-2)", "Version 4.10.2, build 20210405", "room 12-34-56 is closed"]
+    texts, want = [], []
+    for _ in range(200):
+        kind = rng.choice(list(kinds))
+        value, carrier = kinds[kind](), rng.choice(carriers)
+        at = carrier.index("{}")
+        texts.append(carrier.format(value).encode())
+        want.append((kind, at, at + len(value)))
+    found = spans(Field(), texts + [c.encode() for c in clean])
+    hit = sum(w in {s[:3] for s in f} for w, f in zip(want, found))
+    extra = sum(s[:3] != w for w, f in zip(want, found) for s in f) + sum(len(f) for f in found[len(texts) :])
+    assert hit / len(texts) >= 0.8 and extra / max(1, hit + extra) <= 0.05, (hit, extra)
+
+
+def test_decoded_tags_equal_a_plain_viterbi():
+    from loomseq.llm.pii import _SHAPE, TAGS, _features
+
+    field = Field()
+    texts = [b"call (415) 555-0199 or write to x.y@z.org now", b"", None, b"card 4111 1111 1111 1111, ssn 219-09-9998 and DE89370400440532013000 end", b"one"]
+    tags, lengths = field.decode(texts)
+    at, n = 0, len(TAGS)
+    get, last = field.index.get, len(field.index)
+    for t, size in zip(texts, lengths.tolist(), strict=True):
+        shapes = [w.translate(_SHAPE) for w in (t or b"").split()]
+        assert size == len(shapes)
+        part = lambda i, side: sum(field.w[get(side + f, last)] for f in _features(shapes[i]))  # noqa: B023, E731
+        best, back = None, []
+        for i in range(size):
+            e = part(i, "0") + (part(i - 1, "-") if i else 0) + (part(i + 1, "+") if i + 1 < size else 0)
+            if best is None:
+                best = list(e)
+                continue
+            came = [max(range(n), key=lambda a: (best[a] + field.trans[a, b], -a)) for b in range(n)]  # noqa: B023
+            best = [best[came[b]] + field.trans[came[b], b] + e[b] for b in range(n)]
+            back.append(came)
+        if size:
+            path = [max(range(n), key=lambda a: (best[a], -a))]  # noqa: B023
+            for came in reversed(back):
+                path.append(came[path[-1]])
+            assert tags[at : at + size].tolist() == path[::-1]
+        at += size
