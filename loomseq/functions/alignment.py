@@ -45,9 +45,13 @@ def trail_clip(cigar: Column) -> Column:
 
 def query_interval(cigar: Column, length: Column) -> Column:
     """Struct start, end on the read of what is aligned, from the clips: after the leading one, else before the trailing one, else the whole read; null where these do not fit."""
-    lead, trail, aligned = lead_clip(cigar), trail_clip(cigar), cigar_length(F.coalesce(cigar, F.lit("")), "MI=X")
-    start = F.when(lead > 0, lead).when(trail > 0, length - trail - aligned).when(aligned == length, _long(F.lit(0)))
-    return F.when((length > 0) & (aligned > 0) & (start >= 0) & (start + aligned <= length), F.struct(_long(start).alias("start"), _long(start + aligned).alias("end")))
+    parts = F.struct(lead_clip(cigar).alias("lead"), trail_clip(cigar).alias("trail"), cigar_length(F.coalesce(cigar, F.lit("")), "MI=X").alias("n"))
+
+    def decide(p: Column) -> Column:
+        start = F.when(p["lead"] > 0, p["lead"]).when(p["trail"] > 0, length - p["trail"] - p["n"]).when(p["n"] == length, _long(F.lit(0)))
+        return F.when((length > 0) & (p["n"] > 0) & (start >= 0) & (start + p["n"] <= length), F.struct(_long(start).alias("start"), _long(start + p["n"]).alias("end")))
+
+    return F.transform(F.array(parts), decide)[0]  # one element, so that the parts are found once
 
 
 def insertions(cigar: Column, pos: Column, least: int) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomseq.functions import alignment as A
+from loomseq.functions import fields as K_FIELDS
 from loomseq.functions import flanks as K
 from loomseq.functions import support as P
 from loomseq.jobs.evidence import BASES
@@ -124,7 +125,58 @@ def j19_read_windows(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("l_partkey", F.array_join(F.transform("windows", lambda x: x.cast("string")), ",").alias("windows"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (f6_signatures, f_alignment, f_flanks, s2_regions, s10_windows, j2_bins, j3_reference_reads, a5_event_evidence, s7_aliases, j19_read_windows)}
+def h_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """H5, H6, H10, H28."""
+    k = C("o_orderkey")
+    raw = F.element_at(F.array(F.lit("12"), F.lit(" -7 "), F.lit("3x"), F.lit(""), F.lit("1e2"), F.lit(".5")), (k % 6 + 1).cast("int"))
+    ks = F.concat_ws(",", (k % 40).cast("string"), (k % 9 + 5).cast("string"), F.lit("x"), F.lit("11"))
+    line = F.concat(F.lit("joint a="), k % 5, F.lit(" b= x=1=2 =z a="), k % 3)
+    m = K_FIELDS.key_values(line)
+    return _read(spark, sf, "orders").select(
+        "o_orderkey", K_FIELDS.int_or(raw, 99).alias("i"), K_FIELDS.float_or(raw, -1.0).alias("x"), F.array_join(F.transform(K_FIELDS.k_list(ks, 13), lambda v: v.cast("string")), ",").alias("ks"), K_FIELDS.token(C("o_orderpriority")).alias("t"),
+        K_FIELDS.with_token(F.when(k % 4 == 0, "A|BC").when(k % 4 == 1, "").when(k % 4 == 2, "D"), F.when(k % 3 == 0, "B").otherwise("E")).alias("tokens"), F.concat_ws(";", m["a"], m["b"], m["x"], F.size(m).cast("string")).alias("m"),
+    )
+
+
+def j12_records(spark: SparkSession, sf: str) -> DataFrame:
+    """One line of each part by length, kind and place, and the best flank of each supplier."""
+    li = _read(spark, sf, "lineitem").select("l_partkey", (C("l_quantity").cast("long") % 7).alias("n"), (C("l_linenumber") == 1).alias("first"), (C("l_orderkey") * 100 + C("l_suppkey")).alias("o"))
+    return R.best_records(li, "l_partkey", "n", "first", "o").select("l_partkey", "n", "o")
+
+
+def k7_flanks(spark: SparkSession, sf: str) -> DataFrame:
+    q = C("l_quantity").cast("long")
+    f = _read(spark, sf, "lineitem").select(C("l_orderkey"), (q * 3).alias("anchor"), (C("l_partkey") % 20).alias("nm"), (C("l_suppkey") % 3).alias("large_indels"), (C("l_suppkey") % 61).alias("mapq"), (C("l_linenumber") > 2).alias("primary"), C("l_partkey").alias("start"), C("l_suppkey").alias("distance"))
+    return R.best_flanks(f, "l_orderkey").select("l_orderkey", "anchor", "nm", "start", "distance")
+
+
+def j13_parents(spark: SparkSession, sf: str) -> DataFrame:
+    h, s = _places(spark, sf)
+    c = h.select("contig", C("hypothesis").alias("candidate"), C("left").alias("start"), (C("left") + C("hypothesis") % 300).alias("end"))
+    reads = s.select("contig", (C("read") % 2).cast("string").alias("source"), "read", "pos", "ref_end")
+    return R.parent_reads(c, reads, 200).groupBy("candidate", "source").agg(F.count("*").alias("n"), F.count_if("inside").alias("n_inside"))
+
+
+def j10_seeds(spark: SparkSession, sf: str) -> DataFrame:
+    spell = lambda c: F.translate(F.lower(c), *BASES)
+    p = _read(spark, sf, "part").select(C("p_partkey").alias("id"), spell("p_name").alias("query"), F.concat(F.lit("ACGTT"), spell("p_name"), spell("p_type")).alias("target"))
+    return R.seed_bins(p, k=5)
+
+
+def k3_diverse(spark: SparkSession, sf: str) -> DataFrame:
+    from loomseq.operators import sets
+
+    li = _read(spark, sf, "lineitem").select("l_orderkey", C("l_quantity").cast("long").alias("score"), (C("l_partkey") % 90).alias("left"), (C("l_suppkey") % 60).alias("right"), "l_linenumber")
+    return sets.diverse_top(li, "l_orderkey", [F.desc("score"), F.asc("left"), F.asc("right")], "left", "right", 2).select("l_orderkey", "score", "left", "right")
+
+
+def k11_sample(spark: SparkSession, sf: str) -> DataFrame:
+    from loomseq.operators import sets
+
+    return sets.seeded_sample(_read(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 40, 7).select("o_orderkey", "label")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (f6_signatures, f_alignment, f_flanks, s2_regions, s10_windows, j2_bins, j3_reference_reads, a5_event_evidence, s7_aliases, j19_read_windows, h_fields, j12_records, k7_flanks, j13_parents, j10_seeds, k3_diverse, k11_sample)}
 
 _TAIL = "(SELECT max(i) FROM (SELECT unnest(generate_series(1, length(t))) AS i) WHERE length(replace(right(t, i), 'A', '')) <= i - 0.8::DOUBLE * i + 1e-9)"
 ORACLES: dict[str, str] = {
@@ -158,4 +210,19 @@ ORACLES: dict[str, str] = {
         SELECT hypothesis, coalesce(CASE WHEN precise > 0 OR (left_clip > 0 AND right_clip > 0) THEN every ELSE precise END, 0) AS alt, coalesce(split, 0) AS split, coalesce(indel, 0) AS indel, coalesce(left_clip, 0) AS left_clip, coalesce(right_clip, 0) AS right_clip, coalesce(longest, 0) AS longest, coalesce(names, '') AS names FROM h LEFT JOIN y USING (hypothesis)""",
     "s7_aliases": """WITH o AS (SELECT o_orderkey, o_custkey % 9 AS m, (CASE WHEN o_orderkey % 2 = 0 THEN 'chr' ELSE '' END) || (CASE WHEN o_custkey % 9 = 0 THEN 'M' ELSE (o_custkey % 9)::VARCHAR END) AS contig FROM orders) SELECT o_orderkey, contig, CASE WHEN m = 0 THEN 'MT' WHEN m < 5 THEN 'chr' || m END AS found FROM o""",
     "j19_read_windows": "SELECT l_partkey, array_to_string(list_sort(list(DISTINCT l_suppkey % 20)), ',') AS windows FROM lineitem GROUP BY 1",
+    "h_fields": """WITH o AS (SELECT o_orderkey AS k, o_orderpriority AS p FROM orders), l AS (SELECT *, list_sort(list_distinct(list_filter([k % 40, k % 9 + 5, 11], lambda v: v BETWEEN 7 AND 31))) AS ks, CASE k % 4 WHEN 0 THEN 'A|BC' WHEN 2 THEN 'D' ELSE '' END AS h, CASE WHEN k % 3 = 0 THEN 'B' ELSE 'E' END AS n FROM o)
+        SELECT k AS o_orderkey, [12, -7, 99, 99, 99, 99][k % 6 + 1]::BIGINT AS i, [12, -7, -1, -1, 100, 0.5][k % 6 + 1]::DOUBLE AS x, array_to_string(ks, ',') AS ks, regexp_replace(trim(p), '[^A-Za-z0-9._-]', '_', 'g') AS t, CASE WHEN contains(h, n) THEN h WHEN h = '' THEN n ELSE h || '|' || n END AS tokens, (k % 3) || ';;1=2;3' AS m FROM l""",
+    "j12_records": f"""WITH r AS (SELECT l_partkey, CAST(floor(l_quantity) AS BIGINT) % 7 AS n, l_orderkey * 100 + l_suppkey AS o, row_number() OVER (PARTITION BY l_partkey ORDER BY CAST(floor(l_quantity) AS BIGINT) % 7 DESC, l_linenumber <> 1, l_orderkey * 100 + l_suppkey) AS k FROM lineitem) SELECT l_partkey, n, o FROM r WHERE k = 1""",
+    "k7_flanks": """WITH f AS (SELECT l_orderkey, CAST(floor(l_quantity) AS BIGINT) * 3 AS anchor, l_partkey % 20 AS nm, l_suppkey % 3 AS g, l_suppkey % 61 AS mapq, l_linenumber > 2 AS p, l_partkey AS start, l_suppkey AS distance FROM lineitem),
+        r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY anchor - nm - 5 * g DESC, anchor DESC, mapq DESC, nm, NOT p, start, distance) AS k FROM f) SELECT l_orderkey, anchor, nm, start, distance FROM r WHERE k = 1""",
+    "j13_parents": f"""WITH {_PLACES}, c AS (SELECT hypothesis AS candidate, l AS a, l + hypothesis % 300 AS b, least(greatest((hypothesis % 300) // 2, 30), 100) AS w FROM h)
+        SELECT candidate, (read % 2)::VARCHAR AS source, count(*) AS n, count(*) FILTER (e > a - w AND pos < b + w) AS n_inside FROM c JOIN s ON e > a - 200 AND pos < b + 200 GROUP BY ALL""",
+    "j10_seeds": f"""WITH p AS (SELECT p_partkey AS id, translate(lower(p_name), '{BASES[0]}', '{BASES[1]}') AS q, 'ACGTT' || translate(lower(p_name), '{BASES[0]}', '{BASES[1]}') || translate(lower(p_type), '{BASES[0]}', '{BASES[1]}') AS t FROM part),
+        a AS (SELECT id, i - 1 AS i, substr(q, i, 5) AS m FROM (SELECT *, unnest(generate_series(1, length(q) - 4)) AS i FROM p)), b AS (SELECT id, j - 1 AS j, substr(t, j, 5) AS m FROM (SELECT *, unnest(generate_series(1, length(t) - 4)) AS j FROM p)),
+        h AS (SELECT id, j, j - i AS d FROM a JOIN b USING (id, m) WHERE regexp_full_match(m, '[ACGT]+')), g AS (SELECT id, trunc(d / 8)::BIGINT AS bin, count(*) AS support, min(j)::INTEGER AS start FROM h GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY support DESC, abs(bin), bin, start) AS k FROM g) SELECT id, bin, support, start FROM r WHERE k <= 8""",
+    "k3_diverse": """WITH f AS (SELECT l_orderkey, CAST(floor(l_quantity) AS BIGINT) AS score, l_partkey % 90 AS l, l_suppkey % 60 AS r, row_number() OVER (PARTITION BY l_orderkey ORDER BY CAST(floor(l_quantity) AS BIGINT) DESC, l_partkey % 90, l_suppkey % 60) AS n FROM lineitem), a AS (FROM f WHERE n = 1),
+        b AS (SELECT f.*, row_number() OVER (PARTITION BY f.l_orderkey ORDER BY f.n) AS k FROM f JOIN a ON f.l_orderkey = a.l_orderkey AND (abs(f.l - a.l) > 30 OR abs(f.r - a.r) > 30))
+        SELECT l_orderkey, score, l AS "left", r AS "right" FROM a UNION ALL SELECT l_orderkey, score, l, r FROM b WHERE k = 1""",
+    "k11_sample": """WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY sha256('7:' || o_orderkey), o_orderkey) AS k FROM orders) SELECT o_orderkey, printf('S%02d', k) AS label FROM r WHERE k <= 40""",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomseq.functions.reads import SECONDARY, UNMAPPED
@@ -98,3 +98,40 @@ def event_evidence(hypotheses: DataFrame, signals: DataFrame, slack: int = 25) -
 def windows_of_reads(windows: DataFrame, read: str, window: str) -> DataFrame:
     """read and the windows that name it, in order: how one union of reads is dealt out again."""
     return windows.groupBy(read).agg(F.array_sort(F.collect_set(window)).alias("windows"))
+
+
+def best_records(reads: DataFrame, read: str, length: str, primary: str, order: str) -> DataFrame:
+    """The record of each read name that stands for it: the longest, then a primary one, then the first in order."""
+    best = reads.where(F.col(read).isNotNull()).groupBy(read).agg(F.min_by(F.struct(*reads.columns), F.struct((-F.col(length)).alias("n"), (~F.col(primary)).alias("p"), F.col(order).alias("o"))).alias("r"))
+    return best.select("r.*")
+
+
+def parent_reads(candidates: DataFrame, reads: DataFrame, fetch: int = 500) -> DataFrame:
+    """candidate, source, read, pos, ref_end and inside: parents' reads that reach to within `fetch` of a child's event, and whether one reaches into the window that counts, half the event's span on either side but 30 to 100 bases. candidates: contig, candidate, start, end; reads: contig, source, read, pos, ref_end."""
+    span = F.col("end") - F.col("start")
+    w = F.least(F.greatest(F.floor(span / 2), F.lit(30)), F.lit(100))
+    a = candidates.select("contig", "candidate", (F.col("start") - fetch).alias("l_start"), (F.col("end") + fetch).alias("l_end"), (F.col("start") - w).alias("lo"), (F.col("end") + w).alias("hi"))
+    got = overlap_join(a, reads.select("contig", "source", "read", F.col("pos").alias("r_start"), F.col("ref_end").alias("r_end")))
+    return got.select("candidate", "source", "read", F.col("r_start").alias("pos"), F.col("r_end").alias("ref_end"), ((F.col("r_end") > F.col("lo")) & (F.col("r_start") < F.col("hi"))).alias("inside"))
+
+
+def seed_bins(pairs: DataFrame, k: int = 11, width: int = 8, most: int = 8) -> DataFrame:
+    """id, bin, support, start: how many k-mers of a query stand in its window at one offset, by bins of the offset (truncated toward zero); the best `most` bins by support, then the smaller offset. pairs: id, query, target."""
+    from loomseq.functions.sequence import kmers
+
+    at = lambda c: F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - k + 1, F.lit(1))), lambda i: F.substr(F.col(c), i, F.lit(k))))
+    valid = F.rlike("kmer", F.lit(f"^[ACGT]{{{k}}}$"))
+    q = pairs.where(F.col("id").isNotNull()).select("id", at("query").alias("i", "kmer")).where(valid)
+    t = pairs.where(F.col("id").isNotNull()).select("id", at("target").alias("j", "kmer")).where(valid)
+    hits = q.join(t, ["id", "kmer"]).withColumn("d", F.col("j") - F.col("i"))
+    b = (F.signum("d") * F.floor(F.abs("d") / width)).cast("long")
+    each = hits.groupBy("id", b.alias("bin")).agg(F.count("*").alias("support"), F.min("j").alias("start"))
+    ranked = each.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("support"), F.abs("bin"), "bin", "start")))
+    return ranked.where(F.col("n") <= most).select("id", "bin", "support", "start")
+
+
+def best_flanks(flanks: DataFrame, key: str) -> DataFrame:
+    """The flank of each key with the highest anchor less its mismatches and five times its large indels; then the longer anchor, the higher mapping quality, fewer mismatches, primary, the smaller start and distance. flanks: key, anchor, nm, large_indels, mapq, primary, start, distance and more."""
+    score = F.col("anchor") - F.col("nm") - 5 * F.col("large_indels")
+    rank = F.struct((-score).alias("a"), (-F.col("anchor")).alias("b"), (-F.col("mapq")).alias("c"), F.col("nm").alias("d"), (~F.col("primary")).alias("e"), F.col("start").alias("f"), F.col("distance").alias("g"))
+    return flanks.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*flanks.columns), rank).alias("r")).select("r.*")

@@ -57,3 +57,29 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 def top_groups(df: DataFrame, group: str, value: str, n: int = 30) -> DataFrame:
     """The n groups with the largest sum above 0, ties by name."""
     return df.groupBy(group).agg(F.sum(value).alias("total")).where("total > 0").orderBy(F.desc("total"), group).limit(n)
+
+
+def diverse_top(df: DataFrame, key: str, order: list[Column], left: str, right: str, most: int, apart: int = 30) -> DataFrame:
+    """Up to `most` rows of a key in order, each more than `apart` from every one taken before at one end at least. One pass over sorted rows; the state is the rows taken. 0 takes all."""
+    import pyarrow as pa
+
+    if not most:
+        return df
+    names = df.columns
+    key_at, left_at, right_at = (names.index(c) for c in (key, left, right))
+
+    def run(batches):
+        current, taken = object(), []
+        for b in batches:
+            keep = []
+            for i, (k, x, y) in enumerate(zip(b.column(key_at).to_pylist(), b.column(left_at).to_pylist(), b.column(right_at).to_pylist(), strict=True)):
+                if k != current:
+                    current, taken = k, []
+                if len(taken) < most and all(abs(x - p) > apart or abs(y - q) > apart for p, q in taken):
+                    taken.append((x, y))
+                    keep.append(i)
+            yield b.take(pa.array(keep, pa.int64()))
+
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ok = df.where(F.col(key).isNotNull() & F.col(left).isNotNull() & F.col(right).isNotNull())
+    return ok.repartition(n, key).sortWithinPartitions(key, *order).mapInArrow(run, df.schema)
