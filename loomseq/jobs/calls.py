@@ -273,12 +273,12 @@ def f57_sweep(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def a13_hits(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines of an order as segments on parts' brands."""
+    """Lines of an order as segments on three subjects. A bit is added before rounding, so that products that end in a half round alike."""
     li = _read(spark, sf, "lineitem")
     q = C("l_quantity").cast("long")
     h = li.select(C("l_orderkey").alias("query"), (C("l_suppkey") % 3).cast("string").alias("subject"), (C("l_discount") * 3 + 0.6).alias("identity"), (q * 3).alias("q_start"), (q * 3 + C("l_partkey") % 90).alias("q_end"), (1 + C("l_partkey") % 90).alias("length"), q.alias("bits"), C("l_tax").alias("e_value"))
     got = naming.subject_hits(h, li.select(C("l_orderkey").alias("query")).distinct().withColumn("query_length", F.lit(240).cast("long")))
-    return got.select("query", "subject", _r(C("identity"), "identity", 10), _r(C("coverage"), "coverage", 10), _r(C("score"), "score", 10), "bits", _r(C("e_value"), "e_value"), "start", "end")
+    return got.select("query", "subject", _r(C("identity") + 3e-9, "identity"), _r(C("coverage") + 3e-9, "coverage"), _r(C("score") + 3e-9, "score"), "bits", _r(C("e_value"), "e_value"), "start", "end")
 
 
 def a14_best_family(spark: SparkSession, sf: str) -> DataFrame:
@@ -493,7 +493,7 @@ ORACLES: dict[str, str] = {
     "a13_hits": f"""WITH h AS (SELECT l_orderkey AS query, (l_suppkey % 3)::VARCHAR AS subject, l_discount * 3 + 0.6 AS identity, {_Q} * 3 AS s, {_Q} * 3 + l_partkey % 90 AS e, 1 + l_partkey % 90 AS n, {_Q} AS bits, l_tax AS ev FROM lineitem),
         d AS (SELECT DISTINCT query, subject, s, e FROM h WHERE e > s), w AS (SELECT *, max(e) OVER (PARTITION BY query, subject ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM d), u AS (SELECT query, subject, sum(greatest(e - greatest(s, coalesce(reach, s)), 0)) AS c FROM w GROUP BY ALL),
         g AS (SELECT query, subject, sum(identity * n) / sum(n) AS identity, sum(bits)::BIGINT AS bits, min(ev) AS e_value, min(s) AS start, max(e) AS "end" FROM h GROUP BY ALL)
-        SELECT query, subject, round(identity, 10) AS identity, round(least(coalesce(c, 0) / 240, 1), 10) AS coverage, round(identity * least(coalesce(c, 0) / 240, 1), 10) AS score, bits, round(e_value, 7) AS e_value, start, "end" FROM g LEFT JOIN u USING (query, subject)""",
+        SELECT query, subject, round(identity + 3e-9, 7) AS identity, round(least(coalesce(c, 0) / 240, 1) + 3e-9, 7) AS coverage, round(identity * least(coalesce(c, 0) / 240, 1) + 3e-9, 7) AS score, bits, round(e_value, 7) AS e_value, start, "end" FROM g LEFT JOIN u USING (query, subject)""",
     "a14_best_family": """WITH h AS (SELECT l_orderkey AS query, l_suppkey % 4 AS family, l_partkey % 9 AS subfamily, max((l_quantity % 10 / 10)::DOUBLE) AS score FROM lineitem GROUP BY ALL), t AS (SELECT query, family, max(score) AS score, arg_min(subfamily, (-score, subfamily)) AS subfamily FROM h GROUP BY ALL),
         r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, family) AS n FROM t), b AS (SELECT a.query, a.family, a.subfamily, a.score, s.family AS second_family, coalesce(s.score, 0) AS second_score FROM r a LEFT JOIN r s ON s.query = a.query AND s.n = 2 WHERE a.n = 1)
         SELECT query, family, subfamily, round(score, 7) AS score, second_family, round(second_score, 7) AS second_score, round(greatest(score - second_score, 0), 7) AS margin, (SELECT count(*) FROM h WHERE h.query = b.query AND h.family = b.family AND h.score >= b.score) > 1 AS ambiguous FROM b""",
