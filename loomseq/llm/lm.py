@@ -44,7 +44,7 @@ ORDERS, LONG = 5, 64
 SPACE, LEAST_BITS, MOST_BITS = 4, 18, 28
 #: Words that make up at least 1 / HEAVY of all tokens number at most HEAVY; those of up to LONG bytes go to the tasks with their counts.
 HEAVY = 500_000
-SHARDS, CACHE, TEXTS = 64, 2_000_000, 2 << 20
+SHARDS, CACHE, WORDS, TEXTS = 64, 4_000_000, 300_000, 2 << 20
 LEVELS = np.array([2, 4, 16, 128], np.float32)  # how often the longest context was seen
 GATES, MAPS, STEPS = (ORDERS + 1) * (len(LEVELS) + 1) * 8, 256, 33
 RATE, PRIOR = 0.05, 200.0  # step of the weights; occurrences that a cell's first value counts for
@@ -388,15 +388,19 @@ def score(docs: DataFrame, training: DataFrame, *, keep: list[str], text: str =
         mixer, head = sent.value
         logs = {w: float(np.log10(c + 1)) for w, c in head}
         costs = Costs(mixer)
+        bits: dict[bytes, float] = {}  # of the rest of each word met, up to WORDS or so
 
         def fn(texts):
             docs_ = [_tokens(t) for t in texts]
             edges, many = edge_grams(docs_)
             edge_bits = np.add.reduceat(costs.of(edges), np.cumsum(many) - many)
-            names = list(set().union(*docs_))
+            names = set().union(*docs_)
+            if len(bits) + len(names) > WORDS and len(names.difference(bits)) + len(bits) > WORDS:
+                bits.clear()
+            names = list(names.difference(bits))
             g, first = word_grams(names)
             sums = np.r_[0.0, np.cumsum(costs.of(g))] if len(g) else np.zeros(1)
-            bits = dict(zip(names, (sums[np.r_[first[1:], len(g)]] - sums[first]).tolist(), strict=True))
+            bits.update(zip(names, (sums[np.r_[first[1:], len(g)]] - sums[first]).tolist() if names else [], strict=True))
             out = [[], [], [], [], [], []]
             for words_, at_edges in zip(docs_, edge_bits.tolist(), strict=True):
                 count = Counter(words_)
