@@ -161,7 +161,7 @@ def test_support_with_nulls(spark):
 def test_flanks(spark):
     d = spark.createDataFrame([("GGGAAAATAA", "TTTACGTA", "ACGTACC", "TTACGTAACGTA"), ("", "A", "C", "")], "tail string, left string, right string, region string")
     r, e = d.select(K.pure_tail(C("tail"), "A").alias("n"), K.duplication(C("left"), C("right"), C("region"), F.lit(7)).alias("d"), K.occurrence_fraction(C("region"), C("right")).alias("f")).collect()
-    assert (r.n, r.d.type, r.d.length) == (7, "UNCERTAIN", 5) and r.d.p == pytest.approx(1 / 8)
+    assert (r.n, r.d.type, r.d.length) == (7, "UNCERTAIN", 5) and r.d.p == pytest.approx(2 / 8)
     assert (e.n, e.d.type, e.d.length, e.f) == (0, "DEL", 7, 1.0)
 
 
