@@ -63,9 +63,13 @@ def terminal_run(s: Column) -> Column:
     return F.length(F.regexp_extract(s, "(A+|T+)$", 1))
 
 
+def most_edits(length: Column, least: float) -> Column:
+    """Edits that a longer length allows at an identity of `least`."""
+    return F.greatest(F.floor((1 - min(max(least, 0.0), 1.0)) * length + 1e-9), F.lit(0)).cast("int")
+
+
 def edit_identity(a: Column, b: Column, least: float) -> Column:
-    """1 - edits / longer length, where the edits allow at least `least`; else null. Two empty sequences have none."""
+    """1 - edits / longer length, where the edits allow at least `least`; else null, also where one is empty. Only the band that so many edits can reach is computed: a pair costs its length times the band."""
     longer = F.greatest(F.length(a), F.length(b))
-    d = F.levenshtein(a, b)
-    most = F.floor((1 - least) * longer + 1e-9)
-    return F.when((longer > 0) & (d <= most), 1 - d / longer)
+    d = F.call_function("levenshtein", a, b, most_edits(longer, least))  # -1 beyond the bound
+    return F.when((F.length(a) > 0) & (F.length(b) > 0) & (d >= 0), 1 - d / longer)
