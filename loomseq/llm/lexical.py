@@ -9,8 +9,8 @@ what was read of it, its upper bound adds the next unread impact of every list
 that it was not read in. Documents whose upper bound falls below the k-th lower
 bound go; reading ends when no unread document can reach it and all that are
 left are exact, so membership, ties and scores are whole. A task's k-th score is
-where its next shard starts, and a first shard of documents gives all tasks a
-start. Only the best k of a task and item are shuffled.
+where its next shard starts, and about SHARD documents, drawn by hash and
+searched first, give all tasks a start. Only the best k of a task and item are shuffled.
 
 Items go out in blocks of ITEM_BYTES of text, one pass each.
 """
@@ -174,14 +174,17 @@ def _block(docs: DataFrame, texts: list[bytes], k: int, shard: int, id: str, tex
     weights = np.array([weight(n_docs, int(d)) for d in df], np.int64)
     held = counts.where(F.size("term") > 0)
     start = spark.sparkContext.broadcast((items, weights, n_docs, length, np.zeros(len(items), np.int64)))
-    first = held.limit(shard).mapInArrow(lambda b: _search(b, start.value, k, shard), _FOUND)
-    floors = np.zeros(len(items), np.int64)
-    for r in first.groupBy("item").agg(F.count("*").alias("n"), F.min("score").alias("least")).collect():
-        floors[r["item"]] = r.least if r.n >= k else 0
-    sent = spark.sparkContext.broadcast((items, weights, n_docs, length, floors))
-    found = held.mapInArrow(lambda b: _search(b, sent.value, k, shard), _FOUND)
     ranked = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
-    return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+
+    def best(docs: DataFrame, model) -> DataFrame:
+        found = docs.mapInArrow(lambda b: _search(b, model.value, k, shard), _FOUND)
+        return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+
+    some = held.where(F.pmod(F.xxhash64("doc_id", "n"), F.lit(max(1, n_docs // shard))) == 0)
+    floors = np.zeros(len(items), np.int64)
+    for r in best(some, start).where(F.col("rank") == k).collect():  # a row for each item
+        floors[r["item"]] = r.score
+    return best(held, spark.sparkContext.broadcast((items, weights, n_docs, length, floors)))
 
 
 def ranked_search(docs: DataFrame, items: DataFrame, *, k: int = K, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", shard: int = SHARD, item_bytes: int = ITEM_BYTES) -> DataFrame:
