@@ -69,3 +69,19 @@ def test_texts_too_long_for_the_fit_do_not_shrink_the_sample(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
     s = learn(docs, labels, most=40, longest=1000)
     assert len(s.voters.units) and {r.predicted for r in score_toxicity(docs.where("doc_id % 2 = 1 AND doc_id >= 40"), s, keep=[]).collect()} == {1}
+
+
+def test_shouts_are_counted_in_linear_time_as_the_pattern_counts_them():
+    import random
+    import re
+    import time
+
+    from loomseq.llm.toxicity import PATTERNS, _shouts
+
+    rng = random.Random(3)
+    for _ in range(4000):
+        t = "".join(rng.choice("ABCDEFab! é1") for _ in range(rng.randint(0, 40))).encode()
+        assert _shouts(t) == len(re.findall(PATTERNS[1], t))
+    at = time.time()
+    assert [_shouts(t) for t in (b"A" * 1_000_000, b"ABCD " * 200_000, b"A" * 1_000_000 + b"!", b"ABC! " * 200_000, b"aABCD!" * 100_000)] == [0, 0, 1, 0, 100_000]
+    assert time.time() - at < 5
