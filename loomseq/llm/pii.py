@@ -11,6 +11,8 @@ always stay; a decoded span that touches one adds nothing.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -266,6 +268,8 @@ def spans(field: Field, texts: list[bytes | None]) -> list[list[tuple[str, int,
         text = decoded(t)
         base = base_spans(text)
         found = [(k, a, b, True) for a, b, k in base]
+        starts = sorted((a, b) for a, b, _ in base)
+        reach = list(accumulate((b for _, b in starts), max))  # the farthest end of the base spans up to each
         mine, at = tags[at : at + n], at + n
         if mine.any():
             tokens = list(_WORD.finditer(text))
@@ -278,7 +282,8 @@ def spans(field: Field, texts: list[bytes | None]) -> list[list[tuple[str, int,
                 piece = text[lo:hi]
                 lo += len(piece) - len(piece.lstrip(".,;:!?*#%&$|\"'<>"))
                 hi = lo + len(text[lo:hi].rstrip(".,;:!?*#%&$|\"'<>"))
-                if all(hi <= x or lo >= y for x, y, _ in base) and _valid(kind, text[lo:hi]):
+                before = bisect_left(starts, (hi, 0))  # base spans that begin before hi
+                if (not before or reach[before - 1] <= lo) and _valid(kind, text[lo:hi]):
                     found.append((kind, lo, hi, False))
         out.append(sorted(found, key=lambda s: (KINDS.index(s[0]), s[1])))
     return out

@@ -109,3 +109,17 @@ def test_decoded_tags_equal_a_plain_viterbi():
                 path.append(came[path[-1]])
             assert tags[at : at + size].tolist() == path[::-1]
         at += size
+
+
+def test_many_spans_in_one_text_take_linear_time():
+    import time
+
+    parts = ["call (212) 555-0188 or mail jo.doe@mail.example.com now", "ssn 123-45-6789 host 10.0.0.1 done", "mail jo.doe (at) mail.example.com please"]
+    field = Field()
+    small = " ".join(parts * 40)
+    found = spans(field, [small.encode()])[0]
+    base = [s for s in found if s[3]]
+    assert all(hi <= x or lo >= y for _, lo, hi, own in found if not own for _, x, y, _ in base) and len(found) > len(base)
+    at = time.time()
+    (long,) = spans(field, [(" ".join(parts * 7000)).encode()])
+    assert len(long) >= 20_000 and time.time() - at < 40
