@@ -240,6 +240,12 @@ def j15_one_to_one(spark: SparkSession, sf: str) -> DataFrame:
     return matching.match_one_to_one(calls, truth, 40_000)
 
 
+def j14_unused(spark: SparkSession, sf: str) -> DataFrame:
+    """Calls take truth in input order, not by distance."""
+    calls, truth = _truth(spark, sf)
+    return matching.match_unused(calls, truth, 40_000).select("call", "truth_pos", "distance")
+
+
 def a19_call_scores(spark: SparkSession, sf: str) -> DataFrame:
     """A19 over J15's one-to-one pairs."""
     calls, truth = _truth(spark, sf)
@@ -385,7 +391,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p_support_predicates, p_outcomes, f28_boundary, f31_segmentation, f38_posterior, f40_certificate, f35_structure, f39_latent, a1_density_clusters, w7_locus_dedup, j21_undominated, j20_null_p, w6_selectors, j15_pairs, j15_one_to_one,
-        a19_call_scores, j17_stabbed, j18_nearest_rows, a21_summary, f57_sweep, a13_hits, a14_best_family, a15_votes, a22_parents, a10_communities, a23_counters, k_ranks, k_picks, k12_top_groups, u_names, s20_call_table, s22_coverage, s23_controls,
+        j14_unused, a19_call_scores, j17_stabbed, j18_nearest_rows, a21_summary, f57_sweep, a13_hits, a14_best_family, a15_votes, a22_parents, a10_communities, a23_counters, k_ranks, k_picks, k12_top_groups, u_names, s20_call_table, s22_coverage, s23_controls,
         s17_truth, s18_children, s14_best_hits,
     )
 }
@@ -483,6 +489,13 @@ ORACLES: dict[str, str] = {
         SELECT id, CASE WHEN id IN (FROM s1) THEN 'conformal' WHEN id IN (FROM s2) THEN 'e_values' WHEN id IN (FROM s3) THEN 'bayes' END AS selected_by FROM a""",
     "j15_pairs": f"WITH {_CT} SELECT call, count(*) AS n, min(abs(c.pos - h.pos)) AS distance FROM c JOIN h ON c.u = h.u AND abs(c.pos - h.pos) <= 40000 GROUP BY call",
     "j15_one_to_one": f"WITH RECURSIVE {_GREEDY} SELECT call, truth, distance FROM m",
+    "j14_unused": f"""WITH RECURSIVE {_CT}, t AS (SELECT u, list(DISTINCT pos ORDER BY pos) AS ps FROM h GROUP BY u), o AS (SELECT u, call, pos, row_number() OVER (PARTITION BY u ORDER BY call) AS n FROM c),
+        g AS (SELECT u, 0::BIGINT AS n, NULL::BIGINT AS call, NULL::BIGINT AS hit, NULL::BIGINT AS distance, []::BIGINT[] AS used FROM t
+          UNION ALL SELECT o.u, o.n, o.call, x.hit, abs(o.pos - x.hit), CASE WHEN x.hit IS NULL THEN g.used ELSE list_append(g.used, x.hit) END FROM g JOIN o ON o.u = g.u AND o.n = g.n + 1 JOIN t ON t.u = g.u,
+          LATERAL (SELECT len(list_filter(t.ps, lambda p: p < o.pos)) AS k) y,
+          LATERAL (SELECT list_filter(t.ps[greatest(1, y.k - 1):y.k + 2], lambda p: NOT list_contains(g.used, p) AND abs(p - o.pos) <= 40000) AS near) z,
+          LATERAL (SELECT list_filter(z.near, lambda p: abs(p - o.pos) = list_min(list_transform(z.near, lambda r: abs(r - o.pos))))[1] AS hit) x)
+        SELECT call, hit AS truth_pos, distance FROM g WHERE hit IS NOT NULL""",
     "a19_call_scores": f"""WITH RECURSIVE {_GREEDY}, x AS (SELECT count(*) AS tp, count(*) FILTER (c.t = h.t) AS ok, median(distance) AS median_error FROM m JOIN c USING (call) JOIN h USING (truth)), y AS (SELECT (SELECT count(*) FROM c) AS emitted, (SELECT count(*) FROM h) AS n)
         SELECT emitted, tp, emitted - tp AS fp, n - tp AS fn, tp / emitted AS precision, tp / n AS recall, 2 * (tp / emitted) * (tp / n) / (tp / emitted + tp / n) AS f1, tp AS family_committed, ok AS family_correct, tp - ok AS family_wrong, ok / tp AS concordance, tp / tp AS commit_rate, median_error FROM x, y""",
     "j17_stabbed": f"WITH {_CT} SELECT truth AS point, count(call) AS covers, coalesce(bool_or(c.t = h.t), false) AS same_family FROM h LEFT JOIN c ON c.u = h.u AND h.pos BETWEEN c.pos - 30000 AND c.pos + c.call % 7 * 10000 GROUP BY truth",

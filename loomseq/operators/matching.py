@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loomseq.operators.intervals import overlap_join
+from loomseq.operators.components import components
+from loomseq.operators.intervals import overlap_join, runs
 from loomseq.operators.loci import near_pairs
-from loomseq.sources.shared import cut, new_path
+from loomseq.sources.shared import cut
 
 
 def point_pairs(calls: DataFrame, truth: DataFrame, radius: int) -> DataFrame:
@@ -17,34 +23,87 @@ def point_pairs(calls: DataFrame, truth: DataFrame, radius: int) -> DataFrame:
     return near_pairs(a, b, radius).select("contig", "call", "truth", F.abs(F.col("l_start") - F.col("r_start")).alias("distance"))
 
 
-def match_one_to_one(calls: DataFrame, truth: DataFrame, radius: int, rounds: int = 1000) -> DataFrame:
+def _islands(calls: DataFrame, truth: DataFrame, radius: int) -> DataFrame:
+    """contig, pos, island: positions of both sides, cut apart where two neighbours lie more than the radius apart. No pair reaches over a cut."""
+    points = calls.select("contig", "pos").unionByName(truth.select("contig", "pos")).select("contig", "pos", F.col("pos").alias("__e"))
+    return runs(points, "contig", "pos", "__e", radius, 1 << 22).select("contig", "pos", F.xxhash64("contig", "head").alias("island"))
+
+
+def match_one_to_one(calls: DataFrame, truth: DataFrame, radius: int) -> DataFrame:
     """call, truth, distance: pairs taken by (distance, call, truth), each call and each truth once.
 
-    The pair that is smallest for both its call and its truth is taken in every
-    round, which is what the one long order takes; a round is two grouped minima
-    and two joins, and what is left shrinks. Repeated ids count as one.
+    Positions are cut into islands that no pair reaches over; an island's pairs
+    stream by in order through one task, whose state is the ids taken there.
+    Repeated ids count as one: islands that share one are one. Rows with a null
+    match nothing.
     """
     spark = calls.sparkSession
-    left = cut(point_pairs(calls, truth, radius).groupBy("call", "truth").agg(F.min("distance").alias("distance")), "pairs")
-    paths, out, n = [new_path(spark, "pairs") for _ in range(2)], [], left.count()
-    for i in range(rounds):
-        if not n:
-            break
-        key = F.struct("distance", "call", "truth")
-        best_call = left.groupBy("call").agg(F.min(key).alias("c"))
-        best_truth = left.groupBy("truth").agg(F.min(key).alias("t"))
-        both = cut(best_call.join(best_truth, best_call["c.truth"] == best_truth["truth"]).where("c = t").select("c.call", "c.truth", "c.distance"), "matched")
-        out.append(both)
-        left = cut(left.join(both.select("call"), "call", "left_anti").join(both.select("truth"), "truth", "left_anti"), path=paths[i % 2])
-        n = left.count()
-    else:
-        raise RuntimeError(f"matches did not settle within {rounds} rounds")
-    if not out:
-        return left.select("call", "truth", "distance")
-    found = out[0]
-    for o in out[1:]:
-        found = found.unionByName(o)
-    return found
+    island = _islands(calls, truth, radius)
+    a = calls.where(F.col("call").isNotNull()).join(island, ["contig", "pos"]).select("contig", "call", F.col("pos").alias("l_start"), F.col("pos").alias("l_end"), "island")
+    b = truth.where(F.col("truth").isNotNull()).select("contig", "truth", F.col("pos").alias("r_start"), F.col("pos").alias("r_end"))
+    pairs = near_pairs(a, b, radius).groupBy("call", "truth", "island").agg(F.min(F.abs(F.col("l_start") - F.col("r_start"))).alias("distance"))
+    pairs = cut(pairs, "pairs")
+    shared = [pairs.groupBy(c).agg(F.min("island").alias("u"), F.max("island").alias("v"), F.collect_set("island").alias("all")).where("u <> v") for c in ("call", "truth")]
+    links = cut(shared[0].select("u", F.explode("all").alias("v")).union(shared[1].select("u", F.explode("all").alias("v"))), "shared")  # of repeated ids only
+    if links.limit(1).count():
+        pairs = pairs.join(components(links, "u", "v"), F.col("island") == F.col("node"), "left").withColumn("island", F.coalesce("root", "island"))
+        pairs = pairs.groupBy("call", "truth", "island").agg(F.min("distance").alias("distance"))
+    schema = T.StructType([pairs.schema["call"], pairs.schema["truth"], pairs.schema["distance"]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, used_calls, used_truth = object(), set(), set()
+        for batch in batches:
+            keep = []
+            for i, (n, c, t) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
+                if n != current:
+                    current, used_calls, used_truth = n, set(), set()
+                if c not in used_calls and t not in used_truth:
+                    used_calls.add(c)
+                    used_truth.add(t)
+                    keep.append(i)
+            yield batch.select(["call", "truth", "distance"]).take(pa.array(keep, pa.int64()))
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = pairs.select("island", "call", "truth", "distance").repartition(n, "island").sortWithinPartitions("island", "distance", "call", "truth")
+    return order.mapInArrow(run, schema)
+
+
+def match_unused(calls: DataFrame, truth: DataFrame, radius: int, order: str = "call") -> DataFrame:
+    """contig, call, truth_pos, distance: each call in `order` takes the nearest position of the truth within the radius that none took before, the smaller on ties.
+
+    Only two neighbours on either side of a call are looked at, taken or not, as
+    the rule has it: a call may go without though a free position lies further
+    off. Positions of the truth count once. An island (see above) streams by
+    through one task, the truth first; the state is its positions. Rows with a
+    null contig or position match nothing; `order` should be total in a contig.
+    """
+    island = _islands(calls, truth, radius)
+    kinds = {c: calls.schema[c].dataType.simpleString() for c in ("contig", "call")}
+    t = truth.select("contig", "pos").distinct().join(island, ["contig", "pos"]).selectExpr("island", "0 AS side", "CAST(NULL AS {}) AS o".format(calls.schema[order].dataType.simpleString()), "CAST(pos AS BIGINT) AS pos", "contig", "CAST(NULL AS {}) AS call".format(kinds["call"]))
+    c = calls.join(island, ["contig", "pos"]).select("island", F.lit(1).alias("side"), F.col(order).alias("o"), F.col("pos").cast("long").alias("pos"), "contig", "call")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, spots, used = object(), [], set()
+        for batch in batches:
+            keep, found = [], []
+            for i, (n, side, at) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 3)), strict=True)):
+                if n != current:
+                    current, spots, used = n, [], set()
+                if not side:
+                    spots.append(at)
+                    continue
+                k = bisect_left(spots, at)
+                near = [(abs(p - at), p) for p in spots[max(0, k - 2) : k + 2] if p not in used and abs(p - at) <= radius]
+                if near:
+                    used.add(min(near)[1])
+                    keep.append(i)
+                    found.append(min(near))
+            part = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(4), part.column(5), pa.array([p for _, p in found], pa.int64()), pa.array([d for d, _ in found], pa.int64())], names=["contig", "call", "truth_pos", "distance"])
+
+    n = int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = t.union(c).repartition(n, "island").sortWithinPartitions("island", "side", "o", "pos", "call")
+    return rows.mapInArrow(run, f"contig {kinds['contig']}, call {kinds['call']}, truth_pos long, distance long")
 
 
 def call_scores(calls: DataFrame, truth: DataFrame, matched: DataFrame) -> DataFrame:
