@@ -314,7 +314,7 @@ def a10_communities(spark: SparkSession, sf: str) -> DataFrame:
 def a23_counters(spark: SparkSession, sf: str) -> DataFrame:
     c = _calls(spark, sf)
     reads = c.select("contig", C("left").alias("start"), (C("left") + 100 + C("score") * 9).alias("end"), (C("cost") * 4).cast("int").alias("flag"), (C("score") % 61).alias("mapq"), (C("score") % 5).alias("insertion"), (C("cost") % 3).alias("clip"))
-    sites = c.where("promoted AND id % 4 = 1").select("contig", C("id").alias("site"), C("left").alias("pos"))
+    sites = c.select("contig", C("id").alias("site"), C("left").alias("pos"))
     return naming.local_counters(sites, reads).select("site", "depth", "reverse", "inserted", C("longest").cast("long").alias("longest"), "clipped", "spanning", "spanning_low")
 
 
@@ -361,7 +361,7 @@ def s22_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 def s23_controls(spark: SparkSession, sf: str) -> DataFrame:
     e = _evidence(spark, sf).select("id", C("alt").alias("score"), F.when(C("split") == 0, "shift").otherwise("sample_local").alias("kind"))
-    return tables.control_rows(e.where("id % 3 = 0"), e.where("id % 3 = 1"), "kind", "score").select("id", "row_kind", "score", _r(C("tail"), "tail", 9))
+    return tables.control_rows(e.where("id % 3 = 0"), e.where("id % 3 <> 0"), "kind", "score").select("id", "row_kind", "score", _r(C("tail"), "tail", 9))
 
 
 def s17_truth(spark: SparkSession, sf: str) -> DataFrame:
@@ -381,7 +381,7 @@ def s18_children(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def s14_best_hits(spark: SparkSession, sf: str) -> DataFrame:
-    o = _read(spark, sf, "orders").where("o_orderkey % 2 = 0")
+    o = _read(spark, sf, "orders")
     k = C("o_orderkey")
     line = F.concat_ws("\t", F.concat(F.lit("q"), k, F.lit("|x")), F.when(k % 6 == 0, "L1").otherwise(F.concat(F.lit("L1:P"), k % 5)), F.when(k % 10 == 0, "bad").otherwise((k % 100).cast("string")), (k % 7).cast("string"))
     return tables.best_hits(o.select(line.alias("value")))
@@ -514,7 +514,7 @@ ORACLES: dict[str, str] = {
         SELECT candidate, count(*) FILTER (p = 3) AS exact, count(*) FILTER (p = 2) AS family, count(*) FILTER (p = 1) AS ambiguous, coalesce(array_to_string(list_sort(list(DISTINCT source) FILTER (p > 0)), ','), '') AS sources FROM r GROUP BY candidate""",
     "a10_communities": """WITH o AS (SELECT l_orderkey AS id, l_orderkey % 700 AS community, min(l_partkey % 50) AS ref, min(l_partkey) AS l, max(l_partkey) AS r, max(l_discount) AS identity, max(l_tax) AS coverage, min(l_tax) AS lfdr, min(l_linenumber) AS n FROM lineitem GROUP BY ALL), x AS (SELECT l_orderkey % 700 AS community, count(DISTINCT l_suppkey) AS alt FROM lineitem GROUP BY ALL)
         SELECT community, count(*) AS rows, any_value(alt) AS alt, list_sort(list(ref))[count(*) // 2 + 1] AS ref, greatest(min(l) - 50, 0) AS start, max(r) + 50 AS "end", round(max(identity), 7) AS identity, round(max(coverage), 7) AS coverage, round(min(lfdr), 7) AS lfdr, max(n)::BIGINT AS insert_length FROM o JOIN x USING (community) GROUP BY community HAVING count(*) >= 2""",
-    "a23_counters": f"""WITH c AS ({_CALLS}), d AS (SELECT contig, l AS s, l + 100 + score * 9 AS e, cost * 4 AS flag, score % 61 AS mapq, score % 5 AS ins, cost % 3 AS clip FROM c), t AS (SELECT contig, id AS site, l AS pos FROM c WHERE promoted AND id % 4 = 1)
+    "a23_counters": f"""WITH c AS ({_CALLS}), d AS (SELECT contig, l AS s, l + 100 + score * 9 AS e, cost * 4 AS flag, score % 61 AS mapq, score % 5 AS ins, cost % 3 AS clip FROM c), t AS (SELECT contig, id AS site, l AS pos FROM c)
         SELECT site, count(d.s) AS depth, count(*) FILTER (flag // 16 % 2 = 1) AS reverse, count(*) FILTER (ins > 0) AS inserted, coalesce(max(ins), 0) AS longest, count(*) FILTER (clip > 0) AS clipped, count(*) FILTER (s <= pos - 100 AND e >= pos + 101) AS spanning, count(*) FILTER (s <= pos - 100 AND e >= pos + 101 AND mapq < 20) AS spanning_low
         FROM t LEFT JOIN d ON d.contig = t.contig AND d.e > pos - 100 AND d.s < pos + 101 GROUP BY site""",
     "k_ranks": f"""WITH h AS (SELECT l_orderkey, {_Q} AS support, l_suppkey % 7 AS priority, l_partkey % 90 AS l FROM lineitem), s AS (SELECT *, support * coalesce([8, 8, 7, 1, 6, 1][priority + 1], 1) AS score FROM h), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, least(abs(l - 40), abs(l + 5 - 40)), support DESC, priority, l)::INTEGER AS rank FROM s)
@@ -524,11 +524,11 @@ ORACLES: dict[str, str] = {
     "u_names": """WITH o AS (SELECT l_orderkey, list_sort(list(DISTINCT 's' || (l_suppkey % 9))) AS a, list_sort(list(DISTINCT 's' || (l_partkey % 9))) AS b FROM lineitem GROUP BY ALL), p AS (SELECT *, list_sort(list_distinct(list_concat(a, b))) AS u FROM o) SELECT l_orderkey, array_to_string(u, ',') AS names, round(len(list_intersect(a, b)) / len(u), 7) AS jaccard FROM p""",
     "s20_call_table": f"WITH c AS ({_CALLS}) SELECT id, 'chr' || contig AS contig, l AS \"left\", r AS \"right\", score, CASE WHEN score % 3 > 0 THEN score / 50 END AS share, promoted, cost + 1 AS n_names FROM c",
     "s22_coverage": f"WITH e AS ({_E}) SELECT id, least(ls, re) AS coverage_start, greatest(ls, re) AS coverage_end FROM e WHERE ls >= 0 AND re >= 0",
-    "s23_controls": f"""WITH e AS ({_E}), n AS (SELECT * FROM e WHERE id % 3 = 0), b AS (SELECT id, CASE WHEN id % 3 = 1 THEN 'final_call' WHEN split = 0 THEN 'shift' ELSE 'sample_local' END AS row_kind, alt AS score FROM e WHERE id % 3 < 2), k AS (SELECT score, (1 + (SELECT count(*) FROM n WHERE n.alt >= d.score)) / (2 + (SELECT count(*) FROM n)) AS tail FROM (SELECT DISTINCT score FROM b) d)
+    "s23_controls": f"""WITH e AS ({_E}), n AS (SELECT * FROM e WHERE id % 3 = 0), b AS (SELECT id, CASE WHEN id % 3 <> 0 THEN 'final_call' WHEN split = 0 THEN 'shift' ELSE 'sample_local' END AS row_kind, alt AS score FROM e), k AS (SELECT score, (1 + (SELECT count(*) FROM n WHERE n.alt >= d.score)) / (2 + (SELECT count(*) FROM n)) AS tail FROM (SELECT DISTINCT score FROM b) d)
         SELECT id, row_kind, score, round(tail, 9) AS tail FROM b JOIN k USING (score)""",
     "s17_truth": """SELECT 'chr' || (o_custkey % 5) AS contig, least(o_orderkey, o_custkey * 3) AS start, greatest(o_orderkey, o_custkey * 3) AS "end", CASE WHEN o_orderkey % 7 <> 0 THEN 'L1' END AS family, o_orderkey % 600 AS length FROM orders WHERE o_orderkey % 4 = 0 AND o_orderkey % 9 <> 0 AND o_orderkey % 600 >= 50""",
     "s18_children": """WITH o AS (SELECT o_orderkey AS k, o_custkey % 5 AS c, CASE WHEN o_orderkey % 4 = 0 THEN -1 ELSE o_orderkey + 7 END AS l, o_orderkey - 5 AS r FROM orders) SELECT 'c' || c AS contig, k AS pos, 'ALU' AS family, k % 10 AS support, CASE WHEN l >= 0 AND r >= 0 THEN least(l, r) ELSE greatest(k - 40, 0) END AS start, CASE WHEN l >= 0 AND r >= 0 THEN greatest(l, r) ELSE k + 40 END AS "end" FROM o WHERE k % 3 <> 0 AND k % 10 >= 3""",
-    "s14_best_hits": """SELECT 'q' || o_orderkey AS key, 'L1' AS family, CASE WHEN o_orderkey % 6 = 0 THEN 'L1' ELSE 'P' || (o_orderkey % 5) END AS subfamily, CASE WHEN o_orderkey % 10 <> 0 THEN (o_orderkey % 100)::DOUBLE END AS identity, (o_orderkey % 7)::DOUBLE AS coverage FROM orders WHERE o_orderkey % 2 = 0""",
+    "s14_best_hits": """SELECT 'q' || o_orderkey AS key, 'L1' AS family, CASE WHEN o_orderkey % 6 = 0 THEN 'L1' ELSE 'P' || (o_orderkey % 5) END AS subfamily, CASE WHEN o_orderkey % 10 <> 0 THEN (o_orderkey % 100)::DOUBLE END AS identity, (o_orderkey % 7)::DOUBLE AS coverage FROM orders""",
 }
 
 

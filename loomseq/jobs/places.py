@@ -45,8 +45,8 @@ def f6_signatures(spark: SparkSession, sf: str) -> DataFrame:
 
 def f_alignment(spark: SparkSession, sf: str) -> DataFrame:
     """F3, F7, F8, F9."""
-    near = C("pos") + F.regexp_extract("cigar", "S([0-9]+)M", 1).cast("long")
-    a = _alignments(spark, sf).withColumns({"e": A.event_signal(C("cigar"), C("pos"), C("pos") - 10, C("pos") + 200), "w": A.anchor_near(C("cigar"), C("pos"), near), "q": A.query_interval(C("cigar"), C("length")), "c": A.clip_anchors(C("cigar"))})
+    near = C("pos") + F.regexp_extract("cigar", "S([0-9]+)M", 1).cast("long") + C("read") % 2 * 200  # of every other read too far from the insertion
+    a = _alignments(spark, sf).withColumns({"e": A.event_signal(C("cigar"), C("pos"), C("pos") - 10, C("pos") + 200), "w": A.anchor_near(C("cigar"), C("pos"), near, indel=40), "q": A.query_interval(C("cigar"), C("length")), "c": A.clip_anchors(C("cigar"))})
     return a.select(
         "read", "pos", "ref_end", C("q.start").alias("q_start"), C("q.end").alias("q_end"), C("c.left").alias("left_anchor"), C("c.right").alias("right_anchor"), C("w.length").alias("anchor"), "w.large_indel", "e.left_clip", "e.right_clip",
         C("e.nearest_insertion").alias("nearest"), C("e.longest_insertion").alias("longest"),
@@ -69,16 +69,15 @@ def f_flanks(spark: SparkSession, sf: str) -> DataFrame:
 
 def s2_regions(spark: SparkSession, sf: str) -> DataFrame:
     """Reads of regions, by orders' windows."""
-    a = _alignments(spark, sf).withColumn("flag", F.when(C("read") % 9 == 0, 256).otherwise(C("flag")))
-    w = _read(spark, sf, "orders").where("o_orderkey % 5 = 0").select(C("o_orderkey").alias("region"), F.lit("chr1").alias("contig"), (C("o_custkey") * 2).alias("start"), (C("o_custkey") * 2 + C("o_orderkey") % 4 * 10).alias("end"))
+    a = _alignments(spark, sf).withColumns({"flag": F.when(C("read") % 9 == 0, 256).otherwise(C("flag")), "contig": F.floor(C("read") / 10) % 40})
+    w = _read(spark, sf, "orders").select(C("o_orderkey").alias("region"), (C("o_orderkey") % 40).alias("contig"), (C("o_custkey") * 2).alias("start"), (C("o_custkey") * 2 + C("o_orderkey") % 4 * 10).alias("end"))
     return R.fetched(w, a.select("contig", "read", "pos", "ref_end", "flag")).groupBy("region").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("ref_end").alias("last"))
 
 
 def s10_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Windows of documents as a reference in chunks."""
     ref = _read(spark, sf, "documents").where("text IS NOT NULL").select(C("doc_id").cast("string").alias("contig"), F.regexp_replace(F.translate(F.lower("text"), *BASES), "[^A-Za-z]", "N").alias("sequence"))
-    o = _read(spark, sf, "orders").where("o_orderkey % 3 = 0")
-    w = o.select(C("o_orderkey").alias("window"), (C("o_custkey") % 150).cast("string").alias("contig"), (C("o_orderkey") % 700 - 20).alias("start"), (C("o_orderkey") % 700 + C("o_custkey") % 300).alias("end"))
+    w = _read(spark, sf, "orders").select(C("o_orderkey").alias("window"), (C("o_custkey") % 150).cast("string").alias("contig"), (C("o_orderkey") % 700 - 20).alias("start"), (C("o_orderkey") % 700 + C("o_custkey") % 300).alias("end"))
     return R.windows_of(R.reference_chunks(ref, 128), w, 128).select("window", F.length("bases").cast("long").alias("n"), F.md5(F.encode("bases", "UTF-8")).alias("hash"))
 
 
@@ -89,16 +88,16 @@ def j2_bins(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _places(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    o = _read(spark, sf, "orders").where("o_orderkey % 7 = 0")
-    h = o.select(F.lit("c").alias("contig"), C("o_orderkey").alias("hypothesis"), (C("o_orderkey") % 2000 * 5).alias("left"), (C("o_orderkey") % 2000 * 5 + C("o_custkey") % 9).alias("right"))
-    e = _read(spark, sf, "orders")
+    """Orders as hypotheses and as reads, on contigs of 10,000 bases; there are as many contigs as the table has thousands of keys, so the depth does not grow with it."""
+    o = _read(spark, sf, "orders").withColumn("contig", F.floor(C("o_orderkey") / 4000))
+    h = o.select("contig", C("o_orderkey").alias("hypothesis"), (C("o_orderkey") % 2000 * 5).alias("left"), (C("o_orderkey") % 2000 * 5 + C("o_custkey") % 9).alias("right"))
     pos = C("o_custkey") * 7 % 10007
     kind = F.element_at(F.array(*map(F.lit, ("split", "indel", "left_clip", "right_clip"))), (C("o_orderkey") % 4 + 1).cast("int"))
-    return h, e.select(F.lit("c").alias("contig"), (C("o_orderkey") % 500).alias("read"), pos.alias("pos"), (pos + 60 + C("o_orderkey") % 90).alias("ref_end"), F.when(C("o_orderkey") % 11 == 0, 2048).otherwise(0).alias("flag"), (C("o_orderkey") % 61).alias("mapq"), F.array(pos + C("o_orderkey") % 140).alias("signals"), kind.alias("kind"), (C("o_orderkey") % 300).alias("length"))
+    return h, o.select("contig", (C("o_orderkey") % 500).alias("read"), pos.alias("pos"), (pos + 60 + C("o_orderkey") % 90).alias("ref_end"), F.when(C("o_orderkey") % 11 == 0, 2048).otherwise(0).alias("flag"), (C("o_orderkey") % 61).alias("mapq"), F.array(pos + C("o_orderkey") % 140).alias("signals"), kind.alias("kind"), (C("o_orderkey") % 300).alias("length"))
 
 
-_PLACES = """h AS (SELECT o_orderkey AS hypothesis, o_orderkey % 2000 * 5 AS l, o_orderkey % 2000 * 5 + o_custkey % 9 AS r FROM orders WHERE o_orderkey % 7 = 0),
- s AS (SELECT o_orderkey % 500 AS read, o_custkey * 7 % 10007 AS pos, o_custkey * 7 % 10007 + 60 + o_orderkey % 90 AS e, o_orderkey % 11 = 0 AS sup, o_orderkey % 61 AS mapq, o_custkey * 7 % 10007 + o_orderkey % 140 AS sig, ['split', 'indel', 'left_clip', 'right_clip'][o_orderkey % 4 + 1] AS kind, o_orderkey % 300 AS len FROM orders)"""
+_PLACES = """h AS (SELECT o_orderkey // 4000 AS contig, o_orderkey AS hypothesis, o_orderkey % 2000 * 5 AS l, o_orderkey % 2000 * 5 + o_custkey % 9 AS r FROM orders),
+ s AS (SELECT o_orderkey // 4000 AS contig, o_orderkey % 500 AS read, o_custkey * 7 % 10007 AS pos, o_custkey * 7 % 10007 + 60 + o_orderkey % 90 AS e, o_orderkey % 11 = 0 AS sup, o_orderkey % 61 AS mapq, o_custkey * 7 % 10007 + o_orderkey % 140 AS sig, ['split', 'indel', 'left_clip', 'right_clip'][o_orderkey % 4 + 1] AS kind, o_orderkey % 300 AS len FROM orders)"""
 
 
 def j3_reference_reads(spark: SparkSession, sf: str) -> DataFrame:
@@ -184,7 +183,7 @@ ORACLES: dict[str, str] = {
         s AS (SELECT pos + 3 * q AS pos, q + 20 AS length, 'cigar' AS source FROM m WHERE sure AND NOT sup AND q + 20 >= 50 UNION ALL SELECT ref_end, gap, 'split' FROM m WHERE mated AND gap >= 50
           UNION ALL SELECT pos, 4 * q, 'clip' FROM m WHERE NOT sup AND NOT (sure AND q + 20 >= 50) AND NOT (mated AND gap >= 50) AND 4 * q >= 20 UNION ALL SELECT ref_end, 30 * n, 'clip' FROM m WHERE NOT sup AND NOT (sure AND q + 20 >= 50) AND NOT (mated AND gap >= 50) AND 30 * n >= 20)
         SELECT pos, length, source, count(*) AS n FROM s GROUP BY ALL""",
-    "f_alignment": f"""WITH a AS ({_ALN}) SELECT read, pos, ref_end, 4 * q AS q_start, 13 * q + 20 AS q_end, 3 * q AS left_anchor, 5 * q AS right_anchor, least(3 * q, 150) + least(5 * q, 150) AS anchor, true AS large_indel, 4 * q >= 20 AS left_clip, 30 * n >= 20 AND 8 * q <= 200 AS right_clip,
+    "f_alignment": f"""WITH a AS ({_ALN}) SELECT read, pos, ref_end, 4 * q AS q_start, 13 * q + 20 AS q_end, 3 * q AS left_anchor, 5 * q AS right_anchor, CASE WHEN read % 2 = 0 THEN least(3 * q, 150) + least(5 * q, 150) ELSE least(greatest(5 * q - 50, 0), 300) END AS anchor, read % 2 = 0 AND q >= 20 AS large_indel, 4 * q >= 20 AS left_clip, 30 * n >= 20 AND 8 * q <= 200 AS right_clip,
         CASE WHEN q + 20 >= 50 AND 3 * q <= 200 THEN pos + 3 * q END AS nearest, CASE WHEN 3 * q <= 200 THEN q + 20 ELSE 0 END AS longest FROM a""",
     "f_flanks": f"""WITH p AS (SELECT p_partkey AS k, translate(lower(p_name), '{BASES[0]}', '{BASES[1]}') AS a, translate(lower(p_type), '{BASES[0]}', '{BASES[1]}') AS b FROM part), d AS (SELECT *, a || 'ACGTA' AS lf, 'GTA' || b AS rf, a || 'AAAATAA' AS t FROM p),
         x AS (SELECT *, (SELECT max(i) FROM (SELECT unnest(generate_series(3, 50)) AS i) WHERE i <= length(lf) AND i <= length(rf) AND right(lf, i) = left(rf, i) AND regexp_full_match(left(rf, i), '[ACGT]+')) AS n FROM d),
@@ -198,14 +197,14 @@ ORACLES: dict[str, str] = {
           OR (SELECT sum(CASE WHEN z > 0 THEN -(z / length(regexp_replace(a, '[^ACGT]', '', 'g'))) * log2(z / length(regexp_replace(a, '[^ACGT]', '', 'g'))) ELSE 0 END) FROM (SELECT unnest([length(a) - length(replace(a, 'A', '')), length(a) - length(replace(a, 'C', '')), length(a) - length(replace(a, 'G', '')), length(a) - length(replace(a, 'T', ''))]) AS z)) < 1.25
           OR coalesce(len(list_distinct(list_filter([substr(a, i, 5) for i in generate_series(1, length(a) - 4)], lambda w: regexp_full_match(w, '[ACGT]+')))) / nullif(len(list_filter([substr(a, i, 5) for i in generate_series(1, length(a) - 4)], lambda w: regexp_full_match(w, '[ACGT]+'))), 0), 0) < 0.35) AS low FROM p) lc USING (k)
         GROUP BY y.k, a, b, t, n, pv, controls""",
-    "s2_regions": f"""WITH a AS (SELECT * FROM ({_ALN}) WHERE read % 9 <> 0), w AS (SELECT o_orderkey AS region, o_custkey * 2 AS s, greatest(o_custkey * 2 + o_orderkey % 4 * 10, o_custkey * 2 + 1) AS e FROM orders WHERE o_orderkey % 5 = 0)
-        SELECT region, count(*) AS n, min(pos) AS first, max(ref_end) AS last FROM w JOIN a ON pos < e AND ref_end > s GROUP BY region""",
-    "s10_windows": f"""WITH r AS (SELECT doc_id::VARCHAR AS contig, regexp_replace(translate(lower(text), '{BASES[0]}', '{BASES[1]}'), '[^A-Za-z]', 'N', 'g') AS s FROM documents), w AS (SELECT o_orderkey AS "window", (o_custkey % 150)::VARCHAR AS contig, greatest(o_orderkey % 700 - 20, 0) AS lo, o_orderkey % 700 + o_custkey % 300 AS hi FROM orders WHERE o_orderkey % 3 = 0),
+    "s2_regions": f"""WITH a AS (SELECT * FROM ({_ALN}) WHERE read % 9 <> 0), w AS (SELECT o_orderkey AS region, o_custkey * 2 AS s, greatest(o_custkey * 2 + o_orderkey % 4 * 10, o_custkey * 2 + 1) AS e FROM orders)
+        SELECT region, count(*) AS n, min(pos) AS first, max(ref_end) AS last FROM w JOIN a ON read // 10 % 40 = region % 40 AND pos < e AND ref_end > s GROUP BY region""",
+    "s10_windows": f"""WITH r AS (SELECT doc_id::VARCHAR AS contig, regexp_replace(translate(lower(text), '{BASES[0]}', '{BASES[1]}'), '[^A-Za-z]', 'N', 'g') AS s FROM documents), w AS (SELECT o_orderkey AS "window", (o_custkey % 150)::VARCHAR AS contig, greatest(o_orderkey % 700 - 20, 0) AS lo, o_orderkey % 700 + o_custkey % 300 AS hi FROM orders),
         x AS (SELECT "window", coalesce(upper(substr(s, lo + 1, greatest(hi - lo, 0))), '') AS b FROM w LEFT JOIN r USING (contig)) SELECT "window", length(b)::BIGINT AS n, md5(b) AS hash FROM x""",
     "j2_bins": f"""WITH a AS (SELECT pos * 7 AS p, pos * 7 + 13 * q + 20 + 30 * n AS e, pos * 7 // 100 AS own FROM ({_ALN})), b AS (SELECT DISTINCT own AS bin FROM a) SELECT bin, count(*) AS n, count(*) FILTER (own = bin) AS n_own FROM b JOIN a ON own BETWEEN bin - 2 AND bin + 2 AND (own = bin OR e >= bin * 100 - 50) GROUP BY bin""",
-    "j3_reference_reads": f"""WITH {_PLACES}, p AS (SELECT hypothesis, read, max(mapq) AS mapq FROM h JOIN s ON NOT sup AND pos <= l - 5 AND e >= r + 5 AND NOT (sig BETWEEN l - 20 AND r + 20) AND read <> hypothesis % 500 GROUP BY ALL)
+    "j3_reference_reads": f"""WITH {_PLACES}, p AS (SELECT hypothesis, read, max(mapq) AS mapq FROM h JOIN s ON h.contig = s.contig AND NOT sup AND pos <= l - 5 AND e >= r + 5 AND NOT (sig BETWEEN l - 20 AND r + 20) AND read <> hypothesis % 500 GROUP BY ALL)
         SELECT h.hypothesis, count(mapq) FILTER (mapq >= 20) AS ref, count(mapq) FILTER (mapq < 20) AS ref_low FROM h LEFT JOIN p USING (hypothesis) GROUP BY h.hypothesis""",
-    "a5_event_evidence": f"""WITH {_PLACES}, x AS (SELECT hypothesis, read, kind, len FROM h JOIN s ON pos BETWEEN l - 25 AND r + 25), y AS (SELECT hypothesis, count(DISTINCT read) FILTER (kind = 'split') AS split, count(DISTINCT read) FILTER (kind = 'indel') AS indel, count(DISTINCT read) FILTER (kind = 'left_clip') AS left_clip, count(DISTINCT read) FILTER (kind = 'right_clip') AS right_clip,
+    "a5_event_evidence": f"""WITH {_PLACES}, x AS (SELECT hypothesis, read, kind, len FROM h JOIN s ON h.contig = s.contig AND pos BETWEEN l - 25 AND r + 25), y AS (SELECT hypothesis, count(DISTINCT read) FILTER (kind = 'split') AS split, count(DISTINCT read) FILTER (kind = 'indel') AS indel, count(DISTINCT read) FILTER (kind = 'left_clip') AS left_clip, count(DISTINCT read) FILTER (kind = 'right_clip') AS right_clip,
           count(DISTINCT read) FILTER (kind IN ('split', 'indel')) AS precise, count(DISTINCT read) AS every, max(len) AS longest, array_to_string(list_sort(list(DISTINCT read)), ',') AS names FROM x GROUP BY hypothesis)
         SELECT hypothesis, coalesce(CASE WHEN precise > 0 OR (left_clip > 0 AND right_clip > 0) THEN every ELSE precise END, 0) AS alt, coalesce(split, 0) AS split, coalesce(indel, 0) AS indel, coalesce(left_clip, 0) AS left_clip, coalesce(right_clip, 0) AS right_clip, coalesce(longest, 0) AS longest, coalesce(names, '') AS names FROM h LEFT JOIN y USING (hypothesis)""",
     "s7_aliases": """WITH o AS (SELECT o_orderkey, o_custkey % 9 AS m, (CASE WHEN o_orderkey % 2 = 0 THEN 'chr' ELSE '' END) || (CASE WHEN o_custkey % 9 = 0 THEN 'M' ELSE (o_custkey % 9)::VARCHAR END) AS contig FROM orders) SELECT o_orderkey, contig, CASE WHEN m = 0 THEN 'MT' WHEN m < 5 THEN 'chr' || m END AS found FROM o""",
@@ -215,8 +214,8 @@ ORACLES: dict[str, str] = {
     "j12_records": f"""WITH r AS (SELECT l_partkey, CAST(floor(l_quantity) AS BIGINT) % 7 AS n, l_orderkey * 100 + l_suppkey AS o, row_number() OVER (PARTITION BY l_partkey ORDER BY CAST(floor(l_quantity) AS BIGINT) % 7 DESC, l_linenumber <> 1, l_orderkey * 100 + l_suppkey) AS k FROM lineitem) SELECT l_partkey, n, o FROM r WHERE k = 1""",
     "k7_flanks": """WITH f AS (SELECT l_orderkey, CAST(floor(l_quantity) AS BIGINT) * 3 AS anchor, l_partkey % 20 AS nm, l_suppkey % 3 AS g, l_suppkey % 61 AS mapq, l_linenumber > 2 AS p, l_partkey AS start, l_suppkey AS distance FROM lineitem),
         r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY anchor - nm - 5 * g DESC, anchor DESC, mapq DESC, nm, NOT p, start, distance) AS k FROM f) SELECT l_orderkey, anchor, nm, start, distance FROM r WHERE k = 1""",
-    "j13_parents": f"""WITH {_PLACES}, c AS (SELECT hypothesis AS candidate, l AS a, l + hypothesis % 300 AS b, least(greatest((hypothesis % 300) // 2, 30), 100) AS w FROM h)
-        SELECT candidate, (read % 2)::VARCHAR AS source, count(*) AS n, count(*) FILTER (e > a - w AND pos < b + w) AS n_inside FROM c JOIN s ON e > a - 200 AND pos < b + 200 GROUP BY ALL""",
+    "j13_parents": f"""WITH {_PLACES}, c AS (SELECT contig, hypothesis AS candidate, l AS a, l + hypothesis % 300 AS b, least(greatest((hypothesis % 300) // 2, 30), 100) AS w FROM h)
+        SELECT candidate, (read % 2)::VARCHAR AS source, count(*) AS n, count(*) FILTER (e > a - w AND pos < b + w) AS n_inside FROM c JOIN s ON c.contig = s.contig AND e > a - 200 AND pos < b + 200 GROUP BY ALL""",
     "j10_seeds": f"""WITH p AS (SELECT p_partkey AS id, translate(lower(p_name), '{BASES[0]}', '{BASES[1]}') AS q, 'ACGTT' || translate(lower(p_name), '{BASES[0]}', '{BASES[1]}') || translate(lower(p_type), '{BASES[0]}', '{BASES[1]}') AS t FROM part),
         a AS (SELECT id, i - 1 AS i, substr(q, i, 5) AS m FROM (SELECT *, unnest(generate_series(1, length(q) - 4)) AS i FROM p)), b AS (SELECT id, j - 1 AS j, substr(t, j, 5) AS m FROM (SELECT *, unnest(generate_series(1, length(t) - 4)) AS j FROM p)),
         h AS (SELECT id, j, j - i AS d FROM a JOIN b USING (id, m) WHERE regexp_full_match(m, '[ACGT]+')), g AS (SELECT id, trunc(d / 8)::BIGINT AS bin, count(*) AS support, min(j)::INTEGER AS start FROM h GROUP BY ALL),
