@@ -21,7 +21,8 @@ Learning is two steps, both over all training rows:
  2. The gram table streams through the mixer in SHARDS fixed parts, each in a
     fixed order, the occurrence itself left out of what predicts it; the parts'
     weights are averaged. Neither depends on how rows are partitioned.
-Scoring is one pass: each distinct word and gram that a task meets is coded once.
+Scoring is one pass: common grams are coded once for all tasks, each other word
+and gram that a task meets once by the task.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ ORDERS, LONG = 5, 64
 SPACE, LEAST_BITS, MOST_BITS = 4, 18, 28
 #: Words that make up at least 1 / HEAVY of all tokens number at most HEAVY; those of up to LONG bytes go to the tasks with their counts.
 HEAVY = 500_000
+#: Grams that make up at least 1 / COMMON of all grams number at most COMMON; their costs are computed once, by Spark, and go to the tasks.
+COMMON = 2_000_000
 SHARDS, CACHE, WORDS, TEXTS = 64, 4_000_000, 300_000, 2 << 20
 LEVELS = np.array([2, 4, 16, 128], np.float32)  # how often the longest context was seen
 GATES, MAPS, STEPS = (ORDERS + 1) * (len(LEVELS) + 1) * 8, 256, 33
@@ -196,11 +199,11 @@ class Mixer:
 
 
 class Costs:
-    """Costs of grams, each computed once while it is among the last CACHE or so that a task has met."""
+    """Costs of grams: of common ones as given (sorted), of others computed once while they are among the last CACHE or so that a task has met."""
 
-    def __init__(self, mixer: Mixer):
+    def __init__(self, mixer: Mixer, gram: np.ndarray, cost: np.ndarray):
         self.mixer = mixer
-        self.gram, self.cost = np.zeros(0, np.int64), np.zeros(0)
+        self.common = self.gram, self.cost = gram, cost
 
     def of(self, gram: np.ndarray) -> np.ndarray:
         codes, g = pd.factorize(gram)
@@ -213,9 +216,10 @@ class Costs:
         fresh = ~known
         cost[fresh] = self.mixer.costs(g[fresh])
         if len(self.gram) + int(fresh.sum()) > CACHE:
-            self.gram, self.cost = g, cost
-        else:
-            self.gram, self.cost = np.insert(self.gram, at[fresh], g[fresh]), np.insert(self.cost, at[fresh], cost[fresh])
+            self.gram, self.cost = self.common
+            at = np.searchsorted(self.gram, g)
+            fresh = self.gram[np.minimum(at, len(self.gram) - 1)] != g if len(self.gram) else np.ones(len(g), bool)
+        self.gram, self.cost = np.insert(self.gram, at[fresh], g[fresh]), np.insert(self.cost, at[fresh], cost[fresh])
         return cost[inverse]
 
 
@@ -357,6 +361,21 @@ def train(grams: DataFrame, counts: np.ndarray) -> Mixer:
 # ---------------------------------------------------------------- scoring
 
 
+def common_costs(grams: DataFrame, mixer: Mixer, total: int, common: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """The grams (sorted) with at least 1 / `common` of all occurrences, and their costs: at most `common` rows come to the driver."""
+    sent = grams.sparkSession.sparkContext.broadcast(mixer)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sent.value.costs(b.column(0).to_numpy()))], names=["gram", "cost"])
+
+    got = grams.where(F.col("n") * common >= total).select("gram").mapInArrow(run, "gram long, cost double").toArrow()
+    sent.unpersist()
+    gram, cost = (np.array(got.column(c).to_numpy()) for c in ("gram", "cost"))
+    order = np.argsort(gram)
+    return gram[order], cost[order]
+
+
 def score(docs: DataFrame, training: DataFrame, *, keep: list[str], text: str = "text", heavy: int = HEAVY, most_bits: int = MOST_BITS) -> DataFrame:
     """Columns `keep`, then n_tokens, n_known, train_tokens, base_score, score (log10) and bits_per_byte.
 
@@ -375,19 +394,21 @@ def score(docs: DataFrame, training: DataFrame, *, keep: list[str], text: str =
     grams = cut(parts.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
     words = cut(parts.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c")), "words")
     seen, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    bits = min(most_bits, max(LEAST_BITS, (SPACE * grams.count() - 1).bit_length()))
+    kinds, total = grams.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    bits = min(most_bits, max(LEAST_BITS, (SPACE * kinds - 1).bit_length()))
     mixer = train(grams, bit_counts(grams, bits))
+    common = common_costs(grams, mixer, total)
     often = F.octet_length("word") <= LONG
     often = often & (F.col("c") * heavy >= seen)
     head = words.where(often).toPandas()  # at most `heavy` words of at most LONG bytes
-    sent = spark.sparkContext.broadcast((mixer, [(bytes(w), int(c)) for w, c in zip(head.word, head.c, strict=True)]))
+    sent = spark.sparkContext.broadcast((mixer, [(bytes(w), int(c)) for w, c in zip(head.word, head.c, strict=True)], common))
     rest_type = T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("k", T.LongType())]))
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("__known", T.LongType()), T.StructField("__sum", T.DoubleType()), T.StructField("__bits", T.DoubleType()), T.StructField("__bytes", T.LongType()), T.StructField("__rest", rest_type)]
 
     def begin():
-        mixer, head = sent.value
+        mixer, head, common = sent.value
         logs = {w: float(np.log10(c + 1)) for w, c in head}
-        costs = Costs(mixer)
+        costs = Costs(mixer, *common)
         bits: dict[bytes, float] = {}  # of the rest of each word met, up to WORDS or so
 
         def fn(texts):
