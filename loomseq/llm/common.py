@@ -71,7 +71,7 @@ def map_text(df: DataFrame, text: str, keep: list[str], fields: list[T.StructFie
             for part in slices(batch, most):
                 new = fn(part.column(part.num_columns - 1).cast(pa.binary()).to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(i).cast(kinds[i]) for i in range(len(keep))] + [pa.array(x, type=t) for x, t in zip(new, kinds[len(keep):], strict=True)],
+                    [part.column(i).cast(kinds[i]) for i in range(len(keep))] + [x.cast(t) if isinstance(x, pa.Array) else pa.array(x, type=t) for x, t in zip(new, kinds[len(keep):], strict=True)],
                     names=schema.names,
                 )
 

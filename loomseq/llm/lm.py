@@ -29,6 +29,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -44,7 +45,7 @@ ORDERS, LONG = 5, 64
 #: Slots of the bit table for each distinct gram, and its least and largest size as powers of two.
 SPACE, LEAST_BITS, MOST_BITS = 4, 18, 28
 #: Words that make up at least 1 / HEAVY of all tokens number at most HEAVY; those of up to LONG bytes go to the tasks with their counts.
-HEAVY = 500_000
+HEAVY = 1_000_000
 #: Grams that make up at least 1 / COMMON of all grams number at most COMMON; their costs are computed once, by Spark, and go to the tasks.
 COMMON = 2_000_000
 SHARDS, CACHE, WORDS, TEXTS = 64, 4_000_000, 300_000, 2 << 20
@@ -409,31 +410,40 @@ def score(docs: DataFrame, training: DataFrame, *, keep: list[str], text: str =
         mixer, head, common = sent.value
         logs = {w: float(np.log10(c + 1)) for w, c in head}
         costs = Costs(mixer, *common)
-        bits: dict[bytes, float] = {}  # of the rest of each word met, up to WORDS or so
+        # Of each word met, up to WORDS or so: its number, and by number the word, the bits of its rest, its log10 (nan: not in the head) and its bytes.
+        place: dict[bytes, int] = {}
+        names: list[bytes] = []
+        facts = np.zeros((3, 0))
 
         def fn(texts):
+            nonlocal facts
             docs_ = [_tokens(t) for t in texts]
             edges, many = edge_grams(docs_)
             edge_bits = np.add.reduceat(costs.of(edges), np.cumsum(many) - many)
-            names = set().union(*docs_)
-            if len(bits) + len(names) > WORDS and len(names.difference(bits)) + len(bits) > WORDS:
-                bits.clear()
-            names = list(names.difference(bits))
-            g, first = word_grams(names)
+            flat = list(chain.from_iterable(docs_))
+            size = np.fromiter(map(len, docs_), np.int64, len(docs_))
+            first = np.cumsum(size) - size
+            fresh = list(set(flat).difference(place))
+            if len(place) + len(fresh) > WORDS:
+                place.clear()
+                names.clear()
+                facts, fresh = np.zeros((3, 0)), list(set(flat))
+            g, begins = word_grams(fresh)
             sums = np.r_[0.0, np.cumsum(costs.of(g))] if len(g) else np.zeros(1)
-            bits.update(zip(names, (sums[np.r_[first[1:], len(g)]] - sums[first]).tolist() if names else [], strict=True))
-            out = [[], [], [], [], [], []]
-            for words_, at_edges in zip(docs_, edge_bits.tolist(), strict=True):
-                count = Counter(words_)
-                rest = [(w, k) for w, k in count.items() if w not in logs]
-                known = len(words_) - sum(k for _, k in rest)
-                out[0].append(len(words_))
-                out[1].append(known)
-                out[2].append(sum(k * logs[w] for w, k in count.items() if w in logs))
-                out[3].append(at_edges + sum(k * bits[w] for w, k in count.items()))
-                out[4].append(sum(map(len, words_)) + len(words_) - 1)
-                out[5].append(rest)
-            return out
+            new = sums[np.r_[begins[1:], len(g)]] - sums[begins] if fresh else np.zeros(0)
+            facts = np.concatenate([facts, [new, [logs.get(w, np.nan) for w in fresh], list(map(len, fresh))]], axis=1)
+            place.update(zip(fresh, range(len(names), len(names) + len(fresh))))
+            names.extend(fresh)
+            at = np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))
+            log = facts[1, at]
+            rare = np.isnan(log)
+            # Words of a document that are not in the head, with how often.
+            each, k = np.unique(np.repeat(np.arange(len(docs_)), size)[rare] << 32 | at[rare], return_counts=True)
+            which, inverse = np.unique(each & 0xFFFFFFFF, return_inverse=True)
+            words_ = pa.array([names[i] for i in which.tolist()], pa.binary()).take(pa.array(inverse.reshape(-1)))
+            rest = pa.ListArray.from_arrays(pa.array(np.searchsorted(each >> 32, np.arange(len(docs_) + 1)).astype(np.int32)), pa.StructArray.from_arrays([words_, pa.array(k.astype(np.int64))], names=["word", "k"]))
+            total = lambda x: np.add.reduceat(x, first)
+            return [size, size - total(rare.astype(np.int64)), total(np.where(rare, 0.0, log)), edge_bits + total(facts[0, at]), total(facts[2, at].astype(np.int64)) + size - 1, rest]
 
         return fn
 
