@@ -103,13 +103,15 @@ def with_signatures(reads: DataFrame, out: str = "signatures") -> DataFrame:
 
 
 def anchor_near(cigar: Column, pos: Column, breakpoint: Column, reach: int = 150, indel: int = 20) -> Column:
-    """Struct length, large_indel: reference bases aligned within `reach` of a breakpoint, and whether an insertion or deletion of `indel` touches that window."""
-    lo, hi = breakpoint - reach, breakpoint + reach
+    """Struct length, large_indel: bases of the alignment within `reach` of a breakpoint (matched, deleted, and inserted there), and whether an insertion or deletion of `indel` touches that window."""
+    lo, hi = breakpoint - reach, breakpoint + reach + 1
 
     def step(s: Column, n: Column, op: Column, at: Column) -> Column:
         shared = F.greatest(F.least(at + n, hi) - F.greatest(at, lo), _long(F.lit(0)))
-        touch = (n >= indel) & (((op == "I") & at.between(lo, hi)) | (op.isin("D", "N") & (shared > 0)))
-        return F.struct((s["length"] + F.when(op.isin("M", "=", "X"), shared).otherwise(_long(F.lit(0)))).alias("length"), (s["large_indel"] | touch).alias("large_indel"))
+        inside = (op == "I") & (at >= lo) & (at < hi)
+        gone = op.isin("D", "N") & (shared > 0)
+        more = F.when(op.isin("M", "=", "X", "D", "N"), shared).when(inside, n).otherwise(_long(F.lit(0)))
+        return F.struct((s["length"] + more).alias("length"), (s["large_indel"] | ((n >= indel) & (inside | gone))).alias("large_indel"))
 
     return walk(cigar, pos, F.struct(_long(F.lit(0)).alias("length"), F.lit(False).alias("large_indel")), step)
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomseq.operators import consensus as K
+from loomseq.operators import fragments as R
 from loomseq.operators import segmentation as S
 from loomseq.operators import sequences as Q
 from loomseq.operators.reads import reference_chunks
@@ -112,7 +113,33 @@ def f24_semiglobal(spark: SparkSession, sf: str) -> DataFrame:
     return Q.semiglobal_identity(p, "q", "t", "identity").select("p_partkey", F.round("identity", 9).alias("identity"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (f30_segmentation, f32_concordance, a6_inputs, a7_consensus, f24_semiglobal)}
+def f10_fragments(spark: SparkSession, sf: str) -> DataFrame:
+    """Clips and insertions of order lines as reads."""
+    q, n = C("l_quantity").cast("int"), C("l_linenumber").cast("int")
+    parts = (q * 2, "S", n + 100, "M", q + 30, "I", F.lit(40), "M", n + 60, "I", q + 30, "M", n * 12, "S")
+    total = q * 4 + n * 14 + 260
+    reads = _read(spark, sf, "lineitem").select(
+        (C("l_orderkey") * 10 + n).alias("component"), F.lit("c").alias("contig"), F.lit(1000).alias("anchor"), C("l_orderkey").alias("read"), n.alias("record"), (q % 2 * 16).alias("flag"), F.when(C("l_suppkey") % 3 == 0, 59).otherwise(60).alias("mapq"), (C("l_partkey") * 3).alias("pos"),
+        F.concat(*(p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts)).alias("cigar"), F.left(spelt(F.concat_ws("+", "l_orderkey", n), 20), total).alias("sequence"), F.lit(0).alias("nm"),
+    )
+    got = R.clip_and_insertion_fragments(reads)
+    return got.select("component", "source", "start", "length", "anchor_len", "junction", F.md5(C("sequence").cast("binary")).alias("text"), "name")
+
+
+def f11_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as split reads, with a supplementary record that agrees, one that does not, or none."""
+    k = C("o_orderkey")
+    n, s = (k % 50 + 620).cast("int"), (k % 100 + 330).cast("int")
+    o = _read(spark, sf, "orders").select(k.alias("component"), F.lit("c").alias("contig"), F.lit(1000).alias("anchor"), C("o_custkey").alias("read"), F.left(spelt(F.concat(F.lit("s"), k), 21), n).alias("sequence"), n.alias("n"), s.alias("s"), (k % 3).alias("v"), (k % 11 == 0).alias("turned"))
+    told = F.concat(F.lit("c,"), C("component") % 7 * 5 + 1001, F.lit(","), F.when(C("turned"), "-").otherwise("+"), F.lit(","), C("s"), F.lit("S"), C("n") - C("s"), F.lit("M,60,"), C("component") % 4, F.lit(";"))
+    main = o.select("component", "contig", "anchor", "read", F.lit(1).alias("record"), F.lit(0).alias("flag"), F.lit(60).alias("mapq"), F.lit(700).alias("pos"), F.concat(F.lit("300M"), C("n") - 300, F.lit("S")).alias("cigar"), "sequence", told.alias("sa"), F.lit(None).cast("int").alias("nm"))
+    at = (C("s") + F.when(C("v") == 1, C("component") % 5).otherwise(40)).cast("int")
+    more = o.where("v > 0").select("component", "contig", "anchor", "read", F.lit(2).alias("record"), F.when(C("turned"), 0x810).otherwise(0x800).alias("flag"), F.lit(60).alias("mapq"), F.lit(1000).alias("pos"), F.concat(at, F.lit("S"), C("n") - at, F.lit("M")).alias("cigar"), "sequence", F.lit(None).cast("string").alias("sa"), F.lit(1).alias("nm"))
+    got = R.split_fragments(main.union(more))
+    return got.select("component", "start", "length", "anchor_len", "side", "junction", C("nm").cast("long").alias("nm"), "reliable", F.md5(C("sequence").cast("binary")).alias("text"), "name")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (f10_fragments, f11_split, f30_segmentation, f32_concordance, a6_inputs, a7_consensus, f24_semiglobal)}
 
 _KIND = """CASE k WHEN 0 THEN {0} WHEN 1 THEN {1} WHEN 2 THEN {2} WHEN 3 THEN {3} WHEN 4 THEN {4} WHEN 5 THEN {5} ELSE {6} END"""
 _PASS = "PASS_EVENT_SEGMENTATION"
@@ -124,6 +151,15 @@ ORACLES: dict[str, str] = {
           {_KIND.format("p", "p", "p", "p", "p", "p", "-1")} AS right_start, {_KIND.format("p + 90", "p + 78", "p + 90", "p", "p + 90", "p", "-1")} AS right_end,
           {_KIND.format("90", "78", "90", "90", "0", "0", "0")}::BIGINT AS left_length, {_KIND.format("90", "78", "90", "0", "90", "0", "0")}::BIGINT AS right_length, {_KIND.format("1", "1", "-1", "1", "1", "0", "0")}::BIGINT AS strand,
           md5({_KIND.format("ins", "substr(ref, (p - 11)::INT, 12) || ins || substr(ref, (p - 11)::INT, 12)", "ins", "left(noise, 160)", "left(noise, 160)", "noise", "''")}) AS insert, {_KIND.format("2", "2", "2", "1", "1", "0", "0")}::DOUBLE AS identity FROM e""",
+    "f10_fragments": f"""WITH l AS (SELECT l_orderkey * 10 + l_linenumber AS component, l_orderkey AS k, l_linenumber::BIGINT AS n, floor(l_quantity)::BIGINT AS q, l_suppkey % 3 <> 0 AS sure, l_partkey * 3 AS pos, left({_spelt("l_orderkey || '+' || l_linenumber", "20")}, (floor(l_quantity)::BIGINT * 4 + l_linenumber * 14 + 260)::INT) AS s FROM lineitem),
+        f AS (SELECT *, unnest([{{'source': 'clip_left', 'a': 0, 'len': q * 2, 'anchor': n + 100, 'j': pos, 'tag': 'clipRefL', 'ok': q * 2 >= 50}}, {{'source': 'clip_right', 'a': length(s) - n * 12, 'len': n * 12, 'anchor': q + 30, 'j': pos + n + 170 + q, 'tag': 'clipRefR', 'ok': n * 12 >= 50}},
+          {{'source': 'insertion', 'a': q * 2 + n + 100, 'len': q + 30, 'anchor': 40, 'j': pos + n + 100, 'tag': 'ins', 'ok': sure AND q + 30 >= 50}}, {{'source': 'insertion', 'a': q * 3 + n + 170, 'len': n + 60, 'anchor': least(40, q + 30), 'j': pos + n + 140, 'tag': 'ins', 'ok': sure}}]) AS f FROM l)
+        SELECT component, f.source AS source, f.a AS start, f.len AS length, f.anchor AS anchor_len, f.j AS junction, md5(substr(s, (f.a + 1)::INT, f.len::INT)) AS text,
+          'c:1000|read=' || k || '|idx=' || n || '|strand=' || CASE WHEN q % 2 = 1 THEN '-' ELSE '+' END || '|src=' || f.tag || CASE WHEN f.tag = 'ins' THEN '|start=' || f.a ELSE '' END || '|rj=' || f.j || '|len=' || f.len AS name FROM f WHERE f.ok""",
+    "f11_split": f"""WITH o AS (SELECT o_orderkey AS k, o_custkey AS r, o_orderkey % 50 + 620 AS n, o_orderkey % 100 + 330 AS s, o_orderkey % 3 AS v, o_orderkey % 7 * 5 AS g, o_orderkey % 4 AS nm, left({_spelt("'s' || o_orderkey", "21")}, (o_orderkey % 50 + 620)::INT) AS t FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 100 + 30 - o_orderkey % 7 * 5 >= 50),
+        f AS (SELECT k, r, t, CASE WHEN g = 0 AND nm <= 1 THEN s - 100 ELSE 288 END AS start, 112 AS length, CASE WHEN g = 0 AND nm <= 1 THEN 151 ELSE 150 END AS anchor_len, 1000 AS junction, CASE WHEN g = 0 AND nm <= 1 THEN nm ELSE -1 END AS nm, true AS reliable, '|qj=' || CASE WHEN g = 0 AND nm <= 1 THEN s ELSE 300 END || '|rj=1000|len=112' AS tail FROM o WHERE v < 2
+          UNION ALL SELECT k, r, t, s, n - s, 151 - g, -1, nm, v < 2, '|sa_idx=1|sa=c:' || (g + 1001) || '+|qlen=' || (n - s) FROM o)
+        SELECT k AS component, start, length, anchor_len, 'unknown' AS side, junction, nm, reliable, md5(substr(t, (start + 1)::INT, length::INT)) AS text, 'c:1000|read=' || r || '|idx=1|strand=+|src=splitSA' || tail AS name FROM f""",
     "f32_concordance": f"""WITH s AS (SELECT o_orderkey AS event, o_orderkey % 11 <> 0 AS passed, left({_spelt("'o' || o_orderkey", "4")}, CASE WHEN o_orderkey % 13 = 0 THEN 40 ELSE 128 END) AS ins FROM orders),
         l AS (SELECT l_orderkey AS event, l_linenumber::INT AS n, floor(l_quantity)::INT AS q, {_spelt("'o' || l_orderkey", "4")} AS w FROM lineitem),
         c AS (SELECT *, left(w, q) || translate(substr(w, q + 1, q % 19), 'ACGT', 'CGTA') || substr(w, q + 1 + q % 19) AS x, ['split', 'insertion', 'clip_left', 'clip_right'][(n + q) % 4 + 1] AS kind FROM l),

@@ -183,7 +183,7 @@ ORACLES: dict[str, str] = {
         s AS (SELECT pos + 3 * q AS pos, q + 20 AS length, 'cigar' AS source FROM m WHERE sure AND NOT sup AND q + 20 >= 50 UNION ALL SELECT ref_end, gap, 'split' FROM m WHERE mated AND gap >= 50
           UNION ALL SELECT pos, 4 * q, 'clip' FROM m WHERE NOT sup AND NOT (sure AND q + 20 >= 50) AND NOT (mated AND gap >= 50) AND 4 * q >= 20 UNION ALL SELECT ref_end, 30 * n, 'clip' FROM m WHERE NOT sup AND NOT (sure AND q + 20 >= 50) AND NOT (mated AND gap >= 50) AND 30 * n >= 20)
         SELECT pos, length, source, count(*) AS n FROM s GROUP BY ALL""",
-    "f_alignment": f"""WITH a AS ({_ALN}) SELECT read, pos, ref_end, 4 * q AS q_start, 13 * q + 20 AS q_end, 3 * q AS left_anchor, 5 * q AS right_anchor, CASE WHEN read % 2 = 0 THEN least(3 * q, 150) + least(5 * q, 150) ELSE least(greatest(5 * q - 50, 0), 300) END AS anchor, read % 2 = 0 AND q >= 20 AS large_indel, 4 * q >= 20 AS left_clip, 30 * n >= 20 AND 8 * q <= 200 AS right_clip,
+    "f_alignment": f"""WITH a AS ({_ALN}) SELECT read, pos, ref_end, 4 * q AS q_start, 13 * q + 20 AS q_end, 3 * q AS left_anchor, 5 * q AS right_anchor, CASE WHEN read % 2 = 0 THEN least(3 * q, 150) + least(5 * q, 151) + q + 20 ELSE least(greatest(5 * q - 50, 0), 301) END AS anchor, read % 2 = 0 AND q >= 20 AS large_indel, 4 * q >= 20 AS left_clip, 30 * n >= 20 AND 8 * q <= 200 AS right_clip,
         CASE WHEN q + 20 >= 50 AND 3 * q <= 200 THEN pos + 3 * q END AS nearest, CASE WHEN 3 * q <= 200 THEN q + 20 ELSE 0 END AS longest FROM a""",
     "f_flanks": f"""WITH p AS (SELECT p_partkey AS k, translate(lower(p_name), '{BASES[0]}', '{BASES[1]}') AS a, translate(lower(p_type), '{BASES[0]}', '{BASES[1]}') AS b FROM part), d AS (SELECT *, a || 'ACGTA' AS lf, 'GTA' || b AS rf, a || 'AAAATAA' AS t FROM p),
         x AS (SELECT *, (SELECT max(i) FROM (SELECT unnest(generate_series(3, 50)) AS i) WHERE i <= length(lf) AND i <= length(rf) AND right(lf, i) = left(rf, i) AND regexp_full_match(left(rf, i), '[ACGT]+')) AS n FROM d),
