@@ -1,13 +1,15 @@
 """Operator 5, exact top-k inner-product search by a dual cover tree.
 
-A cover tree is built over a bounded sample (SAMPLE vectors; its nets halve
-their radius from level to level). Every data row goes to its nearest leaf, so
+A cover tree is built over a bounded sample (eight vectors a leaf; its nets halve
+their radius from level to level). It has a leaf for each CHUNK rows, 256 to
+MOST_LEAVES. Every data row goes to its nearest leaf, so
 the index holds all rows, in chunks of CHUNK along the order of the leaves. A
 query goes to the chunks of those leaves that may hold one of its k best: with
 the leaf's covering radius r, <q, c> + |q| r is the most that a row of leaf c
 can score, and the worst k-th score so far starts from the sample, which is part
-of the data. A task has one chunk and at most QUERIES queries, hangs both into
-the tree, and descends pairs (query node, data node) from the best bound on; it
+of the data. A task holds one chunk at a time while the queries that aim at it
+stream by, sorted behind it, so no row of the index is copied; QUERIES of them at
+once hang into the tree beside the chunk, and the task descends pairs (query node, data node) from the best bound on; it
 prunes a pair when
     <a, b> + |a| rb + |b| ra + ra rb
 (centres a and b, covering radii ra and rb) is below the worst k-th score that
@@ -30,7 +32,7 @@ from loomseq.llm.common import table
 from loomseq.operators.running import running_sums
 from loomseq.sources.shared import cut
 
-SAMPLE, LEAVES, QUERIES, CHUNK = 2048, 256, 2048, 4096
+LEAVES, MOST_LEAVES, QUERIES, CHUNK = 256, 1024, 2048, 4096
 
 
 class CoverTree:
@@ -70,6 +72,13 @@ class CoverTree:
     def _near(x: np.ndarray, c: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1) - 2 * x @ c.T, 0))
 
+    def dots(self) -> np.ndarray:
+        """Inner products of all centres, computed once in a process."""
+        if "_dots" not in self.__dict__:
+            c = np.array(self.centres)
+            self._dots = c @ c.T
+        return self._dots
+
     def assign(self, x: np.ndarray) -> np.ndarray:
         return self._near(x, self.leaf_centres).argmin(1)
 
@@ -113,11 +122,11 @@ class Search:
         self.floor = floor  # no smaller score is in the query's top k
         self.side = Side(tree, tree.assign(q.astype(np.float64)), q.astype(np.float64))
 
-    def run(self, leaf: np.ndarray, vec_id: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Candidates (query row, vec_id, score) of one chunk of data rows."""
-        tree, qs, ds = self.tree, self.side, Side(self.tree, leaf, x.astype(np.float64))
-        centres = np.array(tree.centres)
-        dots = centres @ centres.T
+    def run(self, ds: Side, vec_id: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Candidates (query row, vec_id, score) of one chunk of data rows, whose side of the tree is `ds`."""
+        tree, qs = self.tree, self.side
+        dots = tree.dots()
+        centres = tree.centres
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         worst = np.array([self.floor[qs.rows_of(n)].min() if qs.count[n] else 0 for n in range(len(centres))], dtype=np.float64)
 
@@ -181,13 +190,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 20, id: str = "vec
     data = vectors.select(F.col(id).cast("long").alias("vec_id"), F.col(vector).alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
     asked = queries.select(F.col(id).cast("long").alias("vec_id"), F.col(vector).alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL").dropDuplicates()
     dim = data.union(asked).agg(F.max(F.size("v"))).first()[0] or 0
-    sample = data.orderBy(F.xxhash64("vec_id", "v")).limit(SAMPLE).collect()
+    leaves = max(LEAVES, min(MOST_LEAVES, data.count() // chunk))
+    sample = data.orderBy(F.xxhash64("vec_id", "v")).limit(8 * leaves).collect()
     if not dim or not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     pad = np.zeros((len(sample), dim), np.int64)
     for i, r in enumerate(sample):
         pad[i, : len(r.v)] = r.v
-    tree = CoverTree(pad)
+    tree = CoverTree(pad, leaves)
     sent = spark.sparkContext.broadcast((tree, pad, np.array([r.vec_id for r in sample])))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,13 +211,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 20, id: str = "vec
     placed = data.mapInArrow(place, "leaf int, far double, vec_id long, v array<long>")
     index = running_sums(placed, [], [F.asc("leaf"), F.xxhash64("vec_id", "v").asc()], {"n": F.lit(1).cast("long")})
     index = cut(index.withColumn("chunk", F.expr(f"(n - 1) div {chunk}")).select("chunk", "leaf", "far", "vec_id", "v"), "vectors")
-    leaves = index.groupBy("leaf").agg(F.max("far").alias("r"), F.min("chunk").alias("first"), F.max("chunk").alias("last")).orderBy("leaf").collect()  # LEAVES rows at most
-    held = spark.sparkContext.broadcast((np.array([r.leaf for r in leaves]), np.array([r.r for r in leaves]), np.array([r["first"] for r in leaves]), np.array([r["last"] for r in leaves])))
-    blocks = max(1, -(-asked.count() // most))
+    leaves = index.groupBy("leaf").agg(F.max("far").alias("r"), F.min("chunk").alias("first"), F.max("chunk").alias("last")).orderBy("leaf").collect()  # MOST_LEAVES rows at most
+    bounds = spark.sparkContext.broadcast((np.array([r.leaf for r in leaves]), np.array([r.r for r in leaves]), np.array([r["first"] for r in leaves]), np.array([r["last"] for r in leaves])))
 
     def aim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, sample, sample_ids = sent.value
-        leaf, radius, first, last = held.value
+        leaf, radius, first, last = bounds.value
         centres = tree.leaf_centres[leaf]
         for b in batches:
             for at in range(0, b.num_rows, most):
@@ -223,34 +232,44 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 20, id: str = "vec
                     if len(some):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), c)), part.column(0).take(pa.array(some)), part.column(1).take(pa.array(some)), pa.array(floor[some])], names=["chunk", "query_id", "q", "floor"])
 
-    aimed = asked.mapInArrow(aim, "chunk long, query_id long, q array<long>, floor long").withColumns({"h": F.xxhash64("q"), "block": F.pmod(F.xxhash64("query_id", "q"), F.lit(blocks)).cast("int")})
-    rows = index.drop("far").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) if blocks > 1 else index.drop("far").withColumn("block", F.lit(0))
-
-    def search(left, right):
-        import pandas as pd
-
-        if not len(left) or not len(right):
-            return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query_id", "h", "vec_id", "score")})
-        q, x = _rows(right.q, dim), _rows(left.v, dim)
-        run = Search(sent.value[0], right.query_id.to_numpy(), q, k, right.floor.to_numpy().copy())
-        row, vec, score = run.run(left.leaf.to_numpy(), left.vec_id.to_numpy(), x)
-        keep = score >= run.floor[row]
-        row, vec, score = row[keep], vec[keep], score[keep]
-        return pd.DataFrame({"query_id": run.ids[row], "h": right.h.to_numpy()[row], "vec_id": vec, "score": score})
+    aimed = asked.mapInArrow(aim, "chunk long, query_id long, q array<long>, floor long")
+    held = index.select("chunk", F.lit(0).alias("role"), "vec_id", "v", "leaf", F.lit(0).cast("long").alias("floor"), F.lit(0).cast("long").alias("h"))
+    asks = aimed.select("chunk", F.lit(1).alias("role"), F.col("query_id").alias("vec_id"), F.col("q").alias("v"), F.lit(-1).alias("leaf"), "floor", F.xxhash64("q").alias("h"))
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = held.union(asks).repartition(width, "chunk").sortWithinPartitions("chunk", "role")
 
-    cells = rows.groupBy("chunk", "block").cogroup(aimed.groupBy("chunk", "block"))
-    found = cells.applyInPandas(search, "query_id long, h long, vec_id long, score long")
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = sent.value[0]
+        now, parts, side = None, [], None  # the chunk held, its rows, its side of the tree
+        for b in batches:
+            chunks, roles = b.column(0).to_numpy(), b.column(1).to_numpy()
+            edge = np.flatnonzero(np.r_[True, (np.diff(chunks) != 0) | (np.diff(roles) != 0)]) if b.num_rows else []
+            for lo, hi in zip(edge, [*edge[1:], b.num_rows], strict=True):
+                if chunks[lo] != now:
+                    now, parts, side = chunks[lo], [], None
+                p = b.slice(lo, hi - lo)
+                if not roles[lo]:
+                    parts.append((p.column(2).to_numpy(), _matrix(p.column(3), dim), p.column(4).to_numpy()))
+                    continue
+                if not parts:
+                    continue
+                if side is None:
+                    ids, x, leaf = (np.concatenate(c) for c in zip(*parts, strict=True))
+                    parts, side = [(ids, x, leaf)], Side(tree, leaf, x.astype(np.float64))
+                ids, x, _ = parts[0]
+                for at in range(0, p.num_rows, most):
+                    q = p.slice(at, most)
+                    run = Search(tree, q.column(2).to_numpy(), _matrix(q.column(3), dim), k, q.column(5).to_numpy().copy())
+                    row, vec, score = run.run(side, ids, x)
+                    keep = score >= run.floor[row]
+                    row = row[keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(run.ids[row]), pa.array(q.column(6).to_numpy()[row]), pa.array(vec[keep]), pa.array(score[keep])], names=["query_id", "h", "vec_id", "score"])
+
+    found = met.mapInArrow(search, "query_id long, h long, vec_id long, score long")
     ranked = Window.partitionBy("query_id", "h").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _rows(col, dim: int) -> np.ndarray:
-    out = np.zeros((len(col), dim), np.int64)
-    for i, v in enumerate(col):
-        out[i, : len(v)] = v
-    return out
-
-
 def quantized(embeddings: DataFrame, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """id and embedding as floor(64 x), x as double; rows with a null vector, or a null or non-finite component, are left out."""
     x = F.transform(vector, lambda c: c.cast("double"))

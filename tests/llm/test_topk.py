@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from conftest import SF
-from loomseq.llm.topk import CoverTree, Search, op5_exact_top_k, quantized, top_k
+from loomseq.llm.topk import CoverTree, Search, Side, op5_exact_top_k, quantized, top_k
 
 
 def plain(ids, vecs, q_ids, q_vecs, k):
@@ -49,7 +49,7 @@ def test_pruning_skips_far_nodes():
     x = np.concatenate([rng.integers(-5, 5, (500, 8)) + c for c in (-2000, 0, 2000)]).astype(np.int64)
     tree = CoverTree(x[::7])
     run = Search(tree, np.array([-1]), x[-1:], 3, np.array([np.sort(x[::7] @ x[-1])[-3]]))
-    row, vec, score = run.run(tree.assign(x.astype(float)), np.arange(len(x)), x)
+    row, vec, score = run.run(Side(tree, tree.assign(x.astype(float)), x.astype(float)), np.arange(len(x)), x)
     assert sorted(score.tolist()) == sorted((x @ x[-1]).tolist())[-3:]
 
 
@@ -58,3 +58,12 @@ def test_a_query_id_with_two_vectors_has_two_rankings(spark):
     asked = spark.createDataFrame([(0, [1, 0]), (0, [-1, 0]), (0, [1, 0])], "vec_id long, embedding array<long>")
     got = sorted((r["rank"], r.vec_id, r.score) for r in top_k(data, asked, k=2).collect())
     assert got == [(1, 1, -1), (1, 9, 9), (2, 2, -2), (2, 8, 8)]
+
+
+def test_very_wide_vectors_and_many_blocks_of_queries(spark):
+    rng = np.random.default_rng(8)
+    vecs = rng.integers(-5, 6, (30, 6000)).tolist() + [[7] * 9000]
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(31), "embedding": vecs}), "vec_id long, embedding array<long>")
+    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(df, df.where("vec_id % 3 = 0"), k=4, most=2, chunk=5).collect()}
+    q = [i for i in range(31) if i % 3 == 0]
+    assert got == plain(range(31), vecs, q, [vecs[i] for i in q], 4)
