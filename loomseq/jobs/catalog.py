@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomseq.functions import sequence as S
-from loomseq.jobs import calls, events, evidence, places
+from loomseq.jobs import calls, choices, events, evidence, places
 from loomseq.operators import intervals as I
 from loomseq.operators import selection as L
 
@@ -148,5 +148,5 @@ ORACLES: dict[str, str] = {
         FROM b LEFT JOIN k USING (p_partkey)""",
 }
 
-QUERIES |= evidence.QUERIES | calls.QUERIES | places.QUERIES | events.QUERIES
-ORACLES |= evidence.ORACLES | calls.ORACLES | places.ORACLES | events.ORACLES
+QUERIES |= evidence.QUERIES | calls.QUERIES | places.QUERIES | events.QUERIES | choices.QUERIES
+ORACLES |= evidence.ORACLES | calls.ORACLES | places.ORACLES | events.ORACLES | choices.ORACLES
