@@ -32,14 +32,21 @@ def log_sum(*x: Column) -> Column:
     return top + F.ln(total)
 
 
+#: Labels of a boundary. Fixed values.
+PASS_BOUNDARY_TSD, PASS_BOUNDARY_BLUNT, PASS_BOUNDARY_SMALL_DEL, PASS_BOUNDARY_NONCANONICAL_CONSISTENT = "PASS_BOUNDARY_TSD", "PASS_BOUNDARY_BLUNT", "PASS_BOUNDARY_SMALL_DEL", "PASS_BOUNDARY_NONCANONICAL_CONSISTENT"
+REJECT_BOUNDARY_MISSING_REF_SEGMENTS, REJECT_BOUNDARY_INVALID_REF_SEGMENTS, REJECT_BOUNDARY_TSD_RANGE, REJECT_BOUNDARY_DEL_RANGE = "REJECT_BOUNDARY_MISSING_REF_SEGMENTS", "REJECT_BOUNDARY_INVALID_REF_SEGMENTS", "REJECT_BOUNDARY_TSD_RANGE", "REJECT_BOUNDARY_DEL_RANGE"
+
+
 def boundary(ls: Column, le: Column, rs: Column, re: Column, shortest: int = 3, longest: int = 50) -> Column:
     """Struct passed, type, length, qc of two flanks on the reference: an overlap in range is a duplication (TSD), none a BLUNT end, a gap up to `longest` a SMALL_DEL."""
     d = rs - le
     missing = F.least(ls, le, rs, re) < 0
     invalid = (ls >= le) | (rs >= re)
     kind = F.when(missing | invalid, None).when(d.between(-longest, -shortest), "TSD").when(d == 0, "BLUNT").when(d.between(1, longest), "SMALL_DEL")
-    fault = F.when(missing, "MISSING_REF_SEGMENTS").when(invalid, "INVALID_REF_SEGMENTS").when(d < 0, "TSD_RANGE").otherwise("DEL_RANGE")
-    qc = F.when(kind.isNotNull(), F.concat(F.lit("PASS_BOUNDARY_"), kind)).otherwise(F.concat(F.lit("REJECT_BOUNDARY_"), fault))
+    qc = (
+        F.when(missing, REJECT_BOUNDARY_MISSING_REF_SEGMENTS).when(invalid, REJECT_BOUNDARY_INVALID_REF_SEGMENTS).when(kind == "TSD", PASS_BOUNDARY_TSD).when(kind == "BLUNT", PASS_BOUNDARY_BLUNT)
+        .when(kind == "SMALL_DEL", PASS_BOUNDARY_SMALL_DEL).when(d < 0, REJECT_BOUNDARY_TSD_RANGE).otherwise(REJECT_BOUNDARY_DEL_RANGE)
+    )
     return F.struct(kind.isNotNull().alias("passed"), kind.alias("type"), F.when(kind.isNotNull(), F.abs(d)).alias("length"), qc.alias("qc"))
 
 
@@ -55,7 +62,7 @@ def boundary_evidence(ls: Column, le: Column, rs: Column, re: Column, envelope:
     )
     return F.struct(
         defined.alias("defined"), b["passed"].alias("canonical"), (b["passed"] | held).alias("consistent"), F.when(held, "NONCANONICAL").otherwise(b["type"]).alias("type"),
-        F.when(held, n).otherwise(b["length"]).alias("length"), F.when(held, "PASS_BOUNDARY_NONCANONICAL_CONSISTENT").otherwise(b["qc"]).alias("qc"), score.alias("score"),
+        F.when(held, n).otherwise(b["length"]).alias("length"), F.when(held, PASS_BOUNDARY_NONCANONICAL_CONSISTENT).otherwise(b["qc"]).alias("qc"), score.alias("score"),
     )
 
 
@@ -176,37 +183,115 @@ def promotion_score(alt: Column, te: Column, worst: Column, robust: Column, iden
     return alt + 8 * te + 4 * (1 - worst) + 6 * (1 - robust) + 3 * identity + 3 * coverage + 2 * margin - 1.5 * ref - 10 * conflict + bonus
 
 
-#: State: mean and strength of identity, event, independent, quality, artifact, conflict; then the log prior. Fixed values.
+#: State: mean and strength of identity, event, independent, quality, artifact, conflict; then the log prior. The first four are elements. Fixed values.
 LATENT = {
-    "active": ((0.94, 12.0), (0.86, 5.5), (0.80, 6.0), (0.88, 3.0), (0.06, 4.5), (0.08, 2.5), -1.35),
-    "cut_paste": ((0.92, 11.0), (0.84, 5.5), (0.76, 6.0), (0.86, 3.0), (0.07, 4.5), (0.08, 2.5), -1.35),
-    "ltr": ((0.90, 10.0), (0.80, 5.0), (0.70, 5.5), (0.84, 3.0), (0.10, 4.0), (0.12, 2.5), -1.50),
-    "degraded": ((0.72, 3.5), (0.62, 4.0), (0.50, 5.0), (0.72, 2.5), (0.22, 3.0), (0.20, 2.0), -1.80),
-    "other": ((0.30, 5.5), (0.82, 5.0), (0.68, 4.0), (0.82, 3.0), (0.12, 3.5), (0.12, 2.0), -0.85),
-    "artifact": ((0.38, 3.5), (0.22, 4.0), (0.12, 4.0), (0.35, 3.0), (0.72, 5.0), (0.55, 3.0), -0.75),
+    "active_tprt_te": ((0.94, 12.0), (0.86, 5.5), (0.80, 6.0), (0.88, 3.0), (0.06, 4.5), (0.08, 2.5), -1.35),
+    "cut_paste_te": ((0.92, 11.0), (0.84, 5.5), (0.76, 6.0), (0.86, 3.0), (0.07, 4.5), (0.08, 2.5), -1.35),
+    "ltr_complex_te": ((0.90, 10.0), (0.80, 5.0), (0.70, 5.5), (0.84, 3.0), (0.10, 4.0), (0.12, 2.5), -1.50),
+    "degraded_unknown_te": ((0.72, 3.5), (0.62, 4.0), (0.50, 5.0), (0.72, 2.5), (0.22, 3.0), (0.20, 2.0), -1.80),
+    "non_te_insert": ((0.30, 5.5), (0.82, 5.0), (0.68, 4.0), (0.82, 3.0), (0.12, 3.5), (0.12, 2.0), -0.85),
+    "artifact_reference": ((0.38, 3.5), (0.22, 4.0), (0.12, 4.0), (0.35, 3.0), (0.72, 5.0), (0.55, 3.0), -0.75),
 }
+#: State: what a kind of family adds to its log prior. Fixed values.
+COMPATIBLE = {
+    "active_tprt_te": {"retro": 0.75, "ltr": 0.20, "dna": -0.55, "unknown": -0.35},
+    "cut_paste_te": {"dna": 0.75, "retro": -0.40, "ltr": -0.40, "unknown": -0.20},
+    "ltr_complex_te": {"ltr": 0.75, "retro": -0.10, "dna": -0.50, "unknown": -0.30},
+    "degraded_unknown_te": {"unknown": 0.40},
+}
+#: Words of a family's name that tell its kind, the first kind that fits. Fixed values.
+FAMILY_WORDS = {
+    "ltr": ("ltr", "erv", "gypsy", "copia", "bel-pao", "dirs"),
+    "dna": ("dna", "hat", "pif", "harbinger", "tc1", "mariner", "piggybac", "mutator", "merlin", "cmc", "dong"),
+    "retro": ("l1", "l2", "line", "sine", "alu", "sva", "rte", "r2", "cr1", "penelope", "5s-deu-l2"),
+}
+NO_FAMILY = ("", "unknown", "na", "none")
+_ELEMENTS = tuple(LATENT)[:4]
+_EDGE = 1e-6
+
+
+def family_kind(family: Column, subfamily: Column) -> Column:
+    """ltr, dna, retro or other by the words of the names; unknown without any name."""
+    f, s = F.lower(F.coalesce(family, F.lit(""))), F.lower(F.coalesce(subfamily, F.lit("")))
+    name = F.concat(f, F.lit(":"), s)
+    kind = F.when(f.isin(*NO_FAMILY) & s.isin(*NO_FAMILY), "unknown")
+    for k, words in FAMILY_WORDS.items():
+        found = F.lit(False)
+        for w in words:
+            found = found | F.contains(name, F.lit(w))
+        kind = kind.when(found, k)
+    return kind.otherwise("other")
+
+
+def latent_features(
+    identity: Column, alt: Column, ref: Column, mechanistic: Column, gq: Column, af: Column, segmentation: Column, one: Column, has_insert: Column, label: Column, defined: Column, canonical: Column, consistent: Column, confidence: Column, kind: Column
+) -> Column:
+    """Struct of the six signals of the latent states, from 0 to 1, the family's kind and its prior of activity.
+
+    mechanistic: split, insertion and two-sided clip reads, and those that agree
+    with the insert; segmentation: its adjusted score; one: whether it passed with
+    one flank; label: of the sequence model; confidence: of the annotation.
+    """
+    alt, ref = count(alt), count(ref)
+    independent = F.sqrt(saturating(mechanistic, 4.0) * F.when(alt > 0, unit(mechanistic / alt)).otherwise(0.0))
+    quality = unit(gq / 60.0)
+    event = unit(0.35 * saturating(alt, 8.0) + 0.30 * independent + 0.20 * unit((segmentation + 1.0) / 3.0) + 0.15 * unit(af))
+    conflict = F.greatest(F.when(alt + ref > 0, ref / (alt + ref)).otherwise(0.0), 0.60 * saturating(ref, 8.0))
+    conflict = unit(F.when(one & (ref > 0), F.greatest(conflict, F.lit(0.35))).otherwise(conflict))
+    least = lambda c, x: F.when(F.coalesce(c, F.lit(False)), x).otherwise(0.0)
+    artifact = unit(F.greatest(
+        least(~has_insert, 1.0), least(label == "TE_MODEL_OUTLIER", 1.0), least(label == "TE_MODEL_EDGE", 0.45), least(~defined & ~one, 0.35), least(defined & ~canonical & ~consistent, 0.50), least(confidence == "LOW", 0.35), 0.80 * conflict,
+    ))
+    f = F.struct(unit(identity).alias("identity"), event.alias("event"), independent.alias("independent"), quality.alias("quality"), artifact.alias("artifact"), conflict.alias("conflict"), kind.alias("kind"))
+
+    def active(f: Column) -> Column:
+        x = 0.30 * f["identity"] + 0.25 * f["event"] + 0.20 * f["independent"] + 0.15 * f["quality"] + 0.10 * F.when(f["kind"] == "unknown", 0.0).otherwise(1.0) - 0.30 * f["artifact"] - 0.10 * f["conflict"]
+        return F.struct(*(f[n].alias(n) for n in ("identity", "event", "independent", "quality", "artifact", "conflict", "kind")), clamp(x, 0.02, 0.98).alias("activity"))
+
+    return F.transform(F.array(f), active)[0]
 
 
-def beta_feature(x: Column, mean: float, strength: float) -> Column:
-    """Log density, up to a constant of the state, of a signal from 0 to 1 under a beta of this mean and strength."""
-    x = clamp(x, 1e-3, 1 - 1e-3)
-    a, b = max(mean * strength, 1e-3), max((1 - mean) * strength, 1e-3)
-    return (a - 1) * F.ln(x) + (b - 1) * F.ln(1 - x)
-
-
-def latent_mixture(identity: Column, event: Column, independent: Column, quality: Column, artifact: Column, conflict: Column) -> Column:
-    """Struct best, lfdr and each state's share: a softmax over states of log prior and six beta features. lfdr is the share of the states that are no element."""
-    import math
-
-    x = (identity, event, independent, quality, artifact, conflict)
-    score = {}
-    for name, (*features, prior) in LATENT.items():
-        total = F.lit(prior)
-        for v, (mean, strength) in zip(x, features, strict=True):
-            a, b = max(mean * strength, 1e-3), max((1 - mean) * strength, 1e-3)
-            total = total + beta_feature(v, mean, strength) + (math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b))
-        score[name] = total
-    whole = log_sum(*score.values())
-    share = {n: F.exp(s - whole) for n, s in score.items()}
-    best = F.array_max(F.array(*(F.struct(s.alias("s"), F.lit(n).alias("n")) for n, s in share.items())))["n"]
-    return F.struct(best.alias("best"), (share["other"] + share["artifact"]).alias("lfdr"), *(s.alias(n) for n, s in share.items()))
+def latent_mechanism(features: Column, target: float = 0.10) -> Column:
+    """Struct mechanism (the first of the likeliest states), te, non_te, artifact, activity, lfdr, worst_case_lfdr and lfdr_qc of latent_features: a softmax over states of log prior (base, activity, family) and of six signals.
+
+    The worst case takes from the elements and gives to the others, the more the
+    less the signals are independent and the more the reference speaks against.
+    """
+
+    def scores(f: Column) -> Column:
+        p = clamp(f["activity"], _EDGE, 1 - _EDGE)
+        odds = F.ln(p / (1 - p))
+        out = []
+        for state, (*signals, base) in LATENT.items():
+            total = base + (0.55 if state in _ELEMENTS else -0.20) * odds
+            fit = F.lit(0.0)
+            for k, v in COMPATIBLE.get(state, {}).items():
+                fit = F.when(f["kind"] == k, v).otherwise(fit)
+            if state == "degraded_unknown_te":
+                fit = F.when((f["kind"] != "unknown") & (f["identity"] < 0.75), 0.20).otherwise(fit)
+            total = total + fit
+            for n, (mean, strength) in zip(("identity", "event", "independent", "quality", "artifact", "conflict"), signals, strict=True):
+                x = clamp(f[n], _EDGE, 1 - _EDGE)
+                total = total + strength * (mean * F.ln(x) + (1 - mean) * F.ln(1 - x))
+            out.append(total.alias(state))
+        return F.struct(f.alias("f"), F.struct(*out).alias("s"))
+
+    def whole(x: Column) -> Column:
+        return F.struct(x["f"].alias("f"), x["s"].alias("s"), log_sum(*(x["s"][n] for n in LATENT)).alias("total"))
+
+    def result(x: Column) -> Column:
+        s, f = x["s"], x["f"]
+        share = {n: F.exp(s[n] - x["total"]) for n in LATENT}
+        top = F.greatest(*(s[n] for n in LATENT))
+        best = F.coalesce(*(F.when(s[n] == top, n) for n in LATENT))
+        gap = 1.0 - f["independent"]
+        te = log_sum(*(s[n] - (0.95 + 2.60 * gap + 0.75 * f["conflict"]) for n in _ELEMENTS))
+        null = log_sum(*(s[n] + (0.95 + 1.65 * gap + 0.55 * f["conflict"]) for n in LATENT if n not in _ELEMENTS))
+        worst = F.exp(null - log_sum(te, null))
+        return F.struct(
+            best.alias("mechanism"), sum((share[n] for n in _ELEMENTS[1:]), share[_ELEMENTS[0]]).alias("te"), share["non_te_insert"].alias("non_te"), share["artifact_reference"].alias("artifact"), f["activity"].alias("activity"),
+            (share["non_te_insert"] + share["artifact_reference"]).alias("lfdr"), worst.alias("worst_case_lfdr"), F.when(worst <= min(max(target, 0.0), 1.0), "PASS_TE_LFDR").otherwise("TE_LFDR_HIGH").alias("lfdr_qc"),
+        )
+
+    once = lambda x, fn: F.transform(F.array(x), fn)[0]
+    return once(once(once(features, scores), whole), result)

@@ -154,23 +154,43 @@ def f35_structure(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def f39_latent(spark: SparkSession, sf: str) -> DataFrame:
-    m = M.latent_mixture(C("ident"), C("cov"), C("margin"), C("cov"), C("margin"), 1 - C("ident"))
-    return _evidence(spark, sf).withColumn("m", m).select("id", _r(C("m.lfdr"), "lfdr"), _r(C("m.active"), "active"), _r(C("m.degraded"), "degraded"), _r(C("m.artifact"), "artifact"))
+    """the latent mechanism with its activity, family, worst case and label."""
+    e = _evidence(spark, sf)
+    family = F.element_at(F.array(*map(F.lit, ("ALU", "hAT-1", "ERVK", "unknown", "Foo", "L1HS"))), (C("alt") % 6 + 1).cast("int"))
+    kind = M.family_kind(family, F.when(C("ref") % 2 == 0, "NA").otherwise("sub"))
+    label = F.when(C("split") % 5 == 0, "TE_MODEL_OUTLIER").when(C("split") % 5 == 1, "TE_MODEL_EDGE").otherwise("TE_MODEL_INLIER")
+    odd = lambda c: C(c) % 2 == 1
+    f = M.latent_features(C("ident"), C("alt"), C("ref"), C("split") + C("indel") + F.least("lclip", "rclip"), C("gq"), C("cov"), C("margin") * 4 - 1, odd("lclip"), C("gq") > 3, label, odd("indel"), odd("alt"), odd("ref"), F.when(C("gq") % 3 == 0, "LOW").otherwise("HIGH"), kind)
+    m = e.withColumn("kind", kind).withColumn("m", M.latent_mechanism(f, 0.3))
+    return m.select("id", "kind", "m.mechanism", _r(C("m.te"), "te"), _r(C("m.non_te"), "non_te"), _r(C("m.artifact"), "artifact"), _r(C("m.activity"), "activity"), _r(C("m.lfdr"), "lfdr"), _r(C("m.worst_case_lfdr"), "worst"), "m.lfdr_qc")
 
 
 def _latent_sql() -> str:
-    names = ("ident", "cov", "margin", "cov", "margin", "(1 - ident)")
-    terms = {}
-    for state, (*features, prior) in M.LATENT.items():
-        t = [str(prior)]
-        for x, (mean, strength) in zip(names, features, strict=True):
-            a, b = f"({mean}::DOUBLE * {strength})", f"((1 - {mean}::DOUBLE) * {strength})"
-            v = f"least(greatest({x}, 0.001), 0.999)"
-            t.append(f"({a} - 1) * ln({v}) + ({b} - 1) * ln(1 - {v}) + lgamma({strength}::DOUBLE) - lgamma({a}) - lgamma({b})")
-        terms[state] = " + ".join(t)
-    each = ", ".join(f"exp({t}) AS x_{s}" for s, t in terms.items())
-    whole = " + ".join(f"x_{s}" for s in terms)
-    return f"WITH e AS ({_E}), x AS (SELECT id, {each} FROM e) SELECT id, round((x_other + x_artifact) / ({whole}), 7) AS lfdr, round(x_active / ({whole}), 7) AS active, round(x_degraded / ({whole}), 7) AS degraded, round(x_artifact / ({whole}), 7) AS artifact FROM x"
+    u = lambda x: f"least(greatest({x}, 0), 1)"
+    sat = lambda n, s: f"(CASE WHEN {n} > 0 THEN 1 - exp(-({n}) / {s}::DOUBLE) ELSE 0 END)"
+    edge = lambda x: f"least(greatest({x}, 0.000001::DOUBLE), 0.999999::DOUBLE)"
+    has = lambda words: " OR ".join(f"contains(name, '{w}')" for w in words)
+    kinds = " ".join(f"WHEN {has(w)} THEN '{k}'" for k, w in M.FAMILY_WORDS.items())
+    scores = []
+    for state, (*signals, base) in M.LATENT.items():
+        fit = " ".join(f"WHEN kind = '{k}' THEN {v}" for k, v in M.COMPATIBLE.get(state, {}).items())
+        if state == "degraded_unknown_te":
+            fit += " WHEN identity < 0.75 THEN 0.20"
+        terms = [f"{base}::DOUBLE", f"{0.55 if state in M._ELEMENTS else -0.2}::DOUBLE * ln({edge('activity')} / (1 - {edge('activity')}))", f"CASE {fit} ELSE 0 END::DOUBLE" if fit else "0"]
+        terms += [f"{st}::DOUBLE * ({me}::DOUBLE * ln({edge(n)}) + (1 - {me}::DOUBLE) * ln(1 - {edge(n)}))" for n, (me, st) in zip(("identity", "event", "independent", "quality", "artifact", "conflict"), signals, strict=True)]
+        scores.append(" + ".join(terms) + f" AS s_{state}")
+    te, null = [f"s_{n}" for n in M._ELEMENTS], [f"s_{n}" for n in M.LATENT if n not in M._ELEMENTS]
+    total = " + ".join(f"exp({x})" for x in te + null)
+    best = " ".join(f"WHEN {x} = greatest({', '.join(te + null)}) THEN '{x[2:]}'" for x in te + null)
+    return f"""WITH e AS ({_E}), a AS (SELECT *, lower(['ALU', 'hAT-1', 'ERVK', 'unknown', 'Foo', 'L1HS'][(alt % 6 + 1)::INT]) AS fam, CASE WHEN ref % 2 = 0 THEN 'na' ELSE 'sub' END AS sub, split + indel + least(lclip, rclip) AS mech, lclip % 2 = 1 AS one FROM e),
+        b AS (SELECT *, fam || ':' || sub AS name, sqrt({sat("mech", 4.0)} * CASE WHEN alt > 0 THEN {u("mech / alt")} ELSE 0 END) AS independent, {u("gq / 60")} AS quality, {u("ident")} AS identity,
+          greatest(CASE WHEN alt + ref > 0 THEN ref / (alt + ref) ELSE 0 END, 0.6::DOUBLE * {sat("ref", 8.0)}, CASE WHEN one AND ref > 0 THEN 0.35::DOUBLE ELSE 0 END) AS conflict FROM a),
+        c AS (SELECT *, CASE WHEN fam IN ('', 'unknown', 'na', 'none') AND sub = 'na' THEN 'unknown' {kinds} ELSE 'other' END AS kind, {u(f"0.35::DOUBLE * {sat('alt', 8.0)} + 0.3::DOUBLE * independent + 0.2::DOUBLE * {u('(margin * 4 - 1 + 1) / 3')} + 0.15::DOUBLE * {u('cov')}")} AS event,
+          greatest(CASE WHEN gq > 3 THEN 0 ELSE 1 END, CASE split % 5 WHEN 0 THEN 1 WHEN 1 THEN 0.45 ELSE 0 END::DOUBLE, CASE WHEN indel % 2 <> 1 AND NOT one THEN 0.35 ELSE 0 END::DOUBLE, CASE WHEN indel % 2 = 1 AND alt % 2 <> 1 AND ref % 2 <> 1 THEN 0.5 ELSE 0 END::DOUBLE, CASE WHEN gq % 3 = 0 THEN 0.35 ELSE 0 END::DOUBLE, 0.8::DOUBLE * conflict) AS artifact FROM b),
+        d AS (SELECT *, least(greatest(0.3::DOUBLE * identity + 0.25::DOUBLE * event + 0.2::DOUBLE * independent + 0.15::DOUBLE * quality + CASE WHEN kind = 'unknown' THEN 0 ELSE 0.1::DOUBLE END - 0.3::DOUBLE * artifact - 0.1::DOUBLE * conflict, 0.02::DOUBLE), 0.98::DOUBLE) AS activity FROM c),
+        f AS (SELECT *, {", ".join(scores)} FROM d), g AS (SELECT *, {total} AS total, ({" + ".join(f"exp({x})" for x in te)}) * exp(-(0.95::DOUBLE + 2.6::DOUBLE * (1 - independent) + 0.75::DOUBLE * conflict)) AS wt, ({" + ".join(f"exp({x})" for x in null)}) * exp(0.95::DOUBLE + 1.65::DOUBLE * (1 - independent) + 0.55::DOUBLE * conflict) AS wn FROM f)
+        SELECT id, kind, CASE {best} END AS mechanism, round(({" + ".join(f"exp({x})" for x in te)}) / total, 7) AS te, round(exp(s_non_te_insert) / total, 7) AS non_te, round(exp(s_artifact_reference) / total, 7) AS artifact, round(activity, 7) AS activity,
+          round((exp(s_non_te_insert) + exp(s_artifact_reference)) / total, 7) AS lfdr, round(wn / (wt + wn), 7) AS worst, CASE WHEN wn / (wt + wn) <= 0.3::DOUBLE THEN 'PASS_TE_LFDR' ELSE 'TE_LFDR_HIGH' END AS lfdr_qc FROM g"""
 
 
 # ---------------------------------------------------------------- loci
@@ -433,7 +453,7 @@ ORACLES: dict[str, str] = {
         SELECT id, q > 10 AND q % 2 <> 0 AND q % 3 <> 0 AS p18, q % 3 = 0 AND q % 2 = 0 AND q > 5 AS p21, p23, (p23 = 'PASS')::INTEGER AS p23_passed, (l_discount * 4 + 0.6) * (l_tax + 0.76) * (q * 160) >= 3500 AND l_tax + 0.76 >= 0.8 AS p29,
         CASE WHEN f IN ('none', '.') THEN '' ELSE lower(regexp_extract(f, '^[^/:-]*')) END AS f54, ['ALU', 'SVA', 'LINE1', 'ERV', 'NONE', 'TIGGER1', '.'][q % 7 + 1] AS f54_trio, greatest(least(a, b) - 10, 1) AS f56_start, least(greatest(a, b) + 10, 120) AS f56_end FROM s""",
     "f28_boundary": f"""WITH e AS ({_E}), {_B} SELECT id, defined, canonical, canonical OR held AS consistent, CASE WHEN held THEN 'NONCANONICAL' ELSE kind END AS type, CASE WHEN held OR canonical THEN abs(d) END AS length,
-        CASE WHEN held THEN 'PASS_BOUNDARY_NONCANONICAL_CONSISTENT' WHEN canonical THEN 'PASS_BOUNDARY_' || kind WHEN missing THEN 'REJECT_BOUNDARY_MISSING_REF_SEGMENTS' WHEN invalid THEN 'REJECT_BOUNDARY_INVALID_REF_SEGMENTS' WHEN d < 0 THEN 'REJECT_BOUNDARY_TSD_RANGE' ELSE 'REJECT_BOUNDARY_DEL_RANGE' END AS qc,
+        CASE WHEN held THEN 'PASS_BOUNDARY_NONCANONICAL_CONSISTENT' WHEN kind = 'TSD' THEN 'PASS_BOUNDARY_TSD' WHEN kind = 'BLUNT' THEN 'PASS_BOUNDARY_BLUNT' WHEN kind = 'SMALL_DEL' THEN 'PASS_BOUNDARY_SMALL_DEL' WHEN missing THEN 'REJECT_BOUNDARY_MISSING_REF_SEGMENTS' WHEN invalid THEN 'REJECT_BOUNDARY_INVALID_REF_SEGMENTS' WHEN d < 0 THEN 'REJECT_BOUNDARY_TSD_RANGE' ELSE 'REJECT_BOUNDARY_DEL_RANGE' END AS qc,
         round(CASE kind WHEN 'TSD' THEN 1.2::DOUBLE - 0.5 * pow((ln(abs(d)) - ln(12)) / 0.7::DOUBLE, 2) WHEN 'BLUNT' THEN 1 WHEN 'SMALL_DEL' THEN {_clamp('0.8::DOUBLE - abs(d) / 80', 0.2, 0.8)} ELSE CASE WHEN held THEN 0.25 ELSE -2 END END, 7) AS score FROM b3""",
     "f31_segmentation": f"WITH e AS ({_E}) SELECT id, one AS one_sided, round({_SCORE31}, 7) AS score FROM {_SEG}",
     "f38_posterior": f"""WITH e0 AS ({_E}), e AS (SELECT * FROM e0), {_B}, s0 AS (SELECT *, indel > 0 AS passed, split > 0 AS ins, lclip * 20 AS ll, rclip * 25 AS rl, ident AS li, 1 - margin AS ri, indel > 0 AND split > 0 AND ((lclip > 0) <> (rclip > 0)) AS one, canonical OR held AS consistent FROM b3),
