@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomseq.operators import consensus as K
+from loomseq.operators import families as M
 from loomseq.operators import fragments as R
 from loomseq.operators import segmentation as S
 from loomseq.operators import sequences as Q
@@ -139,7 +140,27 @@ def f11_split(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("component", "start", "length", "anchor_len", "side", "junction", C("nm").cast("long").alias("nm"), "reliable", F.md5(C("sequence").cast("binary")).alias("text"), "name")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (f10_fragments, f11_split, f30_segmentation, f32_concordance, a6_inputs, a7_consensus, f24_semiglobal)}
+def a26_representatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts in families of 25, each its family's sequence up to a place of its own."""
+    k = C("p_partkey")
+    same = F.left(spelt(F.concat(F.lit("fam"), F.floor(k / 25)), 4), (k * 37 % 100 + 20).cast("int"))
+    lib = _read(spark, sf, "part").select(F.floor(k / 25).alias("family"), k.alias("member"), k.alias("order"), F.when(k % 50 == 7, "").otherwise(F.concat(same, spelt(F.concat(F.lit("own"), k), 2))).alias("sequence"))
+    return M.representatives(lib, 3, 7)
+
+
+def p20_unknown(spark: SparkSession, sf: str) -> DataFrame:
+    """P20: calls on references with runs, single bases or shares of N."""
+    d = _read(spark, sf, "documents").select("doc_id", (C("doc_id") % 6).alias("k"), spelt(F.concat(F.lit("n"), C("doc_id")), 40).alias("s"))
+    put = lambda at, n: F.concat(F.left("s", F.lit(at)), F.lit("N" * n), F.substr("s", F.lit(at + n + 1)))
+    k = C("k")
+    ref = F.when(k == 1, put(600, 25)).when(k == 2, put(600, 19)).when(k == 3, put(700, 1)).when(k == 4, F.translate("s", "ACG", "NNN")).when(k == 5, put(1200, 1)).otherwise(C("s"))
+    chunks = reference_chunks(d.select(C("doc_id").cast("string").alias("contig"), ref.alias("sequence")), _CHUNK)
+    none = C("doc_id") % 5 == 0
+    calls = d.select(C("doc_id").alias("call"), C("doc_id").cast("string").alias("contig"), F.when(k == 5, 1200).when(C("doc_id") % 7 == 0, -1).otherwise(702).alias("pos"), F.when(none, -1).otherwise(705).alias("left"), F.when(none, -1).otherwise(700).alias("right"))
+    return M.in_unknown_reference(calls, chunks, _CHUNK).select("call", "n_rich", "n_base", "vetoed")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (a26_representatives, p20_unknown, f10_fragments, f11_split, f30_segmentation, f32_concordance, a6_inputs, a7_consensus, f24_semiglobal)}
 
 _KIND = """CASE k WHEN 0 THEN {0} WHEN 1 THEN {1} WHEN 2 THEN {2} WHEN 3 THEN {3} WHEN 4 THEN {4} WHEN 5 THEN {5} ELSE {6} END"""
 _PASS = "PASS_EVENT_SEGMENTATION"
@@ -151,6 +172,19 @@ ORACLES: dict[str, str] = {
           {_KIND.format("p", "p", "p", "p", "p", "p", "-1")} AS right_start, {_KIND.format("p + 90", "p + 78", "p + 90", "p", "p + 90", "p", "-1")} AS right_end,
           {_KIND.format("90", "78", "90", "90", "0", "0", "0")}::BIGINT AS left_length, {_KIND.format("90", "78", "90", "0", "90", "0", "0")}::BIGINT AS right_length, {_KIND.format("1", "1", "-1", "1", "1", "0", "0")}::BIGINT AS strand,
           md5({_KIND.format("ins", "substr(ref, (p - 11)::INT, 12) || ins || substr(ref, (p - 11)::INT, 12)", "ins", "left(noise, 160)", "left(noise, 160)", "noise", "''")}) AS insert, {_KIND.format("2", "2", "2", "1", "1", "0", "0")}::DOUBLE AS identity FROM e""",
+    "a26_representatives": f"""WITH p AS (SELECT p_partkey AS k, p_partkey // 25 AS family, CASE WHEN p_partkey % 50 = 7 THEN '' ELSE left({_spelt("'fam' || p_partkey // 25", "4")}, (p_partkey * 37 % 100 + 20)::INT) || {_spelt("'own' || p_partkey", "2")} END AS s FROM part),
+        m AS (SELECT k, family, coalesce(list_sort(list_distinct(list_transform(range(1, length(s) - 5), lambda i: substr(s, i, 7))))[1:64], []) AS m FROM p),
+        d AS (SELECT a.family, a.k AS a, b.k AS b, 1 - len(list_intersect(a.m, b.m))::DOUBLE / greatest(len(a.m) + len(b.m) - len(list_intersect(a.m, b.m)), 1) AS d FROM m a JOIN m b ON a.family = b.family AND a.k <> b.k),
+        x1 AS (SELECT family, k FROM (SELECT m.family, m.k, coalesce(sum(1 - d), 0) AS c FROM m LEFT JOIN d ON d.a = m.k GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY family ORDER BY round(c, 9) DESC, k) = 1),
+        f2 AS (SELECT d.family, d.b AS k, d.d FROM d JOIN x1 ON d.a = x1.k), x2 AS (SELECT * FROM f2 QUALIFY row_number() OVER (PARTITION BY family ORDER BY d DESC, k) = 1),
+        x3 AS (SELECT f2.family, f2.k FROM f2 JOIN x2 ON x2.family = f2.family AND x2.k <> f2.k JOIN d ON d.a = x2.k AND d.b = f2.k QUALIFY row_number() OVER (PARTITION BY f2.family ORDER BY least(f2.d, d.d) DESC, f2.k) = 1)
+        SELECT family, k AS member, 1 AS place FROM x1 UNION ALL SELECT family, k, 2 FROM x2 UNION ALL SELECT family, k, 3 FROM x3""",
+    "p20_unknown": f"""WITH d AS (SELECT doc_id, doc_id % 6 AS k, {_spelt("'n' || doc_id", "40")} AS s, CASE WHEN doc_id % 6 = 5 THEN 1200 WHEN doc_id % 7 = 0 THEN NULL ELSE 702 END AS pos, doc_id % 5 = 0 AS bare FROM documents),
+        r AS (SELECT *, CASE k WHEN 1 THEN left(s, 600) || repeat('N', 25) || substr(s, 626) WHEN 2 THEN left(s, 600) || repeat('N', 19) || substr(s, 620) WHEN 3 THEN left(s, 700) || 'N' || substr(s, 702) WHEN 4 THEN translate(s, 'ACG', 'NNN') WHEN 5 THEN left(s, 1200) || 'N' || substr(s, 1202) ELSE s END AS t,
+          CASE WHEN bare THEN pos ELSE 700 END AS lo, CASE WHEN bare THEN pos ELSE 705 END AS hi, coalesce(pos, CASE WHEN NOT bare THEN 702 END) AS anchor FROM d),
+        w AS (SELECT *, substr(t, (lo - 249)::INT, (hi + 251 - (lo - 250))::INT) AS c FROM r),
+        v AS (SELECT doc_id, coalesce(contains(c, repeat('N', 20)) OR (length(c) - length(replace(c, 'N', ''))) / length(c) >= 0.5, false) AS n_rich, coalesce(substr(t, anchor + 1, 1) = 'N', false) OR (NOT bare AND (substr(t, 701, 1) = 'N' OR substr(t, 706, 1) = 'N')) AS n_base FROM w)
+        SELECT doc_id AS call, n_rich, n_base, n_rich OR n_base AS vetoed FROM v""",
     "f10_fragments": f"""WITH l AS (SELECT l_orderkey * 10 + l_linenumber AS component, l_orderkey AS k, l_linenumber::BIGINT AS n, floor(l_quantity)::BIGINT AS q, l_suppkey % 3 <> 0 AS sure, l_partkey * 3 AS pos, left({_spelt("l_orderkey || '+' || l_linenumber", "20")}, (floor(l_quantity)::BIGINT * 4 + l_linenumber * 14 + 260)::INT) AS s FROM lineitem),
         f AS (SELECT *, unnest([{{'source': 'clip_left', 'a': 0, 'len': q * 2, 'anchor': n + 100, 'j': pos, 'tag': 'clipRefL', 'ok': q * 2 >= 50}}, {{'source': 'clip_right', 'a': length(s) - n * 12, 'len': n * 12, 'anchor': q + 30, 'j': pos + n + 170 + q, 'tag': 'clipRefR', 'ok': n * 12 >= 50}},
           {{'source': 'insertion', 'a': q * 2 + n + 100, 'len': q + 30, 'anchor': 40, 'j': pos + n + 100, 'tag': 'ins', 'ok': sure AND q + 30 >= 50}}, {{'source': 'insertion', 'a': q * 3 + n + 170, 'len': n + 60, 'anchor': least(40, q + 30), 'j': pos + n + 140, 'tag': 'ins', 'ok': sure}}]) AS f FROM l)
