@@ -5,7 +5,7 @@ The weights and thresholds are fixed values of the models.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomseq.functions.support import count
@@ -223,75 +223,71 @@ def family_kind(family: Column, subfamily: Column) -> Column:
     return kind.otherwise("other")
 
 
-def latent_features(
-    identity: Column, alt: Column, ref: Column, mechanistic: Column, gq: Column, af: Column, segmentation: Column, one: Column, has_insert: Column, label: Column, defined: Column, canonical: Column, consistent: Column, confidence: Column, kind: Column
-) -> Column:
-    """Struct of the six signals of the latent states, from 0 to 1, the family's kind and its prior of activity.
+SIGNALS = ("identity", "event", "independent", "quality", "artifact", "conflict")
+
+
+def latent_signals(
+    df: DataFrame, identity: Column, alt: Column, ref: Column, mechanistic: Column, gq: Column, af: Column, segmentation: Column, one: Column, has_insert: Column, label: Column, defined: Column, canonical: Column, consistent: Column, confidence: Column, kind: Column, out: str = "signals"
+) -> DataFrame:
+    """df with `out`: struct of the six signals of the latent states, from 0 to 1, the family's kind and its prior of activity.
 
     mechanistic: split, insertion and two-sided clip reads, and those that agree
     with the insert; segmentation: its adjusted score; one: whether it passed with
-    one flank; label: of the sequence model; confidence: of the annotation.
+    one flank; label: of the sequence model; confidence: of the annotation. What
+    is used more than once is a column of its own, computed once.
     """
-    alt, ref = count(alt), count(ref)
-    independent = F.sqrt(saturating(mechanistic, 4.0) * F.when(alt > 0, unit(mechanistic / alt)).otherwise(0.0))
-    quality = unit(gq / 60.0)
-    event = unit(0.35 * saturating(alt, 8.0) + 0.30 * independent + 0.20 * unit((segmentation + 1.0) / 3.0) + 0.15 * unit(af))
-    conflict = F.greatest(F.when(alt + ref > 0, ref / (alt + ref)).otherwise(0.0), 0.60 * saturating(ref, 8.0))
-    conflict = unit(F.when(one & (ref > 0), F.greatest(conflict, F.lit(0.35))).otherwise(conflict))
-    least = lambda c, x: F.when(F.coalesce(c, F.lit(False)), x).otherwise(0.0)
-    artifact = unit(F.greatest(
-        least(~has_insert, 1.0), least(label == "TE_MODEL_OUTLIER", 1.0), least(label == "TE_MODEL_EDGE", 0.45), least(~defined & ~one, 0.35), least(defined & ~canonical & ~consistent, 0.50), least(confidence == "LOW", 0.35), 0.80 * conflict,
-    ))
-    f = F.struct(unit(identity).alias("identity"), event.alias("event"), independent.alias("independent"), quality.alias("quality"), artifact.alias("artifact"), conflict.alias("conflict"), kind.alias("kind"))
-
-    def active(f: Column) -> Column:
-        x = 0.30 * f["identity"] + 0.25 * f["event"] + 0.20 * f["independent"] + 0.15 * f["quality"] + 0.10 * F.when(f["kind"] == "unknown", 0.0).otherwise(1.0) - 0.30 * f["artifact"] - 0.10 * f["conflict"]
-        return F.struct(*(f[n].alias(n) for n in ("identity", "event", "independent", "quality", "artifact", "conflict", "kind")), clamp(x, 0.02, 0.98).alias("activity"))
-
-    return F.transform(F.array(f), active)[0]
+    c = F.col
+    rows = df.withColumns({"__alt": count(alt), "__ref": count(ref), "__one": F.coalesce(one, F.lit(False)), "__mech": mechanistic, "__kind": kind, "__identity": unit(identity), "__quality": unit(gq / 60.0)})
+    share = F.when(c("__alt") + c("__ref") > 0, c("__ref") / (c("__alt") + c("__ref"))).otherwise(0.0)
+    floor = F.when(c("__one") & (c("__ref") > 0), 0.35).otherwise(0.0)
+    rows = rows.withColumns({
+        "__independent": F.sqrt(saturating(c("__mech"), 4.0) * F.when(c("__alt") > 0, unit(c("__mech") / c("__alt"))).otherwise(0.0)),
+        "__conflict": unit(F.greatest(share, 0.60 * saturating(c("__ref"), 8.0), floor)),
+    })
+    least = lambda x, v: F.when(F.coalesce(x, F.lit(False)), v).otherwise(0.0)
+    artifact = F.greatest(
+        least(~has_insert, 1.0), least(label == "TE_MODEL_OUTLIER", 1.0), least(label == "TE_MODEL_EDGE", 0.45), least(~defined & ~c("__one"), 0.35), least(defined & ~canonical & ~consistent, 0.50), least(confidence == "LOW", 0.35), 0.80 * c("__conflict"),
+    )
+    rows = rows.withColumns({"__event": unit(0.35 * saturating(c("__alt"), 8.0) + 0.30 * c("__independent") + 0.20 * unit((segmentation + 1.0) / 3.0) + 0.15 * unit(af)), "__artifact": unit(artifact)})
+    known = F.when(c("__kind") == "unknown", 0.0).otherwise(1.0)
+    activity = clamp(0.30 * c("__identity") + 0.25 * c("__event") + 0.20 * c("__independent") + 0.15 * c("__quality") + 0.10 * known - 0.30 * c("__artifact") - 0.10 * c("__conflict"), 0.02, 0.98)
+    return rows.select(*df.columns, F.struct(*(c(f"__{n}").alias(n) for n in SIGNALS), c("__kind").alias("kind"), activity.alias("activity")).alias(out))
 
 
-def latent_mechanism(features: Column, target: float = 0.10) -> Column:
-    """Struct mechanism (the first of the likeliest states), te, non_te, artifact, activity, lfdr, worst_case_lfdr and lfdr_qc of latent_features: a softmax over states of log prior (base, activity, family) and of six signals.
+def with_latent_mechanism(df: DataFrame, signals: str, out: str, target: float = 0.10) -> DataFrame:
+    """df with `out`: struct mechanism (the first of the likeliest states), te, non_te, artifact, activity, lfdr, worst_case_lfdr and lfdr_qc of a column of latent_signals: a softmax over states of log prior (base, activity, family) and of six signals.
 
     The worst case takes from the elements and gives to the others, the more the
     less the signals are independent and the more the reference speaks against.
     """
-
-    def scores(f: Column) -> Column:
-        p = clamp(f["activity"], _EDGE, 1 - _EDGE)
-        odds = F.ln(p / (1 - p))
-        out = []
-        for state, (*signals, base) in LATENT.items():
-            total = base + (0.55 if state in _ELEMENTS else -0.20) * odds
-            fit = F.lit(0.0)
-            for k, v in COMPATIBLE.get(state, {}).items():
-                fit = F.when(f["kind"] == k, v).otherwise(fit)
-            if state == "degraded_unknown_te":
-                fit = F.when((f["kind"] != "unknown") & (f["identity"] < 0.75), 0.20).otherwise(fit)
-            total = total + fit
-            for n, (mean, strength) in zip(("identity", "event", "independent", "quality", "artifact", "conflict"), signals, strict=True):
-                x = clamp(f[n], _EDGE, 1 - _EDGE)
-                total = total + strength * (mean * F.ln(x) + (1 - mean) * F.ln(1 - x))
-            out.append(total.alias(state))
-        return F.struct(f.alias("f"), F.struct(*out).alias("s"))
-
-    def whole(x: Column) -> Column:
-        return F.struct(x["f"].alias("f"), x["s"].alias("s"), log_sum(*(x["s"][n] for n in LATENT)).alias("total"))
-
-    def result(x: Column) -> Column:
-        s, f = x["s"], x["f"]
-        share = {n: F.exp(s[n] - x["total"]) for n in LATENT}
-        top = F.greatest(*(s[n] for n in LATENT))
-        best = F.coalesce(*(F.when(s[n] == top, n) for n in LATENT))
-        gap = 1.0 - f["independent"]
-        te = log_sum(*(s[n] - (0.95 + 2.60 * gap + 0.75 * f["conflict"]) for n in _ELEMENTS))
-        null = log_sum(*(s[n] + (0.95 + 1.65 * gap + 0.55 * f["conflict"]) for n in LATENT if n not in _ELEMENTS))
-        worst = F.exp(null - log_sum(te, null))
-        return F.struct(
-            best.alias("mechanism"), sum((share[n] for n in _ELEMENTS[1:]), share[_ELEMENTS[0]]).alias("te"), share["non_te_insert"].alias("non_te"), share["artifact_reference"].alias("artifact"), f["activity"].alias("activity"),
-            (share["non_te_insert"] + share["artifact_reference"]).alias("lfdr"), worst.alias("worst_case_lfdr"), F.when(worst <= min(max(target, 0.0), 1.0), "PASS_TE_LFDR").otherwise("TE_LFDR_HIGH").alias("lfdr_qc"),
-        )
-
-    once = lambda x, fn: F.transform(F.array(x), fn)[0]
-    return once(once(once(features, scores), whole), result)
+    c = F.col
+    f = c(signals)
+    edge = {n: clamp(f[n], _EDGE, 1 - _EDGE) for n in (*SIGNALS, "activity")}
+    rows = df.withColumns({**{f"__a_{n}": F.ln(x) for n, x in edge.items()}, **{f"__b_{n}": F.ln(1 - x) for n, x in edge.items()}})
+    scores = {}
+    for state, (*shapes, base) in LATENT.items():
+        fit = F.lit(0.0)
+        for k, v in COMPATIBLE.get(state, {}).items():
+            fit = F.when(f["kind"] == k, v).otherwise(fit)
+        if state == "degraded_unknown_te":
+            fit = F.when((f["kind"] != "unknown") & (f["identity"] < 0.75), 0.20).otherwise(fit)
+        total = base + (0.55 if state in _ELEMENTS else -0.20) * (c("__a_activity") - c("__b_activity")) + fit
+        for n, (mean, strength) in zip(SIGNALS, shapes, strict=True):
+            total = total + strength * (mean * c(f"__a_{n}") + (1 - mean) * c(f"__b_{n}"))
+        scores[f"__s_{state}"] = total
+    rows = rows.withColumns(scores).withColumns({"__top": F.greatest(*(c(n) for n in scores)), "__gap": 1.0 - f["independent"]})
+    elements, others = [n for n in scores if n[4:] in _ELEMENTS], [n for n in scores if n[4:] not in _ELEMENTS]
+    part = lambda names: sum((F.exp(c(n) - c("__top")) for n in names[1:]), F.exp(c(names[0]) - c("__top")))
+    rows = rows.withColumns({"__te": part(elements), "__null": part(others)})
+    # Both sides of the worst case move by one factor each; their odds are enough.
+    odds = F.ln(c("__te")) - (0.95 + 2.60 * c("__gap") + 0.75 * f["conflict"]) - F.ln(c("__null")) - (0.95 + 1.65 * c("__gap") + 0.55 * f["conflict"])
+    rows = rows.withColumn("__worst", 1 / (1 + F.exp(odds)))
+    whole = c("__te") + c("__null")
+    best = F.coalesce(*(F.when(c(n) == c("__top"), n[4:]) for n in scores))
+    state = lambda n: F.exp(c(f"__s_{n}") - c("__top")) / whole
+    qc = F.when(c("__worst") <= min(max(target, 0.0), 1.0), "PASS_TE_LFDR").otherwise("TE_LFDR_HIGH")
+    result = F.struct(
+        best.alias("mechanism"), (c("__te") / whole).alias("te"), state("non_te_insert").alias("non_te"), state("artifact_reference").alias("artifact"), f["activity"].alias("activity"),
+        (c("__null") / whole).alias("lfdr"), c("__worst").alias("worst_case_lfdr"), qc.alias("lfdr_qc"),
+    )
+    return rows.select(*df.columns, result.alias(out))

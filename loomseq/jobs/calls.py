@@ -160,8 +160,8 @@ def f39_latent(spark: SparkSession, sf: str) -> DataFrame:
     kind = M.family_kind(family, F.when(C("ref") % 2 == 0, "NA").otherwise("sub"))
     label = F.when(C("split") % 5 == 0, "TE_MODEL_OUTLIER").when(C("split") % 5 == 1, "TE_MODEL_EDGE").otherwise("TE_MODEL_INLIER")
     odd = lambda c: C(c) % 2 == 1
-    f = M.latent_features(C("ident"), C("alt"), C("ref"), C("split") + C("indel") + F.least("lclip", "rclip"), C("gq"), C("cov"), C("margin") * 4 - 1, odd("lclip"), C("gq") > 3, label, odd("indel"), odd("alt"), odd("ref"), F.when(C("gq") % 3 == 0, "LOW").otherwise("HIGH"), kind)
-    m = e.withColumn("kind", kind).withColumn("m", M.latent_mechanism(f, 0.3))
+    rows = M.latent_signals(e.withColumn("kind", kind), C("ident"), C("alt"), C("ref"), C("split") + C("indel") + F.least("lclip", "rclip"), C("gq"), C("cov"), C("margin") * 4 - 1, odd("lclip"), C("gq") > 3, label, odd("indel"), odd("alt"), odd("ref"), F.when(C("gq") % 3 == 0, "LOW").otherwise("HIGH"), C("kind"))
+    m = M.with_latent_mechanism(rows, "signals", "m", 0.3)
     return m.select("id", "kind", "m.mechanism", _r(C("m.te"), "te"), _r(C("m.non_te"), "non_te"), _r(C("m.artifact"), "artifact"), _r(C("m.activity"), "activity"), _r(C("m.lfdr"), "lfdr"), _r(C("m.worst_case_lfdr"), "worst"), "m.lfdr_qc")
 
 

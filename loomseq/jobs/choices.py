@@ -83,7 +83,7 @@ def f42_explanations(spark: SparkSession, sf: str) -> DataFrame:
 
 def f46_posterior(spark: SparkSession, sf: str) -> DataFrame:
     li = _lines(spark, sf)
-    pos = F.when(C("q") % 13 == 0, -1).otherwise(C("p") % 300 + F.when(C("p") % 97 == 0, 2600).otherwise(0))
+    pos = F.when(C("q") % 13 == 0, -1).otherwise(C("p") % 80 + F.when(C("p") % 97 == 0, 2600).otherwise(0))
     got = li.groupBy("component").agg(F.array_sort(F.collect_list(F.struct(pos.alias("pos"), (C("q") % 4 == 0).alias("split"), (C("q") % 4 == 1).alias("insertion"), (C("q") % 4 == 2).alias("clip")))).alias("s"))
     p = got.select("component", X.breakpoint_posterior(C("s")).alias("p"))
     return p.select("component", "p.width", F.round("p.entropy", 9).alias("entropy"), "p.mode", F.round("p.mass", 9).alias("mass"))
@@ -103,7 +103,7 @@ def _at(m: int, k: int) -> str:
 
 
 def _posterior() -> str:
-    return f"""WITH {_L}, g AS (SELECT component, p % 300 + CASE WHEN p % 97 = 0 THEN 2600 ELSE 0 END AS pos, CASE q % 4 WHEN 0 THEN 2.0 WHEN 1 THEN 3.0 WHEN 2 THEN 6.0 ELSE 8.0 END::DOUBLE AS w FROM l WHERE q % 13 <> 0),
+    return f"""WITH {_L}, g AS (SELECT component, p % 80 + CASE WHEN p % 97 = 0 THEN 2600 ELSE 0 END AS pos, CASE q % 4 WHEN 0 THEN 2.0 WHEN 1 THEN 3.0 WHEN 2 THEN 6.0 ELSE 8.0 END::DOUBLE AS w FROM l WHERE q % 13 <> 0),
         k AS (SELECT component, min(pos) - 20 AS lo, least(max(pos) + 20, min(pos) - 20 + 2000) AS hi FROM g GROUP BY component HAVING count(*) >= 2), x AS (SELECT component, unnest(range(lo, hi + 1)) AS x, lo, hi FROM k),
         f AS (SELECT x.component, x.x, any_value(x.lo) AS lo, any_value(x.hi) AS hi, sum(exp(-0.5::DOUBLE * ((x.x - g.pos) / g.w) * ((x.x - g.pos) / g.w)) / g.w) AS f FROM x JOIN g ON g.component = x.component GROUP BY x.component, x.x),
         d AS (SELECT *, f / sum(f) OVER (PARTITION BY component) AS d FROM f), c AS (SELECT *, sum(d) OVER (PARTITION BY component ORDER BY x ROWS UNBOUNDED PRECEDING) AS cum FROM d),
