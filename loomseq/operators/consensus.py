@@ -210,7 +210,7 @@ def consensus(inputs: DataFrame, *, partial_only: bool = False, most: int = MOST
 
     kind = rows.schema["event"].dataType.simpleString()
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: few bytes, much work
-    built = texts.repartition(n, "event").mapInArrow(run, f"event {kind}, consensus string")
+    built = texts.repartition(n, F.xxhash64("event")).mapInArrow(run, f"event {kind}, consensus string")
     asked = rows.select("event").distinct().join(counts, "event", "left").na.fill({"input_reads": 0, "full_context": False})
     out = asked.join(built, "event", "left").withColumn("passed", F.coalesce(F.length("consensus") > 0, F.lit(False)))
     good = "PASS_EVENT_CONSENSUS_PARTIAL_RETRY" if partial_only else "PASS_EVENT_CONSENSUS"

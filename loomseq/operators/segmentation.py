@@ -291,7 +291,7 @@ def segment_events(events: DataFrame, chunks: DataFrame, size: int) -> DataFrame
     bases = windows_of(chunks, side("L", "lo").union(side("R", "hi")), size).select(F.expr("left(window, 64)").alias("key"), F.expr("right(window, 1)").alias("side"), "bases")
     near = bases.groupBy("key").agg(F.max(F.when(F.col("side") == "L", F.col("bases"))).alias("near_lo"), F.max(F.when(F.col("side") == "R", F.col("bases"))).alias("near_hi"))
     n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: few bytes, much work
-    placed = once.join(near, "key").select("key", "lo", "hi", "text", "near_lo", "near_hi").repartition(n, "key").mapInArrow(_segment_batches, _SCHEMA)
+    placed = once.join(near, "key").select("key", "lo", "hi", "text", "near_lo", "near_hi").repartition(n, F.xxhash64("key")).mapInArrow(_segment_batches, _SCHEMA)
 
     got = rows.join(placed.withColumnRenamed("qc", "__qc").withColumnRenamed("key", "__key"), "__key", "left")
     count = P.count
