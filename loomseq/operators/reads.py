@@ -123,7 +123,8 @@ def seed_bins(pairs: DataFrame, k: int = 11, width: int = 8, most: int = 8) -> D
     valid = F.rlike("kmer", F.lit(f"^[ACGT]{{{k}}}$"))
     q = pairs.where(F.col("id").isNotNull()).select("id", at("query").alias("i", "kmer")).where(valid)
     t = pairs.where(F.col("id").isNotNull()).select("id", at("target").alias("j", "kmer")).where(valid)
-    hits = q.join(t, ["id", "kmer"]).withColumn("d", F.col("j") - F.col("i"))
+    # By the size of the files one side would be broadcast, and its k-mers, many times that, would pass through the driver.
+    hits = q.join(t.hint("merge"), ["id", "kmer"]).withColumn("d", F.col("j") - F.col("i"))
     b = (F.signum("d") * F.floor(F.abs("d") / width)).cast("long")
     each = hits.groupBy("id", b.alias("bin")).agg(F.count("*").alias("support"), F.min("j").alias("start"))
     ranked = each.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("support"), F.abs("bin"), "bin", "start")))
