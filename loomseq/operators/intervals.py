@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomseq.operators.running import running_extreme
+from loomseq.operators.running import running_extreme, running_sums
 
 
 #: Width of the buckets of the smallest size class; each further class is STEP times as wide.
@@ -51,6 +51,46 @@ def overlap_join(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.where((F.col("l_end") > F.col("r_start")) & (F.col("l_start") < F.col("r_end")) & (F.col("bucket") == first)).drop("bucket", "width", "__l", "__r")
 
 
+def overlap_totals(spans: DataFrame, wanted: DataFrame, block: int = 1 << 14) -> DataFrame:
+    """Rows of wanted that overlap spans (as in overlap_join), with how many they overlap (n), by how much together (shared), the smallest start and the largest end among these (first, last).
+
+    spans: contig, l_start, l_end; wanted: contig, r_start, r_end and more. No
+    pair is built: the end points of both sides are laid into one order for each
+    contig, and n and shared are differences of running counts and sums there.
+    Intervals that end before they start are joined pair by pair.
+    """
+    fit = lambda d, s, e: d.where(F.col("contig").isNotNull() & F.col(s).isNotNull() & F.col(e).isNotNull())
+    spans, wanted = fit(spans.select("contig", F.col("l_start").cast("long"), F.col("l_end").cast("long")), "l_start", "l_end"), fit(wanted, "r_start", "r_end")
+    turned_l, turned_r = F.col("l_end") < F.col("l_start"), F.col("r_end") < F.col("r_start")
+    none, zero = F.lit(None).cast("long"), F.lit(0).cast("long")
+    s, e = F.col("l_start"), F.col("l_end")
+    each = spans.where(~turned_l).groupBy("contig", "l_start", "l_end").agg(F.count("*").alias("c"))
+    c = F.col("c")
+    starts = each.select("contig", s.alias("at"), c.alias("starts"), zero.alias("ends"), F.when(s == e, c).otherwise(zero).alias("empty"), e.alias("far"), none.alias("near"))
+    ends = each.select("contig", e.alias("at"), zero.alias("starts"), c.alias("ends"), zero.alias("empty"), none.alias("far"), s.alias("near"))
+    places = wanted.select("contig", F.col("r_start").cast("long"), F.col("r_end").cast("long")).distinct()
+    asked = places.where(~turned_r)
+    ask = lambda x: asked.select("contig", F.col(x).alias("at"), zero.alias("starts"), zero.alias("ends"), zero.alias("empty"), none.alias("far"), none.alias("near"))
+    points = starts.union(ends).union(ask("r_start")).union(ask("r_end")).groupBy("contig", "at").agg(*(F.sum(x).alias(x) for x in ("starts", "ends", "empty")), F.max("far").alias("far"), F.min("near").alias("near"))
+    at = F.col("at")
+    points = running_sums(points, ["contig"], [at], {"n_starts": F.col("starts"), "n_ends": F.col("ends"), "s_starts": F.col("starts") * at, "s_ends": F.col("ends") * at})
+    points = points.withColumn("__block", F.floor(at / block))
+    points = running_extreme(points, "contig", "__block", [at], F.col("far"), "last", last=-1)
+    points = running_extreme(points, "contig", "__block", [at], F.col("near"), "first", last=-1, down=True)
+    covered = at * (F.col("n_starts") - F.col("n_ends")) - F.col("s_starts") + F.col("s_ends")  # bases of spans before a point
+    lo = points.select("contig", at.alias("r_start"), F.col("n_ends").alias("__gone"), F.col("empty").alias("__empty"), covered.alias("__from"), "first")
+    hi = points.select("contig", at.alias("r_end"), (F.col("n_starts") - F.col("starts")).alias("__begun"), covered.alias("__to"), "last")
+    got = asked.join(lo, ["contig", "r_start"]).join(hi, ["contig", "r_end"])
+    n = F.col("__begun") - F.col("__gone") + F.when(F.col("r_start") == F.col("r_end"), F.col("__empty")).otherwise(zero)
+    got = got.select("contig", "r_start", "r_end", n.alias("n"), (F.col("__to") - F.col("__from")).alias("shared"), "first", "last").where("n > 0")
+    odd_l, odd_r = spans.where(turned_l), places.where(turned_r)
+    if not (odd_l.isEmpty() and odd_r.isEmpty()):
+        pairs = overlap_join(odd_l, places).unionByName(overlap_join(spans.where(~turned_l), odd_r))
+        odd = pairs.groupBy("contig", "r_start", "r_end").agg(F.count("*").alias("n"), F.sum(F.least("l_end", "r_end") - F.greatest("l_start", "r_start")).alias("shared"), F.min("l_start").alias("first"), F.max("l_end").alias("last"))
+        got = got.unionByName(odd).groupBy("contig", "r_start", "r_end").agg(*(f(x).alias(x) for f, x in ((F.sum, "n"), (F.sum, "shared"), (F.min, "first"), (F.max, "last"))))
+    return wanted.join(got, ["contig", "r_start", "r_end"]).select(*wanted.columns, "n", "shared", "first", "last")
+
+
 def runs(df: DataFrame, key: str, start: str, end: str, gap: int, block: int) -> DataFrame:
     """Distinct intervals of a key, how often each occurs (n), and the start of the run that it belongs to (head)."""
     rows = df.where(F.col(key).isNotNull() & F.col(start).isNotNull() & F.col(end).isNotNull()).groupBy(key, start, end).agg(F.count("*").alias("n"))

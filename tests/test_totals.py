@@ -9,6 +9,22 @@ from loomseq.operators import intervals as I
 from loomseq.operators import reads as R
 
 
+def test_overlap_totals_are_those_of_the_pairs(spark):
+    rnd = random.Random(3)
+    some = lambda n: [(rnd.choice("ab"), s, s + rnd.choice([0, 0, 1, 5, 30, -4])) for s in (rnd.randrange(60) for _ in range(n))] + [(None, 1, 9), ("a", None, 4), ("a", 3, None)]
+    spans, wanted = some(80), [(i, *w) for i, w in enumerate(some(60))] + [(99, "b", 10, 20), (98, "b", 10, 20), (97, "c", 1, 50)]
+    a, b = spark.createDataFrame(spans, "contig string, l_start long, l_end long"), spark.createDataFrame(wanted, "id long, contig string, r_start long, r_end long")
+    want = set()
+    for i, c, rs, re in wanted:
+        hit = [(s, e) for k, s, e in spans if c is not None and k == c and None not in (s, e, rs, re) and e > rs and s < re]
+        if hit:
+            want.add((i, len(hit), sum(min(e, re) - max(s, rs) for s, e in hit), min(s for s, _ in hit), max(e for _, e in hit)))
+    rows = I.overlap_totals(a, b, block=16).collect()
+    assert {(r.id, r.n, r.shared, r["first"], r["last"]) for r in rows} == want and len(rows) == len(want)
+    pairs = I.overlap_join(a, b).groupBy("id").agg(F.count("*").alias("n")).collect()
+    assert {(r.id, r.n) for r in pairs} == {(i, n) for i, n, *_ in want}
+
+
 def test_seeds_are_not_broadcast(spark):
     d = spark.createDataFrame([(1, "ACGTACGTA", "TTACGTACGTA")], "id long, query string, target string").coalesce(1)
     got = R.seed_bins(d, k=5)
