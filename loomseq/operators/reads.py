@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomseq.functions.reads import SECONDARY, UNMAPPED
-from loomseq.operators.intervals import overlap_join
+from loomseq.operators.intervals import overlap_join, overlap_totals
 from loomseq.sources.text import contig_aliases
 
 
@@ -28,6 +28,13 @@ def fetched(regions: DataFrame, reads: DataFrame) -> DataFrame:
     return overlap_join(a, b).withColumnsRenamed({"r_start": "pos", "r_end": "ref_end"}).drop("l_start", "l_end")
 
 
+def fetched_totals(regions: DataFrame, reads: DataFrame) -> DataFrame:
+    """region with n, first and last: how many scanned reads overlap it (as in fetched), the smallest pos and the largest ref_end among them. Regions without reads are left out, and no pair is built."""
+    a = regions.select("region", "contig", F.col("start").alias("r_start"), F.greatest("end", F.col("start") + 1).alias("r_end"))
+    b = scanned(reads).select("contig", F.col("pos").alias("l_start"), F.col("ref_end").alias("l_end"))
+    return overlap_totals(b, a).select("region", "n", "first", "last")
+
+
 def alias_of(names: DataFrame, contig: str, present: DataFrame, reference: str) -> DataFrame:
     """names with `found`: the first alias of a contig that the reference has, or null. Contigs and references are few, and the join is by name."""
     each = names.select(contig).distinct().select(contig, F.posexplode(contig_aliases(F.col(contig))).alias("i", "alias"))

@@ -25,6 +25,20 @@ def test_overlap_totals_are_those_of_the_pairs(spark):
     assert {(r.id, r.n) for r in pairs} == {(i, n) for i, n, *_ in want}
 
 
+def _pairs(df) -> bool:
+    """Whether the plan builds pairs of intervals: overlap_join's classes are there."""
+    return "__l" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_totals_of_orders_and_regions_build_no_pairs(spark):
+    sf = "/root/testdata/sf0.001"
+    assert not _pairs(catalog.j1_interval_overlap(spark, sf)) and not _pairs(places.s2_regions(spark, sf)) and _pairs(places.a5_event_evidence(spark, sf))
+
+
+def test_regions_see_the_reads_of_every_order(spark):
+    assert "%" not in places.ORACLES["s2_regions"].split(" JOIN ")[1] and "contig" not in places.ORACLES["a5_event_evidence"].split(" JOIN ")[1].split("GROUP")[0]
+
+
 def test_seeds_are_not_broadcast(spark):
     d = spark.createDataFrame([(1, "ACGTACGTA", "TTACGTACGTA")], "id long, query string, target string").coalesce(1)
     got = R.seed_bins(d, k=5)
