@@ -91,15 +91,18 @@ def event_evidence(hypotheses: DataFrame, signals: DataFrame, slack: int = 25) -
     Signals (contig, read, pos, kind: split, indel, left_clip or right_clip,
     length) count within `slack` of the breakpoints. alt is split and indel
     reads, and clipped ones only beside such a read or with both sides there.
+    A row is a hypothesis; those at one place are judged once, from a read's
+    signals at a position taken together.
     """
-    a = hypotheses.select("contig", "hypothesis", (F.least("left", "right") - slack).alias("l_start"), (F.greatest("left", "right") + slack + 1).alias("l_end"))
-    b = signals.select("contig", "read", F.col("pos").alias("r_start"), (F.col("pos") + 1).alias("r_end"), "kind", "length")
+    here = ["contig", "l_start", "l_end"]
+    h = hypotheses.withColumns({"l_start": F.least("left", "right") - slack, "l_end": F.greatest("left", "right") + slack + 1})
     kinds = ("split", "indel", "left_clip", "right_clip")
-    each = overlap_join(a, b).groupBy("hypothesis", "read").agg(*(F.bool_or(F.col("kind") == k).alias(k) for k in kinds), F.max("length").alias("length"))
-    both = each.groupBy("hypothesis").agg(*(F.count_if(F.col(k)).alias(k) for k in kinds), F.max("length").alias("longest"), F.count_if(F.col("split") | F.col("indel")).alias("precise"), F.count("*").alias("every"), F.array_sort(F.collect_set("read")).alias("names"))
+    b = signals.withColumnRenamed("pos", "r_start").groupBy("contig", "read", "r_start").agg(*(F.bool_or(F.col("kind") == k).alias(k) for k in kinds), F.max("length").alias("length")).withColumn("r_end", F.col("r_start") + 1)
+    each = overlap_join(h.select(here).distinct(), b).groupBy(*here, "read").agg(*(F.bool_or(k).alias(k) for k in kinds), F.max("length").alias("length"))
+    both = each.groupBy(here).agg(*(F.count_if(F.col(k)).alias(k) for k in kinds), F.max("length").alias("longest"), F.count_if(F.col("split") | F.col("indel")).alias("precise"), F.count("*").alias("every"), F.array_sort(F.collect_set("read")).alias("names"))
     clips = (F.col("precise") > 0) | ((F.col("left_clip") > 0) & (F.col("right_clip") > 0))
-    got = both.select("hypothesis", F.when(clips, F.col("every")).otherwise(F.col("precise")).alias("alt"), *kinds, "longest", "names")
-    return hypotheses.join(got, "hypothesis", "left").na.fill(0, ["alt", *kinds, "longest"])
+    got = both.select(*here, F.when(clips, F.col("every")).otherwise(F.col("precise")).alias("alt"), *kinds, "longest", "names")
+    return h.join(got.hint("merge"), here, "left").select(*hypotheses.columns, "alt", *kinds, "longest", "names").na.fill(0, ["alt", *kinds, "longest"])
 
 
 def windows_of_reads(windows: DataFrame, read: str, window: str) -> DataFrame:

@@ -39,7 +39,21 @@ def test_regions_see_the_reads_of_every_order(spark):
     assert "%" not in places.ORACLES["s2_regions"].split(" JOIN ")[1] and "contig" not in places.ORACLES["a5_event_evidence"].split(" JOIN ")[1].split("GROUP")[0]
 
 
+def test_hypotheses_at_one_place_are_judged_once(spark):
+    h = spark.createDataFrame([("c", i, 100, 105) for i in range(40)] + [("c", 90, 105, 100), (None, 91, 100, 105)], "contig string, hypothesis long, left long, right long")
+    s = spark.createDataFrame([("c", r, 90 + k, kind, 7 + k) for r in range(3) for k, kind in enumerate(("split", "left_clip", "split"))], "contig string, read long, pos long, kind string, length long")
+    got = R.event_evidence(h, s)
+    assert {r.hypothesis: (r.alt, r.split, r.left_clip, r.longest, r.names) for r in got.collect()} == {i: (3, 3, 3, 9, [0, 1, 2]) for i in [*range(40), 90]} | {91: (0, 0, 0, 0, None)}
+    joined = [n for n in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "bucket" in n]
+    assert joined and not any("hypothesis" in n for n in joined)
+
+
 def test_seeds_are_not_broadcast(spark):
     d = spark.createDataFrame([(1, "ACGTACGTA", "TTACGTACGTA")], "id long, query string, target string").coalesce(1)
     got = R.seed_bins(d, k=5)
     assert got.count() and "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_intervals_at_a_cut_stay_in_one_run(spark):
+    iv = spark.createDataFrame([("a", 10, 20), ("a", 60, 80), ("a", 60, 80), ("a", 60, 80), ("a", 62, 90)], "k string, s long, e long").repartition(4)
+    assert {tuple(r) for r in I.merge_intervals(iv, "k", "s", "e", 8).collect()} == {("a", 10, 20, 1), ("a", 60, 90, 4)}
