@@ -130,7 +130,7 @@ def split_fragments(reads: DataFrame) -> DataFrame:
     seq = F.coalesce("sequence", F.lit(""))
     n = _long(F.length(seq))
     reverse = flag.bitwiseAND(F.lit(16)) != 0
-    rows = reads.withColumns({"flag": flag, "sequence": seq, "__q": own_interval(c("cigar"), n), "__rev": reverse}).where("__q IS NOT NULL")
+    rows = _once(reads.withColumns({"flag": flag, "sequence": seq, "__rev": reverse}), __q=own_interval(c("cigar"), _long(F.length("sequence")))).where("__q IS NOT NULL")
     extra = rows.where((flag.bitwiseAND(F.lit(0x800)) != 0) & (flag.bitwiseAND(F.lit(0x100)) == 0)).groupBy("component", "read").agg(F.array_sort(F.collect_list(F.struct("record", c("__rev").alias("rev"), c("__q.start").alias("qs"), c("__q.end").alias("qe")))).alias("__supp"))  # a read's own records
     main = rows.where((flag.bitwiseAND(F.lit(0x900)) == 0) & (F.coalesce("sa", F.lit("")) != "")).join(extra, ["component", "read"], "left")
 

@@ -57,3 +57,10 @@ def test_seeds_are_not_broadcast(spark):
 def test_equal_intervals_at_a_cut_stay_in_one_run(spark):
     iv = spark.createDataFrame([("a", 10, 20), ("a", 60, 80), ("a", 60, 80), ("a", 60, 80), ("a", 62, 90)], "k string, s long, e long").repartition(4)
     assert {tuple(r) for r in I.merge_intervals(iv, "k", "s", "e", 8).collect()} == {("a", 10, 20, 1), ("a", 60, 90, 4)}
+
+
+def test_split_reads_are_spelt_once(spark):
+    from loomseq.jobs import events
+
+    plan = events.f11_split(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert max(n.count("md5(") for n in plan.splitlines()) == 1 and "RepartitionByExpression" in plan
