@@ -25,6 +25,17 @@ def _long(c: Column) -> Column:
     return c.cast("long")
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once, however often later ones name them: the optimizer moves neither expressions nor conditions across a generator."""
+    packed = F.struct(*(c.alias(n) for n, c in columns.items()))
+    return df.withColumn("__packed", F.explode(F.array(packed))).select(*df.columns, "__packed.*")
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
 def walk(cigar: Column, pos: Column, begin: Column, step: Callable[[Column, Column, Column, Column], Column]) -> Column:
     """The state after all operations of an alignment string, from step(state, length, operation, position on the reference)."""
     parts = F.regexp_extract_all(F.coalesce(cigar, F.lit("")), F.lit("([0-9]+[MIDNSHP=X])"), 1)
@@ -97,9 +108,9 @@ def with_signatures(reads: DataFrame, out: str = "signatures") -> DataFrame:
     signal = lambda p, n, source: F.struct(_long(p).alias("pos"), _long(n).alias("length"), F.lit(source).alias("source"))
     both = F.concat(F.transform("__in", lambda x: signal(x["pos"], x["length"], "cigar")), F.when(c("__split.pos") >= 0, F.array(signal(c("__split.pos"), c("__split.length"), "split"))).otherwise(F.expr(_SIGNALS)))
     clips = F.filter(F.array(signal(c("pos"), lead_clip(c("cigar")), "clip"), signal(c("__own.to"), trail_clip(c("cigar")), "clip")), lambda x: x["length"] >= CLIP_HINT)
-    rows = rows.withColumn("__both", both)
+    rows = once(rows, __both=both)
     found = F.when(flag.bitwiseAND(F.lit(0x800)) != 0, F.expr(_SIGNALS)).when(F.size("__both") > 0, c("__both")).otherwise(clips)
-    return rows.withColumn(out, found).drop("__own", "__mates", "__split", "__in", "__both")
+    return once(rows, **{out: found}).drop("__own", "__mates", "__split", "__in", "__both")
 
 
 def anchor_near(cigar: Column, pos: Column, breakpoint: Column, reach: int = 150, indel: int = 20) -> Column:
@@ -138,4 +149,4 @@ def event_signal(cigar: Column, pos: Column, lo: Column, hi: Column, clip: int =
 
     found = walk(cigar, pos, F.struct(far.alias("d"), F.lit(None).cast("long").alias("at"), _long(F.lit(0)).alias("longest")), step)
     side = lambda n, p: (n >= clip) & p.between(lo, hi)
-    return F.struct(side(lead_clip(cigar), pos).alias("left_clip"), side(trail_clip(cigar), end).alias("right_clip"), found["at"].alias("nearest_insertion"), found["longest"].alias("longest_insertion"))
+    return let(found, lambda f: F.struct(side(lead_clip(cigar), pos).alias("left_clip"), side(trail_clip(cigar), end).alias("right_clip"), f["at"].alias("nearest_insertion"), f["longest"].alias("longest_insertion")))

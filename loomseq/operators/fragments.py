@@ -109,12 +109,6 @@ def _insert_between(a: Column, b: Column) -> Column:
     return F.when((a["contig"] == b["contig"]) & (a["rev"] == b["rev"]), gap).otherwise(-1)
 
 
-def _once(df: DataFrame, **columns: Column) -> DataFrame:
-    """df with columns that are computed once, however often later ones name them: the optimizer does not merge expressions across a generator."""
-    packed = F.struct(*(c.alias(n) for n, c in columns.items()))
-    return df.withColumn("__packed", F.explode(F.array(packed))).select(*df.columns, "__packed.*")
-
-
 def split_fragments(reads: DataFrame) -> DataFrame:
     """component, contig, anchor, read, record, start, length, anchor_len, side, junction, nm, reliable, sequence, name: what a split read holds beside its flank at the component, and else each supplementary alignment behind an insertion.
 
@@ -130,13 +124,12 @@ def split_fragments(reads: DataFrame) -> DataFrame:
     seq = F.coalesce("sequence", F.lit(""))
     n = _long(F.length(seq))
     reverse = flag.bitwiseAND(F.lit(16)) != 0
-    rows = _once(reads.withColumns({"flag": flag, "sequence": seq, "__rev": reverse}), __q=own_interval(c("cigar"), _long(F.length("sequence")))).where("__q IS NOT NULL")
+    rows = A.once(reads.withColumns({"flag": flag, "sequence": seq, "__rev": reverse}), __q=own_interval(c("cigar"), _long(F.length("sequence")))).where("__q IS NOT NULL")
     extra = rows.where((flag.bitwiseAND(F.lit(0x800)) != 0) & (flag.bitwiseAND(F.lit(0x100)) == 0)).groupBy("component", "read").agg(F.array_sort(F.collect_list(F.struct("record", c("__rev").alias("rev"), c("__q.start").alias("qs"), c("__q.end").alias("qe")))).alias("__supp"))  # a read's own records
     main = rows.where((flag.bitwiseAND(F.lit(0x900)) == 0) & (F.coalesce("sa", F.lit("")) != "")).join(extra, ["component", "read"], "left")
 
     def candidate(contig, rs, re, q, rev, mapq, nm, primary, reliable, cigar, idx) -> Column:
-        near = A.anchor_near(cigar, rs, c("anchor"))
-        return F.struct(contig.alias("contig"), _long(rs).alias("rs"), _long(re).alias("re"), q["start"].alias("qs"), q["end"].alias("qe"), rev.alias("rev"), F.coalesce(mapq, F.lit(0)).cast("int").alias("mapq"), F.coalesce(nm, F.lit(-1)).cast("int").alias("nm"), primary.alias("primary"), reliable.alias("reliable"), near["length"].alias("anchor"), near["large_indel"].alias("indel"), idx.alias("idx"))
+        return A.let(A.anchor_near(cigar, rs, c("anchor")), lambda near: F.struct(contig.alias("contig"), _long(rs).alias("rs"), _long(re).alias("re"), q["start"].alias("qs"), q["end"].alias("qe"), rev.alias("rev"), F.coalesce(mapq, F.lit(0)).cast("int").alias("mapq"), F.coalesce(nm, F.lit(-1)).cast("int").alias("nm"), primary.alias("primary"), reliable.alias("reliable"), near["length"].alias("anchor"), near["large_indel"].alias("indel"), idx.alias("idx")))
 
     def agrees(m: Column) -> Column:
         begin = F.struct(F.lit(0.0).alias("iou"), F.lit(1 << 40).alias("a"), F.lit(1 << 40).alias("b"))
@@ -150,28 +143,28 @@ def split_fragments(reads: DataFrame) -> DataFrame:
         return F.aggregate("__supp", begin, step, lambda s: (s["iou"] >= SHARED) & (s["a"] <= ENDS) & (s["b"] <= ENDS))
 
     entries = F.transform(A.supplementary(c("sa")), lambda m: F.struct(m["contig"].alias("contig"), _long(F.greatest(m["pos"], F.lit(0))).alias("rs"), A.query_interval(m["cigar"], n).alias("q"), (m["strand"] == "-").alias("rev"), m["mapq"].alias("mapq"), m["nm"].alias("nm"), m["cigar"].alias("cigar"), (m["pos"] + 1).alias("told")))
-    main = _once(main, __tags=F.filter(entries, lambda m: m["q"].isNotNull() & (m["q"]["end"] - m["q"]["start"] >= LEAST)))
+    main = A.once(main, __tags=F.filter(entries, lambda m: m["q"].isNotNull() & (m["q"]["end"] - m["q"]["start"] >= LEAST)))
     all_ = F.transform("__tags", lambda m, i: candidate(m["contig"], m["rs"], reference_end(m["rs"], m["cigar"]), m["q"], m["rev"], m["mapq"], m["nm"], F.lit(False), F.when(c("__supp").isNull(), F.lit(True)).otherwise(F.coalesce(agrees(m), F.lit(False))), m["cigar"], i + 1))
-    main = _once(main, __all=all_, __own=candidate(c("contig"), c("pos"), reference_end(c("pos"), c("cigar")), c("__q"), c("__rev"), c("mapq"), c("nm"), F.lit(True), F.lit(True), c("cigar"), F.lit(0)))
+    main = A.once(main, __all=all_, __own=candidate(c("contig"), c("pos"), reference_end(c("pos"), c("cigar")), c("__q"), c("__rev"), c("mapq"), c("nm"), F.lit(True), F.lit(True), c("cigar"), F.lit(0)))
     main = main.withColumn("__core", F.concat(F.array("__own"), F.filter("__all", lambda x: x["reliable"])))
 
     away = lambda x: F.greatest(x["rs"] - c("anchor"), c("anchor") - x["re"], zero)
     there = F.filter("__core", lambda x: (x["contig"] == c("contig")) & (away(x) <= FLANK_REACH))
     score = lambda x: x["anchor"] - (F.greatest(x["nm"], F.lit(0)) + 5 * x["indel"].cast("int"))
     ranked = F.transform(there, lambda x: F.struct((-score(x)).alias("a"), (-x["anchor"]).alias("b"), (-x["mapq"]).alias("c"), x["nm"].alias("d"), (~x["primary"]).alias("e"), x["rs"].alias("f"), away(x).alias("g"), x["idx"].alias("h"), x.alias("x")))
-    main = _once(main, __flank=F.array_min(ranked)["x"])
+    main = A.once(main, __flank=F.array_min(ranked)["x"])
     alone = lambda x: x["qe"] - x["qs"] - _overlap(x, c("__flank"))
     mates = F.transform(F.filter("__core", lambda x: x["idx"] != c("__flank.idx")), lambda x: F.struct((-alone(x)).alias("a"), x["idx"].alias("b"), x.alias("x")))
-    main = _once(main, __mate=F.array_min(mates))
+    main = A.once(main, __mate=F.array_min(mates))
     f, m = c("__flank"), c("__mate")["x"]
     paired = F.coalesce(f.isNotNull() & (-c("__mate")["a"] >= LEAST), F.lit(False))
-    main = _once(main, __paired=paired).where(~paired | (_insert_between(f, m) >= LEAST))
+    main = A.once(main, __paired=paired).where(~paired | (_insert_between(f, m) >= LEAST))
     shared = _overlap(f, m)
     junction = (
         F.when(f["qe"] <= m["qs"] + OVERLAP, f["qe"]).when(m["qe"] <= f["qs"] + OVERLAP, f["qs"])
         .when(shared <= OVERLAP, F.floor((F.greatest(f["qs"], m["qs"]) + F.least(f["qe"], m["qe"])) / 2))
     )
-    main = _once(main, __j=F.when(c("__paired"), _long(junction)))
+    main = A.once(main, __j=F.when(c("__paired"), _long(junction)))
     j = c("__j")
     trimmed = f["qe"] - TRIM > f["qs"] + TRIM
     lo, hi = F.when(trimmed, f["qs"] + TRIM).otherwise(f["qs"]), F.when(trimmed, f["qe"] - TRIM).otherwise(f["qe"])
@@ -185,7 +178,7 @@ def split_fragments(reads: DataFrame) -> DataFrame:
     left, right = place <= c("anchor") + NEAR, place >= c("anchor") - NEAR
     side = F.when(left & ~right, "left").when(right & ~left, "right").otherwise("unknown")
     robust = F.struct(start.alias("start"), (stop - start).alias("length"), f["anchor"].alias("anchor_len"), side.alias("side"), place.alias("junction"), f["nm"].alias("nm"), (f["reliable"] & m["reliable"]).alias("reliable"), _name("splitSA", ("qj", j), ("rj", place), ("len", stop - start)).alias("name"))
-    main = _once(main, __robust=F.when(j.isNotNull() & (stop - start >= LEAST), robust))
+    main = A.once(main, __robust=F.when(j.isNotNull() & (stop - start >= LEAST), robust))
 
     behind = F.filter("__all", lambda x: (x["qs"] >= 0) & (x["qe"] <= n) & (_insert_between(c("__own"), x) >= LEAST))
     behind = F.slice(behind, F.lit(1), F.when(c("__robust").isNotNull(), MOST_SPLIT - 1).otherwise(MOST_SPLIT))
