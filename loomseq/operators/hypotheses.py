@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,39 +95,63 @@ def enumerate_hypotheses(components: DataFrame, precise: DataFrame, fragments: D
     return out.where(F.col("rank") <= top_k) if top_k > 0 else out
 
 
+def _values(column: pa.Array) -> list:
+    """A column's values; whole numbers without nulls, and lists of such, go through NumPy."""
+    if pa.types.is_integer(column.type) and not column.null_count:
+        return column.to_numpy().tolist()
+    if pa.types.is_list(column.type) and not column.null_count:
+        flat, ends = _values(column.flatten()), [0, *pa.compute.cumulative_sum(column.value_lengths()).to_pylist()]
+        return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return column.to_pylist()
+
+
+def picked(batches: Iterator[pa.RecordBatch], at: list[int], choose: Callable[[list[tuple]], list[int]], out: str) -> Iterator[pa.RecordBatch]:
+    """Rows that `choose` picks of each key, in batches of rows sorted by key; at: where the key and what it needs stand. Keys are many and small, so the picks of all keys that end in a batch leave together."""
+    current, rows, held, size, first = None, [], [], 0, 0  # held: rows not yet given out; first: where the current key begins there
+    picks: list[int] = []
+    places: list[int] = []
+
+    def end_key() -> None:
+        got = choose(rows)
+        picks.extend(first + i for i in got)
+        places.extend(range(1, len(got) + 1))
+
+    def given() -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).take(pa.array(picks, pa.int64())).append_column(out, pa.array(places, pa.int32()))
+        yield from table.combine_chunks().to_batches()
+
+    for b in batches:
+        keys, *values = (_values(b.column(i)) for i in at)
+        each = list(zip(*values, strict=True))
+        held.append(b)
+        start = 0
+        for i, k in enumerate(keys):
+            if current is None or k != current[0]:
+                rows.extend(each[start:i])
+                if current is not None:
+                    end_key()
+                current, rows, start, first = (k,), [], i, size + i
+        rows.extend(each[start:])
+        if picks:
+            yield from given()
+            picks.clear()
+            places.clear()
+        if first >= size:  # the current key begins in this batch
+            held, first, size = [b.slice(first - size)], 0, b.num_rows - (first - size)
+        else:
+            size += b.num_rows
+    if current is not None:
+        end_key()
+        if picks:
+            yield from given()
+
+
 def _chosen(df: DataFrame, key: str, order: list[Column], needed: list[str], choose: Callable[[list[tuple]], list[int]], out: str) -> DataFrame:
     """Rows of a key that `choose` picks from the tuples of `needed` in order, with their place among the picks (from 1). One pass over sorted rows; the state is one key's rows."""
-    names = [*df.columns, out]
     at = [df.columns.index(c) for c in (key, *needed)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held, rows = None, [], []
-
-        def flush():
-            table = pa.Table.from_batches(held)
-            picks = choose(rows)
-            got = table.take(pa.array(picks, pa.int64())).append_column(out, pa.array(range(1, len(picks) + 1), pa.int32()))
-            yield from got.select(names).combine_chunks().to_batches()
-
-        for b in batches:
-            cols = [b.column(i).to_pylist() for i in at]
-            start = 0
-            for i, k in enumerate(cols[0]):
-                if current is not None and k != current[0]:
-                    if i > start:
-                        held.append(b.slice(start, i - start))
-                    yield from flush()
-                    held, rows, start = [], [], i
-                current = (k,)
-                rows.append(tuple(c[i] for c in cols[1:]))
-            if b.num_rows > start:
-                held.append(b.slice(start))
-        if held:
-            yield from flush()
-
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.where(F.col(key).isNotNull()).repartition(n, key).sortWithinPartitions(key, *order).mapInArrow(run, f"{kinds}, `{out}` int")
+    return df.where(F.col(key).isNotNull()).repartition(n, key).sortWithinPartitions(key, *order).mapInArrow(lambda batches: picked(batches, at, choose, out), f"{kinds}, `{out}` int")
 
 
 def diverse_hypotheses(df: DataFrame, top_k: int) -> DataFrame:

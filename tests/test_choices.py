@@ -3,10 +3,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from loomseq.functions import explanation as X
+from loomseq.operators import families as M
 from loomseq.operators import hypotheses as H
 
 ROWS = "component string, index int, rank int, left long, right long, center long, names array<string>, alt int, split int, indel int, feasible boolean, precise int, full int, left_anchor int, right_anchor int, anchor long, support int, priority int, score int"
@@ -170,3 +172,28 @@ def test_posteriors_equal_a_plain_sum(spark):
         cum = np.cumsum(d)
         assert r.p.mass == pytest.approx(1) and r.p.entropy == pytest.approx(-(d[d > 0] * np.log(d[d > 0])).sum() / np.log(len(x)))
         assert abs(r.p.width - (np.searchsorted(cum, 0.95) - np.searchsorted(cum, 0.05))) <= 1 and d[r.p.mode - lo] == pytest.approx(d.max())
+
+
+def test_picks_of_many_keys_leave_in_few_batches():
+    keys = [k for k in range(3000) for _ in range(k % 4 + 1)]
+    table = pa.table({"key": keys, "x": list(range(len(keys))), "names": [[k] * (k % 3) for k in keys]})
+    for size in (1, 7, 1000, len(keys)):
+        batches = table.to_batches(max_chunksize=size)
+        got = list(H.picked(iter(batches), [0, 1, 2], lambda rows: [i for i, r in enumerate(rows) if r[0] % 2 == 0 and len(r[1]) != 1], "place"))
+        assert len(got) <= len(batches) + 1
+        want, place = [], {}
+        for k, x in zip(keys, range(len(keys)), strict=True):
+            if x % 2 == 0 and k % 3 != 1:
+                place[k] = place.get(k, 0) + 1
+                want.append((k, x, place[k]))
+        assert [(r["key"], r["x"], r["place"]) for b in got for r in b.to_pylist()] == want
+    assert list(H.picked(iter([]), [0, 1], lambda rows: [0], "place")) == []
+
+
+@pytest.mark.parametrize("block", [2, 5, 64])
+def test_likeness_of_members_in_blocks_equals_all_pairs(spark, block):
+    rng = random.Random(3)
+    rows = [(f, o, sorted({"".join(rng.choices("ACG", k=2)) for _ in range(rng.randint(0, 6))})) for f, n in ((1, 1), (2, 2), (3, 40), (4, 7)) for o in range(n)]
+    got = {(r.family, r.order): r.close for r in M.likeness(spark.createDataFrame(rows, "family long, order long, mins array<string>").repartition(3), block).collect()}
+    want = {(f, o): sum(like(m, x) for g, p, x in rows if g == f and p != o) for f, o, m in rows}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
