@@ -150,7 +150,7 @@ def a26_representatives(spark: SparkSession, sf: str) -> DataFrame:
     """Parts in families of 25, each its family's sequence up to a place of its own."""
     k = C("p_partkey")
     same = F.left(spelt(F.concat(F.lit("fam"), F.floor(k / 25)), 4), (k * 37 % 100 + 20).cast("int"))
-    lib = _read(spark, sf, "part").select(F.floor(k / 25).alias("family"), k.alias("member"), k.alias("order"), F.when(k % 50 == 7, "").otherwise(F.concat(same, spelt(F.concat(F.lit("own"), k), 2))).alias("sequence"))
+    lib = _dealt(_read(spark, sf, "part").select(k), "p_partkey").select(F.floor(k / 25).alias("family"), k.alias("member"), k.alias("order"), F.when(k % 50 == 7, "").otherwise(F.concat(same, spelt(F.concat(F.lit("own"), k), 2))).alias("sequence"))
     return M.representatives(lib, 3, 7)
 
 

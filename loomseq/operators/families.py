@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,11 +15,13 @@ from loomseq.sources.shared import cut
 
 #: K-mers of a sketch; reach around a call, the run and the share of N that make a context unknown.
 SKETCH, CONTEXT, RUN, SHARE = 64, 250, 20, 0.5
+#: Members of a family that are compared with another as many at a time, about.
+BLOCK = 64
 
 
 def sketch(sequence: Column, k: int) -> Column:
     """The first SKETCH distinct k-mers of A, C, G and T in their order."""
-    return F.slice(F.array_sort(F.array_distinct(kmers(F.upper(sequence), k))), 1, SKETCH)
+    return F.slice(F.sort_array(F.array_distinct(kmers(F.upper(sequence), k))), 1, SKETCH)
 
 
 def sketch_distance(a: Column, b: Column) -> Column:
@@ -24,20 +30,64 @@ def sketch_distance(a: Column, b: Column) -> Column:
     return 1 - shared / F.greatest(F.size(a) + F.size(b) - shared, F.lit(1))
 
 
+def likeness(sketches: DataFrame, block: int = BLOCK) -> DataFrame:
+    """family, order, close: a member's likeness (shared by all k-mers) to the others of its family, added up; members like no other may be left out.
+
+    sketches: family, order, mins. A family's members are dealt into blocks of
+    about `block`, and a cell is all pairs within a block or between two. Cells
+    are spread over all tasks, which hold one at a time, so a family may be as
+    large as the table.
+    """
+    blocks = sketches.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("order"), "blocks").cast("int")
+    each = sketches.join(blocks, "family").select("family", "order", "mins", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = each.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "order", "mins")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for b in batches:
+            whole = pa.Table.from_batches([b] if last is None else [last, b]).combine_chunks().to_batches()[0]
+            keys = list(zip(*(whole.column(i).to_pylist() for i in range(3)), strict=True))
+            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1])]
+            last = whole.slice(cuts[-1])  # its cell may go on in the next batch
+            yield from added(whole.slice(0, cuts[-1]), cuts)
+        if last is not None and last.num_rows:
+            yield from added(last, [0, last.num_rows])
+
+    def added(b: pa.RecordBatch, cuts: list[int]) -> Iterator[pa.RecordBatch]:
+        if not b.num_rows:
+            return
+        own, (i, j) = b.column(3).to_numpy(), (b.column(c).to_numpy() for c in (1, 2))
+        n = b.column(5).value_lengths().to_numpy().astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(n)])
+        words = b.column(5).flatten().dictionary_encode().indices.to_numpy()
+        out = np.zeros(b.num_rows)
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            which, word = np.unique(words[ends[s] : ends[e]], return_inverse=True)
+            has = np.zeros((e - s, len(which)), np.float32)
+            has[np.repeat(np.arange(e - s), n[s:e]), word] = 1
+            shared = (has @ has.T).astype(np.float64)
+            like = shared / np.maximum(n[s:e, None] + n[s:e] - shared, 1)
+            like[(own[s:e, None] == own[s:e]) if i[s] != j[s] else np.eye(e - s, dtype=bool)] = 0  # pairs within a block belong to its own cell
+            out[s:e] = like.sum(1)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(4), pa.array(out)], names=["family", "order", "close"])
+
+    kind = {f.name: f.dataType.simpleString() for f in sketches.schema}
+    n = int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    got = cells.repartition(n, "family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(run, f"family {kind['family']}, `order` {kind['order']}, close double")
+    return got.groupBy("family", "order").agg(F.sum("close").alias("close"))
+
+
 def representatives(library: DataFrame, limit: int, k: int) -> DataFrame:
     """family, member, place: up to `limit` members of each family, the medoid (the smallest sum of distances) first, then each time the one farthest from all taken; ties to the smaller `order`.
 
     library: family, member, order (total in a family), sequence; rows with a
-    null family are left out. Sums are compared to nine digits. The medoid looks
-    at the members that share a k-mer, so a family costs the square of its
-    members at most; a further pick is one join of each member with its family's
-    last pick.
+    null family are left out. Sums are compared to nine digits. The medoid costs
+    the square of a family's members, in cells of two blocks; a further pick is
+    one join of each member with its family's last pick.
     """
     rows = cut(library.where("family IS NOT NULL").select("family", "member", "order", sketch(F.coalesce("sequence", F.lit("")), k).alias("mins")), "sketches")
-    each = rows.select("family", "order", F.size("mins").alias("n"), F.explode("mins").alias("kmer"))
-    other = each.select("family", F.col("order").alias("other"), F.col("n").alias("m"), "kmer")
-    near = each.join(other, ["family", "kmer"]).where("order <> other").groupBy("family", "order", "other", "n", "m").agg(F.count("*").alias("i"))
-    close = near.groupBy("family", "order").agg(F.sum(F.col("i") / (F.col("n") + F.col("m") - F.col("i"))).alias("close"))
+    close = likeness(rows)
     # A sum of distances is the members less their likeness, so the medoid has the most of it.
     first = Window.partitionBy("family").orderBy(F.round(F.coalesce("close", F.lit(0.0)), 9).desc(), "order")
     left = rows.join(close, ["family", "order"], "left").withColumn("__n", F.row_number().over(first))
