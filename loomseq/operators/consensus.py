@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomseq.functions import support as P
-from loomseq.operators.reads import best_records
 from loomseq.operators.sets import longest_texts
 
 #: Flank of an event string, shortest anchor, most strings, fewest strings without full context.
@@ -50,10 +49,12 @@ def consensus_inputs(events: DataFrame, support: DataFrame, fragments: DataFrame
     event, read, record (its order), sequence, primary. The longest record of a
     read stands for it. Of equally long strings the first fragment's counts, then the smaller.
     """
-    named = fragments.where(F.col("read").isNotNull() & (F.col("read").cast("string") != "")).join(support.select("event", "read").distinct(), ["event", "read"], "left_semi")
-    local = named.join(events.select("event", F.col("left").alias("__lo"), F.col("right").alias("__hi")), "event").where(P.local_fragment(F.col("junction"), F.col("__lo"), F.col("__hi")))
-    keyed = records.where(F.col("read").isNotNull()).select(F.struct("event", "read").alias("__key"), F.col("sequence").alias("__read"), F.coalesce(F.length("sequence"), F.lit(0)).alias("__n"), F.coalesce("primary", F.lit(False)).alias("__p"), F.col("record").alias("__o"))
-    best = best_records(keyed, "__key", "__n", "__p", "__o").select("__key.event", "__key.read", "__read")
+    # All that holds bases is dealt by event and read, once; breakpoints come to it with the reads that support an event.
+    here = support.select("event", "read").distinct().join(events.select("event", F.col("left").alias("__lo"), F.col("right").alias("__hi")), "event")
+    named = fragments.where(F.col("read").isNotNull() & (F.col("read").cast("string") != ""))
+    local = named.join(here, ["event", "read"]).where(P.local_fragment(F.col("junction"), F.col("__lo"), F.col("__hi")))
+    rank = F.struct((-F.coalesce(F.length("sequence"), F.lit(0))).alias("n"), (~F.coalesce("primary", F.lit(False))).alias("p"), F.col("record").alias("o"))
+    best = records.where(F.col("read").isNotNull()).groupBy("event", "read").agg(F.min_by("sequence", rank).alias("__read"))
     text = event_string(F.col("source"), F.col("__read"), F.col("start"), F.col("length"), F.col("sequence"))
     rows = local.join(best, ["event", "read"]).withColumn("text", text).where("text IS NOT NULL").withColumn("full", F.col("source").isin(*FULL))
     longest = F.min_by("text", F.struct(-F.length("text"), F.col("fragment"), F.col("text")))
@@ -61,10 +62,12 @@ def consensus_inputs(events: DataFrame, support: DataFrame, fragments: DataFrame
     return rows.groupBy("event", "read", "full").agg(longest.alias("text"), *ends)
 
 
-def input_counts(inputs: DataFrame) -> DataFrame:
-    """event, full_reads, partial_reads, left_anchor, right_anchor (distinct reads) and input_reads: the full ones, or without any the partial ones."""
-    reads = inputs.groupBy("event", "read").agg(F.bool_or("full").alias("full"), F.bool_or(~F.col("full")).alias("partial"), F.bool_or("left_anchor").alias("l"), F.bool_or("right_anchor").alias("r"))
-    got = reads.groupBy("event").agg(F.count_if("full").alias("full_reads"), F.count_if("partial").alias("partial_reads"), F.count_if("l").alias("left_anchor"), F.count_if("r").alias("right_anchor"))
+def input_counts(inputs: DataFrame, text: Column | None = None) -> DataFrame:
+    """event, full_reads, partial_reads, left_anchor, right_anchor (distinct reads) and input_reads: the full ones, or without any the partial ones. With a `text` of each row also texts, all of an event's in order, from the same pass."""
+    of_read = () if text is None else (F.collect_list(text).alias("texts"),)
+    of_event = () if text is None else (F.sort_array(F.flatten(F.collect_list("texts"))).alias("texts"),)
+    reads = inputs.groupBy("event", "read").agg(*of_read, F.bool_or("full").alias("full"), F.bool_or(~F.col("full")).alias("partial"), F.bool_or("left_anchor").alias("l"), F.bool_or("right_anchor").alias("r"))
+    got = reads.groupBy("event").agg(F.count_if("full").alias("full_reads"), F.count_if("partial").alias("partial_reads"), F.count_if("l").alias("left_anchor"), F.count_if("r").alias("right_anchor"), *of_event)
     return got.withColumn("input_reads", F.when(F.col("full_reads") > 0, F.col("full_reads")).otherwise(F.col("partial_reads")))
 
 
