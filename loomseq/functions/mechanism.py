@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomseq.functions.alignment import once
 from loomseq.functions.support import count
 
 
@@ -237,10 +238,10 @@ def latent_signals(
     is used more than once is a column of its own, computed once.
     """
     c = F.col
-    rows = df.withColumns({"__alt": count(alt), "__ref": count(ref), "__one": F.coalesce(one, F.lit(False)), "__mech": mechanistic, "__kind": kind, "__identity": unit(identity), "__quality": unit(gq / 60.0)})
+    rows = once(df, **{"__alt": count(alt), "__ref": count(ref), "__one": F.coalesce(one, F.lit(False)), "__mech": mechanistic, "__kind": kind, "__identity": unit(identity), "__quality": unit(gq / 60.0)})
     share = F.when(c("__alt") + c("__ref") > 0, c("__ref") / (c("__alt") + c("__ref"))).otherwise(0.0)
     floor = F.when(c("__one") & (c("__ref") > 0), 0.35).otherwise(0.0)
-    rows = rows.withColumns({
+    rows = once(rows, **{
         "__independent": F.sqrt(saturating(c("__mech"), 4.0) * F.when(c("__alt") > 0, unit(c("__mech") / c("__alt"))).otherwise(0.0)),
         "__conflict": unit(F.greatest(share, 0.60 * saturating(c("__ref"), 8.0), floor)),
     })
@@ -248,10 +249,10 @@ def latent_signals(
     artifact = F.greatest(
         least(~has_insert, 1.0), least(label == "TE_MODEL_OUTLIER", 1.0), least(label == "TE_MODEL_EDGE", 0.45), least(~defined & ~c("__one"), 0.35), least(defined & ~canonical & ~consistent, 0.50), least(confidence == "LOW", 0.35), 0.80 * c("__conflict"),
     )
-    rows = rows.withColumns({"__event": unit(0.35 * saturating(c("__alt"), 8.0) + 0.30 * c("__independent") + 0.20 * unit((segmentation + 1.0) / 3.0) + 0.15 * unit(af)), "__artifact": unit(artifact)})
+    rows = once(rows, **{"__event": unit(0.35 * saturating(c("__alt"), 8.0) + 0.30 * c("__independent") + 0.20 * unit((segmentation + 1.0) / 3.0) + 0.15 * unit(af)), "__artifact": unit(artifact)})
     known = F.when(c("__kind") == "unknown", 0.0).otherwise(1.0)
     activity = clamp(0.30 * c("__identity") + 0.25 * c("__event") + 0.20 * c("__independent") + 0.15 * c("__quality") + 0.10 * known - 0.30 * c("__artifact") - 0.10 * c("__conflict"), 0.02, 0.98)
-    return rows.select(*df.columns, F.struct(*(c(f"__{n}").alias(n) for n in SIGNALS), c("__kind").alias("kind"), activity.alias("activity")).alias(out))
+    return once(rows, **{out: F.struct(*(c(f"__{n}").alias(n) for n in SIGNALS), c("__kind").alias("kind"), activity.alias("activity"))}).select(*df.columns, out)
 
 
 def with_latent_mechanism(df: DataFrame, signals: str, out: str, target: float = 0.10) -> DataFrame:
@@ -263,7 +264,7 @@ def with_latent_mechanism(df: DataFrame, signals: str, out: str, target: float =
     c = F.col
     f = c(signals)
     edge = {n: clamp(f[n], _EDGE, 1 - _EDGE) for n in (*SIGNALS, "activity")}
-    rows = df.withColumns({**{f"__a_{n}": F.ln(x) for n, x in edge.items()}, **{f"__b_{n}": F.ln(1 - x) for n, x in edge.items()}})
+    rows = once(df, **{f"__a_{n}": F.ln(x) for n, x in edge.items()}, **{f"__b_{n}": F.ln(1 - x) for n, x in edge.items()})
     scores = {}
     for state, (*shapes, base) in LATENT.items():
         fit = F.lit(0.0)
@@ -275,13 +276,15 @@ def with_latent_mechanism(df: DataFrame, signals: str, out: str, target: float =
         for n, (mean, strength) in zip(SIGNALS, shapes, strict=True):
             total = total + strength * (mean * c(f"__a_{n}") + (1 - mean) * c(f"__b_{n}"))
         scores[f"__s_{state}"] = total
-    rows = rows.withColumns(scores).withColumns({"__top": F.greatest(*(c(n) for n in scores)), "__gap": 1.0 - f["independent"]})
+    for n, total in scores.items():
+        rows = once(rows, **{n: total})  # a step each: code of all states together is too long to be compiled
+    rows = rows.withColumns({"__top": F.greatest(*(c(n) for n in scores)), "__gap": 1.0 - f["independent"]})
     elements, others = [n for n in scores if n[4:] in _ELEMENTS], [n for n in scores if n[4:] not in _ELEMENTS]
     part = lambda names: sum((F.exp(c(n) - c("__top")) for n in names[1:]), F.exp(c(names[0]) - c("__top")))
-    rows = rows.withColumns({"__te": part(elements), "__null": part(others)})
+    rows = once(rows, __te=part(elements), __null=part(others))
     # Both sides of the worst case move by one factor each; their odds are enough.
     odds = F.ln(c("__te")) - (0.95 + 2.60 * c("__gap") + 0.75 * f["conflict"]) - F.ln(c("__null")) - (0.95 + 1.65 * c("__gap") + 0.55 * f["conflict"])
-    rows = rows.withColumn("__worst", 1 / (1 + F.exp(odds)))
+    rows = once(rows, __worst=1 / (1 + F.exp(odds)))
     whole = c("__te") + c("__null")
     best = F.coalesce(*(F.when(c(n) == c("__top"), n[4:]) for n in scores))
     state = lambda n: F.exp(c(f"__s_{n}") - c("__top")) / whole

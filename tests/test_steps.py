@@ -19,3 +19,7 @@ def plan(df):
 
 def test_event_strings_are_made_in_one_pass(spark):
     assert plan(QUERIES["a6_inputs"](spark, SF)).count("Relation") == 4  # fragments, support, records and events
+
+
+def test_each_latent_state_is_a_step_of_its_own(spark):
+    assert plan(QUERIES["f39_latent"](spark, SF)).count("Generate explode") >= 6
