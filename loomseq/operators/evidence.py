@@ -15,6 +15,8 @@ from loomseq.sources.shared import cut
 
 #: Owners of more names than this are linked through counts rather than pairs of names.
 PAIRED = 64
+#: Runs of letters that a task gives out at a time.
+SPANS = 1 << 14
 
 
 def overdispersion(df: DataFrame, alt: str, depth: str, fallback: float = 0.05) -> DataFrame:
@@ -97,12 +99,19 @@ def letter_runs(df: DataFrame, key: str, sequence: str, letter: str = "N") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, spans = [], []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                found = [m.span() for m in find(text or "")]
-                at += [i] * len(found)
-                spans += found
-            start, end = (pa.array([s[j] for s in spans], pa.int64()) for j in (0, 1))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), start, end], names=[key, "start", "end"])
+            for i in range(b.num_rows):  # one text at a time is a Python string
+                for m in find(b.column(1)[i].as_py() or ""):
+                    at.append(i)
+                    spans.append(m.span())
+                    if len(spans) == SPANS:
+                        yield found(b.column(0), at, spans)
+                        at, spans = [], []
+            if spans:
+                yield found(b.column(0), at, spans)
+
+    def found(keys: pa.Array, at: list[int], spans: list[tuple[int, int]]) -> pa.RecordBatch:
+        start, end = (pa.array([s[j] for s in spans], pa.int64()) for j in (0, 1))
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), start, end], names=[key, "start", "end"])
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, sequence).mapInArrow(run, f"`{key}` {kind}, start long, end long").withColumn("length", F.col("end") - F.col("start"))

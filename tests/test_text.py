@@ -139,3 +139,10 @@ def test_communities_of_large_owners(spark, monkeypatch):
     assert {r.o: r.community for r in E.communities(d, "o", "x").collect()} == want
     monkeypatch.setattr(E, "PAIRED", 3)
     assert {r.o: r.community for r in E.communities(d, "o", "x").collect()} == want
+
+
+def test_letter_runs_leave_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(E, "SPANS", 3)
+    rows = [(1, "nnANaNNNan"), (2, ""), (3, None), (4, "n"), (5, "NANANANAN"), (6, "ACGT")]
+    got = sorted((r.k, r.start, r.end, r.length) for r in E.letter_runs(spark.createDataFrame(rows, "k long, s string").coalesce(1), "k", "s").collect())
+    assert got == [(1, 0, 2, 2), (1, 3, 4, 1), (1, 5, 8, 3), (1, 9, 10, 1), (4, 0, 1, 1), *((5, i, i + 1, 1) for i in (0, 2, 4, 6, 8))]
