@@ -23,3 +23,7 @@ def test_event_strings_are_made_in_one_pass(spark):
 
 def test_each_latent_state_is_a_step_of_its_own(spark):
     assert plan(QUERIES["f39_latent"](spark, SF)).count("Generate explode") >= 6
+
+
+def test_flanks_are_dealt_over_all_tasks(spark):
+    assert QUERIES["f_flanks"](spark, SF).rdd.getNumPartitions() == 4
