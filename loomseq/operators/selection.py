@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from loomseq.operators.running import running_sums, running_total
 from loomseq.sources.shared import cut
 
+#: Owners of more names than this do not meet others at pairs of names.
+PAIRED = 64
+
 
 def empirical_tail(df: DataFrame, nulls: DataFrame, value: str) -> DataFrame:
     """df with tail = (1 + number of nulls >= value) / (2 + number of nulls). Both sides are counted by distinct value first."""
@@ -74,12 +77,32 @@ def bayes_prefix(df: DataFrame, group: str | None, lfdr: str, order: str, q: flo
 
 
 def support_edges(df: DataFrame, owner: str, name: str, shared: int = 2, jaccard: float = 0.5) -> DataFrame:
-    """a < b, n_shared, jaccard: owners that share `shared` names, or one name at this Jaccard similarity."""
-    sets = df.select(owner, name).where(F.col(owner).isNotNull() & F.col(name).isNotNull()).distinct()
-    size = sets.groupBy(owner).agg(F.count("*").alias("n"))
-    x = sets.select(F.col(owner).alias("a"), name)
-    pairs = x.join(x.withColumnRenamed("a", "b"), name).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n_shared"))
-    pairs = pairs.join(size.withColumnsRenamed({owner: "a", "n": "na"}), "a").join(size.withColumnsRenamed({owner: "b", "n": "nb"}), "b")
+    """a < b, n_shared, jaccard: owners that share `shared` names, or one name at this Jaccard similarity.
+
+    Where two names are asked, owners meet at pairs of names, so those that share
+    one name only are not paired; one name is enough for owners of few names,
+    which meet at it. Owners of more than PAIRED names are counted name by name.
+    """
+    sets = df.select(F.col(owner).alias("o"), F.col(name).alias("x")).where("o IS NOT NULL AND x IS NOT NULL").distinct()
+    sets = cut(sets.join(sets.groupBy("o").agg(F.count("*").alias("n")), "o"), "sets")
+    side = lambda d, o, n: d.withColumnsRenamed({"o": o, "n": n})
+    met = lambda d, key: side(d, "a", "na").join(side(d, "b", "nb"), key).where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("n_shared"))
+    if shared < 2 or jaccard * PAIRED <= 1:
+        pairs = met(sets, "x")
+    else:
+        small = sets.where(F.col("n") <= PAIRED)
+        names = small.groupBy("o", "n").agg(F.sort_array(F.collect_list("x")).alias("xs")).where("n > 1")  # at most PAIRED
+        firsts = names.select("o", "n", "xs", F.posexplode("xs").alias("i", "x"))
+        two = firsts.select("o", "n", "x", F.explode(F.slice("xs", F.col("i") + 2, PAIRED)).alias("y"))
+        # Of s names s (s - 1) / 2 pairs are shared.
+        more = met(two, ["x", "y"]).withColumn("n_shared", F.round((1 + F.sqrt(1 + 8 * F.col("n_shared"))) / 2).cast("long"))
+        few = small.where(F.col("n") <= 1 / jaccard)
+        close = side(few, "a", "na").join(side(few, "b", "nb"), "x").where((F.col("a") < F.col("b")) & (1 / (F.col("na") + F.col("nb") - 1) >= jaccard))
+        lone = close.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("n_shared")).where("n_shared = 1")
+        big = side(sets.where(F.col("n") > PAIRED), "a", "na").join(side(sets, "b", "nb"), "x").where((F.col("a") < F.col("b")) | ((F.col("a") > F.col("b")) & (F.col("nb") <= PAIRED)))
+        turned = F.col("a") > F.col("b")
+        ends = [F.when(turned, F.col(v)).otherwise(F.col(u)).alias(u) for u, v in (("a", "b"), ("b", "a"), ("na", "nb"), ("nb", "na"))]
+        pairs = more.unionByName(lone).unionByName(big.select(*ends).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("n_shared")))
     pairs = pairs.withColumn("jaccard", F.col("n_shared") / (F.col("na") + F.col("nb") - F.col("n_shared")))
     return pairs.where((F.col("n_shared") >= shared) | (F.col("jaccard") >= jaccard)).select("a", "b", "n_shared", "jaccard")
 

@@ -146,3 +146,22 @@ def test_letter_runs_leave_in_pieces(spark, monkeypatch):
     rows = [(1, "nnANaNNNan"), (2, ""), (3, None), (4, "n"), (5, "NANANANAN"), (6, "ACGT")]
     got = sorted((r.k, r.start, r.end, r.length) for r in E.letter_runs(spark.createDataFrame(rows, "k long, s string").coalesce(1), "k", "s").collect())
     assert got == [(1, 0, 2, 2), (1, 3, 4, 1), (1, 5, 8, 3), (1, 9, 10, 1), (4, 0, 1, 1), *((5, i, i + 1, 1) for i in (0, 2, 4, 6, 8))]
+
+
+@pytest.mark.parametrize("shared,jaccard", [(2, 0.5), (3, 0.3), (2, 1.0), (1, 0.5)])
+def test_edges_by_pairs_of_names_equal_all_pairs(spark, monkeypatch, shared, jaccard):
+    import itertools
+    import random
+
+    monkeypatch.setattr(L, "PAIRED", 4)
+    rng = random.Random(shared)
+    sets = {o: {rng.randint(0, 14) for _ in range(rng.choice((1, 1, 2, 3, 4, 7)))} for o in range(70)}
+    rows = [(o, x) for o, xs in sets.items() for x in xs for _ in range(rng.randint(1, 2))] + [(None, 1), (1, None)]
+    got = sorted((r.a, r.b, r.n_shared, round(r.jaccard, 9)) for r in L.support_edges(spark.createDataFrame(rows, "o long, x long"), "o", "x", shared, jaccard).collect())
+    want = []
+    for a, b in itertools.combinations(sorted(sets), 2):
+        n = len(sets[a] & sets[b])
+        like = n / len(sets[a] | sets[b])
+        if n and (n >= shared or like >= jaccard):
+            want.append((a, b, n, round(like, 9)))
+    assert got == want and want
