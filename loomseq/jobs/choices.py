@@ -84,7 +84,7 @@ def f42_explanations(spark: SparkSession, sf: str) -> DataFrame:
 def f46_posterior(spark: SparkSession, sf: str) -> DataFrame:
     li = _lines(spark, sf)
     pos = F.when(C("q") % 13 == 0, -1).otherwise(C("p") % 80 + F.when(C("p") % 97 == 0, 2600).otherwise(0))
-    got = li.groupBy("component").agg(F.array_sort(F.collect_list(F.struct(pos.alias("pos"), (C("q") % 4 == 0).alias("split"), (C("q") % 4 == 1).alias("insertion"), (C("q") % 4 == 2).alias("clip")))).alias("s"))
+    got = li.groupBy("component").agg(F.sort_array(F.collect_list(F.struct(pos.alias("pos"), (C("q") % 4 == 0).alias("split"), (C("q") % 4 == 1).alias("insertion"), (C("q") % 4 == 2).alias("clip")))).alias("s"))
     p = got.select("component", X.breakpoint_posterior(C("s")).alias("p"))
     return p.select("component", "p.width", F.round("p.entropy", 9).alias("entropy"), "p.mode", F.round("p.mass", 9).alias("mass"))
 

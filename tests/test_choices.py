@@ -197,3 +197,25 @@ def test_likeness_of_members_in_blocks_equals_all_pairs(spark, block):
     got = {(r.family, r.order): r.close for r in M.likeness(spark.createDataFrame(rows, "family long, order long, mins array<string>").repartition(3), block).collect()}
     want = {(f, o): sum(like(m, x) for g, p, x in rows if g == f and p != o) for f, o, m in rows}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_posteriors_of_many_events_equal_those_alone(spark):
+    rng = random.Random(5)
+    rows = [(i, [(rng.choice((-1, 5, 40, 2600, rng.randint(0, 300))), rng.random() < 0.3, rng.random() < 0.3, rng.random() < 0.3) for _ in range(rng.randint(0, 5))]) for i in range(700)] + [(700, None)]
+    df = spark.createDataFrame(rows, "id long, s array<struct<pos:long,split:boolean,insertion:boolean,clip:boolean>>").coalesce(1)
+    out = df.select("id", X.breakpoint_posterior(F.col("s")).alias("p"))
+    assert "ArrowEvalPython" in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.id: r.p for r in out.collect()}
+    for i, s in rows:
+        good = [(p, 2.0 if a else 3.0 if b else 6.0 if c else 8.0) for p, a, b, c in s or () if p >= 0]
+        if len(good) < 2:
+            assert tuple(got[i]) == (0.0, 0.0, None, 0.0)
+            continue
+        lo = min(p for p, _ in good) - 20
+        hi = min(max(p for p, _ in good) + 20, lo + 2000)
+        f = np.array([sum(np.exp(-0.5 * ((x - p) / w) ** 2) / w for p, w in good) for x in range(lo, hi + 1)])
+        d = f / f.sum()
+        c = np.cumsum(d)
+        first = lambda v: int(np.argmax(c >= v)) if (c >= v).any() else len(c) - 1
+        assert got[i].width == first(0.95) - first(0.05) and got[i].mode == lo + int(np.argmax(d >= d.max() * (1 - 1e-9)))
+        assert abs(got[i].entropy + (d[d > 0] * np.log(d[d > 0])).sum() / np.log(len(d))) < 1e-9 and abs(got[i].mass - 1) < 1e-9
