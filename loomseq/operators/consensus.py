@@ -90,43 +90,54 @@ class Graph:
         """For each base of text its node in the best global alignment, or -1. Ties: a base on a node before a skipped node before a base between nodes, and the earlier entered of two edges."""
         n = len(text)
         t = np.frombuffer(text.encode(), np.uint8)
-        along = np.arange(n + 1, dtype=np.int32) * GAP
+        # Scores are kept less their column's gaps, so that gaps along the text are a running maximum and a fitting base gains its score less one gap.
+        gain = {x: np.where(t == ord(x), MATCH - GAP, MISMATCH - GAP).astype(np.int32) for x in set(self.base[2:])}
         place = {0: 0}
         for i, v in enumerate(self.order):
             place[v] = i + 1
-        score = np.empty((len(self.order) + 1, n + 1), np.int32)
-        score[0] = along
+        score = np.zeros((len(self.order) + 1, n + 1), np.int32)
+        fitted, got = np.empty(n, np.int32), np.empty(n + 1, np.int32)
         for i, v in enumerate(self.order, 1):
-            fit = np.where(t == ord(self.base[v]), MATCH, MISMATCH).astype(np.int32)
-            row = None
-            for p in self.into[v]:
+            row = score[i]
+            for k, p in enumerate(self.into[v]):
                 above = score[place[p]]
-                got = above + GAP
-                np.maximum(got[1:], above[:-1] + fit, out=got[1:])
-                row = got if row is None else np.maximum(row, got)
-            score[i] = np.maximum.accumulate(row - along) + along
+                now = got if k else row
+                np.add(above, GAP, out=now)
+                np.add(above[:-1], gain[self.base[v]], out=fitted)
+                np.maximum(now[1:], fitted, out=now[1:])
+                if k:
+                    np.maximum(row, got, out=row)
+            np.maximum.accumulate(row, out=row)
         ends = [(int(score[place[p], n]), -k, p) for k, p in enumerate(self.into[1])]
         at, j = max(ends)[2] if ends else 0, n
         out = [-1] * n
+        cell = score.item
         while at or j:
-            here = score[place[at], j]
-            step = None
             if at:
-                fit = MATCH if j and text[j - 1] == self.base[at] else MISMATCH
-                step = next((p for p in self.into[at] if j and score[place[p], j - 1] + fit == here), None)
+                here = cell(place[at], j)
+                step = None
+                if j:
+                    less = here - (MATCH if text[j - 1] == self.base[at] else MISMATCH) + GAP
+                    for p in self.into[at]:
+                        if cell(place[p], j - 1) == less:
+                            step = p
+                            break
+                    if step is not None:
+                        out[j - 1] = at
+                        at, j = step, j - 1
+                        continue
+                for p in self.into[at]:
+                    if cell(place[p], j) + GAP == here:
+                        step = p
+                        break
                 if step is not None:
-                    out[j - 1] = at
-                    at, j = step, j - 1
+                    at = step
                     continue
-                step = next((p for p in self.into[at] if score[place[p], j] + GAP == here), None)
-            if step is not None:
-                at = step
-            else:
-                j -= 1
+            j -= 1
         return out
 
     def add(self, text: str, weight: int = 1) -> None:
-        at = 0
+        at, chain = 0, not self.order
         for base, node in zip(text, self.align(text) if self.order else [-1] * len(text), strict=True):
             if node >= 0 and self.base[node] != base:
                 other = next((s for s in self.same[node] if self.base[s] == base), None)
@@ -142,7 +153,10 @@ class Graph:
             self.into[node][at] = self.into[node].get(at, 0) + weight
             at = node
         self.into[1][at] = self.into[1].get(at, 0) + weight
-        self._sort()
+        if chain:
+            self.order = list(range(2, len(self.base)))
+        else:
+            self._sort()
 
     def _sort(self) -> None:
         """Nodes so that edges lead onwards; a node comes when all before it have, the smaller first."""
