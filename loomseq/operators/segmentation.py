@@ -13,16 +13,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomseq.functions import alignment as A
 from loomseq.functions import support as P
 from loomseq.functions.edits import QUERY_END, TARGET_END, codes, prefix_edits, stacked
 from loomseq.functions.flanks import fixed_identity
 from loomseq.operators.reads import windows_of
+from loomseq.sources.shared import cut
 
 #: Shortest and longest flank, least identity, reach around a breakpoint, bases of an end that may be skipped, shortest insert, identities that count as equal, seeds and their bins.
 SHORTEST, LONGEST, IDENTITY, REACH, SLACK, INSERT, MARGIN, SEED, BIN, BINS = 50, 120, 0.90, 200, 32, 1, 0.02, 11, 8, 8
@@ -35,6 +38,8 @@ UNPLACED_ALT, UNPLACED_ANCHOR, UNPLACED_PARTIAL = 8, 2, 4
 
 _PLACEMENT = np.dtype([(c, np.int64) for c in ("query_start", "query_end", "ref_start", "ref_end", "length", "delta", "offset")] + [("identity", np.float64)])
 _COMPLEMENT = str.maketrans("ACGT", "TGCA")
+_BASE = np.full(256, 4, np.int64)
+_BASE[codes("ACGT")] = range(4)
 
 
 @dataclass
@@ -53,15 +58,37 @@ def _most(length: int | np.ndarray):
     return np.floor((1 - IDENTITY) * length + 1e-9).astype(np.int64)
 
 
+@lru_cache(1 << 12)  # a window is searched for both flanks of both strands, and again behind skipped bases
+def _kmers(sequence: str) -> np.ndarray:
+    """The k-mer at every start as a number; -1 where it is not all of A, C, G and T."""
+    b = _BASE[codes(sequence)]
+    n = len(b) - SEED + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    value = np.zeros(n, np.int64)
+    for i in range(SEED):
+        value <<= 2
+        value |= b[i : i + n]
+    other = b > 3
+    if other.any():
+        upto = np.concatenate(([0], np.cumsum(other)))
+        value[upto[SEED:] > upto[:-SEED]] = -1
+    return value
+
+
 def seed_offsets(query: str, window: str, start: int, breakpoint: int, left: bool) -> np.ndarray:
     """Starts of the best bins of offsets at which k-mers of A, C, G and T agree: most hits, then the nearest to the breakpoint, then the smaller."""
-    at: dict[str, list[int]] = {}
-    for i in range(len(query) - SEED + 1):
-        at.setdefault(query[i : i + SEED], []).append(i)
-    hits = [start + j - i for j in range(len(window) - SEED + 1) for i in at.get(window[j : j + SEED], ()) if not window[j : j + SEED].strip("ACGT")]
-    if not hits:
+    q, w = _kmers(query), _kmers(window)
+    order = np.argsort(q)
+    ordered = q[order]
+    first = np.searchsorted(ordered, w)
+    n = np.searchsorted(ordered, w, "right") - first
+    n[w < 0] = 0
+    if not n.any():
         return np.zeros(0, np.int64)
-    x = np.array(hits, np.int64)
+    j = np.repeat(np.arange(len(w)), n)
+    i = order[np.repeat(first - np.cumsum(n) + n, n) + np.arange(len(j))]
+    x = start + j - i
     bins, which = np.unique(np.trunc(x / BIN).astype(np.int64) * BIN, return_inverse=True)
     hit = np.bincount(which)
     near = np.full(len(bins), np.iinfo(np.int64).max)
@@ -86,6 +113,8 @@ def _place(searches: list[Search], slack: int) -> list[np.ndarray]:
             continue
         end = min(s.longest + slack, size)
         seeds = seed_offsets(s.sequence[:end] if s.left else s.sequence[size - end :], s.window, s.start, s.breakpoint, s.left)
+        if not len(seeds):
+            continue
         q, w = codes(s.sequence), codes(s.window)
         for skip in range(min(slack, size - SHORTEST) + 1):
             q_lane = q[skip : skip + s.longest] if s.left else q[: size - skip][::-1][: s.longest]
@@ -138,9 +167,15 @@ def best_pair(left: np.ndarray, right: np.ndarray, canonical: bool = False) -> t
     i, j = np.nonzero(ok)
     if not len(i):
         return None
-    a, b = left[i], right[j]
-    order = np.lexsort((b["ref_start"], a["ref_start"], -(a["length"] + b["length"]), a["delta"] + b["delta"], -0.5 * (a["identity"] + b["identity"]), -np.minimum(a["identity"], b["identity"])))
-    return int(i[order[0]]), int(j[order[0]])
+    a, b = ({c: np.ascontiguousarray(p[c]) for c in ("identity", "delta", "length", "ref_start")} for p in (left, right))
+    for key in (
+        lambda: -np.minimum(a["identity"][i], b["identity"][j]), lambda: -0.5 * (a["identity"][i] + b["identity"][j]), lambda: a["delta"][i] + b["delta"][j],
+        lambda: -(a["length"][i] + b["length"][j]), lambda: a["ref_start"][i], lambda: b["ref_start"][j],
+    ):
+        k = key()
+        best = k == k.min()
+        i, j = i[best], j[best]
+    return int(i[0]), int(j[0])
 
 
 def _part(window: tuple[str, int], lo: int, hi: int) -> tuple[str, int]:
@@ -277,7 +312,8 @@ def segment_events(events: DataFrame, chunks: DataFrame, size: int) -> DataFrame
     failed, null or empty consensus, one below 51 bases, a null or negative
     breakpoint and a contig without bases there have their own label.
     """
-    text = F.upper(F.coalesce("consensus", F.lit("")))
+    columns = events.columns
+    events, text = A.once(events, __text=F.upper(F.coalesce("consensus", F.lit("")))), F.col("__text")
     lo, hi = F.least("left", "right"), F.greatest("left", "right")
     key = F.sha2(F.concat_ws("|", F.length("contig").cast("string"), F.col("contig"), lo.cast("string"), hi.cast("string"), text).cast("binary"), 256)
     broken = (F.coalesce(F.length("contig"), F.lit(0)) == 0) | F.coalesce((F.col("left") < 0) | (F.col("right") < 0), F.lit(True))
@@ -285,7 +321,8 @@ def segment_events(events: DataFrame, chunks: DataFrame, size: int) -> DataFrame
         F.when(~F.coalesce("consensus_passed", F.lit(False)) | (text == ""), "NO_EVENT_CONSENSUS_TO_SEGMENT")
         .when(F.length(text) < SHORTEST + INSERT, "EVENT_CONSENSUS_TOO_SHORT").when(broken, "INVALID_EVENT_BREAKPOINTS")
     )
-    rows = events.withColumns({"__fault": fault, "__text": text, "__lo": lo, "__hi": hi}).withColumn("__key", F.when(F.col("__fault").isNull(), key))
+    rows = events.withColumns({"__fault": fault, "__lo": lo, "__hi": hi}).withColumn("__key", F.when(F.col("__fault").isNull(), key))
+    rows = cut(rows, "segments")  # windows, places and results each read them
     once = rows.where("__fault IS NULL").select(F.col("__key").alias("key"), F.col("contig"), F.col("__lo").cast("long").alias("lo"), F.col("__hi").cast("long").alias("hi"), F.col("__text").alias("text")).dropDuplicates(["key"])
     side = lambda n, c: once.select(F.concat(F.col("key"), F.lit(n)).alias("window"), "contig", F.greatest(F.col(c) - AROUND, F.lit(0)).alias("start"), (F.col(c) + AROUND).alias("end"))
     bases = windows_of(chunks, side("L", "lo").union(side("R", "hi")), size).select(F.expr("left(window, 64)").alias("key"), F.expr("right(window, 1)").alias("side"), "bases")
@@ -306,7 +343,7 @@ def segment_events(events: DataFrame, chunks: DataFrame, size: int) -> DataFrame
         return (value if instead is None else F.when(F.coalesce(unplaced, F.lit(False)), instead).otherwise(value)).alias(name)
 
     empty = {n: "" if t == pa.string() else -1 if "_ref_" in n else 0 if t != pa.float64() else 0.0 for n, t in _FIELDS}
-    return got.select(*(F.col(c) for c in events.columns), qc.startswith("PASS_").alias("passed"), qc.alias("qc"), *(field(n, empty[n]) for n, _ in _FIELDS))
+    return got.select(*(F.col(c) for c in columns), qc.startswith("PASS_").alias("passed"), qc.alias("qc"), *(field(n, empty[n]) for n, _ in _FIELDS))
 
 
 #: Fixed values of the agreement of clips with an insert: shortest and longest compared end, least identity.

@@ -328,3 +328,18 @@ def test_inputs_of_a_consensus(spark):
     assert sorted((r.read, r.full, r.text) for r in got.collect()) == [("a", True, "A" * 80 + "C" * 60 + "G" * 80), ("b", False, "A" * 100 + "C" * 60 + "G" * 20), ("c", False, read[140:220] + "G" * 40)]
     c = K.input_counts(got).first()
     assert (c.full_reads, c.partial_reads, c.left_anchor, c.right_anchor, c.input_reads) == (1, 2, 2, 2, 1)
+
+
+def test_seed_offsets_count_every_pair_of_equal_kmers():
+    """Repeats on both sides, letters other than bases, and sequences too short for a k-mer."""
+    rng = np.random.default_rng(5)
+    for n in range(40):
+        window = "".join(rng.choice(list("ACGTN" if n % 2 else "AC"), 90))
+        query = window[20:60] + "".join(rng.choice(list("ACGT"), 30)) if n % 3 else window[:8]
+        hits = [40 + j - i for i in range(len(query) - 10) for j in range(len(window) - 10) if query[i : i + 11] == window[j : j + 11] and set(query[i : i + 11]) <= set("ACGT")]
+        found = {}
+        for x in hits:
+            b = int(x / 8) * 8
+            found.setdefault(b, []).append(abs(x + len(query) - 70))
+        want = sorted(found, key=lambda b: (-len(found[b]), min(found[b]), b))[:8]
+        assert S.seed_offsets(query, window, 40, 70, True).tolist() == want

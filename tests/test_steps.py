@@ -27,3 +27,7 @@ def test_each_latent_state_is_a_step_of_its_own(spark):
 
 def test_flanks_are_dealt_over_all_tasks(spark):
     assert QUERIES["f_flanks"](spark, SF).rdd.getNumPartitions() == 4
+
+
+def test_events_of_a_segmentation_are_made_once(spark):
+    assert plan(QUERIES["f30_segmentation"](spark, SF)).count("n_chars#") <= 3  # the reference's chunks only; windows, places and results read what was written
