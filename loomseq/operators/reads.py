@@ -43,21 +43,22 @@ def alias_of(names: DataFrame, contig: str, present: DataFrame, reference: str)
 
 
 def reference_chunks(reference: DataFrame, size: int) -> DataFrame:
-    """contig, chunk, piece: sequences in chunks of `size` bases. reference: contig, sequence."""
-    n = F.greatest(F.ceil(F.length("sequence") / size), F.lit(1)).cast("int")
-    rows = reference.where(F.length("sequence") > 0).select("contig", "sequence", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"))
-    return rows.select("contig", "chunk", F.substr(F.upper("sequence"), F.col("chunk") * size + 1, F.lit(size)).alias("piece"))
+    """contig, chunk, piece: sequences in chunks of `size` bases, cut in one pass. reference: contig, sequence."""
+    pieces = F.regexp_extract_all(F.upper("sequence"), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    return reference.select("contig", F.posexplode(pieces).alias("chunk", "piece"))
 
 
 def windows_of(chunks: DataFrame, windows: DataFrame, size: int) -> DataFrame:
-    """windows (window, contig, start, end) with `bases`: the half-open window of the chunked reference, cut at its ends; empty where there is none."""
+    """windows (window, contig, start, end) with `bases`: the half-open window of the chunked reference, cut at its ends; empty where there is none. Windows at one place are cut once."""
+    place = ["contig", "start", "end"]
     lo = F.greatest("start", F.lit(0))
     last = F.greatest(F.col("end") - 1, lo)
-    each = windows.where((F.col("end") > lo) & F.col("window").isNotNull()).select("window", "contig", lo.alias("lo"), "end", F.explode(F.sequence(F.floor(lo / size).cast("int"), F.floor(last / size).cast("int"))).alias("chunk"))
+    places = windows.where((F.col("end") > lo) & F.col("window").isNotNull()).select(place).distinct()
+    each = places.select(*place, lo.alias("lo"), F.explode(F.sequence(F.floor(lo / size).cast("int"), F.floor(last / size).cast("int"))).alias("chunk"))
     from_, to = F.greatest(F.col("lo") - F.col("chunk").cast("long") * size, F.lit(0)), F.col("end") - F.col("chunk").cast("long") * size
-    cut = each.join(chunks, ["contig", "chunk"]).select("window", "chunk", F.substr("piece", (from_ + 1).cast("int"), F.greatest(F.least(to, F.lit(size)) - from_, F.lit(0)).cast("int")).alias("s"))
-    got = cut.groupBy("window").agg(F.array_sort(F.collect_list(F.struct("chunk", "s"))).alias("p")).select("window", F.array_join(F.transform("p", lambda x: x["s"]), "").alias("bases"))
-    return windows.join(got, "window", "left").withColumn("bases", F.coalesce("bases", F.lit("")))
+    cut = each.join(chunks, ["contig", "chunk"]).select(*place, "chunk", F.substr("piece", (from_ + 1).cast("int"), F.greatest(F.least(to, F.lit(size)) - from_, F.lit(0)).cast("int")).alias("s"))
+    got = cut.groupBy(place).agg(F.array_sort(F.collect_list(F.struct("chunk", "s"))).alias("p")).select(*place, F.array_join(F.transform("p", lambda x: x["s"]), "").alias("bases"))
+    return windows.join(got, place, "left").select(*windows.columns, F.when(F.col("window").isNotNull() & F.col("bases").isNotNull(), F.col("bases")).otherwise("").alias("bases"))
 
 
 def bin_context(reads: DataFrame, size: int, around: int = 2, slack: int = 5000) -> DataFrame:

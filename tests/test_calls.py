@@ -235,3 +235,13 @@ def test_event_evidence_needs_precise_support_or_both_sides(spark):
     s = spark.createDataFrame([("c", "r", 75, "split", 60), ("c", "s", 127, "left_clip", 90), ("c", "s", 128, "indel", 90), ("c", "t", 500, "left_clip", 30), ("c", "t", 501, "left_clip", 30), ("c", "u", 900, "left_clip", 30), ("c", "v", 910, "right_clip", 40)], "contig string, read string, pos long, kind string, length long")
     got = {r.hypothesis: (r.alt, r.split, r.left_clip, r.right_clip, r.longest, r.names) for r in R.event_evidence(h, s).collect()}
     assert got == {1: (2, 1, 1, 0, 90, ["r", "s"]), 2: (0, 0, 1, 0, 30, ["t"]), 3: (2, 0, 1, 1, 40, ["u", "v"]), 4: (0, 0, 0, 0, 0, None)}
+
+
+def test_windows_of_one_place_and_of_one_name(spark):
+    """Windows that share a place are cut once, and those that share a name keep their own bases; a null name has none."""
+    ref = R.reference_chunks(spark.createDataFrame([("c", "acgtacgtac"), ("e", ""), ("n", None)], "contig string, sequence string"), 4)
+    assert sorted(map(tuple, ref.collect())) == [("c", 0, "ACGT"), ("c", 1, "ACGT"), ("c", 2, "AC")]
+    w = spark.createDataFrame([(1, "c", 2, 7), (1, "c", 5, 9), (2, "c", 2, 7), (None, "c", 2, 7), (3, "e", 0, 4)], "window int, contig string, start long, end long")
+    got = R.windows_of(ref, w, 4)
+    assert got.columns == [*w.columns, "bases"]
+    assert sorted((r.window or 0, r.start, r.bases) for r in got.collect()) == [(0, 2, ""), (1, 2, "GTACG"), (1, 5, "CGTA"), (2, 2, "GTACG"), (3, 0, "")]
