@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from loomseq.functions.support import LOCUS_GAP, same_locus
 from loomseq.operators.intervals import overlap_join, runs
 from loomseq.operators.running import running_sums
+from loomseq.sources.shared import cut
 
 #: Positions further apart are never in one cluster; a block of an island has at most so many signals. Distances under which two signals are neighbours, both from alignments or not. Fixed values.
 GAP, MOST, NEAR, FAR, STRONG = 4000, 1500, 250.0, 500.0, 5
@@ -133,18 +134,41 @@ def near_pairs(a: DataFrame, b: DataFrame, gap: int) -> DataFrame:
 
 
 def undominated(calls: DataFrame, id: str, contig: str, left: str, right: str, features: list[str], costs: list[str], promoted: str, gap: int = LOCUS_GAP) -> DataFrame:
-    """Calls that no other call of their locus beats: at least as good in all features (higher) and costs (lower), better in one. A promoted call cannot remove a direct one."""
-    ok = calls.where(F.col(id).isNotNull())
+    """Calls that no other call of their locus beats: at least as good in all features (higher) and costs (lower), better in one. A promoted call cannot remove a direct one.
+
+    Calls of one cell are all of each other's locus, and most are beaten by one
+    of the cell's best, by each feature and cost; only the rest are compared
+    with all calls of their locus.
+    """
     cols = [id, *features, *costs, promoted]
-    lo, hi = F.least(left, right), F.greatest(left, right)
-    a = ok.select(F.col(contig).alias("contig"), lo.alias("l_start"), hi.alias("l_end"), *(F.col(c).alias(f"a_{i}") for i, c in enumerate(cols)))
-    b = ok.select(F.col(contig).alias("contig"), lo.alias("r_start"), hi.alias("r_end"), *(F.col(c).alias(f"b_{i}") for i, c in enumerate(cols)))
-    pairs = near_pairs(a, b, gap).where("a_0 <> b_0").where(same_locus(F.col("l_start"), F.col("l_end"), F.col("l_start"), F.col("r_start"), F.col("r_end"), F.col("r_start"), gap))
-    good = [(F.col(f"a_{i}"), F.col(f"b_{i}")) for i in range(1, 1 + len(features))]
-    bad = [(F.col(f"b_{i}"), F.col(f"a_{i}")) for i in range(1 + len(features), len(cols) - 1)]
-    no_worse, better = F.lit(True), F.lit(False)
-    for x, y in good + bad:
-        no_worse, better = no_worse & (y >= x), better | (y > x)
     p = len(cols) - 1
-    lost = pairs.where(no_worse & better & ~(F.col(f"b_{p}") & ~F.col(f"a_{p}"))).select(F.col("a_0").alias(id)).distinct()
-    return calls.join(lost, id, "left_anti")
+    if p == 1:
+        return calls
+    lo, hi = F.least(left, right), F.greatest(left, right)
+    step = max(1, min(gap, 2 * gap // 5))
+    under = lambda x: F.floor(x / step) * step
+    cell = F.when(lo < 0, None).when(hi == lo, under(lo)).when(under(hi) >= lo, under(hi))  # intervals hold their cell's point; points lie behind it, within the gap
+    ok = calls.where(F.col(id).isNotNull()).select(F.col(contig).alias("contig"), lo.alias("lo"), hi.alias("hi"), cell.alias("cell"), *(F.col(c).alias(f"v_{i}") for i, c in enumerate(cols)))
+
+    def beaten(a: list[Column], b: list[Column]) -> Column:
+        good = [(a[i], b[i]) for i in range(1, 1 + len(features))] + [(b[i], a[i]) for i in range(1 + len(features), p)]
+        no_worse, better = F.lit(True), F.lit(False)
+        for x, y in good:
+            no_worse, better = no_worse & (y >= x), better | (y > x)
+        return (a[0] != b[0]) & no_worse & better & ~(b[p] & ~a[p])
+
+    v = [F.col(f"v_{i}") for i in range(p + 1)]
+    worth = [v[i] if i <= len(features) else -v[i] for i in range(1, p)]
+    orders = [F.struct(*(w.alias(f"w_{i}") for i, w in enumerate(worth[n:] + worth[:n]))) for n in range(len(worth))]
+    whole = F.struct(*(c.alias(f"v_{i}") for i, c in enumerate(v)))
+    best = [F.max_by(F.when(kind, whole), F.when(kind, o)) for o in orders for kind in (F.lit(True), ~v[p])]
+    heads = ok.where("contig IS NOT NULL AND cell IS NOT NULL").groupBy("contig", "cell").agg(*(b.alias(f"best_{i}") for i, b in enumerate(best)))
+    by_head = F.lit(False)
+    for i in range(len(best)):
+        by_head |= F.coalesce(beaten(v, [F.col(f"best_{i}.v_{n}") for n in range(p + 1)]), F.lit(False))
+    known = cut(ok.join(heads, ["contig", "cell"], "left").select(ok["contig"], "lo", "hi", *v, by_head.alias("lost")), "calls")
+
+    side = lambda d, s, n: d.select("contig", F.col("lo").alias(f"{s}_start"), F.col("hi").alias(f"{s}_end"), *(c.alias(f"{n}_{i}") for i, c in enumerate(v)))
+    pairs = near_pairs(side(known.where("NOT lost"), "l", "a"), side(known, "r", "b"), gap).where(same_locus(F.col("l_start"), F.col("l_end"), F.col("l_start"), F.col("r_start"), F.col("r_end"), F.col("r_start"), gap))
+    lost = pairs.where(beaten(*([F.col(f"{n}_{i}") for i in range(p + 1)] for n in "ab"))).select(F.col("a_0").alias(id)).distinct()
+    return calls.join(lost.union(known.where("lost").select(F.col("v_0").alias(id))), id, "left_anti")

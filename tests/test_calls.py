@@ -237,6 +237,32 @@ def test_event_evidence_needs_precise_support_or_both_sides(spark):
     assert got == {1: (2, 1, 1, 0, 90, ["r", "s"]), 2: (0, 0, 1, 0, 30, ["t"]), 3: (2, 0, 1, 1, 40, ["u", "v"]), 4: (0, 0, 0, 0, 0, None)}
 
 
+def test_undominated_with_repeated_ids_nulls_and_dense_loci(spark):
+    """Rows of one id do not beat each other, negative starts are in no locus, nulls beat nothing; few pairs are left where many calls share a cell."""
+    rng = random.Random(6)
+    pick = lambda x: None if rng.random() < 0.03 else x
+    rows = [(pick(rng.randrange(300)), pick("a"), x := rng.randrange(-30, 120), x + rng.choice([0, 0, 7, 40, 300]), pick(rng.randrange(6)), pick(rng.randrange(4)), pick(rng.random() < 0.3)) for _ in range(400)]
+    d = spark.createDataFrame(rows, "id long, contig string, l long, r long, score long, cost long, promoted boolean")
+
+    def beats(b, a):
+        if None in (*a, *b[:6]) and not (None not in (*a[:6], *b[:6]) and (b[6] is False or a[6] is True)):
+            return False
+        apart = max(0, b[2] - a[3], a[2] - b[3])
+        same = a[1] == b[1] and a[0] != b[0] and min(a[2], b[2]) >= 0 and apart <= (0 if a[3] > a[2] and b[3] > b[2] else 50)
+        return same and b[4] >= a[4] and b[5] <= a[5] and (b[4] > a[4] or b[5] < a[5]) and (b[6] is False or a[6] is True)
+
+    lost = {a[0] for a in rows if a[0] is not None and any(b[0] is not None and beats(b, a) for b in rows)}
+    want = sorted(str(a) for a in rows if a[0] is None or a[0] not in lost)
+    seen = []
+    whole, loci.near_pairs = loci.near_pairs, lambda a, b, gap: seen.append((a.count(), b.count())) or whole(a, b, gap)
+    try:
+        got = sorted(str(tuple(r)) for r in loci.undominated(d, "id", "contig", "l", "r", ["score"], ["cost"], "promoted").collect())
+    finally:
+        loci.near_pairs = whole
+    assert got == want
+    assert seen[0][0] < seen[0][1] / 2
+
+
 def test_windows_of_one_place_and_of_one_name(spark):
     """Windows that share a place are cut once, and those that share a name keep their own bases; a null name has none."""
     ref = R.reference_chunks(spark.createDataFrame([("c", "acgtacgtac"), ("e", ""), ("n", None)], "contig string, sequence string"), 4)
