@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from loomseq.functions import alignment as A
 from loomseq.functions import support as P
 from loomseq.functions.edits import QUERY_END, TARGET_END, codes, prefix_edits, stacked
-from loomseq.functions.flanks import fixed_identity
 from loomseq.operators.reads import windows_of
 from loomseq.sources.shared import cut
 
@@ -368,7 +367,9 @@ def clip_concordance(segments: DataFrame, fragments: DataFrame) -> DataFrame:
     whole = F.col("source").isin("insertion", "split") & (F.length("seq") >= CLIP_SHORTEST)
     clip = F.col("source").isin("clip_left", "clip_right") & ~F.coalesce("low_complexity", F.lit(False)) & ~F.coalesce("low_anchor", F.lit(False)) & (n >= CLIP_SHORTEST)
     piece = F.when(F.col("source") == "clip_left", F.left("ins", n)).otherwise(F.right("ins", n))
-    each = each.withColumn("identity", F.when(clip, fixed_identity(F.left("seq", n), piece))).where(whole | (F.col("identity") + 1e-9 >= CLIP_IDENTITY))
+    least = F.floor((1 - CLIP_IDENTITY) * n + 1e-3).cast("int")  # more edits than these are below the least identity
+    edits = F.call_function("levenshtein", F.left("seq", n), piece, least)
+    each = A.once(each, __edits=F.when(clip, edits)).withColumn("identity", F.when(F.col("__edits") >= 0, 1 - F.col("__edits") / n)).where(whole | (F.col("identity") + 1e-9 >= CLIP_IDENTITY))
     of = lambda kind, c: F.when(F.col("source") == kind, F.col(c))
     got = each.groupBy("event").agg(
         F.count_distinct(F.when(F.col("source").isin("insertion", "split"), F.col("read"))).alias("full_insert"), F.count_distinct(of("clip_left", "read")).alias("left_clip"), F.count_distinct(of("clip_right", "read")).alias("right_clip"),

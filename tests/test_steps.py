@@ -31,3 +31,7 @@ def test_flanks_are_dealt_over_all_tasks(spark):
 
 def test_events_of_a_segmentation_are_made_once(spark):
     assert plan(QUERIES["f30_segmentation"](spark, SF)).count("n_chars#") <= 3  # the reference's chunks only; windows, places and results read what was written
+
+
+def test_a_clip_is_compared_once(spark):
+    assert plan(QUERIES["f32_concordance"](spark, SF)).count("levenshtein(") == 1
