@@ -137,7 +137,7 @@ def f10_fragments(spark: SparkSession, sf: str) -> DataFrame:
     total = q * 4 + n * 14 + 260
     reads = _read(spark, sf, "lineitem").select(
         (C("l_orderkey") * 10 + n).alias("component"), F.lit("c").alias("contig"), F.lit(1000).alias("anchor"), C("l_orderkey").alias("read"), n.alias("record"), (q % 2 * 16).alias("flag"), F.when(C("l_suppkey") % 3 == 0, 59).otherwise(60).alias("mapq"), (C("l_partkey") * 3).alias("pos"),
-        F.concat(*(p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts)).alias("cigar"), F.left(spelt(F.concat_ws("+", "l_orderkey", n), 20), total).alias("sequence"), F.lit(0).alias("nm"),
+        F.concat(*(p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts)).alias("cigar"), F.left(spelt(F.concat_ws("+", "l_orderkey", n), F.least(F.lit(20), F.ceil(total / 32))), total).alias("sequence"), F.lit(0).alias("nm"),
     )
     got = R.clip_and_insertion_fragments(reads)
     return got.select("component", "source", "start", "length", "anchor_len", "junction", F.md5(C("sequence").cast("binary")).alias("text"), "name")

@@ -70,7 +70,7 @@ def clip_and_insertion_fragments(reads: DataFrame, least: Column | int = LEAST)
         "__lead": A.lead_clip(c("cigar")), "__trail": A.trail_clip(c("cigar")), "__anchors": A.clip_anchors(c("cigar")),
         "__ins": F.when(c("mapq") == A.INSERTION_MAPQ, long_insertions(c("cigar"), c("pos"), least if isinstance(least, Column) else F.lit(least))).otherwise(F.expr(_INS)),
     })
-    ordered = F.array_sort(F.transform(F.array_distinct("__ins"), lambda x: F.struct((-x["length"]).alias("n"), x["pos"].alias("p"), x["start"].alias("s"), x.alias("x"))))
+    ordered = F.sort_array(F.transform(F.array_distinct("__ins"), lambda x: F.struct((-x["length"]).alias("n"), x["pos"].alias("p"), x["start"].alias("s"), x.alias("x"))))
     kept = F.slice(F.filter(ordered, lambda x, i: (i < LONGEST_KEPT) | (F.abs(x["p"] - c("anchor")) <= LOCAL)), 1, MOST_KEPT)
 
     def piece(source: str, start: Column, length: Column, anchor: Column, side: str, junction: Column, *parts: tuple[str, Column], tag: str = "") -> Column:
