@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomseq.functions.reads import SECONDARY, UNMAPPED
 from loomseq.operators.intervals import overlap_join, overlap_totals
+from loomseq.operators.running import running_sums
+from loomseq.sources.shared import cut
 from loomseq.sources.text import contig_aliases
 
 
@@ -75,15 +77,82 @@ def reference_reads(hypotheses: DataFrame, reads: DataFrame, named: DataFrame, m
 
     reads: contig, read, pos, ref_end, flag, mapq, signals array<long>; named:
     hypothesis, read. A read counts once for a hypothesis.
+
+    No pair is built. A read speaks for the breakpoints within the stretches
+    between its signals; those stretches are laid into one order with the
+    hypotheses, and ref is a difference of running sums there, less the reads
+    named. Only stretches that lie wholly between two breakpoints meet them, and
+    the reads of a hypothesis that stands at several places.
     """
     lo, hi = F.least("left", "right"), F.greatest("left", "right")
-    a = hypotheses.select("contig", "hypothesis", lo.alias("l_start"), (hi + 1).alias("l_end"))
-    primary = reads.where(F.col("flag").bitwiseAND(F.lit(0x904)) == 0).select("contig", "read", F.col("pos").alias("r_start"), F.col("ref_end").alias("r_end"), "mapq", "signals")
+    at = hypotheses.where(F.col("hypothesis").isNotNull() & F.col("contig").isNotNull() & lo.isNotNull()).select("hypothesis", F.struct("contig", lo.cast("long").alias("lo"), hi.cast("long").alias("hi")).alias("p"))
+    places = cut(at.groupBy("hypothesis").agg(F.min("p").alias("p"), F.max("p").alias("q")), "places")
+    alone = (F.col("p") == F.col("q")) & F.lit(margin >= 0)
+    primary = reads.where((F.col("flag").bitwiseAND(F.lit(0x904)) == 0) & F.col("contig").isNotNull() & F.col("pos").isNotNull() & F.col("ref_end").isNotNull() & F.col("mapq").isNotNull())
+    # Positions are doubled: breakpoints at one place reach one half further, so that a margin of 0 leaves out those at a read's end.
+    one = places.where(alone).select("hypothesis", "p.contig", (2 * F.col("p.lo")).alias("lo"), (2 * F.col("p.hi") + (F.col("p.lo") == F.col("p.hi")).cast("long")).alias("hi"))
+    spans = _speaking(primary, named, one, margin, near, quality)
+    stretches = spans.where("hypothesis IS NULL").select("contig", F.inline(_once(F.col("lo"), F.col("hi"))))
+    totals = _within(stretches, one).unionByName(spans.where("hypothesis IS NOT NULL").select("hypothesis", (-(F.col("before") >= F.col("hi")).cast("long")).alias("n"), (-(F.col("before_high") >= F.col("hi")).cast("long")).alias("n_high")))
+    best = totals.groupBy("hypothesis").agg(*(F.sum(F.coalesce(n, F.lit(0))).alias(n) for n in ("n", "n_high"))).select("hypothesis", F.col("n_high").alias("ref"), (F.col("n") - F.col("n_high")).alias("ref_low"))
+    several = places.where(~alone)
+    if not several.isEmpty():
+        best = best.unionByName(_reference_pairs(at.join(several.select("hypothesis"), "hypothesis", "left_semi"), primary, named, margin, near, quality))
+    return hypotheses.join(best, "hypothesis", "left").na.fill(0, ["ref", "ref_low"])
+
+
+def _speaking(primary: DataFrame, named: DataFrame, places: DataFrame, margin: int, near: int, quality: int) -> DataFrame:
+    """Stretches of reads between their signals (contig, lo, hi, high) and the places that name a read (hypothesis too), each with how far the read's stretches that begin before it reach: before, and before_high for those of good quality. A stretch holds the breakpoints for which the read speaks."""
+    first, last = 2 * (F.col("pos").cast("long") + margin), 2 * (F.col("ref_end").cast("long") - margin) + int(margin > 0)
+    marks = F.array_sort(F.filter(F.coalesce("signals", F.array().cast("array<bigint>")), lambda s: s.isNotNull()))
+    los = F.concat(F.array(first), F.transform("marks", lambda s: F.greatest(first, 2 * (s + near + 1))))
+    his = F.concat(F.transform("marks", lambda s: F.least(last, 2 * (s - near) - 1)), F.array(last))
+    high = (F.col("mapq") >= quality).alias("high")
+    stretches = primary.withColumn("marks", marks).select("contig", "read", high, F.inline(F.arrays_zip(los.alias("lo"), his.alias("hi")))).where("lo <= hi")
+    asked = named.select("hypothesis", "read").where("read IS NOT NULL").distinct().join(places, "hypothesis")
+    rows = stretches.unionByName(asked, allowMissingColumns=True)
+    stretch = F.col("hypothesis").isNull()
+    up_to = Window.partitionBy("contig", "read").orderBy("lo", (~stretch), F.desc("hi")).rowsBetween(Window.unboundedPreceding, -1)
+    reach = lambda which: F.max(F.when(which, F.col("hi"))).over(up_to)
+    return cut(rows.select("contig", "lo", "hi", "high", "hypothesis", reach(stretch).alias("before"), reach(stretch & F.col("high")).alias("before_high")), "spans")
+
+
+def _once(lo: Column, hi: Column) -> Column:
+    """Stretches with the weights n and n_high that count a read once wherever its stretches overlap: those that reach beyond all before add one, and what they share with the one before takes one off."""
+    new = F.col("before").isNull() | (hi > F.col("before"))
+    new_high = F.col("high") & (F.col("before_high").isNull() | (hi > F.col("before_high")))
+    part = lambda end, n, n_high: F.struct(lo.alias("lo"), end.alias("hi"), n.cast("long").alias("n"), n_high.cast("long").alias("n_high"))
+    parts = F.array(part(hi, new, new_high), part(F.col("before"), -new.cast("long"), F.lit(0)), part(F.col("before_high"), F.lit(0), -new_high.cast("long")))
+    return F.filter(parts, lambda x: (x["lo"] <= x["hi"]) & ((x["n"] != 0) | (x["n_high"] != 0)))
+
+
+def _within(stretches: DataFrame, places: DataFrame) -> DataFrame:
+    """hypothesis, n and n_high, to be summed: the weight of the stretches (contig, lo, hi, n, n_high) that hold a place (hypothesis, contig, lo, hi). It is that of those which begin up to lo, less those which end before hi, and again those that do both after lo and before hi."""
+    none, zero = F.lit(None), F.lit(0).cast("long")
+    end = lambda side, order: F.struct(F.lit(side).alias("side"), F.col("hi" if side else "lo").alias("at"), F.lit(order).alias("turn"))
+    points = stretches.select("n", "n_high", "contig", F.inline(F.array(end(0, 0), end(1, 1)))).groupBy("contig", "side", "at", "turn").agg(F.sum("n").alias("n"), F.sum("n_high").alias("n_high"))
+    asked = places.select("hypothesis", "contig", F.inline(F.array(end(0, 1), end(1, 0)))).withColumns({"n": zero, "n_high": zero})
+    rows = points.withColumn("hypothesis", none).unionByName(asked)
+    found = running_sums(rows, ["contig", "side"], [F.col("at"), F.col("turn"), F.col("hypothesis")], {"s": F.col("n"), "s_high": F.col("n_high")}).where("hypothesis IS NOT NULL")
+    sign = 1 - 2 * F.col("side")
+    out = found.select("hypothesis", (sign * F.col("s")).alias("n"), (sign * F.col("s_high")).alias("n_high"))
+    longest = places.agg(F.max(F.col("hi") - F.col("lo"))).first()[0] or 0
+    if longest < 2:
+        return out
+    wide = places.where(F.col("hi") - F.col("lo") > 1).select("hypothesis", "contig", (F.col("lo") + 1).alias("l_start"), F.col("hi").alias("l_end"))
+    short = stretches.where(F.col("hi") - F.col("lo") <= longest - 2).select("contig", F.col("lo").alias("r_start"), (F.col("hi") + 1).alias("r_end"), "n", "n_high")
+    inside = overlap_join(wide, short).where((F.col("r_start") >= F.col("l_start")) & (F.col("r_end") <= F.col("l_end")))
+    return out.unionByName(inside.select("hypothesis", "n", "n_high"))
+
+
+def _reference_pairs(places: DataFrame, primary: DataFrame, named: DataFrame, margin: int, near: int, quality: int) -> DataFrame:
+    """hypothesis, ref and ref_low of reference_reads, by pairs of a place (hypothesis, p) and a read: a read counts once for all places of a hypothesis."""
+    a = places.select("hypothesis", "p.contig", F.col("p.lo").alias("l_start"), (F.col("p.hi") + 1).alias("l_end"))
+    b = primary.select("contig", "read", F.col("pos").alias("r_start"), F.col("ref_end").alias("r_end"), "mapq", "signals")
     span = (F.col("r_start") <= F.col("l_start") - margin) & (F.col("r_end") >= F.col("l_end") - 1 + margin)
     quiet = ~F.coalesce(F.exists("signals", lambda s: s.between(F.col("l_start") - near, F.col("l_end") - 1 + near)), F.lit(False))
-    got = overlap_join(a, primary).where(span & quiet).join(named.select("hypothesis", "read").distinct(), ["hypothesis", "read"], "left_anti")
-    best = got.groupBy("hypothesis", "read").agg(F.max("mapq").alias("mapq")).groupBy("hypothesis").agg(F.count_if(F.col("mapq") >= quality).alias("ref"), F.count_if(F.col("mapq") < quality).alias("ref_low"))
-    return hypotheses.join(best, "hypothesis", "left").na.fill(0, ["ref", "ref_low"])
+    got = overlap_join(a, b).where(span & quiet).join(named.select("hypothesis", "read").distinct(), ["hypothesis", "read"], "left_anti")
+    return got.groupBy("hypothesis", "read").agg(F.max("mapq").alias("mapq")).groupBy("hypothesis").agg(F.count_if(F.col("mapq") >= quality).alias("ref"), F.count_if(F.col("mapq") < quality).alias("ref_low"))
 
 
 def event_evidence(hypotheses: DataFrame, signals: DataFrame, slack: int = 25) -> DataFrame:

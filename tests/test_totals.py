@@ -69,3 +69,36 @@ def test_split_reads_are_spelt_once(spark):
 def test_signatures_are_found_once(spark):
     plan = places.f6_signatures(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert sum(n.count("regexp_extract_all(") for n in plan) <= 9 and max(map(len, plan)) < 8000
+
+
+def test_reference_reads_are_those_of_each_pair(spark):
+    rnd = random.Random(5)
+    hyps = [(rnd.choice("ab"), i, p, p + rnd.choice([0, 0, 0, 1, 3, -2, 40])) for i, p in enumerate(rnd.randrange(100) for _ in range(60))]
+    hyps += [("a", 100, 40, 41), ("b", 100, 42, 44), ("a", 100, 40, 41), ("a", 101, 50, 50), ("a", 101, 50, 50), (None, 102, 5, 5), ("a", None, 50, 50), ("a", 103, None, 50), ("a", 104, None, None)]
+    reads = [(rnd.choice("ab"), rnd.choice([None, *range(25)]), p, p + rnd.choice([0, 4, 20, 60, 90]), rnd.choice([0, 0, 0, 16, 2048, 4]), rnd.choice([None, 5, 19, 20, 60]), rnd.choice([None, [], [p + 3], [rnd.randrange(100), None, rnd.randrange(100)]])) for p in (rnd.randrange(100) for _ in range(150))]
+    reads += [(None, 1, 0, 99, 0, 60, []), ("a", 1, None, 99, 0, 60, []), ("a", 1, 0, None, 0, 60, []), ("a", 1, 0, 99, None, 60, [])]
+    named = [(i, rnd.choice([None, *range(25)])) for i in [*range(60), 100, 100, 101] for _ in range(2)]
+    h, named_df = spark.createDataFrame(hyps, "contig string, hypothesis long, left int, right int"), spark.createDataFrame(named, "hypothesis long, read int")
+    s = spark.createDataFrame(reads, "contig string, read int, pos int, ref_end int, flag int, mapq int, signals array<long>")
+    for margin, near in ((1, 2), (0, 3), (2, -2), (-3, 1)):
+        best = {}
+        for c, i, a, b in hyps:
+            lo, hi = min(x for x in (a, b, 1e9) if x is not None), max(x for x in (a, b, -1e9) if x is not None)
+            for k, r, p, e, flag, q, signals in reads:
+                if None in (c, i, p, e, flag, q) or c != k or flag & 0x904 or lo > hi or not (p <= hi and e > lo and p <= lo - margin and e >= hi + margin):
+                    continue
+                if (r is None or (i, r) not in named) and not any(x is not None and lo - near <= x <= hi + near for x in signals or []):
+                    best[i, r] = max(q, best.get((i, r), 0))
+        want = sorted((str(i), sum(j == i and q >= 20 for (j, _), q in best.items()), sum(j == i and q < 20 for (j, _), q in best.items())) for _, i, _, _ in hyps)
+        got = R.reference_reads(h, s, named_df, margin=margin, near=near).collect()
+        assert sorted((str(r.hypothesis), r.ref, r.ref_low) for r in got) == want and sum(w[1] for w in want) > 30 and sum(w[2] for w in want) > 10
+    assert R.reference_reads(h.limit(0), s, named_df).count() == 0 and {(r.ref, r.ref_low) for r in R.reference_reads(h, s.limit(0), named_df).collect()} == {(0, 0)}
+
+
+def test_reference_reads_build_no_pairs(spark, monkeypatch):
+    pairs, join = [], R.overlap_join
+    monkeypatch.setattr(R, "overlap_join", lambda a, b: (got := join(a, b), pairs.append(got.count()))[0])
+    h = spark.range(600).selectExpr("'c' AS contig", "id AS hypothesis", "1000 + id % 50 AS left", "1003 + id % 50 AS right")
+    s = spark.range(800).selectExpr("'c' AS contig", "id AS read", "id % 300 AS pos", "2000 + id AS ref_end", "0 AS flag", "60 AS mapq", "array(id % 900 * 4) AS signals")
+    got = R.reference_reads(h, s, h.selectExpr("hypothesis", "hypothesis AS read"), margin=5, near=20).collect()
+    assert len(got) == 600 and sum(r.ref for r in got) > 400_000 and sum(pairs) < 1400  # fewer than there are rows
